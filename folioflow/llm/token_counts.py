@@ -135,60 +135,81 @@ class PieceTransducer:
     one token that may follow the token before it, which gives the new state and the change in number.
     """
 
-    def __init__(self, vocab: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int]):
-        self.vocab, self.ranks = vocab, ranks
-        self.begins = {t[:k] for t in vocab for k in range(1, len(t))}
+    def __init__(self, merges: list[tuple[bytes, bytes]]):
+        self.age = {bytes((b,)): b for b in range(256)}
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
+        for a, b in merges:
+            if a + b not in self.age:
+                self.age[a + b] = len(self.age)
+                self.halves[a + b] = (a, b)
+        self.made = {h: self.age[t] for t, h in self.halves.items()}
+        self.begins = {t[:k] for t in self.age for k in range(1, len(t))}
         self.may_follow: dict[tuple[bytes, bytes], bool] = {}
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, int]]] = []
-        self.start = self._state((b"", (b"",), (0,)))
+        self.steps: list[dict[int, tuple[dict, int]]] = []
+        self.start = self.steps[self._state((b"", (b"",), (0,)))]
 
     def _state(self, key: tuple) -> int:
         if key not in self.number:
             self.number[key] = len(self.states)
+            self.steps.append({-1: (len(self.states), 0)})
             self.states.append(key)
-            self.steps.append({})
         return self.number[key]
 
-    def _merged(self, text: bytes) -> list[bytes]:
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        """Whether BPE leaves the two tokens as they are when they stand side by side.
+
+        Both are taken apart from the youngest merge backwards; a merge across the border that is older
+        than the last one taken back would have come first.
+        """
+        age, before = self.age, 1 << 60
+        while True:
+            across = self.made.get((a, b))
+            if across is not None and across < before:
+                return False
+            # b's merge comes first where both are the same token: merging goes from left to right
+            for side in ("a", "b") if age[a] > age[b] else ("b", "a"):
+                if side == "a" and a in self.halves:
+                    before, a = age[a], self.halves[a][1]
+                    break
+                if side == "b" and b in self.halves:
+                    before, b = age[b] + 1, self.halves[b][0]
+                    break
+            else:
+                return True
 
     def _follows(self, a: bytes, b: bytes) -> bool:
+        if not a:
+            return True
         if (a, b) not in self.may_follow:
-            self.may_follow[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+            self.may_follow[a, b] = self._apart(a, b)
         return self.may_follow[a, b]
 
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+    def _compile(self, state: int, byte: int) -> tuple[dict, int]:
         tail, last, counts = self.states[state]
         tail += bytes((byte,))
-        at = next(k for k in range(len(tail)) if tail[k:] in self.vocab and self._follows(last[k], tail[k:]))
+        at = next(k for k in range(len(tail)) if tail[k:] in self.age and self._follows(last[k], tail[k:]))
         count = counts[at] + 1
         last, counts = (*last, tail[at:]), (*counts, count)
         keep = next((k for k in range(len(tail)) if tail[k:] in self.begins), len(tail))
         to = self._state((tail[keep:], last[keep:], tuple(c - count for c in counts[keep:])))
-        self.steps[state][byte] = (to, count)
-        return to, count
+        self.steps[state][byte] = step = (self.steps[to], count)
+        return step
 
     def count(self, piece: bytes) -> int:
         if len(self.states) > CACHE_STATES:
             self.clear()
         if len(self.may_follow) > 2 * CACHE_STATES:
             self.may_follow = {}
-        state, total, steps = self.start, 0, self.steps
+        state, total = self.start, 0
         for byte in piece:
-            step = steps[state].get(byte)
+            step = state.get(byte)
             if step is None:
-                step = self._compile(state, byte)
+                step = self._compile(state[-1][0], byte)
             state = step[0]
             total += step[1]
         return total
@@ -204,8 +225,7 @@ class TokenCounter:
         plain = lambda s: bytes(real[c] for c in s)
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        vocab = {plain(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.pieces = PieceTransducer(vocab, {(plain(a), plain(b)): r for r, (a, b) in enumerate(merges)})
+        self.pieces = PieceTransducer([(plain(a), plain(b)) for a, b in merges])
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.scanner = BorderScanner()
         self.known: dict[str, int] = {}
