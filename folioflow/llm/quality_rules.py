@@ -31,25 +31,16 @@ ALPHA, DELTA = 0.02, 0.05
 BROADCAST_STRATA = 10_000
 
 
-def repeated_words(w: Column, hashes: Column) -> Column:
-    """Words inside three-word windows that occur twice or more; ``hashes`` are the windows' hashes in order."""
-    order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    starts = F.sort_array(
-        F.transform(
-            F.filter(
-                F.transform(order, lambda x, j: F.struct(x["i"].alias("i"), (F.get(order, j - 1)["h"] == x["h"]).alias("a"), (F.get(order, j + 1)["h"] == x["h"]).alias("b"))),
-                lambda x: F.coalesce(x["a"], F.lit(False)) | F.coalesce(x["b"], F.lit(False)),
-            ),
-            lambda x: x["i"],
-        )
-    )
-    covered = F.aggregate(
-        starts,
+def repeated_words(order: Column) -> Column:
+    """Words inside three-word windows that occur twice or more; ``order`` is a column of the windows' <hash h, place i>, sorted."""
+    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
+    marked = F.transform(order, lambda x, j: F.when(same(F.get(order, j - 1), x) | same(F.get(order, j + 1), x), x["i"]))
+    return F.aggregate(
+        F.sort_array(F.filter(marked, lambda i: i.isNotNull())),
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
-    return covered
 
 
 def document_features(docs: DataFrame) -> DataFrame:
@@ -60,8 +51,12 @@ def document_features(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")).alias("stratum"), words(F.col("text")).alias("w"), lines.alias("lines"), F.char_length(bare(text)).cast("long").alias("word_chars"), (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     three = F.when(F.size("w") >= 3, F.transform(F.slice("w", 1, F.size("w") - 2), lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("doc_id", "stratum", "word_chars", "n_symbols", "w", F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), three.alias("three"))
-    repeats = F.when(F.size("three") == F.size(F.array_distinct("three")), 0).otherwise(repeated_words(F.col("w"), F.col("three")))
-    return rows.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats.cast("long").alias("n_repeat_words"))
+    kept = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    sorted_places = F.sort_array(F.transform("three", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    nothing = F.array().cast("array<struct<h:bigint,i:int>>")
+    # each step is a projection of its own: what a lambda function names must be a column, or it is computed for every element
+    rows = rows.select(*kept, F.when(F.size("three") > F.size(F.array_distinct("three")), sorted_places).otherwise(nothing).alias("order"))
+    return rows.select(*kept, repeated_words(F.col("order")).cast("long").alias("n_repeat_words"))
 
 
 def over(rule: str, cutoff: Column) -> Column:
