@@ -11,6 +11,7 @@ from . import decontamination, quality_rules, url_filter
 from .bpe_codec import encode_documents
 from .common import table
 from .language_id import predict_languages
+from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op2_bpe_codec,
         op3_language_id,
+        op5_simhash_dedup,
         op6_decontamination,
         op7_token_counts,
         op8_url_filter,
