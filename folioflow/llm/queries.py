@@ -11,7 +11,9 @@ from . import decontamination, quality_rules, url_filter
 from .bpe_codec import encode_documents
 from .common import table
 from .language_id import predict_languages
+from .line_dedup import repeated_chunks
 from .simhash_dedup import near_duplicates
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_chunks(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,10 +60,12 @@ QUERIES: dict[str, Query] = {
     for f in (
         op2_bpe_codec,
         op3_language_id,
+        op4_line_dedup,
         op5_simhash_dedup,
         op6_decontamination,
         op7_token_counts,
         op8_url_filter,
+        op9_substring_dedup,
         op10_quality_rules,
     )
 }
