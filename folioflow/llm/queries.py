@@ -14,11 +14,16 @@ from .language_id import predict_languages
 from .line_dedup import repeated_chunks
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), keep_spans=False)
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -58,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_bpe_codec,
         op3_language_id,
         op4_line_dedup,
