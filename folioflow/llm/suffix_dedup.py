@@ -354,7 +354,9 @@ def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> Dat
                     if hot:
                         start = np.arange(len(context) - LEAST + 1)
                         w = np.empty(len(start), _WINDOW)
-                        w["key"] = span_hashes(prefix_sums(np.frombuffer(context, np.uint8)), start, start + LEAST)
+                        # a window is counted for this anchor string and place: it may hold other anchors, too
+                        same = np.uint64(key) + (left - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        w["key"] = mix(span_hashes(prefix_sums(np.frombuffer(context, np.uint8)), start, start + LEAST) ^ mix(same))
                         w["doc"], w["tag"], w["pos"], w["many"] = doc, tag, start + pos - left, not need
                         windows.append(w)
                         n += len(w)
