@@ -202,18 +202,35 @@ def _by_text(r: np.ndarray, columns: list[str]) -> Iterator[tuple[int, int, np.n
         yield int(r["doc"][a]), int(r["tag"][a]), r[columns][a:b]
 
 
-def _text_rows(spans: np.ndarray, refs: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, tag, spans, refs) of decided spans and of contexts that are to be resolved."""
-    rows = [(d, t, np.stack([x["start"], x["stop"]], axis=1).astype("<i4").tobytes(), None) for d, t, x in _by_text(_joined(spans), ["start", "stop"])]
-    if refs is not None and len(refs):
-        for d, t, x in _by_text(refs, ["pos", "key", "need", "hot"]):
-            packed = np.empty(len(x), _REF)
-            for n in _REF.names:
-                packed[n] = x[n]
-            rows.append((d, t, None, packed.tobytes()))
-    if rows:
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "tag", "spans", "refs"])
+def _span_rows(spans: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows (bucket, spans) of spans packed by bucket of their text."""
+    spans = _joined(spans)
+    bucket = (mix(spans["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((spans["start"], spans["doc"], bucket))
+    spans, bucket = spans[order], bucket[order]
+    bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+    return [(k, _pack(spans[bounds[k] : bounds[k + 1]]), None, None, None) for k in np.flatnonzero(np.diff(bounds)).tolist()]
+
+
+def _ref_rows(refs: np.ndarray) -> list[tuple]:
+    """Rows (doc, tag, refs) of contexts that are to be resolved."""
+    rows = []
+    for d, t, x in _by_text(refs, ["pos", "key", "need", "hot"]):
+        packed = np.empty(len(x), _REF)
+        for n in _REF.names:
+            packed[n] = x[n]
+        rows.append((None, None, d, t, packed.tobytes()))
+    return rows
+
+
+_FOUND = "bucket long, spans binary, doc long, tag int, refs binary"
+
+
+def _found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+    for at in range(0, len(rows), 10_000):
+        columns = zip(*rows[at : at + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "spans", "doc", "tag", "refs"])
 
 
 def _settle(r: np.ndarray, by: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +267,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def candidate_texts(texts: DataFrame, buckets: int) -> DataFrame:
-    """doc, tag, spans (decided, 32-bit pairs) and refs (contexts that a suffix array has to resolve)."""
+    """bucket, spans (decided, packed for many texts) or doc, tag, refs (contexts of a text that a suffix array has to resolve)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "records", "spans"]
@@ -309,7 +326,7 @@ def candidate_texts(texts: DataFrame, buckets: int) -> DataFrame:
                         close()
                     at, held = bucket, []
                     if n > HOLD:
-                        yield from _text_rows(np.concatenate(spans), np.concatenate(refs) if refs else None)
+                        yield from _found(_span_rows(np.concatenate(spans), buckets) + _ref_rows(np.concatenate(refs)))
                         spans, refs, n = [], [], 0
                 if blob is not None:
                     held.append(_unpack(blob, _ANCHOR))
@@ -319,15 +336,15 @@ def candidate_texts(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             close()
         if spans:
-            yield from _text_rows(np.concatenate(spans), np.concatenate(refs) if refs else None)
+            yield from _found(_span_rows(np.concatenate(spans), buckets) + (_ref_rows(np.concatenate(refs)) if refs else []))
 
     dealt = texts.select("doc", "tag", "text").mapInArrow(collect, "bucket long, records binary, spans binary")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "doc long, tag int, spans binary, refs binary")
+    return dealt.mapInArrow(meet, _FOUND)
 
 
 def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
-    """doc, tag and spans that the suffix arrays, and the windows of hot strings, find."""
+    """bucket and spans (packed for many texts) that the suffix arrays, and the windows of hot strings, find."""
     wanted = candidates.where("refs IS NOT NULL").groupBy(F.col("doc").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list("refs").alias("refs"))
     held = texts.join(wanted, (F.col("doc") == F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("doc", "tag", "text", "refs")
     names = ["route", "doc", "tag", "pos", "left_bytes", "need", "context"]
@@ -390,7 +407,7 @@ def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> Dat
                     close()
                     at, group, windows = route, [], []
                     if n > HOLD:
-                        yield from _text_rows(np.concatenate(spans))
+                        yield from _found(_span_rows(np.concatenate(spans), buckets))
                         spans, n = [], 0
                 if route >= 0:
                     group.append(row)
@@ -401,11 +418,34 @@ def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> Dat
                     windows.append(_unpack(row[5], _WINDOW))
         close()
         if spans:
-            yield from _text_rows(np.concatenate(spans))
+            yield from _found(_span_rows(np.concatenate(spans), buckets))
 
     dealt = held.mapInArrow(extract, "route long, doc long, tag int, pos int, left_bytes int, need boolean, context binary")
     dealt = dealt.repartition("route").sortWithinPartitions("route")
-    return dealt.mapInArrow(resolve, "doc long, tag int, spans binary, refs binary").select("doc", "tag", "spans")
+    return dealt.mapInArrow(resolve, _FOUND).select("bucket", "spans")
+
+
+def spans_by_text(packed: DataFrame) -> DataFrame:
+    """doc, tag and spans (32-bit pairs in order) of each text, from buckets of packed spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            rows = [(d, t, np.stack([x["start"], x["stop"]], axis=1).astype("<i4").tobytes()) for d, t, x in _by_text(_joined(np.concatenate(held)), ["start", "stop"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc", "tag", "spans"])
+
+        for batch in batches:
+            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and held:
+                    yield from texts()
+                    held = []
+                at = bucket
+                held.append(_unpack(blob, _SPAN))
+        if held:
+            yield from texts()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag int, spans binary")
 
 
 def remove_repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFrame:
@@ -414,23 +454,17 @@ def remove_repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFr
     buckets = max(256, -(-size // BUCKET_BYTES))
     texts = _identified(docs)
     candidates = checkpointed(candidate_texts(texts, buckets))
-    found = candidates.where("spans IS NOT NULL").select("doc", "tag", "spans").union(resolved_spans(texts, candidates, buckets))
-    found = found.groupBy(F.col("doc").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list("spans").alias("spans"))
+    packed = candidates.where("spans IS NOT NULL").select("bucket", "spans").union(resolved_spans(texts, candidates, buckets))
+    found = spans_by_text(packed).select(F.col("doc").alias("of"), F.col("tag").alias("of_tag"), "spans")
     joined = texts.join(found, (F.col("doc") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans"] * keep_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 body = _bytes(text)
-                own: list[list[int]] = []
-                if blobs:
-                    for start, stop in sorted(np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2).tolist()):
-                        if own and start <= own[-1][1]:
-                            own[-1][1] = max(own[-1][1], stop)
-                        else:
-                            own.append([start, stop])
+                own = np.frombuffer(blob or b"", "<i4").reshape(-1, 2).tolist()
                 kept = b"".join(body[a:b] for a, b in zip([0, *[s[1] for s in own]], [*[s[0] for s in own], len(body)], strict=True))
                 rows.append((len(body), len(body) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in own]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
