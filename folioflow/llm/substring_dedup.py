@@ -26,12 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import word_bounds, word_window_hashes
+from .hashing import mix, word_bounds, word_window_hashes
 
 WINDOW = 13
 ROWS, CELLS_PER_WORD, MOST_BITS, LEAST_BITS = 2, 2, 29, 20
-#: Bits of a slice of the sketch, bytes of text that a task hashes at once, windows that it holds before it sends them on.
-SLICE_BITS, HASH_BYTES, HOLD = 20, 1 << 20, 4_000_000
+#: Bits of a slice of the sketch, bytes of text that a task hashes at once.
+SLICE_BITS, HASH_BYTES = 20, 1 << 20
+#: Window hashes, and records of candidates, that a task holds before it sends them on.
+HOLD_HASHES, HOLD = 4_000_000, 1_500_000
 #: Bytes of input a bucket of the exact pass.
 BUCKET_BYTES = 16 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -92,7 +94,7 @@ def sketch_slices(docs: DataFrame, bits: int, width: int) -> DataFrame:
             for _, _, h, _ in text_windows(batch, width):
                 held.append(h)
                 n += len(h)
-                if n > HOLD:
+                if n > HOLD_HASHES:
                     yield from flush(held)
                     held, n = [], 0
         if n:
@@ -148,21 +150,22 @@ class RepeatFilter:
         return out
 
 
-_RECORD = [("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4")]
+_PLACE = [("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4")]
+_RECORD = [("h", "<u8"), ("g", "<u4"), *_PLACE]
 
 
 def _columns(records: np.ndarray) -> bytes:
     """Records column by column, so that ids and places compress."""
     pack = zstandard.ZstdCompressor(1).compress
-    body = b"".join(np.ascontiguousarray(np.diff(records[n], prepend=records[n].dtype.type(0)) if n in ("doc", "pos") else records[n]).tobytes() for n, _ in _RECORD)
+    body = b"".join(np.ascontiguousarray(np.diff(records[n], prepend=records.dtype[n].type(0)) if n in ("doc", "pos") else records[n]).tobytes() for n in records.dtype.names)
     return pack(body)
 
 
-def _records(blob: bytes) -> np.ndarray:
+def _records(blob: bytes, fields: list[tuple[str, str]] = _RECORD) -> np.ndarray:
     body = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(body) // np.dtype(_RECORD).itemsize
-    out, at = np.empty(n, _RECORD), 0
-    for name, kind in _RECORD:
+    n = len(body) // np.dtype(fields).itemsize
+    out, at = np.empty(n, fields), 0
+    for name, kind in fields:
         size = n * np.dtype(kind).itemsize
         column = np.frombuffer(body[at : at + size], kind)
         out[name] = np.cumsum(column, dtype=kind) if name in ("doc", "pos") else column
@@ -237,6 +240,18 @@ def repeated_windows(docs: DataFrame, *, width: int = WINDOW) -> DataFrame:
         if n:
             yield from flush(held)
 
+    def packed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Removed windows, packed by bucket of their document: far fewer rows than a row for each document and task."""
+        r = np.concatenate(found)[[n for n, _ in _PLACE]]
+        bucket = (mix(r["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((r["pos"], r["tag"], r["doc"], bucket))
+        r, bucket = r[order], bucket[order]
+        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        for at in range(0, len(full), 64):
+            some = full[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_columns(r[bounds[k] : bounds[k + 1]]) for k in some], pa.binary())], names=["bucket", "removed"])
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out, n = None, [], [], 0
         for batch in batches:
@@ -252,16 +267,29 @@ def repeated_windows(docs: DataFrame, *, width: int = WINDOW) -> DataFrame:
                 else:
                     held.append(_records(blob))
                 if n > HOLD:
-                    yield _removed_rows(np.concatenate(out))
+                    yield from packed(out)
                     out, n = [], 0
         if held:
             out.append(_split_smallest(np.concatenate(held))[1])
         if out:
-            yield _removed_rows(np.concatenate(out))
+            yield from packed(out)
+
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and held:
+                    yield _removed_rows(np.concatenate(held))
+                    held = []
+                at = bucket
+                held.append(_records(blob, _PLACE))
+        if held:
+            yield _removed_rows(np.concatenate(held))
 
     tagged = docs.select("doc_id", "text", text_tag().alias("tag"))
     dealt = tagged.mapInArrow(candidates, "bucket long, records binary, decided boolean").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(exact, "doc_id long, tag int, places binary")
+    found = dealt.mapInArrow(exact, "bucket long, removed binary").repartition("bucket").sortWithinPartitions("bucket")
+    return found.mapInArrow(by_document, "doc_id long, tag int, places binary")
 
 
 def text_tag() -> F.Column:
@@ -270,7 +298,7 @@ def text_tag() -> F.Column:
 
 def remove_repeats(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept_text of each row."""
-    found = repeated_windows(docs, width=width).groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list("places").alias("places"))
+    found = repeated_windows(docs, width=width).select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "places")
     rows = docs.select("doc_id", "text", text_tag().alias("tag"))
     joined = rows.join(found, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "places")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
@@ -282,7 +310,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = Tr
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 out["n_words"].append(len(words))
                 if places:
-                    first = np.frombuffer(b"".join(places), "<i4")
+                    first = np.frombuffer(places, "<i4")
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + width, -1)
