@@ -19,7 +19,7 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node that can be reached) of every node in a link table (a long, b long).
+    """node and root (the least node that can be reached) of every node but the roots in a link table (a long, b long).
 
     Alternates the large-star and small-star steps until the links no longer change; each round's links are
     written to the checkpoint folder, so that a lost executor costs at most one round. Links from a node to
