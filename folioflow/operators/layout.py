@@ -82,39 +82,46 @@ def join_colors(items: DataFrame, colors: DataFrame) -> DataFrame:
     return items.join(c, (F.col("doc_id") == F.col("c_doc")) & (F.col("page") == F.col("c_page")) & (F.floor(F.col("x") + 0.5) == F.col("kx")) & (F.floor(F.col("y") + 0.5) == F.col("ky")), "left").drop("c_doc", "c_page", "kx", "ky")
 
 
-def _fold_lines(items: DataFrame, keys: list[str], order: list[Column], step, zero: Column) -> DataFrame:
-    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows"))
-    return rows.select(*keys, F.aggregate("rows", zero, step, lambda s: s["out"]).alias("out"))
+_START = "array<struct<down:double,x:double,seq:bigint>>"
+
+
+def _lines_from_starts(items: DataFrame, zero: Column, step) -> DataFrame:
+    """doc_id, page, line, seq by a fold over a page's items from the top, left to right.
+
+    The fold keeps where lines start and nothing for each item; an item's line is the number of starts up to it.
+    """
+    order = F.struct((-F.col("y")).alias("down"), F.col("x").alias("x"), F.col("seq").alias("seq"))
+    rows = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), F.col("size").alias("size")))).alias("rows"))
+    starts = rows.select(*PAGE, F.aggregate("rows", zero, step, lambda s: s["starts"]).alias("starts"))
+    line = F.size(F.filter("starts", lambda s: s <= order)) - 1
+    return items.join(starts, PAGE).select(*PAGE, line.alias("line"), "seq")
 
 
 def cluster_baselines(items: DataFrame, *, tol: float = 3.0) -> DataFrame:
     """doc_id, page, line, seq: from the top, an item joins the line whose first baseline is within ``tol`` of its own."""
-    order = [(-F.col("y")).alias("down"), F.col("x").alias("x"), F.col("seq").alias("seq")]
-    zero = F.expr("named_struct('line', -1, 'head', cast(null as double), 'out', cast(array() as array<struct<line:int,seq:bigint>>))")
+    zero = F.expr(f"named_struct('head', cast(null as double), 'starts', cast(array() as {_START}))")
 
     def step(s: Column, i: Column) -> Column:
-        same = F.coalesce(F.abs(i["down"] - s["head"]) <= tol, F.lit(False))
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(line.alias("line"), F.when(same, s["head"]).otherwise(i["down"]).alias("head"), F.concat(s["out"], F.array(F.struct(line.alias("line"), i["seq"].alias("seq")))).alias("out"))
+        same = F.coalesce(F.abs(i["at"]["down"] - s["head"]) <= tol, F.lit(False))
+        return F.struct(F.when(same, s["head"]).otherwise(i["at"]["down"]).alias("head"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(i["at"]))).alias("starts"))
 
-    return _fold_lines(items, PAGE, order, step, zero).select(*PAGE, F.explode("out").alias("o")).select(*PAGE, "o.line", "o.seq")
+    return _lines_from_starts(items, zero, step)
 
 
 def cluster_lines(items: DataFrame) -> DataFrame:
     """doc_id, page, line, seq: as :func:`cluster_baselines`, with tolerances in proportion to size and a reference that moves to the largest word."""
-    order = [(-F.col("y")).alias("down"), F.col("x").alias("x"), F.col("seq").alias("seq"), F.col("size").alias("size")]
-    zero = F.expr("named_struct('line', -1, 'ref', cast(null as double), 'big', cast(0 as double), 'out', cast(array() as array<struct<line:int,seq:bigint>>))")
+    zero = F.expr(f"named_struct('ref', cast(null as double), 'big', cast(0 as double), 'starts', cast(array() as {_START}))")
 
     def step(s: Column, i: Column) -> Column:
-        small, gap = F.least(s["big"], i["size"]), F.abs(i["down"] - s["ref"])
-        overlap = F.least(-s["ref"] + s["big"], -i["down"] + i["size"]) - F.greatest(-s["ref"], -i["down"])
+        down = i["at"]["down"]
+        small, gap = F.least(s["big"], i["size"]), F.abs(down - s["ref"])
+        overlap = F.least(-s["ref"] + s["big"], -down + i["size"]) - F.greatest(-s["ref"], -down)
         close = (gap <= 0.5 * small) | ((small < 0.85 * F.greatest(s["big"], i["size"])) & (overlap > 0.3 * small))
         same = s["ref"].isNotNull() & F.coalesce(close, F.lit(False))
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
         larger = ~same | (i["size"] > s["big"])
-        return F.struct(line.alias("line"), F.when(larger, i["down"]).otherwise(s["ref"]).alias("ref"), F.when(larger, i["size"]).otherwise(s["big"]).alias("big"), F.concat(s["out"], F.array(F.struct(line.alias("line"), i["seq"].alias("seq")))).alias("out"))
+        return F.struct(F.when(larger, down).otherwise(s["ref"]).alias("ref"), F.when(larger, i["size"]).otherwise(s["big"]).alias("big"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(i["at"]))).alias("starts"))
 
-    return _fold_lines(items, PAGE, order, step, zero).select(*PAGE, F.explode("out").alias("o")).select(*PAGE, "o.line", "o.seq")
+    return _lines_from_starts(items, zero, step)
 
 
 def line_texts(items: DataFrame, lines: DataFrame) -> DataFrame:
