@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose encoding a Python worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _codecs: dict[str, PairIndexCodec] = {}
 
@@ -56,7 +56,7 @@ class PairIndexCodec:
         self.pieces = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.blank = regex.compile(r"\s+")
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
 
     def normalized(self, text: str) -> str:
         """NFC, runs of white space to one space, lower case by single characters."""
@@ -146,10 +146,10 @@ class PairIndexCodec:
         for at in range(0, len(new), 20_000):
             block = new[at : at + 20_000]
             for word, ids in self.merge(w for w in block if w not in self.special).items():
-                self.known[word] = (np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids), len(ids))
+                self.known[word] = (np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids))
             for word in block:
                 if word in self.special:
-                    self.known[word] = (np.array([self.special[word]], "<u4").tobytes(), word, 1)
+                    self.known[word] = (np.array([self.special[word]], "<u4").tobytes(), word)
 
     def encode(self, text: str) -> list[int]:
         found = self.split(text)

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 #: Expected labelled documents per language that the model is fitted on.
 SAMPLE_DOCS = 2_000
 #: Most words and n-grams that the model keeps, the most frequent first.
-MODEL_WORDS, MODEL_GRAMS = 150_000, 150_000
+MODEL_WORDS, MODEL_GRAMS = 30_000, 60_000
 LONGEST = 5
 #: Words whose scores a Python worker keeps, and characters that are read at once.
-CACHE_WORDS, BLOCK = 500_000, 1_000_000
+CACHE_WORDS, BLOCK = 200_000, 1_000_000
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -56,8 +56,10 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
 class Backoff:
     """Scores of words by language, from the collected model."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: dict[str, list[float]]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
+        self.langs = langs
+        self.words, self.word_scores = {w: i for i, w in enumerate(words[0])}, words[1]
+        self.grams, self.gram_scores = {g: i for i, g in enumerate(grams[0])}, grams[1]
         self.clear()
 
     def clear(self) -> None:
@@ -65,14 +67,14 @@ class Backoff:
         self.table = np.zeros((1024, len(self.langs)))
         self.letters = np.zeros(1024, bool)
 
-    def word(self, word: str) -> list[float] | None:
-        if word in self.words:
-            return self.words[word]
+    def word(self, word: str) -> np.ndarray | None:
+        if (at := self.words.get(word)) is not None:
+            return self.word_scores[at]
         framed = f"_{word}_"
         for n in range(LONGEST, 0, -1):
-            known = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n]))]
+            known = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n])) is not None]
             if known:
-                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+                return self.gram_scores[known].mean(axis=0)
         return None
 
     def learn(self, found: set[str]) -> None:
@@ -104,13 +106,18 @@ class Backoff:
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(docs: DataFrame) -> Backoff:
+#: Languages, then words and n-grams with their log frequencies by language.
+Model = tuple[list[str], tuple[list[str], np.ndarray], tuple[list[str], np.ndarray]]
+
+
+def fit(docs: DataFrame) -> Model:
     """The model of the labelled rows that are not held out."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Backoff([], {}, {})
+        nothing = ([], np.zeros((0, 0), np.float32))
+        return [], nothing, nothing
     share = F.element_at(F.create_map(*[F.lit(x) for l in langs for x in (l, min(1.0, SAMPLE_DOCS / sizes[l]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
     sample = labelled.where(draw < share)
@@ -127,8 +134,9 @@ def fit(docs: DataFrame) -> Backoff:
 
     top_words, top_grams = frequent(counts, "word", MODEL_WORDS, 3), frequent(grams, "gram", MODEL_GRAMS, 3)
 
-    def logs(rows: list, key: str, totals: dict[str, float]) -> dict[str, list[float]]:
-        return {r[key]: [math.log((r["by"].get(l, 0) + 0.1) / (totals.get(l, 0) + 1)) for l in langs] for r in rows}
+    def logs(rows: list, key: str, totals: dict[str, float]) -> tuple[list[str], np.ndarray]:
+        scores = [[math.log((r["by"].get(l, 0) + 0.1) / (totals.get(l, 0) + 1)) for l in langs] for r in rows]
+        return [r[key] for r in rows], np.array(scores, np.float32).reshape(-1, len(langs))
 
     def totals(rows: list) -> dict[str, float]:
         out = dict.fromkeys(langs, 0.0)
@@ -137,13 +145,12 @@ def fit(docs: DataFrame) -> Backoff:
                 out[l] += n
         return out
 
-    return Backoff(langs, logs(top_words, "word", totals(top_words)), logs(top_grams, "gram", totals(top_grams)))
+    return langs, logs(top_words, "word", totals(top_words)), logs(top_grams, "gram", totals(top_grams))
 
 
 def predict_languages(docs: DataFrame, *, keep_text: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row; ``keep_text`` returns the input's columns with __lang_pred and __score instead."""
-    model = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     cache: list[Backoff] = []
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
