@@ -77,7 +77,8 @@ def repeated_places(keyed: DataFrame) -> DataFrame:
     """key and places (sorted chunk numbers) of the chunks to remove; equal rows count once."""
     chunks = checkpointed(chunk_digests(keyed))
     counted = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.max(F.struct("doc_id", "key", "place")).alias("last"))
-    often = counted.where("NOT (first <=> last)").select(F.col("digest").alias("of"), "first")
+    # written, so that the join below deals both sides anew and a digest that very many chunks have can be split
+    often = checkpointed(counted.where("NOT (first <=> last)").select(F.col("digest").alias("of"), "first"))
     members = checkpointed(chunks.join(often, F.col("digest") == F.col("of")).select("key", "place", "digest", (~F.struct("doc_id", "key", "place").eqNullSafe(F.col("first"))).alias("later")))
     wanted = members.groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "of")
     held = keyed.select("key", "text").join(wanted, F.col("key") == F.col("of")).select("text", "places")
