@@ -168,3 +168,10 @@ def test_url_edges(spark):
     assert url_filter.judge_urls(pages, url_filter.rule_table(spark)).count() == len(urls) + 1
     assert url_filter.judge_urls(pages, url_filter.rule_table(spark).limit(0)).where("verdict <> 'allow'").count() == 0
     assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
+
+
+def test_model_holds_grams_of_every_size(spark):
+    docs = spark.createDataFrame([(i, "abcdef " * 5, "en") for i in range(40)], "doc_id long, text string, lang string")
+    _, (words, _), (grams, scores) = language_id.fit(docs)
+    assert words == ["abcdef"] and {"a", "_a", "abc", "bcde", "_abcd", "cdef_"} <= set(grams) and max(map(len, grams)) == 5
+    assert scores.shape == (len(grams), 1)
