@@ -67,29 +67,38 @@ class Backoff:
         self.table = np.zeros((1024, len(self.langs)))
         self.letters = np.zeros(1024, bool)
 
-    def word(self, word: str) -> np.ndarray | None:
-        if (at := self.words.get(word)) is not None:
-            return self.word_scores[at]
+    def known_grams(self, word: str) -> list[int]:
+        """The longest n-grams of an unseen word that the model has."""
         framed = f"_{word}_"
         for n in range(LONGEST, 0, -1):
             known = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n])) is not None]
             if known:
-                return self.gram_scores[known].mean(axis=0)
-        return None
+                return known
+        return []
 
     def learn(self, found: set[str]) -> None:
+        """Score the words that are not known yet, all at once."""
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        for word in found.difference(self.place):
-            at = len(self.place)
-            if at == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            self.place[word] = at
-            scores = self.word(word)
-            if scores is not None:
-                self.table[at] = scores
-            self.letters[at] = any(c.isalpha() for c in word)
+        new = list(found.difference(self.place))
+        first = len(self.place)
+        while first + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.place.update(zip(new, range(first, first + len(new)), strict=True))
+        grams, sizes, unseen = [], [], []
+        for at, word in enumerate(new, first):
+            self.letters[at] = any(map(str.isalpha, word))
+            seen = self.words.get(word)
+            if seen is not None:
+                self.table[at] = self.word_scores[seen]
+            elif own := self.known_grams(word):
+                grams += own
+                sizes.append(len(own))
+                unseen.append(at)
+        if unseen:
+            starts = np.cumsum([0, *sizes[:-1]])
+            self.table[unseen] = np.add.reduceat(self.gram_scores[grams], starts, axis=0) / np.array(sizes)[:, None]
 
     def predict(self, text: str) -> tuple[str, float]:
         total, any_letter = np.zeros(len(self.langs)), False
@@ -125,8 +134,13 @@ def fit(docs: DataFrame) -> Model:
     counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
     framed = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
     size = F.char_length(framed)
-    pieces = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(framed, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]
-    grams = counts.select("lang", "n", F.explode(F.concat(*pieces)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def pieces(n: int) -> F.Column:
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(framed, i, F.lit(n)))
+
+    every = F.concat(*[pieces(n) for n in range(1, LONGEST + 1)])
+    grams = counts.select("lang", "n", F.explode(every).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def frequent(df: DataFrame, key: str, most: int, least: int) -> list:
         each = df.groupBy(key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
