@@ -22,8 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words whose encoding a Python worker keeps between batches.
-CACHE_WORDS = 200_000
+#: Words of a generation; a Python worker keeps the encodings of two, and what is used again moves to the younger.
+CACHE_WORDS = 150_000
 
 _codecs: dict[str, PairIndexCodec] = {}
 
@@ -57,6 +57,7 @@ class PairIndexCodec:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.blank = regex.compile(r"\s+")
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def normalized(self, text: str) -> str:
         """NFC, runs of white space to one space, lower case by single characters."""
@@ -140,9 +141,15 @@ class PairIndexCodec:
 
     def learn(self, found: set[str]) -> None:
         """Encode the words that are not known yet, in blocks."""
-        if len(self.known) + len(found) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in found if w in self.known}
-        new = [w for w in found if w not in self.known]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for word in found.difference(known):
+            if word in older:
+                known[word] = older.pop(word)
+            else:
+                new.append(word)
         for at in range(0, len(new), 20_000):
             block = new[at : at + 20_000]
             for word, ids in self.merge(w for w in block if w not in self.special).items():
