@@ -1,15 +1,18 @@
-"""Operator 4: repeated multi-line chunks with content-defined boundaries.
+"""Operator 4: repeated runs of lines.
 
-A text's lines are cut into chunks where the rolling hash of the last ``ROLL`` line hashes falls into one
-class of ``MEAN_LINES``; a boundary depends on those lines alone, so inserted or deleted lines move no other
-boundary. Chunks of two lines or more are counted over all documents by a 128-bit digest; the chunks that
-repeat are then compared as bytes (grouped by digest and text). The first occurrence (smallest doc_id, then
-place) stays, every later one is removed. Digests whose chunks turn out to differ in their bytes keep all.
+A run of two lines or more repeats just where all its windows of two adjacent lines do, so the windows at every
+line are compared; no boundary has to fall inside a passage, and inserted or deleted lines move nothing. Every
+partition makes a count-min sketch of its windows' hashes; only windows that the merged sketch estimates
+repeated are counted over all documents by a 128-bit digest, and the windows that repeat are then compared as
+bytes (grouped by digest and text). The first occurrence (smallest doc_id, then place) stays, the lines of every
+later one are removed. Digests whose windows turn out to differ in their bytes keep all.
 
 Defined results: a null text is an empty one with one empty line; a text without a line feed has one line
-and loses nothing; a chunk of blank lines only is never removed; repeated rows (equal id and text) are one
-document, so each keeps what the first occurrence keeps; a null doc_id comes first; other columns are not
-read by ``repeated_chunks`` and are returned unchanged by ``drop_repeated_chunks``.
+and loses nothing; a window of blank lines only is never removed by itself; where one line follows itself and
+the first window overlaps the next, the first keeps both its lines; n_removed_chunks counts removed windows;
+repeated rows (equal id and text) are one document, so each keeps what the first occurrence keeps; a null
+doc_id comes first; other columns are not read by ``repeated_chunks`` and are returned unchanged by
+``drop_repeated_chunks``.
 """
 
 from __future__ import annotations
@@ -17,14 +20,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, row_key
+from .hashing import mix
+from .substring_dedup import LEAST_BITS, MOST_BITS, RepeatFilter, merged_sketch, sketch_slices
 
 ROLL, MEAN_LINES, LEAST_LINES = 2, 4, 2
+#: Cells of the sketch a line.
+CELLS_PER_LINE = 8
 _FACTOR, _MASK = 0x100000001B3, (1 << 64) - 1
 
 
@@ -52,21 +60,44 @@ def _lines(text: str | None) -> list[bytes]:
 
 
 def _multi(lines: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number, first line, end, bytes) of the chunks that may be removed."""
-    for number, (a, b) in enumerate(cut_chunks(lines)):
-        if b - a >= LEAST_LINES:
-            body = b"\n".join(lines[a:b])
-            if body.strip():
-                yield number, a, b, body
-
-
-def chunk_digests(keyed: DataFrame) -> DataFrame:
-    """key, doc_id, place and digest of every multi-line chunk; keyed has doc_id, text and key."""
+    """(number, first line, end, bytes) of the windows that may be removed."""
+    for a in range(len(lines) - LEAST_LINES + 1):
+        body = b"\n".join(lines[a : a + LEAST_LINES])
+        if body.strip():
+            yield a, a, a + LEAST_LINES, body
+
+
+def line_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, None]]:
+    """(row in the batch, 0, hashes of the windows of ``width`` lines, None) of each text; column 1 is the text."""
+    for row, text in enumerate(batch.column(1).to_pylist()):
+        lines = _lines(text)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+        n = max(0, len(h) - width + 1)
+        rolled = np.zeros(n, np.uint64)
+        for k in range(width):
+            rolled = rolled * np.uint64(_FACTOR) + h[k : k + n]
+        yield row, 0, mix(rolled), None
+
+
+def window_digests(keyed: DataFrame) -> DataFrame:
+    """key, doc_id, place and digest of every window that may repeat; keyed has doc_id, text and key."""
     names = ["key", "doc_id", "place", "digest"]
+    feeds = keyed.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(max(1, CELLS_PER_LINE * feeds) - 1).bit_length()))
+    slices = merged_sketch(sketch_slices(keyed, bits, LEAST_LINES, line_windows)).collect()
+    shared = keyed.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in slices])
+    cache: list[RepeatFilter] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not cache:
+            cache.append(RepeatFilter(bits, shared.value))
         for batch in batches:
-            rows = [(r, n, xxhash.xxh3_128_digest(body)) for r, text in enumerate(batch.column(1).to_pylist()) for n, _, _, body in _multi(_lines(text))]
+            rows = []
+            texts = batch.column(1).to_pylist()
+            for r, _, h, _ in line_windows(batch, LEAST_LINES):
+                again = set(np.flatnonzero(cache[0].may_repeat(h)).tolist())
+                if again:
+                    rows += [(r, n, xxhash.xxh3_128_digest(body)) for n, _, _, body in _multi(_lines(texts[r])) if n in again]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
 
@@ -74,19 +105,20 @@ def chunk_digests(keyed: DataFrame) -> DataFrame:
 
 
 def repeated_places(keyed: DataFrame) -> DataFrame:
-    """key and places (sorted chunk numbers) of the chunks to remove; equal rows count once."""
-    chunks = checkpointed(chunk_digests(keyed))
-    counted = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.max(F.struct("doc_id", "key", "place")).alias("last"))
-    # written, so that the join below deals both sides anew and a digest that very many chunks have can be split
+    """key and places (sorted first lines) of the windows to remove; equal rows count once."""
+    windows = checkpointed(window_digests(keyed))
+    counted = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.max(F.struct("doc_id", "key", "place")).alias("last"))
+    # written, so that the join below deals both sides anew and a digest that very many windows have can be split
     often = checkpointed(counted.where("NOT (first <=> last)").select(F.col("digest").alias("of"), "first"))
-    members = checkpointed(chunks.join(often, F.col("digest") == F.col("of")).select("key", "place", "digest", (~F.struct("doc_id", "key", "place").eqNullSafe(F.col("first"))).alias("later")))
+    members = checkpointed(windows.join(often, F.col("digest") == F.col("of")).select("key", "place", "digest", (~F.struct("doc_id", "key", "place").eqNullSafe(F.col("first"))).alias("later")))
     wanted = members.groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "of")
     held = keyed.select("key", "text").join(wanted, F.col("key") == F.col("of")).select("text", "places")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [body for n, _, _, body in _multi(_lines(text)) if n in set(places)]
+                wanted = set(places)
+                found = [body for n, _, _, body in _multi(_lines(text)) if n in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b) for b in found], pa.binary()), pa.array(found, pa.binary())], names=["digest", "body"])
 
     compared = held.mapInArrow(bodies, "digest binary, body binary").distinct()
@@ -107,10 +139,11 @@ def kept_lines(text: str | None, places: list[int] | None) -> tuple[bytes, int,
     lines = _lines(text)
     if not places:
         return b"\n".join(lines), len(lines), 0
-    gone, kept = set(places), []
-    for number, (a, b) in enumerate(cut_chunks(lines)):
-        if number not in gone:
-            kept += lines[a:b]
+    places, gone = set(places), set()
+    for p in places:
+        first = p - 1 not in places and p > 0 and lines[p - 1] == lines[p] == lines[p + 1]
+        gone.update(range(p + first, p + LEAST_LINES))
+    kept = [line for i, line in enumerate(lines) if i not in gone]
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 

@@ -18,7 +18,7 @@ doc_id; a null doc_id is not compared; repeated rows are returned each; other co
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,7 @@ def _bitmap(cell: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def sketch_slices(docs: DataFrame, bits: int, width: int) -> DataFrame:
+def sketch_slices(docs: DataFrame, bits: int, width: int, windows: Callable = text_windows) -> DataFrame:
     """slice (row and part of it), once and twice (bitmaps of cells counted at least so often) of each partition's sketch."""
     part = min(bits, SLICE_BITS)
 
@@ -91,7 +91,7 @@ def sketch_slices(docs: DataFrame, bits: int, width: int) -> DataFrame:
 
         held, n = [], 0
         for batch in batches:
-            for _, _, h, _ in text_windows(batch, width):
+            for _, _, h, _ in windows(batch, width):
                 held.append(h)
                 n += len(h)
                 if n > HOLD_HASHES:
