@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of the Arrow batches that go to Python workers; long texts would make Spark's own defaults large.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,3 +57,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder."""
     prepare_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are bounded by ``BATCH_ROWS`` and ``BATCH_BYTES`` from now on."""
+    conf = docs.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(conf.get(key)).removesuffix("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return docs
+
+
+def release() -> None:
+    """Give what a finished task held back to the system: a reused Python worker keeps freed memory else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

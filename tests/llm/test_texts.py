@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioflow.llm import bpe_codec, language_id, quality_rules, token_counts, url_filter
@@ -101,15 +102,71 @@ def test_languages_on_held_out_documents(spark, small):
 def test_languages_of_odd_rows(spark, odd_rows):
     got = {(r.doc_id, r.lang_pred) for r in language_id.predict_languages(odd_rows).collect()}
     assert (1, "und") in got and (2, "und") in got and (3, "und") in got
-    kept = language_id.drop_undetermined(odd_rows)
+    kept = language_id.drop_undetermined(odd_rows.withColumns({"__score": F.lit("own"), "__lang_pred": F.lit(1)}))
+    assert kept.where("__score = 'own' AND __lang_pred = 1").count() == kept.count() > 0
+    kept = kept.drop("__score", "__lang_pred")
     assert kept.columns == odd_rows.columns and {r.doc_id for r in kept.collect()} <= {None, 4}
 
 
-def test_unseen_words_fall_back_to_shorter_grams():
-    scores = lambda *rows: np.array(rows, np.float32)
-    model = language_id.Backoff(["a", "b"], (["known"], scores([0, -9])), (["qqq", "z"], scores([-9, 0], [-5, -1])))
-    assert model.predict("known")[0] == "a" and model.predict("xqqqx")[0] == "b" and model.predict("z")[0] == "b"
-    assert model.predict("12 .")[0] == "und"
+def plain_backoff(learned, texts):
+    """Language of each text by the definition: counts of words and n-grams of the learned (lang, text) rows, in plain Python."""
+    import math
+    from collections import Counter, defaultdict
+
+    letters = re.compile(r"[^\W\d_]+")
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for lang, text in learned:
+        words[lang].update(letters.findall((text or "").lower()))
+    for lang, own in words.items():
+        for w, n in own.items():
+            f = f"_{w}_"
+            for k in range(1, 6):
+                for i in range(len(f) - k + 1):
+                    grams[lang][f[i : i + k]] += n
+    langs = sorted(words)
+    log = lambda counts, key: np.array([math.log((counts[l][key] + 0.1) / (sum(counts[l].values()) + 1)) for l in langs])
+
+    def score(w):
+        if any(w in words[l] for l in langs):
+            return log(words, w)
+        for k in range(5, 0, -1):
+            f = f"_{w}_"
+            known = [g for i in range(len(f) - k + 1) if any((g := f[i : i + k]) in grams[l] for l in langs)]
+            if known:
+                return np.mean([log(grams, g) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for t in texts:
+        found = letters.findall((t or "").lower())
+        total = sum((score(w) for w in found), np.zeros(len(langs)))
+        out.append((langs[int(np.argmax(total))], float(1 / np.exp(total - total.max()).sum())) if found else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000_000, 50])
+def test_backoff_by_brute_force(spark, monkeypatch, block):
+    """Known words, unseen ones at every level of n-grams, texts without letters, and a cache that is cleared all the time."""
+    import zlib
+
+    monkeypatch.setattr(language_id, "blocks", lambda text: _blocks(text, block))
+    rng = random.Random(4)
+    syllables = {"aa": ["ka", "lo", "mi", "né"], "bb": ["ka", "tu", "re", "öx"], "cc": ["zi", "qu", "lo", "漢"]}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for i in range(150):
+        lang = rng.choice(["aa", "bb", "cc"])
+        rows.append((i, " ".join(word(lang) for _ in range(rng.randint(0, 12))) + rng.choice(["", " 12!", " zzzz", " q" * 60]), lang if i % 7 else None))
+    rows += [(200, None, "aa"), (201, "wwww", "bb"), (202, "k" * 100, None)]
+    learned = [(lang, t) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    want = plain_backoff(learned, [t for _, t, _ in rows])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i][1] == pytest.approx(score, abs=1e-3) and (got[i][0] == lang or score < 0.51)
+    assert len({w[0] for w in want}) == 4
+
+
+_blocks = language_id.blocks
 
 
 def test_quality_counts_by_brute_force(spark):
@@ -172,6 +229,6 @@ def test_url_edges(spark):
 
 def test_model_holds_grams_of_every_size(spark):
     docs = spark.createDataFrame([(i, "abcdef " * 5, "en") for i in range(40)], "doc_id long, text string, lang string")
-    _, (words, _), (grams, scores) = language_id.fit(docs)
-    assert words == ["abcdef"] and {"a", "_a", "abc", "bcde", "_abcd", "cdef_"} <= set(grams) and max(map(len, grams)) == 5
-    assert scores.shape == (len(grams), 1)
+    langs, words, grams = language_id.fit(docs)
+    assert langs == ["en"] and (words.find(language_id._hashes(["abcdef", "abcde"])) >= 0).tolist() == [True, False]
+    assert (grams.find(language_id._hashes(["a", "_a", "abc", "bcde", "_abcd", "cdef_", "abcdef"])) >= 0).tolist() == [True] * 6 + [False]
