@@ -1,4 +1,8 @@
-"""Vectorised window hashes over bytes and words (numpy, inside tasks)."""
+"""Vectorised window hashes over bytes and words (numpy, inside tasks).
+
+They are polynomials modulo 2**64 and can be made to collide, so they choose candidates only; what is equal is
+decided by digests or by bytes.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Most bytes whose powers are kept; longer inputs are hashed in segments.
 SEGMENT = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-#: Random values of a byte that begins a word, and of any other byte, for two independent hashes.
-_VALUES = _rng.integers(0, 1 << 64, (2, 2, 256), dtype=np.uint64)
+#: Random values of the bytes.
+_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -25,6 +28,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 p = np.full(size, base, np.uint64)
                 p[0] = 1
                 both.append(np.multiply.accumulate(p))
+        if size > 4 * SEGMENT:  # of a very long word: not worth keeping
+            return both[0], both[1]
         _powers[size] = (both[0], both[1])
     return _powers[size]
 
@@ -39,11 +44,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(data: np.ndarray, firsts: np.ndarray | None = None, which: int = 0) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     """S with S[j] - S[i] = sum of value(data[t]) * BASE**t over i <= t < j, modulo 2**64."""
-    values = _VALUES[which, 1][data]
-    if firsts is not None:
-        values[firsts] = _VALUES[which, 0][data[firsts]]
+    values = _VALUES[data]
     values *= _power_tables(len(data))[0][: len(data)]
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values, out=out[1:])
@@ -64,30 +67,15 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_window_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window of ``width`` words; which blanks part the words does not matter."""
+def word_window_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every window of ``width`` words; words are parted by one blank byte each."""
     n = len(starts) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[np.ndarray] = []
     at = 0
     while at < n:
         # as many windows as end within a segment, one at least
-        end = max(at + 1, int(np.searchsorted(stops, starts[at] + SEGMENT)) - width + 1)
-        end = min(end, n)
+        end = min(n, max(at + 1, int(np.searchsorted(stops, starts[at] + SEGMENT)) - width + 1))
         a, b = starts[at], stops[end + width - 2]
-        first, last = starts[at : end + width - 1] - a, stops[at : end + width - 1] - a
-        piece = data[a:b]
-        keep = np.zeros(len(piece) + 1, np.int8)
-        keep[first] = 1
-        keep[last] -= 1
-        keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
-        solid = piece[keep]
-        begin = np.concatenate([[0], np.cumsum(last - first)])
-        both = []
-        for which in (0, 1):
-            sums = prefix_sums(solid, begin[:-1], which)
-            both.append(span_hashes(sums, begin[: end - at], begin[width : width + end - at]))
-        parts.append((both[0], both[1]))
+        parts.append(span_hashes(prefix_sums(data[a:b]), starts[at:end] - a, stops[at + width - 1 : end + width - 1] - a))
         at = end
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)

@@ -1,39 +1,42 @@
 """Operator 4: repeated runs of lines.
 
 A run of two lines or more repeats just where all its windows of two adjacent lines do, so the windows at every
-line are compared; no boundary has to fall inside a passage, and inserted or deleted lines move nothing. Every
-partition makes a count-min sketch of its windows' hashes; only windows that the merged sketch estimates
-repeated are counted over all documents by a 128-bit digest, and the windows that repeat are then compared as
-bytes (grouped by digest and text). The first occurrence (smallest doc_id, then place) stays, the lines of every
-later one are removed. Digests whose windows turn out to differ in their bytes keep all.
+line are compared; no boundary has to fall inside a passage, and inserted or deleted lines move nothing. Rolling
+hashes of the windows go to count-min sketches of blocks of texts (``sketch.py``); only windows that are
+estimated repeated are compared over all documents, as bytes: a block sends each window once, from its first
+occurrence there, and a bucket of windows finds the first of all. So a window that a third of all documents
+hold costs one record a block. The first occurrence (smallest doc_id, then hash of the row, then place) stays,
+the lines of every later one are removed.
 
 Defined results: a null text is an empty one with one empty line; a text without a line feed has one line
 and loses nothing; a window of blank lines only is never removed by itself; where one line follows itself and
 the first window overlaps the next, the first keeps both its lines; n_removed_chunks counts removed windows;
 repeated rows (equal id and text) are one document, so each keeps what the first occurrence keeps; a null
 doc_id comes first; other columns are not read by ``repeated_chunks`` and are returned unchanged by
-``drop_repeated_chunks``.
+``drop_repeated_chunks``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key
+from .common import release, small_batches, unused
 from .hashing import mix
-from .substring_dedup import LEAST_BITS, MOST_BITS, RepeatFilter, merged_sketch, sketch_slices
+from .sketch import Shape, dealt, may_repeat, pack, repeat_marks, unpack
 
 ROLL, MEAN_LINES, LEAST_LINES = 2, 4, 2
-#: Cells of the sketch a line.
-CELLS_PER_LINE = 8
+#: Bytes of input a bucket of windows.
+BUCKET_BYTES = 16 << 20
 _FACTOR, _MASK = 0x100000001B3, (1 << 64) - 1
+_LEAST_ID = -(1 << 63)
 
 
 def cut_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -67,71 +70,129 @@ def _multi(lines: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
             yield a, a, a + LEAST_LINES, body
 
 
-def line_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, None]]:
-    """(row in the batch, 0, hashes of the windows of ``width`` lines, None) of each text; column 1 is the text."""
-    for row, text in enumerate(batch.column(1).to_pylist()):
+def line_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Rolled hashes of the windows of ``LEAST_LINES`` lines of each text."""
+    out = []
+    for text in texts:
         lines = _lines(text)
         h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-        n = max(0, len(h) - width + 1)
+        n = max(0, len(h) - LEAST_LINES + 1)
         rolled = np.zeros(n, np.uint64)
-        for k in range(width):
+        for k in range(LEAST_LINES):
             rolled = rolled * np.uint64(_FACTOR) + h[k : k + n]
-        yield row, 0, mix(rolled), None
-
-
-def window_digests(keyed: DataFrame) -> DataFrame:
-    """key, doc_id, place and digest of every window that may repeat; keyed has doc_id, text and key."""
-    names = ["key", "doc_id", "place", "digest"]
-    feeds = keyed.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(max(1, CELLS_PER_LINE * feeds) - 1).bit_length()))
-    slices = merged_sketch(sketch_slices(keyed, bits, LEAST_LINES, line_windows)).collect()
-    shared = keyed.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in slices])
-    cache: list[RepeatFilter] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.append(RepeatFilter(bits, shared.value))
-        for batch in batches:
-            rows = []
-            texts = batch.column(1).to_pylist()
-            for r, _, h, _ in line_windows(batch, LEAST_LINES):
-                again = set(np.flatnonzero(cache[0].may_repeat(h)).tolist())
-                if again:
-                    rows += [(r, n, xxhash.xxh3_128_digest(body)) for n, _, _, body in _multi(_lines(texts[r])) if n in again]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
-
-    return keyed.select("doc_id", "text", "key").mapInArrow(run, "key string, doc_id long, place int, digest binary")
-
-
-def repeated_places(keyed: DataFrame) -> DataFrame:
-    """key and places (sorted first lines) of the windows to remove; equal rows count once."""
-    windows = checkpointed(window_digests(keyed))
-    counted = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.max(F.struct("doc_id", "key", "place")).alias("last"))
-    # written, so that the join below deals both sides anew and a digest that very many windows have can be split
-    often = checkpointed(counted.where("NOT (first <=> last)").select(F.col("digest").alias("of"), "first"))
-    members = checkpointed(windows.join(often, F.col("digest") == F.col("of")).select("key", "place", "digest", (~F.struct("doc_id", "key", "place").eqNullSafe(F.col("first"))).alias("later")))
-    wanted = members.groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "of")
-    held = keyed.select("key", "text").join(wanted, F.col("key") == F.col("of")).select("text", "places")
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wanted = set(places)
-                found = [body for n, _, _, body in _multi(_lines(text)) if n in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b) for b in found], pa.binary()), pa.array(found, pa.binary())], names=["digest", "body"])
-
-    compared = held.mapInArrow(bodies, "digest binary, body binary").distinct()
-    equal = compared.groupBy("digest").agg(F.count("*").alias("n")).where("n = 1").select(F.col("digest").alias("equal"))
-    gone = members.where("later").join(equal, F.col("digest") == F.col("equal"))
-    return gone.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
-
-
-def _with_places(docs: DataFrame) -> DataFrame:
-    """The rows with __key and __places (null where nothing goes)."""
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    places = repeated_places(keyed.select("doc_id", "text", F.col("__key").alias("key"))).select(F.col("key").alias("__of"), F.col("places").alias("__places"))
-    return keyed.join(places, F.col("__key") == F.col("__of"), "left").drop("__of")
+        out.append(mix(rolled))
+    return out
+
+
+def _hashes(texts: list[str | None]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *line_hashes(texts)])
+
+
+def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows dealt to blocks, the packed windows to remove by block, and the names of the block and of the row's hash."""
+    text = F.col("text")
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    size, n = small_batches(docs).agg(F.sum(F.octet_length(text)), F.sum(feeds)).first()
+    shape = Shape.of(size or 0, n or 0)
+    tag, block = unused(docs, "tag"), unused(docs, "block")
+    blocks = dealt(docs.withColumn(tag, F.xxhash64("doc_id", "text")), F.struct("doc_id", "text"), shape, block)
+    buckets = max(16, -(-(size or 0) // BUCKET_BYTES))
+
+    def firsts(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
+        """The first occurrence of each window of the block, by bucket of its bytes; the block's other ones are decided."""
+        ids, tags, texts = rows.column("doc_id").to_pylist(), rows.column(tag).to_pylist(), rows.column("text").to_pylist()
+        own = line_hashes(texts)
+        repeats = may_repeat(np.concatenate([np.zeros(0, np.uint64), *own]), marks, shape)
+        ends = np.cumsum([0, *map(len, own)])
+        first: dict[bytes, tuple[int, int, int]] = {}
+        later: list[tuple[int, int, int]] = []
+        seen = set()
+        for row, (doc, t) in enumerate(zip(ids, tags, strict=True)):
+            again = repeats[ends[row] : ends[row + 1]]
+            if not again.any() or (doc, t) in seen:
+                continue
+            seen.add((doc, t))
+            again = again.tolist()
+            for place, _, _, body in _multi(_lines(texts[row])):
+                if again[place]:
+                    at = (_LEAST_ID if doc is None else doc, t, place)
+                    held = first.setdefault(body, at)
+                    if held != at:
+                        first[body] = min(held, at)
+                        later.append(max(held, at))
+        by_bucket: dict[int, list[bytes]] = {}
+        for body in first:
+            by_bucket.setdefault(xxhash.xxh3_64_intdigest(body) % buckets, []).append(body)
+        number = key[0].as_py()
+        out = [(k, _packed([first[b] for b in bodies]), _packed_bodies(bodies)) for k, bodies in by_bucket.items()]
+        if later:
+            out.append((number % buckets, _packed(later), None))
+        release()
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "block": pa.array([number] * len(out), pa.int32()), "places": pa.array([r[1] for r in out], pa.binary()), "bodies": pa.array([r[2] for r in out], pa.binary())})
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        """The windows that are not the first of their bytes."""
+        best: dict[bytes, tuple[tuple[int, int, int], int]] = {}
+        lost: dict[int, list[tuple[int, int, int]]] = {}
+        out = []
+        for block, places, bodies in zip(*(bucket.column(c).to_pylist() for c in ("block", "places", "bodies")), strict=True):
+            if bodies is None:
+                out.append((block, places))
+                continue
+            for at, body in zip(_places(places), _bodies(bodies), strict=True):
+                held = best.setdefault(body, (at, block))
+                if held[0] != at:
+                    best[body] = min(held, (at, block))
+                    worse = max(held, (at, block))
+                    lost.setdefault(worse[1], []).append(worse[0])
+        out += [(block, _packed(places)) for block, places in lost.items()]
+        release()
+        return pa.table({"block": pa.array([r[0] for r in out], pa.int32()), "places": pa.array([r[1] for r in out], pa.binary())})
+
+    marks = repeat_marks(blocks, block, shape, lambda rows: _hashes(rows.column("text").to_pylist()))
+    sent = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(firsts, "bucket long, block int, places binary, bodies binary")
+    return blocks, sent.groupBy("bucket").applyInArrow(meet, "block int, places binary"), [block, tag]
+
+
+def _packed(places: list[tuple[int, int, int]]) -> bytes:
+    """Places (document, hash of the row, first line)."""
+    doc, tag, place = zip(*places, strict=True)
+    return pack(np.array(doc, np.int64), np.array(tag, np.int64), np.array(place, np.int32))
+
+
+def _places(blob: bytes) -> list[tuple[int, int, int]]:
+    return list(zip(*(c.tolist() for c in unpack(blob, "<i8", "<i8", "<i4")), strict=True))
+
+
+def _packed_bodies(bodies: list[bytes]) -> bytes:
+    sizes = np.array([len(b) for b in bodies], "<u4")
+    return zstandard.ZstdCompressor(1).compress(np.uint32(len(sizes)).tobytes() + sizes.tobytes() + b"".join(bodies))
+
+
+def _bodies(blob: bytes) -> Iterator[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    at = 4 + 4 * n
+    for size in np.frombuffer(data, "<u4", n, 4).tolist():
+        yield data[at : at + size]
+        at += size
+
+
+def _with_removals(docs: DataFrame, make: Callable[[pa.Table, list[list[int] | None]], pa.Table], schema: str) -> DataFrame:
+    """make(rows of a block without the two helping columns, sorted first lines of the windows to remove or None of each row)."""
+    blocks, found, extra = _removals(docs)
+    block, tag = extra
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        places: dict[tuple[int, int], set[int]] = {}
+        for blob in found.column("places").to_pylist():
+            for doc, t, place in _places(blob):
+                places.setdefault((doc, t), set()).add(place)
+        keys = zip(rows.column("doc_id").to_pylist(), rows.column(tag).to_pylist(), strict=True)
+        own = [places.get((_LEAST_ID if doc is None else doc, t)) for doc, t in keys]
+        return make(rows.drop_columns(extra), [sorted(p) if p else None for p in own])
+
+    return blocks.groupBy(block).cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
 def kept_lines(text: str | None, places: list[int] | None) -> tuple[bytes, int, int]:
@@ -151,29 +212,28 @@ def repeated_chunks(docs: DataFrame, *, keep_text: bool = True) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, n_removed_chunks, kept_sha256 and, with ``keep_text``, kept_text of each row."""
     names = ["doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256"] + ["kept_text"] * keep_text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = batch.column(2).to_pylist()
-            kept = [kept_lines(t, p) for t, p in zip(batch.column(1).to_pylist(), places, strict=True)]
-            columns = [batch.column(0), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([len(p or ()) for p in places], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept], pa.string())]
-            if keep_text:
-                columns.append(pa.array([k[0].decode("utf-8", "surrogatepass") for k in kept], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def count(rows: pa.Table, places: list[list[int] | None]) -> pa.Table:
+        kept = [kept_lines(t, p) for t, p in zip(rows.column("text").to_pylist(), places, strict=True)]
+        columns = [rows.column("doc_id"), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([len(p or ()) for p in places], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept], pa.string())]
+        if keep_text:
+            columns.append(pa.array([k[0].decode("utf-8", "surrogatepass") for k in kept], pa.string()))
+        return pa.table(columns, names=names)
 
-    rows = _with_places(docs.select("doc_id", "text")).select("doc_id", "text", "__places")
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return _with_removals(docs.select("doc_id", "text"), count, "doc_id long, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """The documents with their texts shortened; one that loses every line is left out, and n_chars, if there, follows."""
 
-    @F.pandas_udf("string")
-    def shorten(text, places):
-        return text.combine(places, lambda t, p: kept_lines(t, list(p))[0].decode("utf-8", "surrogatepass"))
-
-    rows = _with_places(docs)
-    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(shorten("text", F.coalesce("__places", F.array().cast("array<int>"))))
-    rows = rows.withColumn("text", text).where("__places IS NULL OR text <> ''")
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__places").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    def shorten(rows: pa.Table, places: list[list[int] | None]) -> pa.Table:
+        texts = rows.column("text").to_pylist()
+        short = {i: kept_lines(texts[i], p)[0].decode("utf-8", "surrogatepass") for i, p in enumerate(places) if p}
+        changed = {"text": [short.get(i, t) for i, t in enumerate(texts)]}
+        if "n_chars" in rows.column_names:
+            changed["n_chars"] = [len(short[i]) if i in short else n for i, n in enumerate(rows.column("n_chars").to_pylist())]
+        for name, values in changed.items():
+            at = rows.column_names.index(name)
+            rows = rows.set_column(at, rows.schema.field(at), pa.array(values, rows.schema.field(at).type))
+        return rows.take(pa.array([i for i in range(len(texts)) if short.get(i) != ""], pa.int64()))
+
+    return _with_removals(docs, shorten, docs.schema)

@@ -1,14 +1,13 @@
 """Operator 9: repeated word windows behind a count-min prefilter.
 
-Pass one: every partition makes a count-min sketch of its windows (two rows of cells that count to two);
-the sketches are merged slice by slice. Merged counts are never too low, so a window that is estimated once
-is unique. Pass two: only windows estimated repeated are grouped exactly. Within a task a window goes to the
-shuffle once, from its smallest document; its other documents are already known to repeat a smaller one. So a
-window that a third of all rows hold costs one record a task. A record is keyed by two independent hashes
-(96 bits) of the window's words, and its bucket finds the smallest document of all.
+Pass one: every block of texts makes a count-min sketch of its windows, and the sketches are merged by range of
+cells (``sketch.py``). Pass two: only windows estimated repeated are grouped, by the 128-bit BLAKE2b digest of
+their words joined by one space. A block sends a window once, from its smallest document; its other documents
+are already known to repeat a smaller one. So a window that a third of all rows hold costs one record a block.
+A bucket of windows finds the smallest document of each.
 
-The sketch's width follows the input (``CELLS_PER_WORD``) up to ``MOST_BITS``; its merged bitmaps, at most
-2 * 2**MOST_BITS bits, are what is broadcast. Over a larger input the sketch only lets more windows pass.
+The digest is cryptographic: two windows of different words that share one cannot be made, and would not turn
+up by chance; the weaker hashes of the sketch only choose what is digested.
 
 Defined results: a null or empty text has no words and keeps the empty string; a text of fewer words than a
 window loses nothing; equal windows of one document do not remove each other, nor do rows that share a
@@ -18,310 +17,205 @@ doc_id; a null doc_id is not compared; repeated rows are returned each; other co
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, word_bounds, word_window_hashes
+from .common import release, small_batches
+from .hashing import word_bounds, word_window_hashes
+from .sketch import Shape, dealt, may_repeat, pack, repeat_marks, unpack
 
 WINDOW = 13
-ROWS, CELLS_PER_WORD, MOST_BITS, LEAST_BITS = 2, 2, 29, 20
-#: Bits of a slice of the sketch, bytes of text that a task hashes at once.
-SLICE_BITS, HASH_BYTES = 20, 1 << 20
-#: Window hashes, and records of candidates, that a task holds before it sends them on.
-HOLD_HASHES, HOLD = 4_000_000, 1_500_000
-#: Bytes of input a bucket of the exact pass.
-BUCKET_BYTES = 16 << 20
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def text_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row in the batch, first word, hash, second hash) of the windows, for groups of whole texts; column 1 is the text."""
-    texts = batch.column(1).to_pylist()
-    at = 0
-    while at < len(texts):
-        size, group = 0, []
-        first = at
-        while at < len(texts) and (not group or size < HASH_BYTES):
-            group.append((texts[at] or "").encode("utf-8", "surrogatepass"))
-            size += len(group[-1]) + 1
-            at += 1
-        data = np.frombuffer(b"\n".join(group), np.uint8)
-        starts, stops = word_bounds(data)
-        ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
-        row = np.searchsorted(ends, starts, side="right")
-        a, b = word_window_hashes(data, starts, stops, width)
-        inside = np.flatnonzero(row[: len(a)] == row[width - 1 : width - 1 + len(a)])
-        begin = np.searchsorted(row, np.arange(len(group)))
-        yield row[inside] + first, inside - begin[row[inside]], a[inside], b[inside]
-
-
-def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (h * _ODD[row]) >> np.uint64(64 - bits)
-
-
-def _bitmap(cell: np.ndarray, size: int) -> np.ndarray:
-    flags = np.zeros(size, bool)
-    flags[cell] = True
-    return np.packbits(flags, bitorder="little")
-
-
-def sketch_slices(docs: DataFrame, bits: int, width: int, windows: Callable = text_windows) -> DataFrame:
-    """slice (row and part of it), once and twice (bitmaps of cells counted at least so often) of each partition's sketch."""
-    part = min(bits, SLICE_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(1).compress
-
-        def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held)
-            for row in range(ROWS):
-                cell = np.sort(cells(h, row, bits))
-                again = np.concatenate([[False], cell[1:] == cell[:-1]])
-                bounds = np.searchsorted(cell, np.arange((1 << bits >> part) + 1, dtype=np.uint64) << np.uint64(part))
-                local = (cell & np.uint64((1 << part) - 1)).astype(np.int64)
-                for k in np.flatnonzero(np.diff(bounds)):
-                    s = slice(bounds[k], bounds[k + 1])
-                    blobs = [pack(_bitmap(c, 1 << part)) for c in (local[s], local[s][again[s]])]
-                    yield pa.RecordBatch.from_arrays([pa.array([(row << 32) + int(k)], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs]], names=["slice", "once", "twice"])
-
-        held, n = [], 0
-        for batch in batches:
-            for _, _, h, _ in windows(batch, width):
-                held.append(h)
-                n += len(h)
-                if n > HOLD_HASHES:
-                    yield from flush(held)
-                    held, n = [], 0
-        if n:
-            yield from flush(held)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "slice long, once binary, twice binary")
-
-
-def merged_sketch(sketches: DataFrame) -> DataFrame:
-    """slice and the bitmap of its cells that are counted twice or more over all partitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(1).compress
-        at, once, twice = None, None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pack(twice)], pa.binary())], names=["slice", "twice"])
-
-        for batch in batches:
-            for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.frombuffer(unpack(x), np.uint8) for x in (a, b))
-                if s != at:
-                    if at is not None:
-                        yield done()
-                    at, once, twice = s, a.copy(), b.copy()
-                else:
-                    twice |= b | (once & a)
-                    once |= a
-        if at is not None:
-            yield done()
-
-    return sketches.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice long, twice binary")
-
-
-class RepeatFilter:
-    """Estimates from the merged sketch: whether a window may occur twice."""
-
-    def __init__(self, bits: int, slices: list[tuple[int, bytes]]):
-        self.bits = bits
-        part = min(bits, SLICE_BITS)
-        self.maps = np.zeros((ROWS, 1 << bits >> 3), np.uint8)
-        unpack = zstandard.ZstdDecompressor().decompress
-        step = 1 << part >> 3
-        for s, blob in slices:
-            row, k = s >> 32, s & 0xFFFFFFFF
-            self.maps[row, k * step : (k + 1) * step] = np.frombuffer(unpack(blob), np.uint8)
-
-    def may_repeat(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for row in range(ROWS):
-            cell = cells(h, row, self.bits)
-            out &= (self.maps[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return out
-
-
-_PLACE = [("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4")]
-_RECORD = [("h", "<u8"), ("g", "<u4"), *_PLACE]
-
-
-def _columns(records: np.ndarray) -> bytes:
-    """Records column by column, so that ids and places compress."""
-    pack = zstandard.ZstdCompressor(1).compress
-    body = b"".join(np.ascontiguousarray(np.diff(records[n], prepend=records.dtype[n].type(0)) if n in ("doc", "pos") else records[n]).tobytes() for n in records.dtype.names)
-    return pack(body)
-
-
-def _records(blob: bytes, fields: list[tuple[str, str]] = _RECORD) -> np.ndarray:
-    body = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(body) // np.dtype(fields).itemsize
-    out, at = np.empty(n, fields), 0
-    for name, kind in fields:
-        size = n * np.dtype(kind).itemsize
-        column = np.frombuffer(body[at : at + size], kind)
+#: Bytes of text that are hashed at once, and of input a bucket of the exact pass.
+HASH_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20
+_FIELDS = [("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4")]
+_PLACE = _FIELDS[2:]
+
+
+#: Bytes with A-Z in lower case, and as they are.
+_LOWER, _SAME = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), bytes(range(256))
+
+
+class Words:
+    """The words of some whole texts, parted by one space, a line for each text; with ``lower``, A-Z in lower case."""
+
+    def __init__(self, texts: list[str | None], width: int, lower: bool = False):
+        case = _LOWER if lower else _SAME
+        lines = [b" ".join((t or "").encode("utf-8", "surrogatepass").translate(case).split()) for t in texts]
+        self.data = b"\n".join(lines)
+        data = np.frombuffer(self.data, np.uint8)
+        self.starts, self.stops = word_bounds(data)
+        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+        row = np.searchsorted(ends, self.starts, side="right")
+        h = word_window_hashes(data, self.starts, self.stops, width)
+        #: the windows that lie in one text: number of their first word here, row, number in the text, hash
+        self.at = np.flatnonzero(row[: len(h)] == row[width - 1 : width - 1 + len(h)])
+        self.row, self.hashes = row[self.at], h[self.at]
+        self.pos = self.at - np.searchsorted(row, np.arange(len(lines)))[self.row]
+        self.width = width
+
+    def names(self) -> np.ndarray:
+        """64 bits of the bytes of each window."""
+        data, digest = self.data, xxhash.xxh3_64_intdigest
+        a, b = self.starts[self.at].tolist(), self.stops[self.at + self.width - 1].tolist()
+        return np.fromiter((digest(data[i:j]) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        """128 bits of the bytes of the windows."""
+        data, new = self.data, hashlib.blake2b
+        a, b = self.starts[self.at[which]].tolist(), self.stops[self.at[which] + self.width - 1].tolist()
+        return np.frombuffer(b"".join([new(data[i:j], digest_size=16).digest() for i, j in zip(a, b, strict=True)]), "<u8").reshape(-1, 2)
+
+
+def text_groups(texts: pa.ChunkedArray, width: int, lower: bool = False) -> Iterator[tuple[int, Words]]:
+    """(number of the first text, windows) of groups of whole texts of about ``HASH_BYTES``."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts.to_pylist()):
+        if held and size >= HASH_BYTES:
+            yield first, Words(held, width, lower)
+            held, size, first = [], 0, i
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield first, Words(held, width, lower)
+
+
+def window_hashes(texts: pa.ChunkedArray, width: int, lower: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[w.hashes for _, w in text_groups(texts, width, lower)]])
+
+
+def _packed(r: np.ndarray) -> bytes:
+    return pack(*[np.diff(r[n], prepend=r.dtype[n].type(0)) if n in ("doc", "pos") else r[n] for n in r.dtype.names])
+
+
+def _records(blob: bytes, fields: list[tuple[str, str]]) -> np.ndarray:
+    columns = unpack(blob, *[k for _, k in fields])
+    out = np.empty(len(columns[0]), fields)
+    for (name, kind), column in zip(fields, columns, strict=True):
         out[name] = np.cumsum(column, dtype=kind) if name in ("doc", "pos") else column
-        at += size
     return out
 
 
 def _split_smallest(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records of the smallest document of each window, and the others."""
-    order = np.lexsort((r["doc"], r["g"], r["h"]))
-    r = r[order]
+    """Places (in the records) of the smallest document of each window, and of the others."""
+    order = np.lexsort((r["doc"], r["b"], r["a"]))
+    a, b, doc = r["a"][order], r["b"][order], r["doc"][order]
     new = np.ones(len(r), bool)
-    new[1:] = (r["h"][1:] != r["h"][:-1]) | (r["g"][1:] != r["g"][:-1])
-    least = r["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    same = r["doc"] == least
-    return r[same], r[~same]
-
-
-def _removed_rows(r: np.ndarray) -> pa.RecordBatch:
-    """doc_id, tag and places (binary) of the records, a row for each document."""
-    r = r[np.lexsort((r["pos"], r["tag"], r["doc"]))]
-    cut = np.flatnonzero((np.diff(r["doc"]) != 0) | (np.diff(r["tag"]) != 0)) + 1 if len(r) else np.zeros(0, np.int64)
-    starts = np.concatenate([[0], cut]).astype(np.int64) if len(r) else cut
-    places = np.ascontiguousarray(r["pos"]).tobytes()
-    offsets = np.concatenate([starts, [len(r)]]).astype(np.int32) * 4
-    blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(places)])
-    return pa.RecordBatch.from_arrays([pa.array(r["doc"][starts]), pa.array(r["tag"][starts]), blobs], names=["doc_id", "tag", "places"])
-
-
-def repeated_windows(docs: DataFrame, *, width: int = WINDOW) -> DataFrame:
-    """doc_id, tag (of the text) and places (packed 32-bit first words) of windows that a smaller document also has."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(1, CELLS_PER_WORD * size // 6)
-    bits = min(MOST_BITS, max(LEAST_BITS, int(wanted - 1).bit_length()))
-    buckets = max(64, -(-size // BUCKET_BYTES))
-    slices = [(r[0], bytes(r[1])) for r in merged_sketch(sketch_slices(docs, bits, width)).collect()]
-    shared = spark.sparkContext.broadcast(slices)
-    cache: list[RepeatFilter] = []
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.append(RepeatFilter(bits, shared.value))
-
-        def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            smallest, others = _split_smallest(np.concatenate(held))
-            bucket = (smallest["h"] % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((smallest["pos"], smallest["doc"], bucket))
-            smallest, bucket = smallest[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(bounds)):
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([_columns(smallest[bounds[k] : bounds[k + 1]])], pa.binary()), pa.array([False])], names=["bucket", "records", "decided"])
-            others = others[np.lexsort((others["pos"], others["doc"]))]
-            for at in range(0, len(others), 200_000):
-                part = others[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array([int(part["h"][0] % np.uint64(buckets))], pa.int64()), pa.array([_columns(part)], pa.binary()), pa.array([True])], names=["bucket", "records", "decided"])
-
-        held, n = [], 0
-        for batch in batches:
-            ids, tags = batch.column(0), batch.column(2).to_numpy()
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for row, word, h, g in text_windows(batch, width):
-                keep = np.flatnonzero(cache[0].may_repeat(h) & known[row])
-                r = np.empty(len(keep), _RECORD)
-                r["h"], r["g"], r["doc"], r["tag"], r["pos"] = h[keep], (g[keep] >> np.uint64(32)).astype(np.uint32), ids[row[keep]], tags[row[keep]], word[keep]
-                held.append(r)
-                n += len(r)
-                if n > HOLD:
-                    yield from flush(held)
-                    held, n = [], 0
-        if n:
-            yield from flush(held)
-
-    def packed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Removed windows, packed by bucket of their document: far fewer rows than a row for each document and task."""
-        r = np.concatenate(found)[[n for n, _ in _PLACE]]
-        bucket = (mix(r["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((r["pos"], r["tag"], r["doc"], bucket))
-        r, bucket = r[order], bucket[order]
-        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(bounds)).tolist()
-        for at in range(0, len(full), 64):
-            some = full[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_columns(r[bounds[k] : bounds[k + 1]]) for k in some], pa.binary())], names=["bucket", "removed"])
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out, n = None, [], [], 0
-        for batch in batches:
-            for bucket, blob, decided in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != at:
-                    if held:
-                        out.append(_split_smallest(np.concatenate(held))[1])
-                        n += len(out[-1])
-                    at, held = bucket, []
-                if decided:
-                    out.append(_records(blob))
-                    n += len(out[-1])
-                else:
-                    held.append(_records(blob))
-                if n > HOLD:
-                    yield from packed(out)
-                    out, n = [], 0
-        if held:
-            out.append(_split_smallest(np.concatenate(held))[1])
-        if out:
-            yield from packed(out)
-
-    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != at and held:
-                    yield _removed_rows(np.concatenate(held))
-                    held = []
-                at = bucket
-                held.append(_records(blob, _PLACE))
-        if held:
-            yield _removed_rows(np.concatenate(held))
-
-    tagged = docs.select("doc_id", "text", text_tag().alias("tag"))
-    dealt = tagged.mapInArrow(candidates, "bucket long, records binary, decided boolean").repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(exact, "bucket long, removed binary").repartition("bucket").sortWithinPartitions("bucket")
-    return found.mapInArrow(by_document, "doc_id long, tag int, places binary")
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    same = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(r) else new
+    return order[same], order[~same]
 
 
 def text_tag() -> F.Column:
     return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
 
 
+def _dealt(docs: DataFrame, width: int) -> tuple[DataFrame, Shape]:
+    """doc_id, text, tag and block of each row, and the sketch's sizes."""
+    size = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shape = Shape.of(size, size // 6)
+    rows = docs.select("doc_id", "text", text_tag().alias("tag"))
+    return dealt(rows, F.struct("doc_id", "text"), shape, "block"), shape
+
+
+def repeated_windows(texts: DataFrame, shape: Shape, *, width: int = WINDOW) -> DataFrame:
+    """block and places (packed document, tag and first word) of windows that a smaller document also has."""
+    buckets = max(16, shape.blocks * (8 << 20) // BUCKET_BYTES)
+
+    def candidates(key: tuple, block: pa.Table, marks: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        ids, tags = block.column("doc_id").combine_chunks(), block.column("tag").to_numpy()
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        groups = list(text_groups(block.column("text"), width))
+        repeats = may_repeat(np.concatenate([np.zeros(0, np.uint64), *[w.hashes for _, w in groups]]), marks, shape)
+        found, at = [], 0
+        for first, w in groups:
+            own = repeats[at : at + len(w.hashes)] & known[w.row + first]
+            at += len(w.hashes)
+            which = np.flatnonzero(own)
+            r = np.empty(len(which), _FIELDS)
+            row = w.row[which] + first
+            digest = w.digests(which)
+            r["a"], r["b"], r["doc"], r["tag"], r["pos"] = digest[:, 0], digest[:, 1], ids[row], tags[row], w.pos[which]
+            found.append(r)
+        r = np.concatenate([np.zeros(0, _FIELDS), *found])
+        smallest, others = (r[x] for x in _split_smallest(r))
+        bucket = (smallest["a"] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((smallest["pos"], smallest["doc"], bucket))
+        smallest = smallest[order]
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        blobs = [_packed(smallest[bounds[k] : bounds[k + 1]]) for k in full]
+        decided = []
+        if len(others):
+            others = others[np.lexsort((others["pos"], others["doc"]))]
+            full.append(number % buckets)
+            decided = [_packed(others[[n for n, _ in _PLACE]])]
+        release()
+        return pa.table({"bucket": pa.array(full, pa.int64()), "block": pa.array([number] * len(full), pa.int32()), "records": pa.array([*blobs, *[None] * len(decided)], pa.binary()), "decided": pa.array([*[None] * len(blobs), *decided], pa.binary())})
+
+    def exact(bucket: pa.Table) -> pa.Table:
+        blocks, places = [], []
+        held, of = [], []
+        for block, records, decided in zip(*(bucket.column(c).to_pylist() for c in ("block", "records", "decided")), strict=True):
+            if decided is not None:
+                blocks.append(block)
+                places.append(decided)
+            else:
+                held.append(_records(records, _FIELDS))
+                of.append(np.full(len(held[-1]), block, np.int64))
+        if held:
+            r, of = np.concatenate(held), np.concatenate(of)
+            others = _split_smallest(r)[1]
+            r, of = r[others][[n for n, _ in _PLACE]], of[others]
+            order = np.lexsort((r["pos"], r["tag"], r["doc"], of))
+            r, of = r[order], of[order]
+            bounds = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+            for a, b in pairwise(bounds):
+                blocks.append(int(of[a]))
+                places.append(_packed(r[a:b]))
+        release()
+        return pa.table({"block": pa.array(blocks, pa.int32()), "places": pa.array(places, pa.binary())})
+
+    marks = repeat_marks(texts, "block", shape, lambda block: window_hashes(block.column("text"), width))
+    sent = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(candidates, "bucket long, block int, records binary, decided binary")
+    return sent.groupBy("bucket").applyInArrow(exact, "block int, places binary")
+
+
 def remove_repeats(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept_text of each row."""
-    found = repeated_windows(docs, width=width).select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "places")
-    rows = docs.select("doc_id", "text", text_tag().alias("tag"))
-    joined = rows.join(found, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "places")
+    texts, shape = _dealt(docs, width)
+    found = repeated_windows(texts, shape, width=width)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names[1:]}
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                out["n_words"].append(len(words))
-                if places:
-                    first = np.frombuffer(places, "<i4")
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + width, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(keep).tolist()]
-                kept = b" ".join(words)
-                out["n_removed"].append(out["n_words"][-1] - len(words))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    out["kept_text"].append(kept.decode("utf-8", "surrogatepass"))
-            kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[n], kinds[n]) for n in names[1:]]], names=names)
-
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+
+    def remove(block: pa.Table, found: pa.Table) -> pa.Table:
+        r = np.concatenate([np.zeros(0, _PLACE), *[_records(b, _PLACE) for b in found.column("places").to_pylist()]])
+        r = r[np.lexsort((r["tag"], r["doc"]))]
+        cuts = np.flatnonzero((np.diff(r["doc"]) != 0) | (np.diff(r["tag"]) != 0)) + 1
+        bounds = [0, *cuts.tolist(), len(r)] if len(r) else [0]
+        places = {(int(r["doc"][a]), int(r["tag"][a])): r["pos"][a:b] for a, b in pairwise(bounds)}
+        out: dict[str, list] = {n: [] for n in names[1:]}
+        for doc, tag, text in zip(*(block.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            out["n_words"].append(len(words))
+            first = places.get((doc, tag))
+            if first is not None:
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + width, -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+            kept = b" ".join(words)
+            out["n_removed"].append(out["n_words"][-1] - len(words))
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            if keep_text:
+                out["kept_text"].append(kept.decode("utf-8", "surrogatepass"))
+        return pa.table([block.column("doc_id"), *[pa.array(out[n], kinds[n]) for n in names[1:]]], names=names)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, schema)
