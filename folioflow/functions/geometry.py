@@ -59,3 +59,32 @@ def to_display_point(x: Column, y: Column, width: Column, height: Column, rotati
 def decompose(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     """Scales along both axes and the clockwise angle in degrees of a matrix."""
     return {"scale_x": F.hypot(a, b), "scale_y": F.hypot(c, d), "angle": F.pmod(F.degrees(F.atan2(-b, a)), F.lit(360.0))}
+
+
+def to_content_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, rotation: Column) -> dict[str, Column]:
+    """The box around a shown box's corners in the page's own frame (y down)."""
+    corners = [to_content_point(a, b, width, height, rotation) for a in (x, x + w) for b in (y, y + h)]
+    return box([c[0] for c in corners], [c[1] for c in corners])
+
+
+def to_display_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, rotation: Column) -> dict[str, Column]:
+    """The inverse of :func:`to_content_box`."""
+    corners = [to_display_point(a, b, width, height, rotation) for a in (x, x + w) for b in (y, y + h)]
+    return box([c[0] for c in corners], [c[1] for c in corners])
+
+
+def flipped(b: dict[str, Column], height: Column) -> dict[str, Column]:
+    """A box with y down as one with y up, and the other way round."""
+    return {"bx0": b["bx0"], "by0": height - b["by1"], "bx1": b["bx1"], "by1": height - b["by0"]}
+
+
+def clamped(b: dict[str, Column], width: Column, height: Column) -> dict[str, Column]:
+    """The part of a box that is on the page."""
+    held = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most)
+    return {k: held(v, width if "x" in k else height) for k, v in b.items()}
+
+
+def multiplied(m: list[Column], n: list[Column]) -> list[Column]:
+    """The matrix (a-f) that applies n first, then m."""
+    a, b, c, d, e, f = m
+    return [a * n[0] + c * n[1], b * n[0] + d * n[1], a * n[2] + c * n[3], b * n[2] + d * n[3], a * n[4] + c * n[5] + e, b * n[4] + d * n[5] + f]

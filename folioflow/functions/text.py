@@ -11,7 +11,6 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 #: Bullets that begin a list item.
 BULLETS = "•‣◦⁃∙▪●■–-"
-ROMAN = r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 
 
 def fold_ligatures(c: Column) -> Column:
@@ -90,7 +89,7 @@ def list_prefix(c: Column) -> Column:
     kind = (
         F.when(c.rlike(rf"^\s*[{BULLETS}]\s+"), "bullet")
         .when(inner.rlike("^[0-9]+$"), "decimal")
-        .when(paren & (F.char_length(inner) > 1) & F.lower(inner).rlike(f"^{ROMAN}$"), "roman")
+        .when(paren & (F.char_length(inner) > 1) & is_roman(F.lower(inner)), "roman")
         .when(paren & inner.rlike("^[a-z]$"), "lower")
         .when(paren & inner.rlike("^[A-Z]$"), "upper")
     )
@@ -98,18 +97,27 @@ def list_prefix(c: Column) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Lower-case roman numeral of a positive integer below 4000."""
-    out = F.lit("")
-    for unit, one, five, ten in ((1000, "m", "", ""), (100, "c", "d", "m"), (10, "x", "l", "c"), (1, "i", "v", "x")):
-        d = F.pmod(F.floor(n / unit), F.lit(10))
-        pick = F.lit("")
-        for k, s in enumerate(("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)):
-            pick = F.when(d == k, s).otherwise(pick)
-        out = F.concat(out, pick)
-    return out
+    """Lower-case roman numeral of a positive integer; thousands are repeated as often as it takes."""
+    digit = lambda unit, one, five, ten: F.get(F.array(*[F.lit(s) for s in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), F.pmod(F.floor(n / unit), F.lit(10)).cast("int"))
+    return F.concat(F.repeat(F.lit("m"), F.floor(n / 1000).cast("int")), digit(100, "c", "d", "m"), digit(10, "x", "l", "c"), digit(1, "i", "v", "x"))
+
+
+def is_roman(c: Column) -> Column:
+    """Whether lower-case letters are the numeral of their own value, below 4000."""
+    value = F.create_map(*[F.lit(x) for pair in (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000)) for x in pair])
+    # from the right: a letter that is worth less than the one after it counts against it
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
+    total = F.aggregate(F.reverse(F.split(c, "")), zero, lambda s, ch: F.struct((s["sum"] + F.when(F.coalesce(value[ch], F.lit(0)) < s["last"], -1).otherwise(1) * F.coalesce(value[ch], F.lit(0))).alias("sum"), F.coalesce(value[ch], F.lit(0)).alias("last")), lambda s: s["sum"])
+    return F.when(c.rlike("^[ivxlcdm]{1,15}$"), total.between(1, 3999) & (roman(total) == c)).otherwise(False)
 
 
 def letters_of(n: Column) -> Column:
-    """a, b, ... z, aa, ab, ... of a positive integer up to 702."""
-    char = lambda k: F.char(97 + k)
-    return F.when(n <= 26, char(n - 1)).otherwise(F.concat(char(F.floor((n - 27) / 26).cast("int")), char(F.pmod(n - 27, F.lit(26)).cast("int"))))
+    """a, b, ... z, aa, ab, ... of a positive integer."""
+    zero = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = s["left"] > 0
+        return F.struct(F.when(more, F.floor((s["left"] - 1) / 26)).otherwise(s["left"]).alias("left"), F.when(more, F.concat(F.char(97 + F.pmod(s["left"] - 1, F.lit(26)).cast("int")), s["out"])).otherwise(s["out"]).alias("out"))
+
+    # fourteen letters hold every long
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), zero, step, lambda s: s["out"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.lineage import written
 from folioflow.functions.text import ARABIC, allowed_scheme, encode_link, letters_of, list_prefix, roman
 
 
@@ -96,26 +97,33 @@ def resolve_anchors(paras: DataFrame, targets: DataFrame) -> DataFrame:
     return hit.join(named.select("doc_id", "ord", "bookmark"), ["doc_id", "ord"])
 
 
-def flatten_outline(nodes: DataFrame, *, depth: int = 12) -> DataFrame:
+def by_level(roots: DataFrame, nodes: DataFrame, step: dict[str, Column]) -> DataFrame:
+    """The roots and, level by level, the nodes under them: each level joins only the one above and is written to the checkpoint folder.
+
+    ``step`` gives the columns of a node from its own and its parent's (up_...). Rows that no root leads to, cycles among them, are left out.
+    """
+    nodes = written(nodes.where("parent_id IS NOT NULL"))
+    level = seen = written(roots)
+    while not level.isEmpty():
+        up = level.select([F.col(c).alias(f"up_{c}") for c in level.columns])
+        level = written(nodes.join(up, (F.col("doc_id") == F.col("up_doc_id")) & (F.col("parent_id") == F.col("up_node_id"))).select("doc_id", "node_id", *[e.alias(c) for c, e in step.items()]))
+        seen = seen.unionByName(level)
+    return seen
+
+
+def flatten_outline(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, level, title, path: a tree (node_id, parent_id, ord, title) in preorder by path; blank titles are left out, their children stay."""
-    nodes.createOrReplaceTempView("__outline_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE tree(doc_id, node_id, title, level, path) MAX RECURSION LEVEL {depth} AS (
-          SELECT doc_id, node_id, title, 1, lpad(cast(ord AS string), 8, '0') FROM __outline_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.doc_id, n.node_id, n.title, t.level + 1, concat(t.path, '.', lpad(cast(n.ord AS string), 8, '0')) FROM __outline_nodes n JOIN tree t ON n.doc_id = t.doc_id AND n.parent_id = t.node_id)
-        SELECT * FROM tree WHERE trim(title) <> ''""")
+    own = F.lpad(F.col("ord").cast("string"), 8, "0")
+    roots = nodes.where("parent_id IS NULL").select("doc_id", "node_id", "title", F.lit(1).alias("level"), own.alias("path"))
+    tree = by_level(roots, nodes, {"title": F.col("title"), "level": F.col("up_level") + 1, "path": F.concat("up_path", F.lit("."), own)})
+    return tree.where(F.trim("title") != "")
 
 
-def flatten_fields(nodes: DataFrame, *, depth: int = 12) -> DataFrame:
+def flatten_fields(nodes: DataFrame) -> DataFrame:
     """doc_id, name, value: dotted names of nested fields (node_id, parent_id, part, value) that have a value."""
-    nodes.createOrReplaceTempView("__field_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE tree(doc_id, node_id, name, value) MAX RECURSION LEVEL {depth} AS (
-          SELECT doc_id, node_id, part, value FROM __field_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.doc_id, n.node_id, concat_ws('.', t.name, n.part), n.value FROM __field_nodes n JOIN tree t ON n.doc_id = t.doc_id AND n.parent_id = t.node_id)
-        SELECT doc_id, name, value FROM tree WHERE value IS NOT NULL""")
+    roots = nodes.where("parent_id IS NULL").select("doc_id", "node_id", F.col("part").alias("name"), "value")
+    tree = by_level(roots, nodes, {"name": F.concat_ws(".", "up_name", "part"), "value": F.col("value")})
+    return tree.where("value IS NOT NULL").select("doc_id", "name", "value")
 
 
 def render_text(blocks: DataFrame) -> DataFrame:

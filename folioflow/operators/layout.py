@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.lineage import written
 from folioflow.functions.text import fold_ligatures, list_prefix
 
 PAGE = ["doc_id", "page"]
@@ -82,53 +83,83 @@ def join_colors(items: DataFrame, colors: DataFrame) -> DataFrame:
     return items.join(c, (F.col("doc_id") == F.col("c_doc")) & (F.col("page") == F.col("c_page")) & (F.floor(F.col("x") + 0.5) == F.col("kx")) & (F.floor(F.col("y") + 0.5) == F.col("ky")), "left").drop("c_doc", "c_page", "kx", "ky")
 
 
-_START = "array<struct<down:double,x:double,seq:bigint>>"
+def _page_rows(items: DataFrame, extra: list[str]) -> DataFrame:
+    """doc_id, page and rows: a page's items from the top, left to right, as <down, x, seq, size and what else is wanted>."""
+    row = F.struct((-F.col("y")).alias("down"), "x", "seq", "size", *[c for c in extra if c not in ("x", "seq", "size")])
+    return items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def _lines_from_starts(items: DataFrame, zero: Column, step) -> DataFrame:
-    """doc_id, page, line, seq by a fold over a page's items from the top, left to right.
+def _numbered(extra: list[str], line_of) -> Column:
+    """The rows with line (line_of of a row); meant for the end of a fold, whose state stands for what is computed once a page."""
+    return F.transform("rows", lambda r: F.struct(line_of(r).alias("line"), r["seq"].alias("seq"), (-r["down"]).alias("y"), *[r[c].alias(c) for c in extra if c not in ("seq", "y")]))
 
-    The fold keeps where lines start and nothing for each item; an item's line is the number of starts up to it.
-    """
-    order = F.struct((-F.col("y")).alias("down"), F.col("x").alias("x"), F.col("seq").alias("seq"))
-    rows = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), F.col("size").alias("size")))).alias("rows"))
-    starts = rows.select(*PAGE, F.aggregate("rows", zero, step, lambda s: s["starts"]).alias("starts"))
-    line = F.size(F.filter("starts", lambda s: s <= order)) - 1
-    return items.join(starts, PAGE).select(*PAGE, line.alias("line"), "seq")
 
+def with_baselines(items: DataFrame, extra: list[str], *, tol: float = 3.0) -> DataFrame:
+    """doc_id, page, line, seq, y and the columns ``extra``: from the top, an item joins the line whose first baseline is within ``tol`` of its own.
 
-def cluster_baselines(items: DataFrame, *, tol: float = 3.0) -> DataFrame:
-    """doc_id, page, line, seq: from the top, an item joins the line whose first baseline is within ``tol`` of its own."""
-    zero = F.expr(f"named_struct('head', cast(null as double), 'starts', cast(array() as {_START}))")
+    An item's line depends on its baseline alone, so the fold runs over a page's distinct baselines.
+    """
+    zero = F.expr("named_struct('head', cast(null as double), 'downs', cast(array() as array<double>), 'lines', cast(array() as array<int>))")
 
-    def step(s: Column, i: Column) -> Column:
-        same = F.coalesce(F.abs(i["at"]["down"] - s["head"]) <= tol, F.lit(False))
-        return F.struct(F.when(same, s["head"]).otherwise(i["at"]["down"]).alias("head"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(i["at"]))).alias("starts"))
+    def step(s: Column, down: Column) -> Column:
+        same = F.coalesce(down - s["head"] <= tol, F.lit(False))
+        last = F.coalesce(F.try_element_at(s["lines"], F.lit(-1)), F.lit(-1))
+        return F.struct(F.when(same, s["head"]).otherwise(down).alias("head"), F.concat(s["downs"], F.array(down)).alias("downs"), F.concat(s["lines"], F.array(F.when(same, last).otherwise(last + 1))).alias("lines"))
 
-    return _lines_from_starts(items, zero, step)
+    downs = F.array_distinct(F.transform("rows", lambda r: r["down"]))
+    made = F.aggregate(downs, zero, step, lambda s: _numbered(extra, lambda r: F.get(s["lines"], (F.array_position(s["downs"], r["down"]) - 1).cast("int"))))
+    return _page_rows(items, extra).select(*PAGE, F.inline(made))
 
 
-def cluster_lines(items: DataFrame) -> DataFrame:
-    """doc_id, page, line, seq: as :func:`cluster_baselines`, with tolerances in proportion to size and a reference that moves to the largest word."""
-    zero = F.expr(f"named_struct('ref', cast(null as double), 'big', cast(0 as double), 'starts', cast(array() as {_START}))")
+def with_lines(items: DataFrame, extra: list[str]) -> DataFrame:
+    """As :func:`with_baselines`, with tolerances in proportion to size and a reference that moves to the largest word.
+
+    The fold keeps where lines start and nothing for each item; an item's line is the number of starts up to it.
+    """
+    start = "array<struct<down:double,x:double,seq:bigint>>"
+    zero = F.expr(f"named_struct('ref', cast(null as double), 'big', cast(0 as double), 'starts', cast(array() as {start}))")
+    place = lambda r: F.struct(r["down"].alias("down"), r["x"].alias("x"), r["seq"].alias("seq"))
 
     def step(s: Column, i: Column) -> Column:
-        down = i["at"]["down"]
+        down = i["down"]
         small, gap = F.least(s["big"], i["size"]), F.abs(down - s["ref"])
         overlap = F.least(-s["ref"] + s["big"], -down + i["size"]) - F.greatest(-s["ref"], -down)
         close = (gap <= 0.5 * small) | ((small < 0.85 * F.greatest(s["big"], i["size"])) & (overlap > 0.3 * small))
         same = s["ref"].isNotNull() & F.coalesce(close, F.lit(False))
         larger = ~same | (i["size"] > s["big"])
-        return F.struct(F.when(larger, down).otherwise(s["ref"]).alias("ref"), F.when(larger, i["size"]).otherwise(s["big"]).alias("big"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(i["at"]))).alias("starts"))
+        return F.struct(F.when(larger, down).otherwise(s["ref"]).alias("ref"), F.when(larger, i["size"]).otherwise(s["big"]).alias("big"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(place(i)))).alias("starts"))
 
-    return _lines_from_starts(items, zero, step)
+    made = F.aggregate("rows", zero, step, lambda s: _numbered(extra, lambda r: F.size(F.filter(s["starts"], lambda t: t <= place(r))) - 1))
+    return _page_rows(items, extra).select(*PAGE, F.inline(made))
 
 
-def line_texts(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, page, line, y, size, x0, x1, text of each line: words from left to right, joined by a space."""
-    j = items.join(lines, [*PAGE, "seq"])
+def cluster_baselines(items: DataFrame, *, tol: float = 3.0) -> DataFrame:
+    """doc_id, page, line, seq: see :func:`with_baselines`."""
+    return with_baselines(items, [], tol=tol).select(*PAGE, "line", "seq")
+
+
+def cluster_lines(items: DataFrame) -> DataFrame:
+    """doc_id, page, line, seq: see :func:`with_lines`."""
+    return with_lines(items, []).select(*PAGE, "line", "seq")
+
+
+def joined_lines(lined: DataFrame) -> DataFrame:
+    """doc_id, page, line, y, size, x0, x1, text of items that have their line (x, w, size, seq, str): words from left to right, joined by a space."""
     words = F.array_sort(F.collect_list(F.struct("x", "seq", "str")))
-    return j.groupBy(*PAGE, "line").agg(F.max("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.array_join(F.transform(words, lambda i: i["str"]), " ").alias("text"))
+    return lined.groupBy(*PAGE, "line").agg(F.max("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.array_join(F.transform(words, lambda i: i["str"]), " ").alias("text"))
+
+
+LINE_COLUMNS = ["x", "w", "size", "str"]
+
+
+def baseline_texts(items: DataFrame) -> DataFrame:
+    """The lines of :func:`with_baselines`, read once."""
+    return joined_lines(with_baselines(items, LINE_COLUMNS))
+
+
+def line_texts(items: DataFrame, lines: DataFrame) -> DataFrame:
+    """As :func:`joined_lines`, with the items' lines in a table of their own."""
+    return joined_lines(items.join(lines, [*PAGE, "seq"]))
 
 
 def whitespace_bands(items: DataFrame, *, least: float = 6.0) -> DataFrame:
@@ -138,26 +169,69 @@ def whitespace_bands(items: DataFrame, *, least: float = 6.0) -> DataFrame:
     return reach.where(F.col("x1") - F.col("x0") >= least).select(*PAGE, "x0", "x1")
 
 
-def column_cut(items: DataFrame, pages: DataFrame, *, bin_width: float = 2.0) -> DataFrame:
-    """doc_id, page, cut: the middle of the free run of x bins nearest to the middle, in the inner 20-80 % of the page."""
-    narrow = items.join(pages.select(*PAGE, "page_width"), PAGE)
-    bins = F.sequence(F.floor(F.col("x") / bin_width).cast("int"), F.ceil((F.col("x") + F.col("w")) / bin_width).cast("int"))
-    used = narrow.select(*PAGE, "page_width", F.explode(bins).alias("bin")).distinct()
-    enough = narrow.groupBy(*PAGE).agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("y") + 0.5)).alias("rows"), F.min("x").alias("low"), F.max(F.col("x") + F.col("w")).alias("high"), F.max("page_width").alias("page_width")).where("n >= 4 AND rows >= 2")
-    grid = enough.select(*PAGE, "low", "high", "page_width", F.explode(F.sequence(F.floor(0.2 * F.col("page_width") / bin_width).cast("int"), F.floor(0.8 * F.col("page_width") / bin_width).cast("int"))).alias("bin"))
-    free = grid.join(used.select(*PAGE, "bin"), [*PAGE, "bin"], "left_anti")
-    run = free.withColumn("run", F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin")))
-    runs = run.groupBy(*PAGE, "page_width", "low", "high", "run").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"))
-    runs = runs.select(*PAGE, "page_width", (F.col("b0") * bin_width).alias("g0"), ((F.col("b1") + 1) * bin_width).alias("g1"), "low", "high")
-    wide = runs.where((F.col("g1") - F.col("g0") >= F.least(0.05 * F.col("page_width"), F.lit(10.0))) & (F.col("g0") > F.col("low")) & (F.col("g1") < F.col("high")))
+def column_cut(items: DataFrame, pages: DataFrame, *, bin_width: float = 2.0, keys: list[str] = PAGE) -> DataFrame:
+    """keys, cut: the middle of the free run of x bins nearest to the middle, in the inner 20-80 % of the page.
+
+    Items with the same first and last bin count once; a free run is what lies between the furthest bin so far
+    and the next first one. ``keys`` may part a page further (bounds lo and hi in the items then replace 0 and
+    the page's width).
+    """
+    lo, hi = (F.col("lo"), F.col("hi")) if "lo" in items.columns else (F.lit(0.0), F.col("page_width"))
+    held = items.join(pages.select(*PAGE, "page_width"), PAGE)
+    row = F.floor(F.col("y") + 0.5)
+    bins = held.groupBy(*keys, F.floor(F.col("x") / bin_width).alias("b0"), F.ceil((F.col("x") + F.col("w")) / bin_width).alias("b1")).agg(
+        F.count("*").alias("n"), F.min(row).alias("r0"), F.max(row).alias("r1"), F.min("x").alias("low"), F.max(F.col("x") + F.col("w")).alias("high"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    page = Window.partitionBy(*keys)
+    reach = F.max("b1").over(page.orderBy("b0", "b1").rowsBetween(Window.unboundedPreceding, -1))
+    whole = bins.select(*keys, "b0", reach.alias("reach"), F.sum("n").over(page).alias("n"), F.min("r0").over(page).alias("r0"), F.max("r1").over(page).alias("r1"), F.min("low").over(page).alias("low"), F.max("high").over(page).alias("high"), "lo", "hi")
+    width = F.col("hi") - F.col("lo")
+    first, last = F.greatest(F.col("reach") + 1, F.floor((F.col("lo") + 0.2 * width) / bin_width)), F.least(F.col("b0") - 1, F.floor((F.col("lo") + 0.8 * width) / bin_width))
+    runs = whole.where((F.col("n") >= 4) & (F.col("r0") < F.col("r1")) & (first <= last)).withColumns({"g0": first * bin_width, "g1": (last + 1) * bin_width})
+    wide = runs.where((F.col("g1") - F.col("g0") >= F.least(0.05 * width, F.lit(10.0))) & (F.col("g0") > F.col("low")) & (F.col("g1") < F.col("high")))
     middle = (F.col("g0") + F.col("g1")) / 2
-    return wide.groupBy(*PAGE).agg(F.min_by(middle, F.struct(F.abs(middle - F.col("page_width") / 2), middle)).alias("cut"))
+    return wide.groupBy(*keys).agg(F.min_by(middle, F.struct(F.abs(middle - (F.col("lo") + F.col("hi")) / 2), middle)).alias("cut"))
+
 
+def split_columns(items: DataFrame, pages: DataFrame, *, depth: int = 3, keys: list[str] = PAGE) -> DataFrame:
+    """Adds col (0, 1, ... from left to right): each half of a cut is cut again by its own bounds, ``depth`` times at most."""
+    out = items.join(pages.select(*PAGE, "page_width"), PAGE).withColumns({"path": F.lit(""), "lo": F.lit(0.0), "hi": F.col("page_width")}).drop("page_width")
+    for _ in range(depth):
+        cuts = column_cut(out, pages, keys=[*keys, "path"])
+        right = F.col("x") + F.col("w") / 2 > F.col("cut")
+        found = F.col("cut").isNotNull()
+        out = out.join(cuts, [*keys, "path"], "left").withColumns({"path": F.concat("path", F.when(found & right, "1").otherwise("0")), "lo": F.when(found & right, F.col("cut")).otherwise(F.col("lo")), "hi": F.when(found & ~right, F.col("cut")).otherwise(F.col("hi"))}).drop("cut")
+    return out.withColumn("col", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("path")) - 1).cast("int")).drop("path", "lo", "hi")
 
-def split_columns(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds col (0 left, 1 right of the page's cut; 0 where there is none)."""
-    cuts = column_cut(items, pages)
-    return items.join(cuts, PAGE, "left").withColumn("col", F.when(F.col("x") + F.col("w") / 2 > F.col("cut"), 1).otherwise(0)).drop("cut")
+
+def split_slabs(items: DataFrame, pages: DataFrame, *, least_words: int = 8, least_lines: int = 6, span: float = 0.18) -> DataFrame:
+    """Adds slab (0, 1, ... from the top) and col: pages that have no column cut are parted by white bands of 1.5 median sizes, and each slab is cut into columns.
+
+    A slab's columns count if each has ``least_lines`` lines whose median spans ``span`` of the page, and less
+    than half of its words are numbers; other slabs stay whole, and neighbours that stay whole are one.
+    """
+    page = Window.partitionBy(*PAGE)
+    pages = written(pages)
+    whole = written(split_columns(items, pages))
+    down = page.orderBy(F.desc("y"), "x", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.min("y").over(down) - (F.col("y") + F.col("size"))
+    open_ = (F.max("col").over(page) == 0) & (F.count("*").over(page) >= least_words)
+    middle = F.expr("percentile_disc(0.5) within group (order by size)")
+    sizes = whole.groupBy(*PAGE).agg(middle.alias("usual"))
+    jump = whole.withColumn("open", open_).withColumn("gap", gap).join(sizes, PAGE).withColumn("jump", F.coalesce(F.col("open") & (F.col("gap") >= 1.5 * F.col("usual")), F.lit(False)).cast("int"))
+    ordered = page.orderBy(F.desc("y"), "x", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    slabs = written(jump.withColumn("slab", F.sum("jump").over(ordered).cast("int")).withColumnRenamed("col", "page_col").drop("gap", "usual", "jump"))
+    cut = written(split_columns(slabs, pages, keys=[*PAGE, "slab"]))
+    line = cut.groupBy(*PAGE, "slab", "col", F.floor(F.col("y") + 0.5).alias("row")).agg((F.max(F.col("x") + F.col("w")) - F.min("x")).alias("reach"), F.count("*").alias("n"), F.count_if(F.col("str").rlike(r"^[\d.,%$€£+-]*\d[\d.,%$€£+-]*$")).alias("numbers"))
+    columns = line.groupBy(*PAGE, "slab", "col").agg(F.count("*").alias("rows"), F.expr("percentile_disc(0.5) within group (order by reach)").alias("reach"), (F.sum("numbers") < 0.5 * F.sum("n")).alias("prose"))
+    good = columns.join(pages.select(*PAGE, "page_width"), PAGE).groupBy(*PAGE, "slab").agg((F.every((F.col("rows") >= least_lines) & (F.col("reach") >= span * F.col("page_width")) & F.col("prose")) & (F.count("*") > 1)).alias("good"))
+    judged = cut.join(good, [*PAGE, "slab"])
+    # slabs that stay whole are one with such a neighbour
+    states = judged.select(*PAGE, "slab", "good").distinct()
+    by_slab = page.orderBy("slab")
+    starts = states.withColumn("start", F.when(F.col("good") | F.coalesce(F.lag("good").over(by_slab), F.lit(True)), 1).otherwise(0))
+    merged = starts.select(*PAGE, "slab", (F.sum("start").over(by_slab.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int").alias("merged"))
+    col = F.when(~F.col("open"), F.col("page_col")).when(F.col("good"), F.col("col")).otherwise(0)
+    return judged.join(merged, [*PAGE, "slab"]).withColumn("col", col).withColumn("slab", F.col("merged")).select(*items.columns, "slab", "col")
 
 
 def group_paragraphs(lines: DataFrame) -> DataFrame:
@@ -178,7 +252,11 @@ def group_paragraphs(lines: DataFrame) -> DataFrame:
 
 def build_runs(items: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, page, line, run, text, font, size: neighbours of one font whose sizes differ by less than 0.6; a space where the gap is over 0.15 sizes."""
-    j = items.join(lines, [*PAGE, "seq"])
+    return runs_of(items.join(lines, [*PAGE, "seq"]))
+
+
+def runs_of(j: DataFrame) -> DataFrame:
+    """As :func:`build_runs`, of items that have their line."""
     w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
     lead = F.when((gap > 0.15 * F.least("size", F.lag("size").over(w))) & ~F.lag("str").over(w).endswith(" ") & ~F.col("str").startswith(" "), " ").otherwise("")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.geometry import to_display_point
+from folioflow.functions.lineage import written
+
 #: Widths and heights of blank pages in points.
 BLANKS = {"A4": (595.28, 841.89), "Letter": (612.0, 792.0), "A3": (841.89, 1190.55), "A5": (419.53, 595.28)}
 
@@ -80,15 +83,39 @@ def stamp_pages(pages: DataFrame, *, prefix: str = "", start: int = 1, digits: i
     """
     if not (0 <= start <= 999_999_999_999 and 1 <= digits <= 12):
         raise ValueError("start has to be within 0 and 999,999,999,999, digits within 1 and 12")
-    # the ranges are those of fixed quantiles, so that both uses below agree whatever is sampled
-    cuts = pages.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.005)
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(order) > c).cast("int")
-    dealt = pages.withColumn("__part", part)
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    offset = counts.alias("a").join(F.broadcast(counts).alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy("a.__part").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    numbered = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(order))).join(F.broadcast(offset), "__part")
+    # written, so that the ranges and the places in them stay what they are
+    dealt = written(pages.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).cast("int")
+    # a row for each partition
+    counts = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        before.append(F.lit(total).cast("long"))
+        total += counts.get(k, 0)
+    offset = F.get(F.array(*before), part) if before else F.lit(0).cast("long")
     number = (F.col("n") + (start - 1)).cast("string")
     pad = F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(digits) - F.length(number)))
-    return numbered.withColumn("n", F.col("__k") + F.col("__before")).withColumn("stamp", F.concat(F.lit(prefix), pad, number)).drop("__part", "__k", "__before")
+    numbered = dealt.withColumn("n", offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return numbered.withColumn("stamp", F.concat(F.lit(prefix), pad, number)).drop("__at")
+
+
+def rotate_elements(elements: DataFrame, turned: DataFrame) -> DataFrame:
+    """Overlay elements (page_id, kind, x, y, w, h, points array<struct<x, y>>; y down) of pages that are turned clockwise by ``turn`` (0, 90, 180, 270; page_w and page_h before).
+
+    Elements with points (arrows, ink) follow point by point, with the box around them; others move by their centre and keep their size.
+    """
+    j = elements.join(turned.select("page_id", "turn", "page_w", "page_h"), "page_id", "left")
+    turn = F.coalesce("turn", F.lit(0))
+    to = lambda x, y: to_display_point(x, y, F.col("page_w"), F.col("page_h"), turn)
+    placed = F.transform("points", lambda p: F.struct(*[c.alias(n) for n, c in zip("xy", to(p["x"], p["y"]), strict=True)]))
+    cx, cy = to(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2)
+    moved = j.withColumns({"points": F.when(turn == 0, F.col("points")).otherwise(placed), "cx": cx, "cy": cy})
+    by_points = F.size("points") > 0
+    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
+    x0, y0 = F.array_min(xs), F.array_min(ys)
+    stays = turn == 0
+    return moved.select(
+        *[c for c in elements.columns if c not in ("x", "y", "w", "h", "points")],
+        F.when(stays, F.col("x")).when(by_points, x0).otherwise(F.col("cx") - F.col("w") / 2).alias("x"), F.when(stays, F.col("y")).when(by_points, y0).otherwise(F.col("cy") - F.col("h") / 2).alias("y"),
+        F.when(~stays & by_points, F.array_max(xs) - x0).otherwise(F.col("w")).alias("w"), F.when(~stays & by_points, F.array_max(ys) - y0).otherwise(F.col("h")).alias("h"), "points",
+    )

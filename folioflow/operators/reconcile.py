@@ -9,10 +9,11 @@ from folioflow.functions.lineage import written
 
 
 def page_fingerprints(items: DataFrame) -> DataFrame:
-    """doc_id, page, print: a hash of a page's strings with their origins at two decimals, in order."""
-    at = lambda c: F.format_string("%.2f", F.floor(F.col(c) * 100 + 0.5) / 100)
-    rows = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws("\u0001", "str", at("x"), at("y")).alias("t"))))
-    return items.groupBy("doc_id", "page").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["t"]), "\u0002"), 256).alias("print"))
+    """doc_id, page, print: 128 bits of a page's strings with their origins at two decimals, in order."""
+    at = [F.floor(F.col(c) * 100 + 0.5) for c in ("x", "y")]
+    rows = F.array_sort(F.collect_list(F.struct("seq", F.xxhash64("str", *at).alias("g"), F.xxhash64(*at, "str").alias("h"))))
+    held = items.groupBy("doc_id", "page").agg(rows.alias("rows"))
+    return held.select("doc_id", "page", F.array(F.xxhash64(F.transform("rows", lambda r: r["g"])), F.xxhash64(F.transform("rows", lambda r: r["h"]))).alias("print"))
 
 
 def page_mismatches(original: DataFrame, copy: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def orphan_parts(parts: DataFrame, rels: DataFrame, overrides: DataFrame, attrs:
     return media.join(live.union(kept).union(named).distinct(), ["package", "p"], "left_anti").join(closed, "package", "left_anti").select("package", "path")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, *, most_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node: the closure of the roots over edges (src, dst), cycles allowed.
 
     Each round joins only the nodes found in the last one and is written to the checkpoint folder.
@@ -59,7 +60,7 @@ def reachable(edges: DataFrame, roots: DataFrame, *, most_rounds: int = 10_000)
     e = written(edges.select("src", "dst").distinct())
     seen = written(roots.select("node").distinct())
     frontier = seen
-    for _ in range(most_rounds):
+    while True:
         frontier = written(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break

@@ -11,18 +11,20 @@ PAGE = ["doc_id", "page"]
 
 
 def _up(redactions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Redactions as y-up boxes with names of their own."""
-    r = redactions.join(pages.select(*PAGE, "page_height"), PAGE)
+    """Redactions as y-up boxes with names of their own; pages are only asked for their heights where redactions lack them."""
+    r = redactions if "page_height" in redactions.columns else redactions.join(pages.select(*PAGE, "page_height"), PAGE)
     top = F.col("page_height") - F.col("ry_down")
     return r.select(F.col("doc_id").alias("r_doc"), F.col("page").alias("r_page"), F.col("rx").alias("r_x0"), (F.col("rx") + F.col("rw")).alias("r_x1"), (top - F.col("rh")).alias("r_y0"), top.alias("r_y1"))
 
 
 def _uncovered(df: DataFrame, boxes: dict, redactions: DataFrame, pages: DataFrame, also=None) -> DataFrame:
+    """Rows whose box no redaction of their page overlaps; the boxes become columns first, so that they are computed once a row and not once a pair."""
     r = _up(redactions, pages)
-    hit = overlaps(boxes["bx0"], boxes["by0"], boxes["bx1"], boxes["by1"], F.col("r_x0"), F.col("r_y0"), F.col("r_x1"), F.col("r_y1"))
+    boxed = df.withColumns({f"__{k}": v for k, v in boxes.items()} | ({} if also is None else {"__also": also}))
+    hit = overlaps(*[F.col(f"__{k}") for k in ("bx0", "by0", "bx1", "by1")], *[F.col(k) for k in ("r_x0", "r_y0", "r_x1", "r_y1")])
     if also is not None:
-        hit = also | hit
-    return df.join(r, (df["doc_id"] == r["r_doc"]) & (df["page"] == r["r_page"]) & hit, "left_anti")
+        hit = F.col("__also") | hit
+    return boxed.join(r, (F.col("doc_id") == F.col("r_doc")) & (F.col("page") == F.col("r_page")) & hit, "left_anti").select(*df.columns)
 
 
 def redact_items(items: DataFrame, redactions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -30,8 +32,10 @@ def redact_items(items: DataFrame, redactions: DataFrame, pages: DataFrame) -> D
 
     Vertical text runs along its column with 0.6 of its width on both sides and a tenth of an em at the ends.
     """
-    size = F.when(F.hypot("a", "b") > 0, F.hypot("a", "b")).otherwise(F.col("size"))
-    cos, sin = F.when(F.hypot("a", "b") > 0, F.col("a") / size).otherwise(1.0), F.when(F.hypot("a", "b") > 0, F.col("b") / size).otherwise(0.0)
+    # most text is upright, where the length of the matrix's first row is its one part
+    length = F.when(F.col("b") == 0, F.abs("a")).otherwise(F.hypot("a", "b"))
+    size = F.when(length > 0, length).otherwise(F.col("size"))
+    cos, sin = F.when(length > 0, F.col("a") / length).otherwise(1.0), F.when(length > 0, F.col("b") / length).otherwise(0.0)
     xs, ys = [], []
     for along in (F.lit(0.0), F.col("w")):
         for across in (-0.25 * size, size):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import ARABIC
 
-from .layout import PAGE, cluster_lines
+from .document import by_level
+from .layout import PAGE, LINE_COLUMNS, with_lines
 from .search import match_offsets, pattern_of
 
 
@@ -68,8 +69,7 @@ def order_line(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def logical_lines(items: DataFrame) -> DataFrame:
     """Items with line, pos, start (offset in the line's text) and the line's text; words are joined by a space."""
-    lines = items.join(cluster_lines(items), [*PAGE, "seq"])
-    placed = order_line(lines, [*PAGE, "line"])
+    placed = order_line(with_lines(items, LINE_COLUMNS), [*PAGE, "line"])
     key = Window.partitionBy(*PAGE, "line")
     start = F.coalesce(F.sum(F.char_length("str") + 1).over(key.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     every = F.array_sort(F.collect_list(F.struct("pos", "str")).over(key))
@@ -93,3 +93,56 @@ def search_all(items: DataFrame, elements: DataFrame, query: str, *, case: bool
     a = items.where(F.col("str").rlike(p)).select(F.lit("source").alias("kind"), *PAGE, F.col("seq").alias("id"), F.col("str").alias("found"))
     b = elements.where(F.col("text").rlike(p)).select(F.lit("overlay").alias("kind"), *PAGE, F.col("element_id").alias("id"), F.col("text").alias("found"))
     return a.unionByName(b)
+
+
+def settle_lines(lines: DataFrame, *, low: float = 0.35, high: float = 0.65) -> DataFrame:
+    """Adds rtl to lines (para, line, right and left letters, x0, x1, size and the column's c0 and c1).
+
+    A line whose share of right-to-left letters lies between ``low`` and ``high`` takes the direction of its
+    paragraph's share; if that is as undecided, of the one side that it is flush with; then of the paragraph's
+    decided lines if they agree; else it runs from left to right.
+    """
+    side = lambda r, l: F.when(r + l == 0, None).when(r / (r + l) > high, True).when(r / (r + l) < low, False)
+    para = Window.partitionBy(*PAGE, "para")
+    tol = 0.5 * F.col("size")
+    at_left, at_right = F.abs(F.col("x0") - F.col("c0")) <= tol, F.abs(F.col("c1") - F.col("x1")) <= tol
+    flush = F.when(at_right & ~at_left, True).when(at_left & ~at_right, False)
+    own = lines.withColumn("__own", F.coalesce(side(F.col("right"), F.col("left")), side(F.sum("right").over(para), F.sum("left").over(para)), flush))
+    agreed = F.when(F.min("__own").over(para) == F.max("__own").over(para), F.max("__own").over(para))
+    return own.withColumn("rtl", F.coalesce("__own", agreed, F.lit(False))).drop("__own")
+
+
+#: Roles of structure nodes that are a block of their own, besides headings.
+BODY_ROLES = ("P", "Note", "Caption", "BlockQuote", "Quote")
+
+
+def tree_blocks(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, node_id, path, kind (heading, body, item, cell), level, depth, table_id, text: blocks of a structure tree in reading order.
+
+    nodes has node_id, parent_id, ord (among siblings) and role; items has leaf_id (a node), seq and str.
+    Headings and body roles are blocks unless they lie in a list item or a cell, whose text then is theirs;
+    lists nest, a nested list's items are blocks of their own; cells know their table; figures are left out
+    with all that is in them; other roles are looked through. Blocks without text are left out.
+    """
+    role, own = F.col("role"), F.lpad(F.col("ord").cast("string"), 8, "0")
+    heading = role.rlike("^(H[1-6]?|Title)$")
+    level = F.when(role.rlike("^H[1-6]$"), F.substring(role, 2, 1).cast("int")).otherwise(1)
+    kind = F.when(heading, "heading").when(role.isin(*BODY_ROLES), "body").when(role == "LI", "item").when(role.isin("TD", "TH"), "cell")
+    state = {
+        "path": (own, F.concat("up_path", F.lit("."), own)),
+        "hidden": (role == "Figure", F.col("up_hidden") | (role == "Figure")),
+        "depth": ((role == "L").cast("int"), F.col("up_depth") + (role == "L").cast("int")),
+        "table_id": (F.when(role == "Table", F.col("node_id")), F.when(role == "Table", F.col("node_id")).otherwise(F.col("up_table_id"))),
+    }
+    fresh = F.struct(F.col("node_id").alias("id"), kind.alias("kind"), F.when(heading, level).otherwise(0).alias("level"))
+    none = F.lit(None).cast(f"struct<id:{nodes.schema['node_id'].dataType.simpleString()},kind:string,level:int>")
+    inside = F.coalesce(F.col("up_block.kind").isin("item", "cell"), F.lit(False))
+    block = F.when(role.isin("L", "Table"), none).when(role.isin("LI", "TD", "TH"), fresh).when(kind.isNotNull() & ~inside, fresh).otherwise(F.col("up_block"))
+    roots = nodes.where("parent_id IS NULL").select("doc_id", "node_id", *[r.alias(n) for n, (r, _) in state.items()], F.when(kind.isNotNull(), fresh).otherwise(none).alias("block"))
+    tree = by_level(roots, nodes, {n: s for n, (_, s) in state.items()} | {"block": block})
+    seen = tree.where(~F.col("hidden") & F.col("block").isNotNull())
+    place = seen.where(F.col("block.id") == F.col("node_id")).select("doc_id", "node_id", "path", F.col("block.kind").alias("kind"), F.col("block.level").alias("level"), F.when(F.col("block.kind") == "item", F.col("depth")).otherwise(0).alias("depth"), F.when(F.col("block.kind") == "cell", F.col("table_id")).alias("table_id"))
+    leaves = seen.select("doc_id", F.col("node_id").alias("leaf_id"), F.col("block.id").alias("node_id"))
+    words = F.array_sort(F.collect_list(F.struct("seq", "str")))
+    texts = items.join(leaves, ["doc_id", "leaf_id"]).groupBy("doc_id", "node_id").agg(F.array_join(F.transform(words, lambda w: w["str"]), " ").alias("text"))
+    return place.join(texts, ["doc_id", "node_id"]).where(F.trim("text") != "")

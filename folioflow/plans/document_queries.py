@@ -30,13 +30,13 @@ def a2_rank_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.rank_headings(p, document.body_size(p)).select("doc_id", "ord", "level")
 
 
-@add(with_tables("paras") + f""", {_LEVEL}, up AS (SELECT * REPLACE (CASE WHEN ord % 4 = 2 THEN upper(substr(text, 1, 25)) ELSE text END AS text) FROM lev), top AS (SELECT doc_id, max(level) AS top FROM lev GROUP BY ALL)
+@add(with_tables("paras") + f""", {_LEVEL}, up AS (SELECT * REPLACE (CASE WHEN ord % 4 = 2 THEN upper(replace(text, 'ß', 'ss')) ELSE text END AS text) FROM lev), top AS (SELECT doc_id, max(level) AS top FROM lev GROUP BY ALL)
 SELECT doc_id, ord, CASE WHEN level = 0 AND abs(size / body - 1) <= 0.05 AND text = upper(text) AND regexp_matches(text, '[A-Z]') AND len(regexp_extract_all(text, '[A-Za-z]')) >= 3 AND len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) <= 8 THEN CASE WHEN top > 0 THEN least(6, top + 1) ELSE 3 END ELSE level END::INT AS level FROM up JOIN top USING (doc_id) JOIN body USING (doc_id)""")
 def a3_promote_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.paragraphs(spark, sf_dir)
     body = document.body_size(p)
     ranked = document.rank_headings(p, body)
-    shout = ranked.withColumn("text", F.when(F.col("ord") % 4 == 2, F.upper(F.substring("text", 1, 25))).otherwise(F.col("text")))
+    shout = ranked.withColumn("text", F.when(F.col("ord") % 4 == 2, F.upper(F.replace("text", F.lit("ß"), F.lit("ss")))).otherwise(F.col("text")))
     return document.promote_headings(shout, body).select("doc_id", "ord", "level")
 
 
@@ -68,9 +68,9 @@ def a5_drop_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.drop_bands(p, document.running_bands(p)).select("doc_id", "ord", "text")
 
 
-@add(with_tables("paras") + ", pr AS (SELECT doc_id, page, CASE WHEN ord % 3 = 0 THEN 'سلام دنیا و همه مردم جهان' ELSE substr(text, 1, 12) END AS text FROM paras), l AS (SELECT *, len(regexp_extract_all(text, '\\p{L}')) AS n, regexp_matches(text, '[\\x{0600}-\\x{06FF}]') AS ar FROM pr) SELECT doc_id, page, CASE WHEN sum(n) > 0 THEN coalesce(sum(n) FILTER (WHERE ar), 0) > coalesce(sum(n) FILTER (WHERE NOT ar), 0) END AS rtl FROM l GROUP BY ALL")
+@add(with_tables("paras") + ", pr AS (SELECT doc_id, page, CASE WHEN ord % 3 = 0 THEN 'سلام دنیا و همه مردم جهان' ELSE text END AS text FROM paras), l AS (SELECT *, len(regexp_extract_all(text, '\\p{L}')) AS n, regexp_matches(text, '[\\x{0600}-\\x{06FF}]') AS ar FROM pr) SELECT doc_id, page, CASE WHEN sum(n) > 0 THEN coalesce(sum(n) FILTER (WHERE ar), 0) > coalesce(sum(n) FILTER (WHERE NOT ar), 0) END AS rtl FROM l GROUP BY ALL")
 def a7_direction_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = derived.paragraphs(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 3 == 0, "سلام دنیا و همه مردم جهان").otherwise(F.substring("text", 1, 12)))
+    p = derived.paragraphs(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 3 == 0, "سلام دنیا و همه مردم جهان").otherwise(F.col("text")))
     return document.direction_vote(p, ["doc_id", "page"])
 
 
@@ -103,12 +103,12 @@ def j11_resolve_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.resolve_anchors(p, targets).select("doc_id", "target", "ord", "bookmark")
 
 
-_TREE = "nodes AS (SELECT doc_id, ord AS node_id, CASE WHEN ord > 0 THEN (ord - 1) // 4 END AS parent_id, ord, CASE WHEN ord % 6 = 5 THEN ' ' ELSE substr(text, 1, 15) END AS title FROM paras WHERE ord < 300)"
+_TREE = "nodes AS (SELECT doc_id, ord AS node_id, CASE WHEN ord > 0 THEN (ord - 1) // 4 END AS parent_id, ord, CASE WHEN ord % 6 = 5 THEN ' ' ELSE text END AS title FROM paras)"
 
 
 def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("ord")
-    return derived.paragraphs(spark, sf_dir).where("ord < 300").select("doc_id", n.alias("node_id"), F.when(n > 0, F.floor((n - 1) / 4)).alias("parent_id"), "ord", F.when(n % 6 == 5, " ").otherwise(F.substring("text", 1, 15)).alias("title"))
+    return derived.paragraphs(spark, sf_dir).select("doc_id", n.alias("node_id"), F.when(n > 0, F.floor((n - 1) / 4)).alias("parent_id"), "ord", F.when(n % 6 == 5, " ").otherwise(F.col("text")).alias("title"))
 
 
 @add("WITH RECURSIVE " + with_tables("paras").removeprefix("WITH ") + f", {_TREE}, tree AS (SELECT doc_id, node_id, title, 1 AS level, lpad(ord::VARCHAR, 8, '0') AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.node_id, n.title, t.level + 1, t.path || '.' || lpad(n.ord::VARCHAR, 8, '0') FROM nodes n JOIN tree t ON n.doc_id = t.doc_id AND n.parent_id = t.node_id) SELECT doc_id, node_id, title, level, path FROM tree WHERE trim(title) <> ''")
@@ -165,15 +165,14 @@ def a12_resample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT doc_id, page, para, bool_and(abs(x0 - l) <= 0.5 * size) AS a, bool_and(abs(r - x1) <= 0.5 * size) AS b, bool_and(abs((x0 - l) - (r - x1)) <= size) AS m, count(*) AS n_lines, min(x0) AS x0, max(x1) AS x1 FROM e GROUP BY ALL)
 SELECT doc_id, page, para::BIGINT AS para, CASE WHEN a AND b AND n_lines > 1 THEN 'justified' WHEN a THEN 'left' WHEN b THEN 'right' WHEN m THEN 'center' ELSE 'left' END AS align, n_lines, x0, x1 FROM g""")
 def w14_paragraph_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir)
-    lines = layout.line_texts(items, layout.cluster_baselines(items)).withColumn("para", F.floor((720 - F.col("y")) / 14 / 5))
+    lines = layout.baseline_texts(items_of(spark, sf_dir)).withColumn("para", F.floor((720 - F.col("y")) / 14 / 5))
     return document.paragraph_geometry(lines, ["doc_id", "page", "para"])
 
 
-@add("WITH w AS (SELECT doc_id, text, string_split(substr(replace(text, 'ß', 'ss'), 1, 400), ' ') AS t FROM documents) SELECT doc_id, array_to_string(list_transform(t, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS titled, len(regexp_extract_all(text, '\\p{L}')) AS letters FROM w")
+@add("WITH w AS (SELECT doc_id, text, string_split(replace(text, 'ß', 'ss'), ' ') AS t FROM documents) SELECT doc_id, array_to_string(list_transform(t, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS titled, len(regexp_extract_all(text, '\\p{L}')) AS letters FROM w")
 def c3_title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived.table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.title_case(F.substring(F.replace(F.col("text"), F.lit("ß"), F.lit("ss")), 1, 400)).alias("titled"), text.letter_count(F.col("text")).cast("long").alias("letters"))
+    return d.select("doc_id", text.title_case(F.replace(F.col("text"), F.lit("ß"), F.lit("ss"))).alias("titled"), text.letter_count(F.col("text")).cast("long").alias("letters"))
 
 
 @add("WITH l AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)), n AS (SELECT *, count(*) FILTER (WHERE s <> '') OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l) SELECT doc_id, string_agg(CASE WHEN s = '' THEN s ELSE k || '. ' || s END, chr(10) ORDER BY i) AS body FROM n GROUP BY ALL")

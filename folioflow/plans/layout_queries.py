@@ -19,9 +19,14 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.items_from_raw(derived.raw_items(spark, sf_dir))
 
 
+def kept_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that no redaction covers."""
+    pages = derived.pages(spark, sf_dir)
+    return redact.redact_items(items_of(spark, sf_dir), derived.redactions(pages), pages)
+
+
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir)
-    return layout.line_texts(items, layout.cluster_baselines(items))
+    return layout.baseline_texts(items_of(spark, sf_dir))
 
 
 @add(with_tables("items") + " SELECT doc_id, page, seq, str, size, x, y, w FROM items")
@@ -35,53 +40,52 @@ J1_SQL = """kept AS (SELECT i.* FROM items i WHERE NOT EXISTS (SELECT 1 FROM red
 
 @add(with_tables("red") + f", {J1_SQL} SELECT doc_id, page, seq, str, x, y FROM kept")
 def j1_redact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir)
-    return redact.redact_items(items, derived.redactions(items), derived.pages_of(items)).select("doc_id", "page", "seq", "str", "x", "y")
+    return kept_items(spark, sf_dir).select("doc_id", "page", "seq", "str", "x", "y")
 
 
 @add(with_tables("red") + f""", {J1_SQL}
 SELECT doc_id, page, max(y) AS y, string_agg(str, ' ' ORDER BY x, seq) AS text FROM kept GROUP BY doc_id, page, y""")
 def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: redaction, then lines of text."""
-    items = items_of(spark, sf_dir)
-    kept = redact.redact_items(items, derived.redactions(items), derived.pages_of(items))
-    return layout.line_texts(kept, layout.cluster_baselines(kept)).select("doc_id", "page", "y", "text")
+    return layout.baseline_texts(kept_items(spark, sf_dir)).select("doc_id", "page", "y", "text")
 
 
-@add(with_tables("red") + """, annots AS (SELECT doc_id, page, seq, CASE WHEN seq % 97 = 0 THEN NULL WHEN seq % 89 = 0 THEN [x + w, y] ELSE [x + w, y + 10, x, y] END AS rect FROM items WHERE seq % 5 = 0)
+@add(with_tables("red") + """, annots AS (SELECT doc_id, page, seq, CASE WHEN seq % 97 = 0 THEN NULL WHEN seq % 89 = 0 THEN [x + w, y] ELSE [x + w, y + 10, x, y] END AS rect FROM items)
 SELECT doc_id, page, seq FROM annots a WHERE NOT EXISTS (SELECT 1 FROM red r WHERE r.doc_id = a.doc_id AND r.page = a.page AND (a.rect IS NULL OR len(a.rect) <> 4
  OR (a.rect[3] < r.rx + r.rw AND r.rx < a.rect[1] AND a.rect[4] < 792 - r.ry_down AND 792 - r.ry_down - r.rh < a.rect[2])))""")
 def j2_redact_annots(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
     rect = F.when(F.col("seq") % 97 == 0, None).when(F.col("seq") % 89 == 0, F.array(F.col("x") + F.col("w"), "y")).otherwise(F.array(F.col("x") + F.col("w"), F.col("y") + 10, "x", "y"))
-    annots = items.where("seq % 5 = 0").select("doc_id", "page", "seq", rect.alias("rect"))
-    return redact.redact_annots(annots, derived.redactions(items), derived.pages_of(items)).select("doc_id", "page", "seq")
+    annots = items.select("doc_id", "page", "seq", rect.alias("rect"))
+    pages = derived.pages(spark, sf_dir)
+    return redact.redact_annots(annots, derived.redactions(pages), pages).select("doc_id", "page", "seq")
 
 
-@add(with_tables("red") + """, images AS (SELECT doc_id, page, seq, 40.0 AS a, 10.0 AS b, -10.0 AS c, 30.0 AS d, x AS e, y AS f FROM items WHERE seq % 7 = 0)
+@add(with_tables("red") + """, images AS (SELECT doc_id, page, seq, 40.0 AS a, 10.0 AS b, -10.0 AS c, 30.0 AS d, x AS e, y AS f FROM items)
 SELECT doc_id, page, seq FROM images i WHERE NOT EXISTS (SELECT 1 FROM red r WHERE r.doc_id = i.doc_id AND r.page = i.page
  AND i.e - 10 < r.rx + r.rw AND r.rx < i.e + 40 AND i.f < 792 - r.ry_down AND 792 - r.ry_down - r.rh < i.f + 40)""")
 def j3_redact_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    images = items.where("seq % 7 = 0").select("doc_id", "page", "seq", F.lit(40.0).alias("a"), F.lit(10.0).alias("b"), F.lit(-10.0).alias("c"), F.lit(30.0).alias("d"), F.col("x").alias("e"), F.col("y").alias("f"))
-    return redact.redact_images(images, derived.redactions(items), derived.pages_of(items)).select("doc_id", "page", "seq")
+    images = items.select("doc_id", "page", "seq", F.lit(40.0).alias("a"), F.lit(10.0).alias("b"), F.lit(-10.0).alias("c"), F.lit(30.0).alias("d"), F.col("x").alias("e"), F.col("y").alias("f"))
+    pages = derived.pages(spark, sf_dir)
+    return redact.redact_images(images, derived.redactions(pages), pages).select("doc_id", "page", "seq")
 
 
-@add(with_tables("items") + """, el AS (SELECT doc_id, page, seq, CASE WHEN seq % 60 = 0 THEN 'redaction' ELSE 'text' END AS kind, x, 792 - y AS y, 30.0::DOUBLE AS w, 20.0::DOUBLE AS h, (seq % 2 * 90)::DOUBLE AS rot FROM items WHERE seq % 4 < 2),
+@add(with_tables("items") + """, el AS (SELECT doc_id, page, seq, CASE WHEN seq % 60 = 0 THEN 'redaction' ELSE 'text' END AS kind, x, 792 - y AS y, 30.0::DOUBLE AS w, 20.0::DOUBLE AS h, (seq % 2 * 90)::DOUBLE AS rot FROM items),
 b AS (SELECT *, CASE WHEN rot = 90 THEN y - 5 ELSE y END AS y0, CASE WHEN rot = 90 THEN y + 25 ELSE y + 20 END AS y1, x AS x0, x + 30 AS x1 FROM el)
 SELECT doc_id, page, seq, kind FROM b WHERE kind = 'redaction' OR NOT EXISTS (SELECT 1 FROM b r WHERE r.kind = 'redaction' AND r.doc_id = b.doc_id AND r.page = b.page AND b.x0 < r.x1 AND r.x0 < b.x1 AND b.y0 < r.y1 AND r.y0 < b.y1)""")
 def j4_redact_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir).where("seq % 4 < 2")
+    items = items_of(spark, sf_dir)
     el = items.select("doc_id", "page", "seq", F.when(F.col("seq") % 60 == 0, "redaction").otherwise("text").alias("kind"), "x", (792 - F.col("y")).alias("y"), F.lit(30.0).alias("w"), F.lit(20.0).alias("h"), (F.col("seq") % 2 * 90).cast("double").alias("rotation"))
     return redact.redact_elements(el).select("doc_id", "page", "seq", "kind")
 
 
-@add(with_tables("items") + """, clips AS (SELECT doc_id, page, seq, CASE WHEN seq % 9 = 0 THEN x + 100 ELSE x + 1 END AS cx0, y - 2 AS cy0, CASE WHEN seq % 11 = 0 THEN x - 5 ELSE x + 140 END AS cx1, y + 8 AS cy1 FROM items WHERE seq % 3 = 0)
+@add(with_tables("items") + """, clips AS (SELECT doc_id, page, seq, CASE WHEN seq % 9 = 0 THEN x + 100 WHEN seq % 3 = 0 THEN x + 1 ELSE x - 9 END AS cx0, y - 2 AS cy0, CASE WHEN seq % 11 = 0 THEN x - 5 ELSE x + 140 END AS cx1, y + 8 AS cy1 FROM items)
 SELECT doc_id, page, seq FROM items i WHERE NOT EXISTS (SELECT 1 FROM clips c WHERE c.doc_id = i.doc_id AND c.seq = i.seq AND (cx1 <= cx0 OR cy1 <= cy0 OR i.x + i.w < cx0 OR i.x > cx1 OR i.y + i.size < cy0 OR i.y - 0.25 * i.size > cy1))""")
 def f5_drop_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
     s, x = F.col("seq"), F.col("x")
-    clips = items.where("seq % 3 = 0").select("doc_id", "page", "seq", F.when(s % 9 == 0, x + 100).otherwise(x + 1).alias("cx0"), (F.col("y") - 2).alias("cy0"), F.when(s % 11 == 0, x - 5).otherwise(x + 140).alias("cx1"), (F.col("y") + 8).alias("cy1"))
+    clips = items.select("doc_id", "page", "seq", F.when(s % 9 == 0, x + 100).when(s % 3 == 0, x + 1).otherwise(x - 9).alias("cx0"), (F.col("y") - 2).alias("cy0"), F.when(s % 11 == 0, x - 5).otherwise(x + 140).alias("cx1"), (F.col("y") + 8).alias("cy1"))
     return redact.drop_clipped(items, clips).select("doc_id", "page", "seq")
 
 
@@ -107,14 +111,15 @@ def f6_split_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.split_rotated(items).select("doc_id", "page", "seq", "turned", "stamp")
 
 
-@add(with_tables("items") + """, ru AS (SELECT doc_id, page, x + (seq % 3) * 4 AS x, y + (seq % 4) * 2 - 1 AS y, w AS rw, 1.0 AS rh FROM items WHERE seq % 6 = 0)
+@add(with_tables("items") + """, ru AS (SELECT doc_id, page, x + (seq % 3) * 4 AS x, y + (seq % 4) * 2 - 1 AS y, CASE WHEN seq % 6 = 0 THEN w ELSE 2.5 END AS rw, 1.0 AS rh FROM items)
 SELECT i.doc_id, i.page, i.seq, coalesce(bool_or((ru.y + 0.5 - i.y) / i.size BETWEEN -0.35 AND 0.10), false) AS underline, coalesce(bool_or((ru.y + 0.5 - i.y) / i.size BETWEEN 0.18 AND 0.62), false) AS strike
 FROM items i LEFT JOIN ru ON ru.doc_id = i.doc_id AND ru.page = i.page AND rw > 3 AND rw > 2 AND rh <= 0.18 * i.size AND least(i.x + i.w, ru.x + rw) - greatest(i.x, ru.x) >= 0.5 * i.w AND (ru.y + 0.5 - i.y) / i.size BETWEEN -0.35 AND 0.62
 GROUP BY i.doc_id, i.page, i.seq""")
 def j5_mark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
     s = F.col("seq")
-    rules = items.where("seq % 6 = 0").select("doc_id", "page", (F.col("x") + s % 3 * 4).alias("x"), (F.col("y") + s % 4 * 2 - 1).alias("y"), "w", F.lit(1.0).alias("h"))
+    # every item has a rule, most of them too short to count
+    rules = items.select("doc_id", "page", (F.col("x") + s % 3 * 4).alias("x"), (F.col("y") + s % 4 * 2 - 1).alias("y"), F.when(s % 6 == 0, F.col("w")).otherwise(2.5).alias("w"), F.lit(1.0).alias("h"))
     return layout.mark_rules(items, rules).select("doc_id", "page", "seq", "underline", "strike")
 
 
@@ -122,21 +127,21 @@ def j5_mark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT i.doc_id, i.page, i.seq, url FROM items i LEFT JOIN hit USING (doc_id, page, seq)""")
 def j6_tag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    return layout.tag_links(items, derived.links(items)).select("doc_id", "page", "seq", "url")
+    return layout.tag_links(items, derived.links(derived.pages(spark, sf_dir))).select("doc_id", "page", "seq", "url")
 
 
 @add()
 def j7_split_at_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    return layout.split_at_links(items, derived.links(items)).select("doc_id", "page", "seq", "piece", "str", "x", "w")
+    return layout.split_at_links(items, derived.links(derived.pages(spark, sf_dir))).select("doc_id", "page", "seq", "piece", "str", "x", "w")
 
 
-@add(with_tables("items") + """, col AS (SELECT doc_id, page, seq AS ord, x + 0.25 AS cx, y - 0.5 AS cy, CASE WHEN seq % 2 = 0 THEN 'aa0000' ELSE '0000bb' END AS color FROM items WHERE seq % 3 = 0),
+@add(with_tables("items") + """, col AS (SELECT doc_id, page, seq AS ord, CASE WHEN seq % 3 = 0 THEN x + 0.25 ELSE x + 7 END AS cx, y - 0.5 AS cy, CASE WHEN seq % 2 = 0 THEN 'aa0000' ELSE '0000bb' END AS color FROM items),
 k AS (SELECT doc_id, page, floor(cx + 0.5) AS kx, floor(cy + 0.5) AS ky, max_by(color, ord) AS color FROM col GROUP BY ALL)
 SELECT i.doc_id, i.page, i.seq, color FROM items i LEFT JOIN k ON k.doc_id = i.doc_id AND k.page = i.page AND floor(i.x + 0.5) = kx AND floor(i.y + 0.5) = ky""")
 def j8_join_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    colors = items.where("seq % 3 = 0").select("doc_id", "page", F.col("seq").alias("ord"), (F.col("x") + 0.25).alias("cx"), (F.col("y") - 0.5).alias("cy"), F.when(F.col("seq") % 2 == 0, "aa0000").otherwise("0000bb").alias("color"))
+    colors = items.select("doc_id", "page", F.col("seq").alias("ord"), F.when(F.col("seq") % 3 == 0, F.col("x") + 0.25).otherwise(F.col("x") + 7).alias("cx"), (F.col("y") - 0.5).alias("cy"), F.when(F.col("seq") % 2 == 0, "aa0000").otherwise("0000bb").alias("color"))
     return layout.join_colors(items, colors).select("doc_id", "page", "seq", "color")
 
 
@@ -145,7 +150,7 @@ j AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x)
 n AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id, page ORDER BY x) AS cluster FROM j)
 SELECT doc_id, page, cluster::INT AS cluster, avg(x) AS center FROM n GROUP BY ALL""")
 def w1_cluster_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = derived.rules(items_of(spark, sf_dir)).where("h > w")
+    r = derived.rules(derived.pages(spark, sf_dir)).where("h > w")
     return layout.cluster_positions(r, ["doc_id", "page"], "x")
 
 
@@ -159,8 +164,7 @@ def w3_cluster_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(with_tables("items") + f", {_LINES} SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) - 1)::INT AS line, text FROM lines")
 def w9_cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir)
-    return layout.line_texts(items, layout.cluster_lines(items)).select("doc_id", "page", "line", "text")
+    return layout.joined_lines(layout.with_lines(items_of(spark, sf_dir), layout.LINE_COLUMNS)).select("doc_id", "page", "line", "text")
 
 
 _NARROW = "narrow AS (SELECT doc_id, page, seq, x, y, size, CASE WHEN doc_id % 3 = 0 THEN 40.0 ELSE least(w, 30) END AS w, str FROM items)"
@@ -188,7 +192,7 @@ cuts AS (SELECT doc_id, page, min_by((g0 + g1) / 2, abs((g0 + g1) / 2 - 342) * 1
 def wide_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = items_of(spark, sf_dir)
     moved = items.withColumn("x", F.when(F.col("seq") % 12 >= 6, F.col("x") + 60).otherwise(F.col("x"))).withColumn("w", F.lit(40.0))
-    return moved, derived.pages_of(items).withColumn("page_width", F.lit(684.0))
+    return moved, derived.pages(spark, sf_dir).withColumn("page_width", F.lit(684.0))
 
 
 @add(with_tables("items") + f", {_CUT} SELECT doc_id, page, cut FROM cuts")
@@ -196,9 +200,26 @@ def w6_column_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.column_cut(*wide_items(spark, sf_dir))
 
 
-@add(with_tables("items") + f", {_CUT} SELECT w.doc_id, w.page, w.seq, CASE WHEN w.x + 20 > cut THEN 1 ELSE 0 END AS col FROM wide w LEFT JOIN cuts USING (doc_id, page)")
+def _split_sql(depth: int = 3) -> str:
+    """The levels of a recursive split, each over the parts of the one before."""
+    out = ["w0 AS (SELECT doc_id, page, seq, y, x + CASE WHEN seq % 12 >= 9 THEN 120 WHEN seq % 12 >= 6 THEN 60 ELSE 0 END AS x, 40.0::DOUBLE AS w, '' AS path, 0.0::DOUBLE AS lo, 744.0::DOUBLE AS hi FROM items)"]
+    for i in range(depth):
+        out.append(f"""ok{i} AS (SELECT doc_id, page, path, min(x) AS low, max(x + w) AS high, min(lo) AS lo, min(hi) AS hi FROM w{i} GROUP BY ALL HAVING count(*) >= 4 AND count(DISTINCT floor(y + 0.5)) >= 2),
+used{i} AS (SELECT DISTINCT doc_id, page, path, unnest(range(floor(x / 2)::INT, ceil((x + w) / 2)::INT + 1)) AS bin FROM w{i}),
+grid{i} AS (SELECT *, unnest(range(floor((lo + 0.2 * (hi - lo)) / 2)::INT, floor((lo + 0.8 * (hi - lo)) / 2)::INT + 1)) AS bin FROM ok{i}),
+free{i} AS (SELECT g.*, bin - row_number() OVER (PARTITION BY doc_id, page, path ORDER BY bin) AS run FROM grid{i} g ANTI JOIN used{i} USING (doc_id, page, path, bin)),
+runs{i} AS (SELECT doc_id, page, path, low, high, lo, hi, min(bin) * 2.0 AS g0, (max(bin) + 1) * 2.0 AS g1 FROM free{i} GROUP BY doc_id, page, path, low, high, lo, hi, run),
+cuts{i} AS (SELECT doc_id, page, path, min_by((g0 + g1) / 2, abs((g0 + g1) / 2 - (lo + hi) / 2) * 10000 + (g0 + g1) / 2)::DOUBLE AS cut FROM runs{i} WHERE g1 - g0 >= least(10, 0.05 * (hi - lo)) AND g0 > low AND g1 < high GROUP BY ALL),
+w{i + 1} AS (SELECT doc_id, page, seq, y, x, w, path || CASE WHEN x + 20 > cut THEN '1' ELSE '0' END AS path, CASE WHEN x + 20 > cut THEN cut ELSE lo END AS lo, CASE WHEN x + 20 <= cut THEN cut ELSE hi END AS hi FROM w{i} LEFT JOIN cuts{i} USING (doc_id, page, path))""")
+    return ", ".join(out) + f" SELECT doc_id, page, seq, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY path) - 1)::INT AS col FROM w{depth}"
+
+
+@add(with_tables("items") + f", {_split_sql()}")
 def w7_split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.split_columns(*wide_items(spark, sf_dir)).select("doc_id", "page", "seq", "col")
+    """Three columns a page: the right half of the first cut is cut again."""
+    k = F.col("seq") % 12
+    items = items_of(spark, sf_dir).withColumn("x", F.col("x") + F.when(k >= 9, 120.0).when(k >= 6, 60.0).otherwise(0.0)).withColumn("w", F.lit(40.0))
+    return layout.split_columns(items, derived.pages(spark, sf_dir).withColumn("page_width", F.lit(744.0))).select("doc_id", "page", "seq", "col")
 
 
 _PLINES = "pl AS (SELECT doc_id, page, ord::INT AS line, y, size, text FROM marked)"
@@ -218,16 +239,16 @@ t AS (SELECT *, CASE WHEN pe IS NOT NULL AND x - pe > 0.15 * least(size, ps) THE
 u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, r ORDER BY x, seq) - 1 AS run FROM t)
 SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY r) - 1)::INT AS line, run::INT AS run, text, font, size FROM (SELECT doc_id, page, r, run, string_agg(piece, '' ORDER BY x, seq) AS text, min(font) AS font, max(size) AS size FROM u GROUP BY ALL)""")
 def w13_build_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = items_of(spark, sf_dir)
-    return layout.build_runs(items, layout.cluster_baselines(items))
+    return layout.runs_of(layout.with_baselines(items_of(spark, sf_dir), ["x", "w", "size", "str", "font"]))
 
 
-@add(with_tables("paras") + """, o AS (SELECT doc_id, page, ord, 'overlay ' || ord AS text, CASE WHEN ord % 4 = 1 THEN NULL ELSE y - 5 * (ord % 3) END AS y FROM paras WHERE ord % 9 = 1 AND doc_id % 2 = 0),
+@add(with_tables("paras") + """, o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN page ELSE -1 - page END::INT AS page, ord, 'overlay ' || ord AS text, CASE WHEN ord % 4 = 1 THEN NULL ELSE y - 5 * (ord % 3) END AS y FROM paras),
 a AS (SELECT doc_id, page, ord, text, y, 0 AS kind FROM paras UNION ALL SELECT *, 1 FROM o), k AS (SELECT *, CASE WHEN max(kind) OVER (PARTITION BY doc_id, page) > 0 THEN y END AS key FROM a)
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY key DESC NULLS LAST, kind, ord) AS pos, text, y FROM k""")
 def w20_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.paragraphs(spark, sf_dir)
-    o = p.where("ord % 9 = 1 AND doc_id % 2 = 0").select("doc_id", "page", "ord", F.concat(F.lit("overlay "), "ord").alias("text"), F.when(F.col("ord") % 4 == 1, None).otherwise(F.col("y") - 5 * (F.col("ord") % 3)).alias("y"))
+    # the overlays of odd documents lie on pages of their own
+    o = p.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("page")).otherwise(-1 - F.col("page")).cast("int").alias("page"), "ord", F.concat(F.lit("overlay "), "ord").alias("text"), F.when(F.col("ord") % 4 == 1, None).otherwise(F.col("y") - 5 * (F.col("ord") % 3)).alias("y"))
     return layout.interleave(p, o)
 
 
@@ -236,7 +257,7 @@ p AS (SELECT doc_id, page, xs[floor(0.25 * (n - 1) + 0.5)::INT + 1] AS l, rs[flo
 SELECT doc_id, page, floor(greatest(0, least(l, 244.8)) + 0.5)::BIGINT AS margin_left, floor(greatest(0, least(612 - r, 244.8)) + 0.5)::BIGINT AS margin_right, floor(greatest(0, least(792 - t, 316.8)) + 0.5)::BIGINT AS margin_top, floor(greatest(0, least(b, 316.8)) + 0.5)::BIGINT AS margin_bottom FROM p""")
 def a6_page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    return layout.page_margins(items, derived.pages_of(items))
+    return layout.page_margins(items, derived.pages(spark, sf_dir))
 
 
 _MARK = "CASE WHEN ord % 5 = 0 THEN 'bullet' WHEN ord % 5 = 1 THEN 'decimal' WHEN ord % 5 = 2 THEN 'lower' WHEN ord % 5 = 3 THEN 'roman' END"
@@ -249,11 +270,11 @@ def f7_list_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "ord", m["kind"].alias("kind"), m["marker"].alias("marker"))
 
 
-@add(with_tables("items") + """, p AS (SELECT doc_id, seq, x, 792 - y AS y, (seq % 4 * 90)::INT AS r FROM items WHERE seq % 5 = 0)
+@add(with_tables("items") + """, p AS (SELECT doc_id, seq, x, 792 - y AS y, (seq % 4 * 90)::INT AS r FROM items)
 SELECT doc_id, seq, CASE r WHEN 90 THEN y WHEN 180 THEN 612 - x WHEN 270 THEN 612 - y ELSE x END AS cx, CASE r WHEN 90 THEN 792 - x WHEN 180 THEN 792 - y WHEN 270 THEN x ELSE y END AS cy, x AS bx, y AS "by" FROM p""")
 def c7_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.lit(612.0), F.lit(792.0)
-    p = items_of(spark, sf_dir).where("seq % 5 = 0").select("doc_id", "seq", "x", (792 - F.col("y")).alias("y"), (F.col("seq") % 4 * 90).alias("r"))
+    p = items_of(spark, sf_dir).select("doc_id", "seq", "x", (792 - F.col("y")).alias("y"), (F.col("seq") % 4 * 90).alias("r"))
     cx, cy = geometry.to_content_point(F.col("x"), F.col("y"), w, h, F.col("r"))
     p = p.select("doc_id", "seq", "r", cx.alias("cx"), cy.alias("cy"))
     bx, by = geometry.to_display_point(F.col("cx"), F.col("cy"), w, h, F.col("r"))

@@ -27,10 +27,10 @@ def f2_select_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_.select_pages(man(spark, sf_dir), "1-3, 5,x, 10-8, 0").select("source_id", "page_id", "position")
 
 
-@add(with_tables("man") + ", b AS (SELECT source_id, page_id, position, 0 AS part FROM man UNION ALL SELECT source_id, page_id + 1000000000, position, 1 FROM man WHERE position <= 2) SELECT source_id, page_id, row_number() OVER (PARTITION BY source_id ORDER BY part, position) AS position FROM b")
+@add(with_tables("man") + ", b AS (SELECT source_id, page_id, position, 0 AS part FROM man UNION ALL SELECT source_id, page_id + 1000000000, position, 1 FROM man) SELECT source_id, page_id, row_number() OVER (PARTITION BY source_id ORDER BY part, position) AS position FROM b")
 def u1_append_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = man(spark, sf_dir)
-    return pages_.append_pages(m, m.where("position <= 2").withColumn("page_id", F.col("page_id") + 1_000_000_000)).select("source_id", "page_id", "position")
+    return pages_.append_pages(m, m.withColumn("page_id", F.col("page_id") + 1_000_000_000)).select("source_id", "page_id", "position")
 
 
 @add(with_tables("man") + ", b AS (SELECT source_id, page_id, position::DOUBLE AS place, NULL::DOUBLE AS width FROM man UNION ALL SELECT DISTINCT source_id, NULL, 2.5, 595.28 FROM man) SELECT source_id, page_id, width, row_number() OVER (PARTITION BY source_id ORDER BY place) AS position FROM b")
@@ -164,14 +164,14 @@ def j16_resolve_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.resolve_numbering(nums, abstracts)
 
 
-_PKG = "p AS (SELECT l_orderkey // 4 AS package, l_linenumber AS i, l_partkey AS k, l_orderkey % 4 AS j FROM lineitem WHERE l_linenumber <= 3)"
+_PKG = "p AS (SELECT l_orderkey // 4 AS package, l_linenumber AS i, l_partkey AS k, l_orderkey % 4 AS j FROM lineitem)"
 
 
 @add(f"""WITH {_PKG}, media AS (SELECT DISTINCT package, 'word/media/Image' || j || '_' || i || '.png' AS path, i, j FROM p),
 live AS (SELECT DISTINCT package, j, i FROM p WHERE k % 3 = 0 OR j = 2), over AS (SELECT DISTINCT package, j, i FROM p WHERE k % 7 = 1), closed AS (SELECT DISTINCT package FROM p WHERE package % 9 = 4)
 SELECT package, path FROM media m WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.package = m.package AND l.j = m.j AND l.i = m.i) AND NOT EXISTS (SELECT 1 FROM over l WHERE l.package = m.package AND l.j = m.j AND l.i = m.i) AND package NOT IN (SELECT package FROM closed)""")
 def j17_orphan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    li = table(spark, sf_dir, "lineitem")
     p = li.select(F.floor(F.col("l_orderkey") / 4).alias("package"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("k"), (F.col("l_orderkey") % 4).alias("j"))
     path = F.concat(F.lit("word/media/Image"), "j", F.lit("_"), "i", F.lit(".png"))
     owner = F.concat(F.lit("word/part"), "j", F.lit(".xml"))
@@ -184,13 +184,15 @@ def j17_orphan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.orphan_parts(media.union(owners).union(rel_parts), rels, overrides, attrs)
 
 
-_GRAPH = "edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber <= 2 UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_linenumber = 3 AND l_partkey % 50 = 0), nodes AS (SELECT 'c' || c_custkey AS node FROM customer UNION SELECT 'o' || o_orderkey FROM orders UNION SELECT 'p' || p_partkey FROM part), seen AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_nationkey = 3 UNION SELECT dst FROM edges JOIN seen ON src = node)"
+_GRAPH = "edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 'o' || max(l_orderkey) FROM lineitem GROUP BY l_partkey), nodes AS (SELECT 'c' || c_custkey AS node FROM customer UNION SELECT 'o' || o_orderkey FROM orders UNION SELECT 'p' || p_partkey FROM part), seen AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_nationkey = 3 UNION SELECT dst FROM edges JOIN seen ON src = node)"
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     o, li, c, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "part"))
     name = lambda k, col: F.concat(F.lit(k), F.col(col))
-    edges = o.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")).union(li.where("l_linenumber <= 2").select(name("o", "l_orderkey"), name("p", "l_partkey"))).union(li.where("l_linenumber = 3 AND l_partkey % 50 = 0").select(name("p", "l_partkey"), name("o", "l_orderkey")))
+    # every part points back at its last order
+    back = li.groupBy("l_partkey").agg(F.max("l_orderkey").alias("last"))
+    edges = o.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")).union(li.select(name("o", "l_orderkey"), name("p", "l_partkey"))).union(back.select(name("p", "l_partkey"), name("o", "last")))
     nodes = c.select(name("c", "c_custkey").alias("node")).union(o.select(name("o", "o_orderkey"))).union(p.select(name("p", "p_partkey")))
     return nodes, edges, c.where("c_nationkey = 3").select(name("c", "c_custkey").alias("node"))
 
@@ -211,7 +213,7 @@ def j21_dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(with_tables("items") + """, b AS (SELECT doc_id, page, seq * 2 AS seq, CASE WHEN doc_id % 5 = 1 AND seq % 600 = 9 THEN '?' ELSE str END AS str, x + 0.005 AS x, y FROM items WHERE NOT (doc_id % 7 = 2 AND seq % 600 = 20)),
 bad AS (SELECT DISTINCT i.doc_id, i.page FROM items i LEFT JOIN b ON b.doc_id = i.doc_id AND b.seq = 2 * i.seq WHERE b.seq IS NULL OR b.str <> i.str)
-SELECT doc_id, page, seq AS a_seq, seq * 2 AS b_seq FROM items WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM bad)""")
+SELECT doc_id, page, seq AS a_seq, seq * 2 AS b_seq FROM items ANTI JOIN bad USING (doc_id, page)""")
 def j20_align_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = items_of(spark, sf_dir)
     d, s = F.col("doc_id"), F.col("seq")
@@ -237,10 +239,10 @@ def j13_export_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.export_fields(w, v)
 
 
-@add(f"WITH {_WIDGETS}, n AS (SELECT src_id, name, min_by(kind, ord) AS kind FROM wd GROUP BY ALL), fl AS (SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Off' ELSE 'x' || p_partkey END AS value FROM part WHERE p_partkey BETWEEN 150 AND 260) SELECT name, src_id, kind, CASE WHEN value = 'Off' THEN '' ELSE value END AS value FROM fl LEFT JOIN n USING (name)")
+@add(f"WITH {_WIDGETS}, n AS (SELECT src_id, name, min_by(kind, ord) AS kind FROM wd GROUP BY ALL), fl AS (SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Off' ELSE 'x' || p_partkey END AS value FROM part) SELECT name, src_id, kind, CASE WHEN value = 'Off' THEN '' ELSE value END AS value FROM fl LEFT JOIN n USING (name)")
 def j14_import_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    fields = table(spark, sf_dir, "part").where(k.between(150, 260)).select(F.concat(F.lit("f"), k).alias("name"), F.when(k % 2 == 0, "Off").otherwise(F.concat(F.lit("x"), k)).alias("value"))
+    fields = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), k).alias("name"), F.when(k % 2 == 0, "Off").otherwise(F.concat(F.lit("x"), k)).alias("value"))
     return reconcile.import_fields(fields, widgets(spark, sf_dir)[0])
 
 
@@ -272,10 +274,10 @@ def q3_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", F.unix_micros("saved_at").alias("saved_us"), "value")
 
 
-@add("WITH w AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS s FROM (SELECT doc_id, string_split(substr(text, 1, 4000), ' ') AS t FROM documents)) SELECT doc_id, i AS seq, trim(s) AS text, least(i % 50, (i * 7) % 40)::DOUBLE AS x0, greatest(i % 50, (i * 7) % 40)::DOUBLE AS x1, least(100, greatest(0, i % 140 - 20))::DOUBLE AS confidence FROM w WHERE regexp_matches(s, '[^ \\n]')")
+@add("WITH w AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS s FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)) SELECT doc_id, i AS seq, trim(s) AS text, least(i % 50, (i * 7) % 40)::DOUBLE AS x0, greatest(i % 50, (i * 7) % 40)::DOUBLE AS x1, least(100, greatest(0, i % 140 - 20))::DOUBLE AS confidence FROM w WHERE regexp_matches(s, '[^ \\n]')")
 def s4_ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 4000), " ")).alias("i", "s"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "s"))
     word = F.struct(F.col("s").alias("text"), F.struct((i % 50).cast("double").alias("x0"), F.lit(0.0).alias("y0"), ((i * 7) % 40).cast("double").alias("x1"), F.lit(9.0).alias("y1")).alias("bbox"), (i % 140 - 20).cast("double").alias("confidence"), i.cast("long").alias("seq"))
     nested = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", word.alias("w")))).alias("ws")).select("doc_id", F.transform("ws", lambda x: x["w"]).alias("ws"))
     line = F.struct(F.col("ws").alias("words"))
@@ -314,7 +316,8 @@ def x6_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e1_markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipelines import markdown_corpus
 
-    return markdown_corpus(items_of(spark, sf_dir), derived.redactions(items_of(spark, sf_dir)), derived.rules(items_of(spark, sf_dir)))
+    pages = derived.pages(spark, sf_dir)
+    return markdown_corpus(items_of(spark, sf_dir), derived.redactions(pages), derived.rules(pages))
 
 
 @add()
@@ -322,4 +325,5 @@ def e2_table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipelines import table_csv
 
     items = items_of(spark, sf_dir)
-    return table_csv(items.withColumn("w", F.least("w", F.lit(30.0))), derived.redactions(items), derived.rules(items))
+    pages = derived.pages(spark, sf_dir)
+    return table_csv(items.withColumn("w", F.least("w", F.lit(30.0))), derived.redactions(pages), derived.rules(pages))

@@ -26,7 +26,7 @@ lattice AS (SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id, page O
 
 def lattice_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    return tables.lattice_tables(items, derived.rules(items))
+    return tables.lattice_tables(items, derived.rules(derived.pages(spark, sf_dir)))
 
 
 @add(with_tables("rules") + f", {_LATTICE} SELECT * FROM lattice")
@@ -37,14 +37,14 @@ def w2_lattice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(with_tables("rules") + f", {_LATTICE} SELECT doc_id, page, r::INT AS r, c::INT AS c, text FROM cells")
 def j9_assign_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    return tables.assign_cells(items, tables.lattice_bounds(derived.rules(items)))
+    return tables.assign_cells(items, tables.lattice_bounds(derived.rules(derived.pages(spark, sf_dir))))
 
 
 @add(with_tables("items") + """, reg AS (SELECT DISTINCT doc_id, page, 112.0 AS x0, 400.0 AS y0, 312.0 AS x1, 650.0 AS y1 FROM items WHERE doc_id % 4 = 1)
 SELECT doc_id, page, seq FROM items i WHERE NOT EXISTS (SELECT 1 FROM reg g WHERE g.doc_id = i.doc_id AND g.page = i.page AND i.x BETWEEN x0 AND x1 AND i.y BETWEEN y0 AND y1)""")
 def j10_drop_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items_of(spark, sf_dir)
-    regions = derived.pages_of(items).where("doc_id % 4 = 1").select("doc_id", "page", F.lit(112.0).alias("x0"), F.lit(400.0).alias("y0"), F.lit(312.0).alias("x1"), F.lit(650.0).alias("y1"))
+    regions = derived.pages(spark, sf_dir).where("doc_id % 4 = 1").select("doc_id", "page", F.lit(112.0).alias("x0"), F.lit(400.0).alias("y0"), F.lit(312.0).alias("x1"), F.lit(650.0).alias("y1"))
     return tables.drop_in_regions(items, regions).select("doc_id", "page", "seq")
 
 

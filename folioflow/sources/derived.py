@@ -15,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt by doc_id: what is grouped by document or page later on is not shuffled as items, which are many times larger."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each space-parted token of a text, with a text matrix a-f."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("seq", "str"))
+    tokens = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("seq", "str"))
     seq = F.col("seq")
     size = F.when(seq % WORDS_A_PAGE < WORDS_A_ROW, 18.0).otherwise(12.0)
     flat = (seq % 50 == 7) | (seq % 50 == 8)
@@ -38,26 +43,32 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`pages_of` gives for the items of all documents, without a row for each item."""
+    tokens = F.transform(F.split("text", " "), lambda t, i: F.when(t.rlike(r"\S"), F.floor(i / WORDS_A_PAGE).cast("int")))
+    numbers = F.array_compact(F.array_distinct(tokens))
+    return texts(spark, sf_dir).select("doc_id", F.explode(numbers).alias("page")).select("doc_id", "page", F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"))
+
+
 def pages_of(items: DataFrame) -> DataFrame:
     return items.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"))
 
 
-def redactions(items: DataFrame) -> DataFrame:
+def redactions(pages: DataFrame) -> DataFrame:
     """One box a page (y_down is measured from the top)."""
-    return pages_of(items).select("doc_id", "page", (72 + F.col("doc_id") % 12 * 40).cast("double").alias("rx"), (72 + (F.col("doc_id") + F.col("page")) % 40 * 14).cast("double").alias("ry_down"), F.lit(80.0).alias("rw"), F.lit(28.0).alias("rh"))
+    return pages.select("doc_id", "page", "page_height", (72 + F.col("doc_id") % 12 * 40).cast("double").alias("rx"), (72 + (F.col("doc_id") + F.col("page")) % 40 * 14).cast("double").alias("ry_down"), F.lit(80.0).alias("rw"), F.lit(28.0).alias("rh"))
 
 
-def rules(items: DataFrame) -> DataFrame:
+def rules(pages: DataFrame) -> DataFrame:
     """A ruled grid on the pages of every fifth document; each upright line is drawn twice, a point apart."""
-    pages = pages_of(items).where("doc_id % 5 = 0").select("doc_id", "page")
+    pages = pages.where("doc_id % 5 = 0").select("doc_id", "page")
     flat = pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("k")).select("doc_id", "page", F.lit(70.0).alias("x"), (730.0 - 14 * F.col("k")).alias("y"), F.lit(480.0).alias("w"), F.lit(1.0).alias("h"))
     upright = pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(25))).alias("k")).select("doc_id", "page", (70.0 + 40 * F.floor(F.col("k") / 2) + F.col("k") % 2).alias("x"), F.lit(30.0).alias("y"), F.lit(1.0).alias("w"), F.lit(700.0).alias("h"))
     return flat.unionByName(upright)
 
 
-def links(items: DataFrame) -> DataFrame:
+def links(pages: DataFrame) -> DataFrame:
     """Three boxes a page, the last two overlapping."""
-    pages = pages_of(items).select("doc_id", "page")
     k = F.col("ord")
     return pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord")).select(
         "doc_id", "page", "ord", F.concat(F.lit("https://example.com/"), F.col("doc_id"), F.lit("/"), k).alias("url"),
@@ -67,7 +78,7 @@ def links(items: DataFrame) -> DataFrame:
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each text as paragraphs, twenty a page."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     n = F.col("line")
     return lines.select("doc_id", n.cast("long").alias("ord"), F.floor(n / 20).cast("int").alias("page"), "text", (780.0 - 39 * (n % 20)).alias("y"), F.when(n % 20 == 1, 20.0).when(n % 7 == 3, 14.0).otherwise(10.0).alias("size"), F.lit(PAGE_HEIGHT).alias("page_height"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.geometry import to_content_box, to_content_point
 from folioflow.functions.text import is_arabic
 
 #: The recognition languages that a code may name.
@@ -49,5 +50,32 @@ def normalize_language(code, default: str = "eng"):
 
 
 def word_placement(words: DataFrame, *, scale: float, page_height: float) -> DataFrame:
-    """Adds px, py, pw, ph in points (y up, a point at least) of words recognised at ``scale``."""
+    """Adds px, py, pw, ph in points (y up, a point at least) of words recognised at ``scale``, and where the text's own width is known (text_w) the squeeze in per cent, within 10 and 1000, that makes it fit."""
+    if "text_w" in words.columns:
+        fit = 100 * F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) / scale) / F.col("text_w")
+        words = words.withColumn("squeeze", F.when(F.col("text_w") > 0, F.least(F.lit(1000.0), F.greatest(F.lit(10.0), fit))).otherwise(100.0))
     return words.withColumns({"px": F.col("x0") / scale, "py": page_height - F.col("y1") / scale, "pw": F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) / scale), "ph": F.greatest(F.lit(1.0), (F.col("y1") - F.col("y0")) / scale)})
+
+
+def unrotate_words(words: DataFrame, *, width: float, height: float) -> DataFrame:
+    """Words (x0, y0, x1, y1; y down) recognised on an image that was turned clockwise by ``rotation``, on the upright image of the given size; other turns than quarter ones are left out."""
+    turn = F.pmod("rotation", F.lit(360))
+    b = to_content_box(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(width), F.lit(height), turn)
+    upright = words.where(turn.isin(0, 90, 180, 270)).withColumns({f"__{k}": v for k, v in b.items()})
+    return upright.withColumns({"x0": F.col("__bx0"), "y0": F.col("__by0"), "x1": F.col("__bx1"), "y1": F.col("__by1")}).drop(*[f"__{k}" for k in b])
+
+
+#: What the single-byte Latin code page has beyond ASCII and Latin-1.
+LATIN_EXTRA = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
+def word_script(text: Column) -> Column:
+    """arabic, latin (all of it can be written in the single-byte Latin code page) or skipped."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "skipped").when(is_arabic(text), "arabic").when(text.rlike(rf"^[\x20-\x7E\xA0-\xFF{LATIN_EXTRA}]+$"), "latin").otherwise("skipped")
+
+
+def word_elements(words: DataFrame, *, page_width: float, page_height: float) -> DataFrame:
+    """Overlay boxes (x, y, w, h, font_size; y down) of words (x0, y0, x1, y1) as shown on a page turned by ``rotation``: eight points at least, the font 0.8 of the height and six at least, placed by their centre in the page's own frame."""
+    w, h = F.greatest(F.lit(8.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(8.0), F.col("y1") - F.col("y0"))
+    cx, cy = to_content_point(F.col("x0") + w / 2, F.col("y0") + h / 2, F.lit(page_width), F.lit(page_height), F.col("rotation"))
+    return words.withColumns({"x": cx - w / 2, "y": cy - h / 2, "w": w, "h": h, "font_size": F.greatest(F.lit(6), F.floor(0.8 * h + 0.5)).cast("int")})

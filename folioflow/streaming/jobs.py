@@ -46,6 +46,17 @@ def debounce(events: DataFrame, *, key: str = "key", ts: str = "ts", gap: str =
     return events.groupBy(key, w.alias("burst")).agg(F.max_by("value", F.struct(ts, "tie")).alias("value")).select(key, F.col("burst.end").alias("saved_at"), "value")
 
 
+def debounce_stream(events: DataFrame, *, key: str = "key", ts: str = "ts", gap: str = "800 milliseconds", delay: str = "10 seconds") -> DataFrame:
+    """The rows of :func:`debounce` from a stream, each when the watermark (``delay`` behind the latest change) has passed its burst; write them in append mode."""
+    return debounce(events.withWatermark(ts, delay), key=key, ts=ts, gap=gap)
+
+
+def upsert_saved(batch: DataFrame, state: DataFrame, *, key: str = "key") -> DataFrame:
+    """The state with the latest save of each key: for a foreachBatch sink; a save that comes late does not replace a later one."""
+    every = state.select(key, "saved_at", "value").unionByName(batch.select(key, "saved_at", "value"))
+    return every.groupBy(key).agg(F.max("saved_at").alias("saved_at"), F.max_by("value", "saved_at").alias("value"))
+
+
 class Assembler(StatefulProcessor):
     """Parts of a group until all are there; a conflict drops the group, and an idle group expires."""
 
