@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Words of a generation; a Python worker keeps the encodings of two, and what is used again moves to the younger.
 CACHE_WORDS = 150_000
 
@@ -207,4 +209,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, keep_ids: bool = True)
                     kinds |= {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k], v) for k, v in kinds.items()], names=list(kinds))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 Distinct fingerprints are dealt to shards by two of their four 16-bit bands: two fingerprints that differ
 in at most two bits agree in two bands at least, so every link lies inside a shard. A shard's BK-tree keys
 the children of a node by their Hamming distance to it, and a search follows only the edges within the
-radius. Trees stay where their shard's rows are, since trees of all documents have no size bound that would
-allow a broadcast. A shard gives a spanning forest of its links, never all pairs, and the forests are joined
+radius. A shard of more than ``SHARD`` fingerprints is cut into blocks by hash; the tree of each block is sent
+to every later block of its shard, which searches it, so that no task holds more than two blocks however many
+fingerprints agree. Trees are not broadcast to all tasks: all together have no size bound. A shard gives a spanning forest of its links, never all pairs, and the forests are joined
 by connected components over fingerprints. Copies share a fingerprint and are one node.
 
 Defined results: a null text, an empty one, or one without a word has fingerprint zero and is linked like
@@ -22,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key
+from .common import checkpointed, row_key, small_batches, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Shingles whose bits are counted at once.
-BLOCK = 50_000
+#: Shingles whose bits are counted at once, and fingerprints of a block of a shard.
+BLOCK, SHARD = 50_000, 20_000
 
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -105,17 +106,17 @@ def shard_forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(v, values[r]) for i, v in enumerate(values) if (r := root(i)) != i]
 
 
-def fingerprints(docs: DataFrame, *, keyed: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and, if ``keyed``, key (from __key) of each row."""
-    names = ["doc_id", "fp", "key"] if keyed else ["doc_id", "fp"]
+def fingerprints(docs: DataFrame, *, key: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and key (from the column of that name, if one is given) of each row."""
+    names = ["doc_id", "fp", "key"] if key else ["doc_id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), *batch.columns[2:]], names=names)
 
-    read = ["doc_id", "text", "__key"] if keyed else ["doc_id", "text"]
-    return docs.select(*read).mapInArrow(run, "doc_id long, fp long" + ", key string" * keyed)
+    read = ["doc_id", "text", key] if key else ["doc_id", "text"]
+    return small_batches(docs).select(*read).mapInArrow(run, "doc_id long, fp long" + ", key string" * bool(key))
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -148,7 +149,13 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(open_keys):
             yield closed(open_keys, open_fps)
 
-    dealt = fps.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    sharded = fps.select(F.explode(keys).alias("key"), "fp")
+    # a shard is cut where it is large; two blocks meet in a task, whose key is made of the shard's and theirs
+    large = sharded.groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("key", "of")
+    cut = sharded.join(large, F.col("key") == F.col("of"), "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
+    meets = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(others, lambda b: F.xxhash64("key", F.least("own", b), F.greatest("own", b))))
+    dealt = cut.select(F.explode(meets).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -174,9 +181,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """One row of each component: of the smallest doc_id, then of the least hash of id and text; of equal rows one."""
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    rows = checkpointed(fingerprints(keyed, keyed=True))
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    rows = checkpointed(fingerprints(keyed, key=key))
     placed = _placed(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first")), radius)
-    staying = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__staying"))
-    kept = keyed.join(staying, F.col("__key") == F.col("__staying"), "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    staying = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("staying"))
+    kept = keyed.join(staying, keyed[key] == staying["staying"], "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

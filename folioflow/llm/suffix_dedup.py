@@ -3,14 +3,15 @@
 Candidates. In each window of ``LEAST`` bytes the leftmost smallest hash of its ``LEAST / 2``-byte strings
 marks an anchor. The mark depends on the window's content alone, so equal windows have an anchor at the same
 place, and every repeat shares an anchor string. Anchors are grouped by the hash of their string (64 bits)
-and of their context (the bytes that windows around the anchor can reach); a task sends an equal context once.
+and the 128-bit BLAKE2b digest of their context (the bytes that windows around the anchor can reach); a task
+sends an equal context once. The digest is cryptographic, so contexts count as equal only if their bytes are.
 
 Resolution. Anchors whose context occurs twice are inside a repeat as far as the context goes. The distinct
 contexts of an anchor string are resolved by an enhanced suffix array: suffixes from the anchor are sorted, the
 common-prefix intervals are found by a stack scan, and in each interval the contexts are sorted by what stands
 to the left. Groups whose left and right neighbours differ are maximal repeats, and all their occurrences of
 ``LEAST`` bytes or more are marked. A string with more than ``HOT`` distinct contexts would be an unbounded
-group; it is split by content down to its windows, whose hashes are counted in buckets of their own, so
+group; it is split by content down to its windows, whose digests are counted in buckets of their own, so
 that the windows that contexts share meet wherever the contexts are.
 
 Defined results: a null text has no bytes; texts under ``LEAST`` bytes lose nothing; windows never cross
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 from .hashing import mix, prefix_sums, span_hashes
 
 LEAST = 400
@@ -69,26 +70,29 @@ def leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(chosen[keep]).astype(np.int64)
 
 
-def anchors(data: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes of the anchor strings and of the contexts."""
+def anchors(data: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchor strings."""
     half, n = least // 2, len(data)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(0, max(0, n - least + 1), SEGMENT):
         end = min(s + SEGMENT, n - least + 1)  # window starts s..end-1
-        low, high = max(0, s - half), min(n, end + 2 * least)
+        low, high = s, min(n, end + 2 * least)
         sums = prefix_sums(data[low:high])
         start = np.arange(s - low, end + least - half - low)
         h = span_hashes(sums, start, start + half)
         at = leftmost_minima((h >> np.uint64(32)).astype(np.uint32), least - half + 1)
-        place = at + s
-        left, right = np.minimum(place, half), np.minimum(n - place, least)
-        context = span_hashes(sums, place - left - low, place + right - low)
-        found.append((place, h[at], mix(context + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        found.append((at + s, h[at]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    place, key, context = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place, key = (np.concatenate(x) for x in zip(*found, strict=True))
     place, first = np.unique(place, return_index=True)
-    return place, key[first], context[first]
+    return place, key[first]
+
+
+def digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128 bits of each part, as two columns."""
+    new = hashlib.blake2b
+    return np.frombuffer(b"".join([new(p, digest_size=16).digest() for p in parts]), "<u8").reshape(-1, 2)
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------
@@ -133,8 +137,8 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], least: int = LEAST) ->
 
 # --- records ---------------------------------------------------------------------------------------
 
-_ANCHOR = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2"), ("many", "<u1")])
-_WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("many", "<u1")])
+_ANCHOR = np.dtype([("key", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2"), ("many", "<u1")])
+_WINDOW = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("many", "<u1")])
 _REF = np.dtype([("pos", "<i4"), ("key", "<u8"), ("need", "<u1"), ("hot", "<u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("stop", "<i4")])
 
@@ -273,7 +277,7 @@ def candidate_texts(texts: DataFrame, buckets: int) -> DataFrame:
         names = ["bucket", "records", "spans"]
 
         def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            spans, one = _settle(np.concatenate(held), ("key", "context"))
+            spans, one = _settle(np.concatenate(held), ("key", "c0", "c1"))
             rows = [(k, blob, None) for k, blob in _routed(one, buckets)]
             spans = _joined(spans)
             if len(spans):
@@ -284,13 +288,15 @@ def candidate_texts(texts: DataFrame, buckets: int) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(_bytes(text), np.uint8)
-                if len(data) < LEAST:
+                body = _bytes(text)
+                if len(body) < LEAST:
                     continue
-                place, key, context = anchors(data)
+                place, key = anchors(np.frombuffer(body, np.uint8))
                 r = np.empty(len(place), _ANCHOR)
-                r["key"], r["context"], r["doc"], r["tag"], r["pos"], r["many"] = key, context, doc, tag, place, 0
-                r["left"], r["right"] = np.minimum(place, LEAST // 2), np.minimum(len(data) - place, LEAST)
+                r["left"], r["right"] = np.minimum(place, LEAST // 2), np.minimum(len(body) - place, LEAST)
+                # the same bytes at another distance from the text's start are another context
+                context = digests(b"%d:" % a + body[p - a : p + b] for p, a, b in zip(place.tolist(), r["left"].tolist(), r["right"].tolist(), strict=True))
+                r["key"], r["c0"], r["c1"], r["doc"], r["tag"], r["pos"], r["many"] = key, context[:, 0], context[:, 1], doc, tag, place, 0
                 held.append(r)
                 n += len(r)
                 if n > HOLD:
@@ -305,7 +311,7 @@ def candidate_texts(texts: DataFrame, buckets: int) -> DataFrame:
         def close() -> None:
             nonlocal n
             # each task has sent a context once: what stands alone in its group of equal contexts is unresolved
-            r, group = _groups(np.concatenate(held), "key", "context")
+            r, group = _groups(np.concatenate(held), "key", "c0", "c1")
             many = np.bincount(group, weights=1 + r["many"])[group] > 1
             key = np.cumsum(np.concatenate([[False], r["key"][1:] != r["key"][:-1]]))
             first = np.concatenate([[True], group[1:] != group[:-1]])
@@ -352,7 +358,7 @@ def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> Dat
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            spans, one = _settle(np.concatenate(windows), ("key",))
+            spans, one = _settle(np.concatenate(windows), ("key", "more"))
             rows = [(-1 - k, None, None, None, None, None, blob) for k, blob in _routed(one, buckets)]
             spans = _joined(spans)
             if len(spans):
@@ -372,8 +378,8 @@ def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> Dat
                         start = np.arange(len(context) - LEAST + 1)
                         w = np.empty(len(start), _WINDOW)
                         # a window is counted for this anchor string and place: it may hold other anchors, too
-                        same = np.uint64(key) + (left - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        w["key"] = mix(span_hashes(prefix_sums(np.frombuffer(context, np.uint8)), start, start + LEAST) ^ mix(same))
+                        found = digests(b"%d:%d:" % (key, left - s) + context[s : s + LEAST] for s in start.tolist())
+                        w["key"], w["more"] = found[:, 0], found[:, 1]
                         w["doc"], w["tag"], w["pos"], w["many"] = doc, tag, start + pos - left, not need
                         windows.append(w)
                         n += len(w)
@@ -393,7 +399,7 @@ def resolved_spans(texts: DataFrame, candidates: DataFrame, buckets: int) -> Dat
         def close() -> None:
             nonlocal n
             if windows:
-                spans.append(_settle(np.concatenate(windows), ("key",))[0])
+                spans.append(_settle(np.concatenate(windows), ("key", "more"))[0])
             if len(group) > 1:
                 contexts = [(c[:left][::-1], c[left:]) for _, _, _, left, _, c in group]
                 found = [(g[0], g[1], g[2] - l, g[2] + r) for l, r, members in maximal_repeats(contexts) for g in (group[m] for m in members) if g[4]]
@@ -450,7 +456,7 @@ def spans_by_text(packed: DataFrame) -> DataFrame:
 
 def remove_repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_spans``, spans (array of start, stop) of each row."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(256, -(-size // BUCKET_BYTES))
     texts = _identified(docs)
     candidates = checkpointed(candidate_texts(texts, buckets))

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe_codec import byte_symbols
+from .common import small_batches
 
 #: Characters of a chunk, and of the texts that are scanned together.
 CHUNK, SCAN = 128, 2_000_000
@@ -305,4 +306,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFr
                 sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

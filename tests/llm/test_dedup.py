@@ -164,7 +164,10 @@ def test_bk_tree_forest():
     assert joined(values, lambda a, b: (a, b) in forest or (b, a) in forest) == want
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("shard", [simhash_dedup.SHARD, 3])
+def test_near_duplicates(spark, monkeypatch, shard):
+    """With whole shards, and with shards cut into many blocks."""
+    monkeypatch.setattr(simhash_dedup, "SHARD", shard)
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(5, long), (3, long + " tail"), (9, long.upper()), (7, None), (8, ""), (6, " \n"), (4, "A b"), (2, "a B"), (10, "é x y z é x"), (3, long + " tail")]
     fp = {(d, t): fingerprint(t) for d, t in rows}
@@ -181,6 +184,25 @@ def test_near_duplicates(spark):
     assert simhash_dedup.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_a_shard_that_very_many_fingerprints_share(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "SHARD", 50)
+    rng = random.Random(4)
+    # two bands alike for all, so every fingerprint is in one shard
+    fps = sorted({rng.getrandbits(32) & 0x3F3F for _ in range(900)} | {(1 << 40) + 3})
+    links = [(r.a, r.b) for r in simhash_dedup.near_links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert {f: root(f) for f in fps} == joined(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
