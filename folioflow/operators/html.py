@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from folioflow.functions.text import allowed_scheme
 
-#: Elements that go with their content, and style properties that stay.
+#: Elements that go with their content, and style properties that stay.
 DROPPED = {"xml", "style", "meta", "link", "title", "script"}
 STYLES = {"font-weight", "font-style", "text-decoration", "color", "text-align"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "col", "wbr"}

@@ -95,9 +95,15 @@ def x1_search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "page", "seq", "start", "found", F.round("mx", 6).alias("mx"), F.round("mw", 6).alias("mw"))
 
 
-@add()
+@add(with_tables("items") + " SELECT doc_id, page, seq FROM items WHERE contains(lower(str), 'the') AND seq % 3 < 2")
 def x2_search_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_normalized(items_of(spark, sf_dir), "fi")
+    """Items in full-width letters, and in full-width letters backwards, hold the query only in their compatibility form."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    wide = F.translate(F.lower("str"), letters, "".join(chr(0xFF41 + i) for i in range(26)))
+    k = F.col("seq") % 3
+    # a word that reads the same both ways, or holds the query backwards, is found as well, so others stay in ASCII
+    hidden = F.when(F.lower("str").contains("the"), F.when(k == 0, wide).when(k == 1, F.reverse(wide)).otherwise(F.col("str"))).otherwise(F.col("str"))
+    return search.search_normalized(items_of(spark, sf_dir).withColumn("str", hidden), "the")
 
 
 @add("""WITH l AS (SELECT doc_id, unnest(range(len(t)))::INT AS block, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
 from folioflow.functions.fonts import normalize_fonts
-from folioflow.operators import document, html, layout, manifest, reconcile, redact, search, tables
+from folioflow.functions.bidi import logical
+from folioflow.operators import document, html, layout, manifest, reconcile, redact, search, tables, tagged
 from folioflow.sources import ocr
 from folioflow.streaming import jobs
 
@@ -238,3 +239,72 @@ def test_streams_give_what_the_batch_jobs_give(spark, tmp_path):
     got = {(r.group_key, r.body) for r in spark.table("assembled").collect()}
     want = {(r.group_key, r.body) for r in jobs.assemble(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert got == want
+
+
+def test_columns_are_cut_again(spark):
+    rows = [(f"{c}{r}", x, 700.0 - 14 * r, 40.0, 12.0) for r in range(8) for c, x in enumerate((60.0, 240.0, 420.0))]
+    got = {r.str: r.col for r in layout.split_columns(items(spark, rows), pages(spark)).collect()}
+    assert got == {f"{c}{r}": c for r in range(8) for c in range(3)}
+    once = {r.str: r.col for r in layout.split_columns(items(spark, rows), pages(spark), depth=1).collect()}
+    assert len(set(once.values())) == 2
+
+
+def test_slabs_with_few_lines_stay_whole(spark):
+    full = [(f"f{r}", 60.0, 700.0 - 14 * r, 480.0, 12.0) for r in range(4)]
+    two = lambda n: [(f"w{c}{r}", x, 580.0 - 14 * r, 160.0, 12.0) for r in range(n) for c, x in enumerate((60.0, 360.0))]
+    got = {r.str: (r.slab, r.col) for r in layout.split_slabs(items(spark, full + two(7)), pages(spark)).collect()}
+    assert {got[f"f{r}"] for r in range(4)} == {(0, 0)} and {got[f"w1{r}"] for r in range(7)} == {(1, 1)} and {got[f"w0{r}"] for r in range(7)} == {(1, 0)}
+    assert {(r.slab, r.col) for r in layout.split_slabs(items(spark, full + two(4)), pages(spark)).collect()} == {(0, 0)}
+
+
+def test_visual_strings_are_read_in_order():
+    assert logical("مالس"[::1]) == "سلام" and logical("plain (1)") == "plain (1)" and logical(None) is None
+    assert logical("(abc) مالس") == "سلام (abc)" and logical("12.5 مالس") == "سلام 12.5"
+
+
+def test_tree_blocks(spark):
+    role = {0: ("Document", None), 1: ("H2", 0), 2: ("L", 0), 3: ("LI", 2), 4: ("P", 3), 5: ("L", 3), 6: ("LI", 5), 7: ("Figure", 0), 8: ("P", 7), 9: ("Table", 0), 10: ("TR", 9), 11: ("TD", 10), 12: ("Span", 11), 13: ("P", 0)}
+    nodes = spark.createDataFrame([(1, n, p, n, r) for n, (r, p) in role.items()], "doc_id long, node_id long, parent_id long, ord long, role string")
+    its = spark.createDataFrame([(1, n, n, f"t{n}") for n in (1, 3, 4, 6, 8, 12)], "doc_id long, leaf_id long, seq long, str string")
+    got = {r.node_id: (r.kind, r.level, r.depth, r.table_id, r.text) for r in tagged.tree_blocks(nodes, its).collect()}
+    assert got == {1: ("heading", 2, 0, None, "t1"), 3: ("item", 0, 1, None, "t3 t4"), 6: ("item", 0, 2, None, "t6"), 11: ("cell", 0, 0, 9, "t12")}
+
+
+def test_elements_follow_a_turned_page(spark):
+    point = "array<struct<x: double, y: double>>"
+    el = spark.createDataFrame([(1, "box", 10.0, 20.0, 30.0, 40.0, None), (1, "arrow", 10.0, 20.0, 30.0, 40.0, [(10.0, 20.0), (40.0, 60.0)]), (2, "box", 1.0, 2.0, 3.0, 4.0, None)], f"page_id int, kind string, x double, y double, w double, h double, points {point}")
+    turned = spark.createDataFrame([(1, 90, 600.0, 800.0)], "page_id int, turn int, page_w double, page_h double")
+    got = {(r.page_id, r.kind): (r.x, r.y, r.w, r.h) for r in manifest.rotate_elements(el, turned).collect()}
+    assert got == {(1, "box"): (745.0, 5.0, 30.0, 40.0), (1, "arrow"): (740.0, 10.0, 40.0, 30.0), (2, "box"): (1.0, 2.0, 3.0, 4.0)}
+
+
+def test_undecided_lines(spark):
+    row = lambda para, line, right, left, x0, x1: (1, 0, para, line, right, left, x0, x1, 10.0, 0.0, 100.0)
+    rows = [row(0, 0, 9, 1, 0.0, 100.0), row(0, 1, 5, 5, 0.0, 100.0), row(1, 2, 5, 5, 40.0, 100.0), row(1, 3, 5, 5, 0.0, 100.0), row(2, 4, 5, 5, 0.0, 100.0)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, para int, line int, right int, left int, x0 double, x1 double, size double, c0 double, c1 double")
+    assert {r.line: r.rtl for r in tagged.settle_lines(lines).collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_large_numerals(spark):
+    r = spark.range(1).select(text.roman(F.lit(4001)).alias("r"), text.letters_of(F.lit(703)).alias("l"), text.is_roman(F.lit("iiii")).alias("bad"), text.is_roman(F.lit("mcmxciv")).alias("good")).first()
+    assert (r.r, r.l, r.bad, r.good) == ("mmmmi", "aaa", False, True)
+
+
+def test_genre_gate_sees_spaced_leaders(spark):
+    cells = [(1, 0, r, 0, f"Chapter . . . . {r} ") for r in range(5)] + [(2, 0, r, 0, f"term {r}, 12-14, 20 ") for r in range(5)] + [(3, 0, r, 0, "plain words") for r in range(5)]
+    df = spark.createDataFrame(cells, "doc_id long, page int, r int, c int, text string")
+    got = {r.doc_id: (r.is_index, r.is_contents) for r in tables.genre_gate(df).collect()}
+    assert got[1][1] and got[2] == (True, False) and got[3] == (False, False)
+
+
+def test_debounced_stream(spark, tmp_path):
+    rows = [(k, t, t, float(t)) for k in range(3) for t in (0, 1, 2, 100, 101)] + [(9, 10_000, 1, 0.0)]
+    df = spark.createDataFrame(rows, "key long, s long, tie long, value double").select("key", F.timestamp_seconds("s").alias("ts"), "tie", "value")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.debounce_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), gap="10 seconds")
+    q = stream.writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start()
+    q.awaitTermination(120)
+    got = {(r.key, r.value) for r in spark.table("debounced").collect()}
+    assert got == {(k, v) for k in range(3) for v in (2.0, 101.0)}
+    state = jobs.upsert_saved(spark.table("debounced"), spark.table("debounced").limit(0))
+    assert {(r.key, r.value) for r in state.collect()} == {(k, 101.0) for k in range(3)}
