@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality_rules, url_filter
+from . import clustering, decontamination, hard_negatives, minhash_dedup, quality_rules, url_filter
 from .bpe_codec import encode_documents
 from .common import table
 from .language_id import predict_languages
@@ -60,6 +60,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("n_looked")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_substring_dedup,
         op10_quality_rules,
+        op11_minhash_dedup,
+        op12_clustering,
+        op13_hard_negatives,
     )
 }
 
@@ -80,4 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontamination.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_minhash_dedup": minhash_dedup.ORACLE,
+    "op12_clustering": clustering.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
