@@ -43,3 +43,14 @@ def logical_text(c: Column) -> Column:
         return texts.map(logical)
 
     return F.when(c.rlike(RIGHT_TO_LEFT), read(F.when(c.rlike(RIGHT_TO_LEFT), c))).otherwise(c)
+
+
+def normalized(c: Column) -> Column:
+    """Compatibility normal form; only strings with a sign beyond ASCII go through Python."""
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, fold(F.when(wide, c))).otherwise(c)

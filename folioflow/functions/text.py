@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 #: Blocks of Arabic letters.
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
-#: Bullets that begin a list item.
-BULLETS = "•‣◦⁃∙▪●■–-"
+#: Bullets that begin a list item.
+BULLETS = "•◦▪●○→►▸-"
 
 
 def fold_ligatures(c: Column) -> Column:
@@ -81,19 +81,26 @@ def expand_hex(c: Column) -> Column:
 
 
 def list_prefix(c: Column) -> Column:
-    """struct<kind, marker, rest> of a list item, or null; bullets, roman, decimal, lower and upper letters."""
-    bullet = F.regexp_extract(c, rf"^\s*[{BULLETS}]\s+(.*)$", 1)
-    inner = F.regexp_extract(c, r"^\s*\(?([0-9]+|[a-zA-Z]+)[).]\s+.*$", 1)
-    rest = F.regexp_extract(c, r"^\s*\(?(?:[0-9]+|[a-zA-Z]+)[).]\s+(.*)$", 1)
-    paren = c.rlike(r"^\s*\(?[a-zA-Z]+\)")
+    """struct<kind, marker, form, rest> of a list item, or null; bullets, decimals, letters and roman numerals of both cases.
+
+    A mark stands at the very beginning and is followed by a blank. Numbers may be followed by a dot or a closing
+    bracket or stand in two brackets; letters need a bracket, and make a roman numeral only if there are two or
+    more. form shows how the number is written: ``%1.``, ``%1)`` or ``(%1)``.
+    """
+    part = lambda pattern: F.regexp_extract(c, pattern, 1)
+    dotted, closed, both = part(r"^([0-9]+)\.\s"), part(r"^([0-9]+|[a-zA-Z]+)\)\s"), part(r"^\(([0-9]+|[a-zA-Z]+)\)\s")
+    marker = F.concat(dotted, closed, both)  # one of them at most is there
+    one = F.char_length(marker) == 1
     kind = (
-        F.when(c.rlike(rf"^\s*[{BULLETS}]\s+"), "bullet")
-        .when(inner.rlike("^[0-9]+$"), "decimal")
-        .when(paren & (F.char_length(inner) > 1) & is_roman(F.lower(inner)), "roman")
-        .when(paren & inner.rlike("^[a-z]$"), "lower")
-        .when(paren & inner.rlike("^[A-Z]$"), "upper")
+        F.when(c.rlike(rf"^[{BULLETS}]\s"), "bullet")
+        .when(marker.rlike("^[0-9]+$"), "decimal")
+        .when(one & marker.rlike("[a-z]"), "lower")
+        .when(one & marker.rlike("[A-Z]"), "upper")
+        .when(is_roman(F.lower(marker)), F.when(marker == F.upper(marker), "upper_roman").otherwise("roman"))
     )
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(kind != "bullet", inner).alias("marker"), F.when(kind == "bullet", bullet).otherwise(rest).alias("rest")))
+    form = F.when(dotted != "", "%1.").when(closed != "", "%1)").when(both != "", "(%1)")
+    rest = F.regexp_replace(c, r"^\S+\s+", "")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(kind != "bullet", marker).alias("marker"), F.when(kind != "bullet", form).alias("form"), rest.alias("rest")))
 
 
 def roman(n: Column) -> Column:

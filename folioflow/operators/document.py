@@ -80,7 +80,7 @@ def list_ordinals(paras: DataFrame) -> DataFrame:
 
 
 def list_marker(kind: Column, n: Column) -> Column:
-    return F.when(kind == "bullet", "- ").when(kind == "decimal", F.concat(n, F.lit(". "))).when(kind == "lower", F.concat(letters_of(n), F.lit(". "))).when(kind == "upper", F.concat(F.upper(letters_of(n)), F.lit(". "))).when(kind == "roman", F.concat(roman(n), F.lit(". "))).otherwise("")
+    return F.when(kind == "bullet", "- ").when(kind == "decimal", F.concat(n, F.lit(". "))).when(kind == "lower", F.concat(letters_of(n), F.lit(". "))).when(kind == "upper", F.concat(F.upper(letters_of(n)), F.lit(". "))).when(kind == "roman", F.concat(roman(n), F.lit(". "))).when(kind == "upper_roman", F.concat(F.upper(roman(n)), F.lit(". "))).otherwise("")
 
 
 def resolve_anchors(paras: DataFrame, targets: DataFrame) -> DataFrame:

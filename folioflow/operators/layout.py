@@ -94,21 +94,25 @@ def _numbered(extra: list[str], line_of) -> Column:
     return F.transform("rows", lambda r: F.struct(line_of(r).alias("line"), r["seq"].alias("seq"), (-r["down"]).alias("y"), *[r[c].alias(c) for c in extra if c not in ("seq", "y")]))
 
 
-def with_baselines(items: DataFrame, extra: list[str], *, tol: float = 3.0) -> DataFrame:
+def with_baselines(items: DataFrame, extra: list[str], *, tol: float | DataFrame = 3.0) -> DataFrame:
     """doc_id, page, line, seq, y and the columns ``extra``: from the top, an item joins the line whose first baseline is within ``tol`` of its own.
 
-    An item's line depends on its baseline alone, so the fold runs over a page's distinct baselines.
+    An item's line depends on its baseline alone, so the fold runs over a page's distinct baselines. ``tol`` may be
+    a table of the pages' own (tol).
     """
     zero = F.expr("named_struct('head', cast(null as double), 'downs', cast(array() as array<double>), 'lines', cast(array() as array<int>))")
+    within = F.col("tol") if isinstance(tol, DataFrame) else F.lit(tol)
 
     def step(s: Column, down: Column) -> Column:
-        same = F.coalesce(down - s["head"] <= tol, F.lit(False))
+        same = F.coalesce(down - s["head"] <= within, F.lit(False))
         last = F.coalesce(F.try_element_at(s["lines"], F.lit(-1)), F.lit(-1))
         return F.struct(F.when(same, s["head"]).otherwise(down).alias("head"), F.concat(s["downs"], F.array(down)).alias("downs"), F.concat(s["lines"], F.array(F.when(same, last).otherwise(last + 1))).alias("lines"))
 
     downs = F.array_distinct(F.transform("rows", lambda r: r["down"]))
     made = F.aggregate(downs, zero, step, lambda s: _numbered(extra, lambda r: F.get(s["lines"], (F.array_position(s["downs"], r["down"]) - 1).cast("int"))))
-    return _page_rows(items, extra).select(*PAGE, F.inline(made))
+    rows = _page_rows(items, extra)
+    rows = rows.join(tol, PAGE) if isinstance(tol, DataFrame) else rows
+    return rows.select(*PAGE, F.inline(made))
 
 
 def with_lines(items: DataFrame, extra: list[str]) -> DataFrame:
@@ -234,20 +238,56 @@ def split_slabs(items: DataFrame, pages: DataFrame, *, least_words: int = 8, lea
     return judged.join(merged, [*PAGE, "slab"]).withColumn("col", col).withColumn("slab", F.col("merged")).select(*items.columns, "slab", "col")
 
 
-def group_paragraphs(lines: DataFrame) -> DataFrame:
-    """Adds para: lines stay together unless the size jumps by 1 or the gap is over 1.6 sizes and 1.1 of what is usual; list marks begin one.
+def line_shapes(lined: DataFrame) -> DataFrame:
+    """As :func:`joined_lines`, with size (of the longest word), and split: whether two neighbouring words are more than a size apart, as in a row of a table."""
+    w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
+    gaps = lined.withColumn("gap", F.col("x") - F.lag(F.col("x") + F.col("w")).over(w))
+    words = F.array_sort(F.collect_list(F.struct("x", "seq", "str")))
+    size = F.max_by("size", F.struct(F.char_length("str"), -F.col("x")))
+    held = gaps.groupBy(*PAGE, "line").agg(F.max("y").alias("y"), size.alias("size"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("gap").alias("gap"), F.array_join(F.transform(words, lambda i: i["str"]), " ").alias("text"))
+    return held.withColumn("split", F.coalesce(F.col("gap") > F.col("size"), F.lit(False))).drop("gap")
+
+
+#: Gaps between lines, as multiples of their size: a wrapped line's at most, and one's of a page set wide.
+WRAP, WIDE_WRAP = 1.6, 1.75
+
+
+def group_paragraphs(lines: DataFrame, pages: DataFrame | None = None, *, keys: list[str] = PAGE) -> DataFrame:
+    """Adds para to lines (line, y, size, text, x0, x1 and split) of a page or column.
 
-    What is usual is the lower median of the gaps between lines of one size (to half a point), where there are two.
+    Neighbours whose sizes differ by less than 1 stay together if their gap is at most 1.6 sizes; if it is within a
+    tenth of what is usual for the size; or if it is the wide leading of the size and the upper line fills the
+    measure. The last two need a lower line without a list mark. What is usual is the lower median of a size's
+    gaps up to 1.6 sizes, where there are two of them, and sizes are told apart to half a point. Only a size
+    without such gaps has a wide leading: the first gap of up to 1.75 sizes that the next gap repeats to a
+    hundredth. A gap is of that leading to two hundredths; the line above must reach 85 % of the widest line, that
+    30 % of the page, and neither line may be split. Without ``pages`` (page_width) there is no wide leading.
     """
-    w = Window.partitionBy(*PAGE).orderBy("line")
-    half = F.floor(F.col("size") * 2 + 0.5)
-    g = lines.withColumn("gap", F.lag("y").over(w) - F.col("y")).withColumn("before", F.lag("size").over(w)).withColumn("half", half)
-    usual = g.where("gap > 0 AND abs(before - size) < 1").groupBy("doc_id", F.col("half").alias("h")).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by gap)").alias("usual")).where("n >= 2").withColumnRenamed("doc_id", "u_doc")
-    j = g.join(usual, (F.col("doc_id") == F.col("u_doc")) & (F.col("half") == F.col("h")), "left")
-    far = (F.col("gap") > 1.6 * F.col("size")) & ~F.coalesce(F.col("gap") <= 1.1 * F.col("usual"), F.lit(False))
-    new = F.col("gap").isNull() | (F.abs(F.col("size") - F.col("before")) >= 1) | far | list_prefix(F.col("text")).isNotNull()
-    flagged = j.withColumn("new", new.cast("int"))
-    return flagged.withColumn("para", (F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).select(*lines.columns, "para")
+    w = Window.partitionBy(*keys).orderBy("line")
+    up = lambda c: F.lag(c).over(w)
+    size = F.greatest("size", up("size"))
+    g = lines.withColumn("__gap", up("y") - F.col("y")).withColumn("__size", size).withColumn("__same", F.abs(F.col("size") - up("size")) < 1)
+    g = g.withColumn("__half", F.floor(F.col("__size") * 2 + 0.5)).withColumn("__measure", F.max(F.col("x1") - F.col("x0")).over(Window.partitionBy(*keys)))
+    one = Window.partitionBy(*keys, "__half")
+    wrap = F.col("__same") & (F.col("__gap") > 0) & (F.col("__gap") <= WRAP * F.col("__size"))
+    # nth of the sorted samples: the lower median
+    samples = F.array_sort(F.collect_list(F.when(wrap, F.col("__gap"))).over(one))
+    g = g.withColumn("__usual", F.when(F.size(samples) >= 2, F.get(samples, F.floor((F.size(samples) - 1) / 2).cast("int"))))
+    wide = F.col("__same") & (F.col("__gap") > WRAP * F.col("__size")) & (F.col("__gap") <= WIDE_WRAP * F.col("__size")) & F.col("__usual").isNull()
+    g = g.withColumn("__wide", F.when(wide, F.col("__gap")))
+    repeated = F.col("__wide").isNotNull() & (up("__half") == F.col("__half")) & (F.abs(F.col("__wide") - up("__wide")) <= 0.01 * up("__wide"))
+    g = g.withColumn("__found", F.when(repeated, F.struct("line", up("__wide").alias("gap"))))
+    leading = F.min("__found").over(one)["gap"]
+    width = F.lit(None).cast("double")
+    if pages is not None:
+        g = g.join(pages.select(*PAGE, F.col("page_width").alias("__width")), PAGE, "left")
+        width = F.col("__width")
+    marked = list_prefix(F.col("text")).isNotNull()
+    held = (F.col("__measure") >= 0.3 * width) & (F.abs(F.col("__gap") - leading) <= 0.02 * leading) & (up("x1") - up("x0") >= 0.85 * F.col("__measure")) & ~up("split") & ~F.col("split")
+    near = (F.col("__gap") <= WRAP * F.col("__size")) | (~marked & ((F.col("__gap") <= 1.1 * F.col("__usual")) | held))
+    new = F.when(F.coalesce(F.col("__same") & near, F.lit(False)), 0).otherwise(1)
+    flagged = g.withColumn("__new", new)
+    return flagged.withColumn("para", (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).select(*lines.columns, "para")
 
 
 def build_runs(items: DataFrame, lines: DataFrame) -> DataFrame:

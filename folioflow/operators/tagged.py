@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import ARABIC
+from folioflow.functions.bidi import normalized
+from folioflow.functions.text import is_arabic, letter_count
 
 from .document import by_level
-from .layout import PAGE, LINE_COLUMNS, with_lines
+from .layout import LINE_COLUMNS, PAGE, with_baselines
 from .search import match_offsets, pattern_of
 
 
@@ -43,37 +44,100 @@ def merge_continuations(paras: DataFrame, *, indent: float = 2.0) -> DataFrame:
     return marked.withColumn("head", F.when(F.coalesce(F.col("fits"), F.lit(False)) & (F.col("broken") == 0), F.col("item.ord")).otherwise(F.col("ord"))).drop("item", "fits", "broken")
 
 
-def order_line(words: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds rtl and pos: the logical place of a line's words (x, seq, str).
+#: Opening and closing brackets that a line has to balance.
+_OPEN, _CLOSE = "([{", ")]}"
 
-    Words take the direction of their letters; digits next to Latin words run left to right, other words
-    without letters as what stands before them (else after). Runs of one direction are read in the base's
-    order, the base being that of more words, and right-to-left runs from the right.
+
+def _balanced(text: Column) -> Column:
+    """Whether no bracket closes before one is open, and all close."""
+    steps = F.transform(F.split(F.regexp_replace(text, r"[^()\[\]{}]", ""), ""), lambda b: F.when(b.isin(*_OPEN), 1).when(b.isin(*_CLOSE), -1).otherwise(0))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    return F.aggregate(steps, zero, lambda s, d: F.struct((s["depth"] + d).alias("depth"), F.least(s["least"], s["depth"] + d).alias("least")), lambda s: (s["depth"] == 0) & (s["least"] == 0))
+
+
+def repair_brackets(words: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """The words (pos, rtl) with brackets as they are read in the column.
+
+    Some producers write a right-to-left bracket as the sign that it looks like. A line whose brackets, in logical
+    order, do not balance, and do once its right-to-left words of brackets alone are mirrored, gets these mirrored;
+    every other line stays as it is.
+    """
+    mirrored = F.translate(F.col(col), _OPEN + _CLOSE, _CLOSE + _OPEN)
+    turned = F.when(F.col("rtl") & F.col(col).rlike(r"^[\s()\[\]{}]+$"), mirrored).otherwise(F.col(col))
+    line = Window.partitionBy(*keys)
+    held = words.withColumn("__turned", turned)
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.col(col).alias("a"), F.col("__turned").alias("b"))).over(line))
+    whole = lambda name: F.array_join(F.transform("__parts", lambda r: r[name]), "")
+    # lines with nothing to mirror are most: their words are not gathered
+    held = held.withColumn("__any", F.max(F.col("__turned") != F.col(col)).over(line)).withColumn("__parts", F.when(F.col("__any"), parts))
+    mirror = F.coalesce(F.col("__any") & ~_balanced(whole("a")) & _balanced(whole("b")), F.lit(False))
+    return held.withColumn(col, F.when(mirror, F.col("__turned")).otherwise(F.col(col))).drop("__turned", "__any", "__parts")
+
+
+def order_line(words: DataFrame, keys: list[str], *, base: Column | None = None) -> DataFrame:
+    """Adds rtl, pos (the logical place) and read (the text as it is read) to a line's words (x, seq, str).
+
+    A word with letters has their direction; a number next to a left-to-right word is of it; another word without
+    letters takes the direction of the nearest ones with it on its two sides if they agree, else the base's, which
+    also stands in beyond the line's ends. The base, if none is given, is right to left when right-to-left words
+    have more letters than others; where no word has any, when most are of Arabic script. Runs of one direction
+    are read in the base's order, right-to-left runs from the right. Right-to-left words are normalised, and
+    brackets repaired (:func:`repair_brackets`).
     """
-    w = Window.partitionBy(*keys).orderBy("x", "seq")
-    letters = F.when(F.col("str").rlike(ARABIC), True).when(F.col("str").rlike(r"\p{L}"), False)
-    own = words.withColumn("own", letters)
-    digits = F.col("own").isNull() & F.col("str").rlike(r"\d") & ((F.lag("own").over(w) == F.lit(False)) | (F.lead("own").over(w) == F.lit(False)))
-    own = own.withColumn("own", F.when(F.coalesce(digits, F.lit(False)), False).otherwise(F.col("own")))
-    before = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    whole = Window.partitionBy(*keys)
-    base = F.count_if(F.col("own")).over(whole) > F.count_if(~F.col("own")).over(whole)
-    held = own.withColumn("rtl", F.coalesce(before, after, F.lit(False))).withColumn("base", base)
+    w, line = Window.partitionBy(*keys).orderBy("x", "seq"), Window.partitionBy(*keys)
+    letters, script = letter_count(F.col("str")), is_arabic(F.col("str"))
+    held = words.withColumn("__own", F.when(letters > 0, script))
+    if base is None:
+        right, left = F.sum(F.when(script, letters).otherwise(0)).over(line), F.sum(F.when(script, 0).otherwise(letters)).over(line)
+        base = F.when(right + left > 0, right > left).otherwise(2 * F.count_if(script).over(line) > F.count("*").over(line))
+    held = held.withColumn("__base", base)
+    touched = (F.lag("__own").over(w) == F.lit(False)) | (F.lead("__own").over(w) == F.lit(False))
+    held = held.withColumn("__own", F.when(F.col("__own").isNull() & F.col("str").rlike("[0-9]") & F.coalesce(touched, F.lit(False)), False).otherwise(F.col("__own")))
+    before = F.coalesce(F.last("__own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__base")
+    after = F.coalesce(F.first("__own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "__base")
+    held = held.withColumn("rtl", F.coalesce("__own", F.when(before == after, before).otherwise(F.col("__base"))))
     new = F.when(F.col("rtl") == F.lag("rtl").over(w), 0).otherwise(1)
-    runs = held.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = held.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sign = lambda flag, c: F.when(flag, -F.col(c)).otherwise(F.col(c))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(sign(F.col("base"), "run"), sign(F.col("rtl"), "x"), "seq"))
-    return runs.withColumn("pos", place.cast("int")).drop("own", "base", "new", "run")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(sign(F.col("__base"), "__run"), sign(F.col("rtl"), "x"), "seq"))
+    placed = runs.withColumn("pos", place.cast("int")).drop("__own", "__base", "__new", "__run")
+    # presentation forms are all that normalising changes in most texts; the rest stays in the JVM
+    return repair_brackets(placed.withColumn("read", F.when(F.col("rtl"), normalized(F.col("str"))).otherwise(F.col("str"))), keys, "read")
 
 
 def logical_lines(items: DataFrame) -> DataFrame:
-    """Items with line, pos, start (offset in the line's text) and the line's text; words are joined by a space."""
-    placed = order_line(with_lines(items, LINE_COLUMNS), [*PAGE, "line"])
-    key = Window.partitionBy(*PAGE, "line")
-    start = F.coalesce(F.sum(F.char_length("str") + 1).over(key.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    every = F.array_sort(F.collect_list(F.struct("pos", "str")).over(key))
-    return placed.withColumn("start", start).withColumn("text", F.array_join(F.transform(every, lambda r: r["str"]), " "))
+    """Items (str, x, y, w, height or size) with line, rtl (of the line), pos, start (offset in the line's text), read and the line's text.
+
+    The page sets the tolerances: items within 0.6 median heights (3 points at least) of a row's first baseline
+    are of the row, and a blank is put where the gap between neighbours is over 0.4 median widths or 0.15 median
+    heights, whichever is less. A row is right to left if most of its items with a letter are of Arabic script;
+    it is then read from the right, runs with a Latin letter forward, and brackets are repaired.
+    """
+    height = F.col("height") if "height" in items.columns else F.col("size")
+    shown = items.where(F.char_length("str") > 0)
+    # the upper median of what is positive
+    middle = lambda c: F.get(F.array_sort(F.collect_list(F.when(c > 0, c))), F.floor(F.count(F.when(c > 0, c)) / 2).cast("int"))
+    sizes = shown.groupBy(*PAGE).agg(F.coalesce(middle(height), F.lit(10.0)).alias("__high"), middle(F.col("w")).alias("__wide"))
+    sizes = sizes.withColumn("__tol", F.greatest(F.lit(3.0), 0.6 * F.col("__high"))).withColumn("__blank", F.least(0.4 * F.coalesce("__wide", 0.5 * F.col("__high")), 0.15 * F.col("__high"))).drop("__high", "__wide")
+    rows = with_baselines(shown, LINE_COLUMNS, tol=sizes.select(*PAGE, F.col("__tol").alias("tol"))).join(sizes.select(*PAGE, "__blank"), PAGE)
+    line = [*PAGE, "line"]
+    w, whole = Window.partitionBy(*line).orderBy("x", "seq"), Window.partitionBy(*line)
+    script = is_arabic(F.col("str"))
+    turned = 2 * F.count_if(script).over(whole) > F.count_if(script | (letter_count(F.col("str")) > 0)).over(whole)
+    held = rows.withColumn("__row", turned).withColumn("rtl", F.col("__row") & ~F.col("str").rlike("[A-Za-z]"))
+    new = F.when(F.col("rtl") == F.lag("rtl").over(w), 0).otherwise(1)
+    held = held.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sign = lambda flag, c: F.when(flag, -F.col(c)).otherwise(F.col(c))
+    held = held.withColumn("pos", F.row_number().over(Window.partitionBy(*line).orderBy(sign(F.col("__row"), "__run"), sign(F.col("rtl"), "x"), "seq")).cast("int")).drop("__new", "__run")
+    held = repair_brackets(held, line, "str").withColumn("read", normalized(F.col("str")))
+    by_pos = Window.partitionBy(*line).orderBy("pos")
+    up = lambda c: F.lag(c).over(by_pos)
+    gap = F.greatest("x", up("x")) - F.when(up("x") <= F.col("x"), up("x") + up("w")).otherwise(F.col("x") + F.col("w"))
+    piece = held.withColumn("__piece", F.concat(F.when(gap > F.col("__blank"), " ").otherwise(""), "read"))
+    stop = F.sum(F.char_length("__piece")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
+    every = F.array_sort(F.collect_list(F.struct("pos", "__piece")).over(whole))
+    out = piece.withColumn("start", (stop - F.char_length("read")).cast("int")).withColumn("text", F.array_join(F.transform(every, lambda r: r["__piece"]), ""))
+    return out.drop("rtl", "__piece", "__blank").withColumnRenamed("__row", "rtl")
 
 
 def search_lines(items: DataFrame, query: str, *, case: bool = False) -> DataFrame:
@@ -82,7 +146,7 @@ def search_lines(items: DataFrame, query: str, *, case: bool = False) -> DataFra
     p = pattern_of(query, case=case)
     texts = held.where("pos = 1").select(*PAGE, "line", "text").where(F.col("text").rlike(p))
     hits = texts.select(*PAGE, "line", F.explode(match_offsets(F.col("text"), p)).alias("m")).select(*PAGE, "line", F.col("m.start").alias("m_start"), F.col("m.found").alias("found"))
-    words = held.select(*PAGE, "line", "start", "x", "y", "w", "size", F.char_length("str").alias("n"))
+    words = held.select(*PAGE, "line", "start", "x", "y", "w", "size", F.char_length("read").alias("n"))
     j = hits.join(words, [*PAGE, "line"]).where((F.col("start") < F.col("m_start") + F.char_length("found")) & (F.col("m_start") < F.col("start") + F.col("n")))
     return j.groupBy(*PAGE, "line", F.col("m_start").alias("start"), "found").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("size")).alias("y1"))
 
@@ -98,18 +162,23 @@ def search_all(items: DataFrame, elements: DataFrame, query: str, *, case: bool
 def settle_lines(lines: DataFrame, *, low: float = 0.35, high: float = 0.65) -> DataFrame:
     """Adds rtl to lines (para, line, right and left letters, x0, x1, size and the column's c0 and c1).
 
-    A line whose share of right-to-left letters lies between ``low`` and ``high`` takes the direction of its
-    paragraph's share; if that is as undecided, of the one side that it is flush with; then of the paragraph's
-    decided lines if they agree; else it runs from left to right.
+    A line is right to left if more of its letters are; one whose share lies from ``low`` to ``high`` is undecided.
+    It takes the direction of its paragraph's letters, if these are decided; else that of the one side that it is
+    flush with (to half a size, two points at least). If it is flush with both, it takes the side of the
+    paragraph's other lines that are flush with one side only, if they agree. Any other line stays as it is.
     """
-    side = lambda r, l: F.when(r + l == 0, None).when(r / (r + l) > high, True).when(r / (r + l) < low, False)
+    share = lambda r, l: F.when(r + l > 0, r / (r + l))
     para = Window.partitionBy(*PAGE, "para")
-    tol = 0.5 * F.col("size")
+    tol = F.greatest(F.lit(2.0), 0.5 * F.col("size"))
     at_left, at_right = F.abs(F.col("x0") - F.col("c0")) <= tol, F.abs(F.col("c1") - F.col("x1")) <= tol
-    flush = F.when(at_right & ~at_left, True).when(at_left & ~at_right, False)
-    own = lines.withColumn("__own", F.coalesce(side(F.col("right"), F.col("left")), side(F.sum("right").over(para), F.sum("left").over(para)), flush))
-    agreed = F.when(F.min("__own").over(para) == F.max("__own").over(para), F.max("__own").over(para))
-    return own.withColumn("rtl", F.coalesce("__own", agreed, F.lit(False))).drop("__own")
+    one_side = F.when(at_right & ~at_left, True).when(at_left & ~at_right, False)
+    held = lines.withColumn("__side", one_side).withColumn("__both", at_left & at_right)
+    own, whole = share(F.col("right"), F.col("left")), share(F.sum("right").over(para), F.sum("left").over(para))
+    # a line that is flush with both sides is none of those that agree
+    agreed = F.when(F.min("__side").over(para) == F.max("__side").over(para), F.max("__side").over(para))
+    settled = F.when(~whole.between(low, high), whole > 0.5).otherwise(F.coalesce("__side", F.when(F.col("__both"), agreed)))
+    keep = F.col("right") > F.col("left")
+    return held.withColumn("rtl", F.when(own.between(low, high), F.coalesce(settled, keep)).otherwise(keep)).drop("__side", "__both")
 
 
 #: Roles of structure nodes that are a block of their own, besides headings.

@@ -222,16 +222,28 @@ def w7_split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.split_columns(items, derived.pages(spark, sf_dir).withColumn("page_width", F.lit(744.0))).select("doc_id", "page", "seq", "col")
 
 
-_PLINES = "pl AS (SELECT doc_id, page, ord::INT AS line, y, size, text FROM marked)"
+_PLINES = """pl AS (SELECT doc_id, page, ord::INT AS line, ord % 20 AS k, size, CASE WHEN ord % 6 = 0 THEN '• ' ELSE '' END || 'x ' || text AS text, 72.0::DOUBLE AS x0, CASE WHEN ord % 10 = 9 THEN 272.0 ELSE 512.0 END::DOUBLE AS x1, ord % 8 = 6 AS split FROM paras),
+yl AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 780.0::DOUBLE - 12.0::DOUBLE * k WHEN 1 THEN 780.0::DOUBLE - 16.1::DOUBLE * k WHEN 2 THEN 780.0::DOUBLE - 39.0::DOUBLE * k ELSE 780.0::DOUBLE - 15.0::DOUBLE * k - 1.2::DOUBLE * (k // 3) END AS y FROM pl)"""
 
 
-@add(with_tables("marked") + f""", {_PLINES}, g AS (SELECT *, lag(y) OVER w - y AS gap, lag(size) OVER w AS before FROM pl WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
-u AS (SELECT doc_id, size AS us, percentile_disc(0.5) WITHIN GROUP (ORDER BY gap) AS usual FROM g WHERE gap > 0 AND abs(before - size) < 1 GROUP BY ALL HAVING count(*) >= 2),
-f AS (SELECT g.*, CASE WHEN gap IS NULL OR abs(size - before) >= 1 OR (gap > 1.6 * size AND NOT coalesce(gap <= 1.1 * usual, false)) OR line % 5 <= 3 AND text <> '' AND regexp_matches(text, '^(• |[0-9]+\\. |\\([a-z]+\\) )') THEN 1 ELSE 0 END AS new FROM g LEFT JOIN u ON u.doc_id = g.doc_id AND us = size)
-SELECT doc_id, page, line, (sum(new) OVER (PARTITION BY doc_id, page ORDER BY line) - 1)::INT AS para FROM f""")
+def led_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of four leadings by document: tight, wide, apart, and uneven; some are marked, short or split."""
+    k = F.col("ord") % 20
+    down = F.when(F.col("doc_id") % 4 == 0, 12.0 * k).when(F.col("doc_id") % 4 == 1, 16.1 * k).when(F.col("doc_id") % 4 == 2, 39.0 * k)
+    y = F.when(F.col("doc_id") % 4 == 3, F.lit(780.0) - 15.0 * k - 1.2 * F.floor(k / 3)).otherwise(F.lit(780.0) - down)
+    mark = F.when(F.col("ord") % 6 == 0, "• ").otherwise("")
+    return derived.paragraphs(spark, sf_dir).select("doc_id", "page", F.col("ord").cast("int").alias("line"), y.alias("y"), "size", F.concat(mark, F.lit("x "), "text").alias("text"), F.lit(72.0).alias("x0"), F.when(F.col("ord") % 10 == 9, 272.0).otherwise(512.0).alias("x1"), (F.col("ord") % 8 == 6).alias("split"))
+
+
+@add(with_tables("paras") + f""", {_PLINES}, g AS (SELECT *, lag(y) OVER w - y AS gap, greatest(size, lag(size) OVER w) AS big, coalesce(abs(size - lag(size) OVER w) < 1, false) AS same, lag(x1 - x0) OVER w AS above, lag(split) OVER w AS up_split, max(x1 - x0) OVER (PARTITION BY doc_id, page) AS measure FROM yl WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
+u AS (SELECT doc_id, page, big, percentile_disc(0.5) WITHIN GROUP (ORDER BY gap) AS usual FROM g WHERE same AND gap > 0 AND gap <= 1.6::DOUBLE * big GROUP BY ALL HAVING count(*) >= 2),
+c AS (SELECT g.*, usual, same AND usual IS NULL AND gap > 1.6::DOUBLE * g.big AND gap <= 1.75::DOUBLE * g.big AS wide FROM g LEFT JOIN u USING (doc_id, page, big)),
+v AS (SELECT a.doc_id, a.page, a.big, min_by(b.gap, a.line) AS lead FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.page = a.page AND b.line = a.line - 1 AND a.wide AND b.wide AND a.big = b.big AND abs(a.gap - b.gap) <= 0.01::DOUBLE * b.gap GROUP BY ALL),
+f AS (SELECT c.*, same AND (gap <= 1.6::DOUBLE * big OR (text NOT LIKE '• %' AND (gap <= 1.1::DOUBLE * usual OR (measure >= 0.3::DOUBLE * 612 AND abs(gap - lead) <= 0.02::DOUBLE * lead AND above >= 0.85::DOUBLE * measure AND NOT up_split AND NOT split)))) AS near FROM c LEFT JOIN v USING (doc_id, page, big))
+SELECT doc_id, page, line, (sum(CASE WHEN coalesce(near, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line) - 1)::INT AS para FROM f""")
 def w10_group_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derived.marked_paragraphs(spark, sf_dir).select("doc_id", "page", F.col("ord").cast("int").alias("line"), "y", "size", "text")
-    return layout.group_paragraphs(lines).select("doc_id", "page", "line", "para")
+    lines = led_lines(spark, sf_dir)
+    return layout.group_paragraphs(lines, lines.select("doc_id", "page", F.lit(612.0).alias("page_width")).distinct()).select("doc_id", "page", "line", "para")
 
 
 @add(with_tables("items") + """, l AS (SELECT *, (seq % 600) // 12 AS r FROM items), s AS (SELECT *, lag(font) OVER w AS pf, lag(size) OVER w AS ps, lag(x + w) OVER w AS pe FROM l WINDOW w AS (PARTITION BY doc_id, page, r ORDER BY x, seq)),
@@ -260,14 +272,18 @@ def a6_page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_margins(items, derived.pages(spark, sf_dir))
 
 
-_MARK = "CASE WHEN ord % 5 = 0 THEN 'bullet' WHEN ord % 5 = 1 THEN 'decimal' WHEN ord % 5 = 2 THEN 'lower' WHEN ord % 5 = 3 THEN 'roman' END"
+_MARKS = ("• ", "► ", "- ", "– ", "(1. ", "a. ", "7. ", "8) ", "(9) ", "b) ", "(C) ", "iv) ", "(XII) ", "(xyz) ", " • ", "→x")
+_MARKED = "mk AS (SELECT doc_id, ord, ord % 17 AS k, text FROM paras)"
 
 
-@add(with_tables("marked") + f" SELECT doc_id, ord, {_MARK} AS kind, CASE ord % 5 WHEN 1 THEN ord::VARCHAR WHEN 2 THEN chr((97 + ord % 26)::INT) WHEN 3 THEN 'iv' END AS marker FROM marked WHERE regexp_matches(text, '[a-zA-Z0-9•]')")
+@add(with_tables("paras") + f""", {_MARKED} SELECT doc_id, ord, CASE WHEN k IN (0, 1, 2) THEN 'bullet' WHEN k IN (6, 7, 8) THEN 'decimal' WHEN k = 9 THEN 'lower' WHEN k = 10 THEN 'upper' WHEN k = 11 THEN 'roman' WHEN k = 12 THEN 'upper_roman' END AS kind,
+CASE k WHEN 6 THEN '7' WHEN 7 THEN '8' WHEN 8 THEN '9' WHEN 9 THEN 'b' WHEN 10 THEN 'C' WHEN 11 THEN 'iv' WHEN 12 THEN 'XII' END AS marker, CASE WHEN k = 6 THEN '%1.' WHEN k IN (7, 9, 11) THEN '%1)' WHEN k IN (8, 10, 12) THEN '(%1)' END AS form,
+CASE WHEN k IN (0, 1, 2) OR k BETWEEN 6 AND 12 THEN 'x' || text END AS rest FROM mk""")
 def f7_list_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = derived.marked_paragraphs(spark, sf_dir).where(F.col("text").rlike("[a-zA-Z0-9•]"))
+    k = (F.col("ord") % 17).cast("int")
+    p = derived.paragraphs(spark, sf_dir).select("doc_id", "ord", F.concat(F.coalesce(F.get(F.array(*map(F.lit, _MARKS)), k), F.lit("")), F.lit("x"), "text").alias("text"))
     m = text.list_prefix(F.col("text"))
-    return p.select("doc_id", "ord", m["kind"].alias("kind"), m["marker"].alias("marker"))
+    return p.select("doc_id", "ord", *[m[c].alias(c) for c in ("kind", "marker", "form", "rest")])
 
 
 @add(with_tables("items") + """, p AS (SELECT doc_id, seq, x, 792 - y AS y, (seq % 4 * 90)::INT AS r FROM items)

@@ -72,9 +72,98 @@ def test_borderless_needs_three_lines_and_short_cells(spark):
 
 
 def test_list_prefixes(spark):
-    rows = ["• one", "- two", "* three", "1. x", "1) x", "(iv) x", "iv) x", "(a) x", "B) x", "a. x", "plain", "(xyz) x"]
-    got = [r.k for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", text.list_prefix(F.col("t"))["kind"].alias("k")).orderBy("i").collect()]
-    assert got == ["bullet", "bullet", None, "decimal", "decimal", "roman", "roman", "lower", "upper", None, None, None]
+    want = {
+        "• one": "bullet", "- two": "bullet", "→ x": "bullet", "► x": "bullet", "▸ x": "bullet", "○ x": "bullet", "– x": None, "* three": None, "•x": None, " • x": None,
+        "1. x": "decimal", "1) x": "decimal", "(12) x": "decimal", "(1. x": None, "(1 x": None, "1.x": None,
+        "(iv) x": "roman", "iv) x": "roman", "(III) x": "upper_roman", "XIV) x": "upper_roman", "iiii) x": None, "(xyz) x": None, "iv. x": None,
+        "(a) x": "lower", "a) x": "lower", "(i) x": "lower", "B) x": "upper", "(I) x": "upper", "a. x": None, "A. Smith": None, "plain": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", text.list_prefix(F.col("t")).alias("p"))
+    got = {r.t: r.p for r in df.collect()}
+    assert {t: p and p.kind for t, p in got.items()} == want
+    assert got["(III) x"][1:] == ("III", "(%1)", "x") and got["1) x"].form == "%1)" and got["1. x"].form == "%1."
+    assert got["→ x"].rest == "x"
+
+
+def test_upper_roman_lists_stay_upper(spark):
+    paras = spark.createDataFrame([(1, k, f"{m}) x") for k, m in enumerate(["II", "III", "IV"])], "doc_id long, ord long, text string")
+    got = document.list_ordinals(paras).withColumn("m", document.list_marker(F.col("kind"), F.col("ordinal"))).orderBy("ord").collect()
+    assert [r.m for r in got] == ["I. ", "II. ", "III. "]
+
+
+LINES = "doc_id long, page int, line int, y double, size double, text string, x0 double, x1 double, split boolean"
+
+
+def paragraphs_of(spark, rows, width=600.0):
+    """rows of <y, size, text, x1, split>."""
+    lines = spark.createDataFrame([(1, 0, k, float(y), float(size), t, 50.0, float(x1), split) for k, (y, size, t, x1, split) in enumerate(rows)], LINES)
+    pages = None if width is None else spark.createDataFrame([(1, 0, width)], "doc_id long, page int, page_width double")
+    return [r.para for r in layout.group_paragraphs(lines, pages).orderBy("line").collect()]
+
+
+def test_lines_far_apart_are_paragraphs_of_their_own(spark):
+    assert paragraphs_of(spark, [(700 - 39 * k, 10, "x", 500, False) for k in range(5)]) == [0, 1, 2, 3, 4]
+
+
+def test_wide_leading(spark):
+    wide = [(700 - 16.1 * k, 10, "x", 500, False) for k in range(5)]
+    assert paragraphs_of(spark, wide) == [0, 0, 0, 0, 0]
+    # not without the page's width, nor where the widest line is a small part of the page
+    assert paragraphs_of(spark, wide, None) == [0, 1, 2, 3, 4]
+    assert paragraphs_of(spark, wide, 2000.0) == [0, 1, 2, 3, 4]
+    # rows of a table, short lines above, marks
+    assert paragraphs_of(spark, [(y, s, t, x, True) for y, s, t, x, _ in wide]) == [0, 1, 2, 3, 4]
+    assert paragraphs_of(spark, [(y, s, t, 200 if k == 1 else x, p) for k, (y, s, t, x, p) in enumerate(wide)]) == [0, 0, 1, 1, 1]
+    assert paragraphs_of(spark, [(y, s, "• x" if k == 3 else t, x, p) for k, (y, s, t, x, p) in enumerate(wide)]) == [0, 0, 0, 1, 1]
+    # two equal gaps are needed; 18 sizes is too far
+    assert paragraphs_of(spark, wide[:2]) == [0, 1]
+    assert paragraphs_of(spark, [(700 - 18 * k, 10, "x", 500, False) for k in range(4)]) == [0, 1, 2, 3]
+
+
+def test_usual_gaps(spark):
+    # 16.2 is beyond 1.6 sizes and within a tenth of 15, unless the line is marked; the mark of a close line changes nothing
+    rows = [(700, 10), (685, 10), (670, 10), (653.8, 10), (637.6, 10), (622.6, 10)]
+    assert paragraphs_of(spark, [(y, s, "x", 300, False) for y, s in rows]) == [0] * 6
+    assert paragraphs_of(spark, [(y, s, "- x" if k in (1, 4) else "x", 300, False) for k, (y, s) in enumerate(rows)]) == [0, 0, 0, 0, 1, 1]
+    # a jump in size parts; gaps over 1.6 sizes are no samples
+    assert paragraphs_of(spark, [(700, 10, "x", 300, False), (688, 11, "x", 300, False), (676, 11, "x", 300, False)]) == [0, 1, 1]
+    assert paragraphs_of(spark, [(700, 10, "x", 300, False), (683, 10, "x", 300, False), (666, 10, "x", 300, False)], None) == [0, 1, 2]
+
+
+def ordered(spark, words, base=None):
+    rows = [(1, 0, k, 10.0 * k, w) for k, w in enumerate(words)]
+    df = tagged.order_line(spark.createDataFrame(rows, "doc_id long, line int, seq long, x double, str string"), ["doc_id", "line"], base=base)
+    return [r.read for r in df.orderBy("pos").collect()]
+
+
+SALAM, LONG = "سلام", "المستندات"
+
+
+def test_base_goes_by_letters(spark):
+    # nine letters against two: right to left, the Latin run forward and first to be read last
+    assert ordered(spark, [LONG, "a", "b"]) == ["a", "b", LONG]
+    assert ordered(spark, ["a", "b", LONG]) == [LONG, "a", "b"]
+    assert ordered(spark, ["words", "more", SALAM]) == ["words", "more", SALAM]
+    assert ordered(spark, ["1", "2"]) == ["1", "2"] and ordered(spark, ["1", "2"], F.lit(True)) == ["2", "1"]
+
+
+def test_words_without_letters(spark):
+    # between two directions the base decides: eight letters to four make it right to left, four to five left to right
+    assert ordered(spark, ["word", "--", SALAM, SALAM]) == [SALAM, SALAM, "--", "word"]
+    assert ordered(spark, ["words", "--", SALAM]) == ["words", "--", SALAM]
+    # a number that touches a Latin word belongs to it; one among Arabic words does not
+    assert ordered(spark, [LONG, "v", "2.0"]) == ["v", "2.0", LONG]
+    assert ordered(spark, [SALAM, "20", LONG]) == [LONG, "20", SALAM]
+
+
+def test_brackets_of_both_producers(spark):
+    # drawn from left to right: the shapes of one producer, the logical characters of the other
+    assert ordered(spark, [SALAM, "(", "RTL", ")", LONG]) == [LONG, "(", "RTL", ")", SALAM]
+    assert ordered(spark, [SALAM, ")", "RTL", "(", LONG]) == [LONG, "(", "RTL", ")", SALAM]
+    # what does not balance when mirrored either stays, as do brackets of Latin lines
+    assert ordered(spark, [SALAM, "(", LONG]) == [LONG, "(", SALAM]
+    assert ordered(spark, ["a", ")", "b", "("]) == ["a", ")", "b", "("]
+    assert ordered(spark, [SALAM, "]", "x", "[", "(", "y", ")", LONG])[0] == LONG
 
 
 def test_roman_and_letters(spark):
@@ -280,9 +369,42 @@ def test_elements_follow_a_turned_page(spark):
 
 def test_undecided_lines(spark):
     row = lambda para, line, right, left, x0, x1: (1, 0, para, line, right, left, x0, x1, 10.0, 0.0, 100.0)
-    rows = [row(0, 0, 9, 1, 0.0, 100.0), row(0, 1, 5, 5, 0.0, 100.0), row(1, 2, 5, 5, 40.0, 100.0), row(1, 3, 5, 5, 0.0, 100.0), row(2, 4, 5, 5, 0.0, 100.0)]
+    rows = [
+        # the paragraph's letters are decided
+        row(0, 0, 11, 1, 0.0, 100.0), row(0, 1, 4, 6, 0.0, 100.0),
+        # flush with one side; a full line takes the side of the others that are flush with one
+        row(1, 2, 4, 6, 40.0, 100.0), row(1, 3, 4, 6, 0.0, 100.0), row(1, 4, 6, 4, 0.0, 60.0),
+        row(2, 5, 4, 6, 40.0, 100.0), row(2, 6, 4, 6, 0.0, 100.0), row(2, 7, 6, 4, 0.0, 100.0),
+        # nothing says otherwise: lines stay as they are
+        row(3, 8, 6, 4, 0.0, 100.0), row(3, 9, 4, 6, 30.0, 60.0), row(3, 10, 0, 0, 0.0, 100.0),
+    ]
     lines = spark.createDataFrame(rows, "doc_id long, page int, para int, line int, right int, left int, x0 double, x1 double, size double, c0 double, c1 double")
-    assert {r.line: r.rtl for r in tagged.settle_lines(lines).collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
+    assert {r.line: r.rtl for r in tagged.settle_lines(lines).collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True, 8: True, 9: False, 10: False}
+
+
+def rows_of(spark, items):
+    """items of <x, y, width, height, text>: each row's text and direction."""
+    df = spark.createDataFrame([(1, 0, k, float(x), float(y), float(w), float(h), float(h), t) for k, (x, y, w, h, t) in enumerate(items)], "doc_id long, page int, seq long, x double, y double, w double, height double, size double, str string")
+    got = tagged.logical_lines(df).orderBy("line", "pos").collect()
+    assert all(r.text[r.start : r.start + len(r.read)] == r.read for r in got)
+    return [(r.text, r.rtl) for r in got if r.pos == 1]
+
+
+def test_rows_of_signs_make_words(spark):
+    # signs 6 wide and 10 high: gaps over 1.5 are blanks, small shifts of the baseline stay in the row
+    signs = [(10 + 6 * k, 700 + k % 2, 6, 10, c) for k, c in enumerate("abc")] + [(30, 701, 6, 10, "d"), (36, 700, 6, 10, "e"), (10, 680, 6, 10, "x")]
+    assert rows_of(spark, signs) == [("abc de", False), ("x", False)]
+    # word items are several sizes wide, yet a blank is at most 0.15 sizes
+    assert rows_of(spark, [(10, 700, 50, 10, "first"), (61, 700, 50, 10, "second"), (113, 700, 50, 10, "third")]) == [("firstsecond third", False)]
+
+
+def test_rows_of_arabic_signs(spark):
+    # drawn from the right; a number goes with the line, a Latin word stays forward
+    word = [(100 - 6 * k, 700, 6, 10, c) for k, c in enumerate("سلام")]
+    assert rows_of(spark, word) == [("سلام", True)]
+    assert rows_of(spark, [*word, (60, 700, 12, 10, "20"), (40, 700, 6, 10, "v"), (46, 700, 6, 10, "w"), (20, 700, 6, 10, "ب")]) == [("سلام 20 vw ب", True)]
+    # more items of one letter than others with letters make the row's direction
+    assert rows_of(spark, [(100, 700, 6, 10, "س"), (10, 700, 40, 10, "long"), (60, 700, 30, 10, "text")]) == [("long text س", False)]
 
 
 def test_large_numerals(spark):
