@@ -263,11 +263,31 @@ def f8_fillable_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.fillable_widgets(w).select("id", "k", "kind")
 
 
-@add("WITH p AS (SELECT user_id * 1000 + event_id // 5 % 50 AS group_key, event_id % 5 AS idx, CASE WHEN user_id % 9 = 0 AND event_id % 5 = 2 THEN 4 ELSE 5 END AS total, event_type AS text FROM events), s AS (SELECT group_key, idx, min(text) AS text, min(text) <> max(text) AS conflict, min(total) AS lo, max(total) AS hi FROM p GROUP BY ALL) SELECT group_key, string_agg(text, '' ORDER BY idx) AS body FROM s GROUP BY ALL HAVING NOT bool_or(conflict) AND min(lo) = max(hi) AND count(*) = min(lo)")
+_PARTS = """ln AS (SELECT doc_id * 100000 + ord // 4 AS group_key, doc_id, ord, ord % 4 AS idx, count(*) OVER (PARTITION BY doc_id, ord // 4) AS total, text, ((ord * 7919 + doc_id * 31) % 10007) * 2 AS seq FROM paras),
+parts AS (SELECT group_key, seq, idx, total, text FROM ln UNION ALL SELECT group_key, seq + 20100, idx, total, text FROM ln WHERE (ord + doc_id) % 3 = 0
+ UNION ALL SELECT group_key, seq + 1, idx, total, 'garbled' FROM ln WHERE doc_id % 5 = 0 AND idx = 1 UNION ALL SELECT group_key, seq + 40200, idx, CASE WHEN doc_id % 2 = 0 AND idx = 2 THEN total + 1 ELSE total END, text FROM ln WHERE doc_id % 5 = 0)"""
+
+
+def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines of a text a message, which arrive in mixed order, some again, some garbled, and some once more later on."""
+    n, d, idx = F.col("ord"), F.col("doc_id"), F.col("idx")
+    lines = derived.paragraphs(spark, sf_dir).select("doc_id", "ord", "text", (d * 100_000 + F.floor(n / 4)).alias("group_key"), (n % 4).alias("idx"), (((n * 7919 + d * 31) % 10007) * 2).alias("seq"))
+    lines = lines.withColumn("total", F.count("*").over(Window.partitionBy("group_key")))
+    of = lambda df, seq, total, text: df.select("group_key", (F.col("seq") + seq).alias("seq"), "idx", total.cast("long").alias("total"), text.alias("text"))
+    total, text = F.col("total"), F.col("text")
+    parts = of(lines, 0, total, text).unionByName(of(lines.where((n + d) % 3 == 0), 20_100, total, text))
+    parts = parts.unionByName(of(lines.where((d % 5 == 0) & (idx == 1)), 1, total, F.lit("garbled")))
+    return parts.unionByName(of(lines.where(d % 5 == 0), 40_200, F.when((d % 2 == 0) & (idx == 2), total + 1).otherwise(total), text))
+
+
+@add("WITH RECURSIVE " + with_tables("paras").removeprefix("WITH ") + f""", {_PARTS}, row_of AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY seq) AS rn FROM parts),
+st AS (SELECT DISTINCT group_key, 0::BIGINT AS rn, NULL::BIGINT AS total, []::STRUCT(idx BIGINT, text VARCHAR)[] AS held, 0 AS n, NULL::VARCHAR AS body FROM parts
+UNION ALL SELECT group_key, rn, CASE WHEN clash OR full_ THEN NULL ELSE total END, CASE WHEN clash OR full_ THEN [] ELSE held END, n + full_::INT, CASE WHEN full_ THEN array_to_string(list_transform(list_sort(held), lambda p: p.text), '') END
+ FROM (SELECT *, NOT clash AND len(held) = total AS full_ FROM (SELECT s.group_key, r.rn, r.total, s.n, coalesce(s.total <> r.total OR len(list_filter(s.held, lambda h: h.idx = r.idx AND h.text <> r.text)) > 0, false) AS clash,
+  CASE WHEN len(list_filter(s.held, lambda h: h.idx = r.idx)) > 0 THEN s.held ELSE list_append(s.held, {{'idx': r.idx, 'text': r.text}}) END AS held FROM st s JOIN row_of r ON r.group_key = s.group_key AND r.rn = s.rn + 1)))
+SELECT group_key, n, body FROM st WHERE body IS NOT NULL""")
 def q1_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    p = table(spark, sf_dir, "events").select((F.col("user_id") * 1000 + F.floor(e / 5) % 50).alias("group_key"), (e % 5).alias("idx"), F.when((F.col("user_id") % 9 == 0) & (e % 5 == 2), 4).otherwise(5).cast("long").alias("total"), F.col("event_type").alias("text"))
-    return jobs.assemble(p)
+    return jobs.assemble(message_parts(spark, sf_dir))
 
 
 @add()

@@ -3,21 +3,86 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 #: Commands that can be undone.
 HISTORY = 50
+#: Milliseconds after which an idle group of a stream is forgotten.
+IDLE_MS = 600_000
+
+
+class Held(Protocol):
+    """The texts of a group's parts so far."""
+
+    def get(self, idx: int) -> str | None: ...
+    def put(self, idx: int, text: str) -> None: ...
+    def clear(self) -> None: ...
+    def joined(self) -> str: ...
+
+
+Head = tuple[int, int] | None
+
+
+def feed(held: Held, head: Head, idx: int, total: int, text: str) -> tuple[Head, str | None]:
+    """A part arrives: (total, parts held) of the group from now on, None if it begins anew, and the body if the part completes it.
+
+    A part that contradicts the group, by another total or another text of an index, ends the group without a body
+    and is not kept; what comes later starts a group of its own, as it does after a completed one.
+    """
+    known = held.get(idx) if head else None
+    if head and (head[0] != total or known not in (None, text)):
+        held.clear()
+        return None, None
+    n = head[1] if head else 0
+    if known is None:
+        held.put(idx, text)
+        n += 1
+    if n < total:
+        return (total, n), None
+    body = held.joined()
+    held.clear()
+    return None, body
+
+
+class InMemory(dict):
+    """Parts of one group in a dictionary: as many as a message has."""
+
+    def put(self, idx: int, text: str) -> None:
+        self[idx] = text
+
+    def joined(self) -> str:
+        return "".join(self[i] for i in sorted(self))
 
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """group_key, body: groups whose distinct parts (idx, total, text) are all there; a part with two texts or a group with two totals is dropped."""
-    same = parts.groupBy("group_key", "idx").agg(F.min("text").alias("text"), (F.min("text") != F.max("text")).alias("conflict"), F.min("total").alias("lo"), F.max("total").alias("hi"))
-    g = same.groupBy("group_key").agg(F.bool_or("conflict").alias("conflict"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "").alias("body"))
-    return g.where("NOT conflict AND lo = hi AND n = lo").select("group_key", "body")
+    """group_key, n (1, 2, ... of the group's bodies), body from parts (group_key, seq, idx, total, text) in order of arrival; see :func:`feed`.
+
+    Each task goes through its groups in order and holds the parts of one incomplete message, however many rows a
+    group has. Parts without a text are empty; null indexes or totals are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, head, n = None, InMemory(), None, 0
+        for batch in batches:
+            done = []
+            for k, idx, total, text in zip(batch["group_key"], batch["idx"], batch["total"], batch["text"], strict=True):
+                if k != key:
+                    key, head, n = k, None, 0
+                    held.clear()
+                head, body = feed(held, head, idx, total, text)
+                if body is not None:
+                    n += 1
+                    done.append((k, n, body))
+            yield pd.DataFrame(done, columns=["group_key", "n", "body"])
+
+    rows = parts.where("group_key IS NOT NULL AND idx IS NOT NULL AND total IS NOT NULL").select("group_key", "seq", "idx", "total", F.coalesce("text", F.lit("")).alias("text"))
+    kind = parts.schema["group_key"].dataType.simpleString()
+    return rows.repartition("group_key").sortWithinPartitions("group_key", "seq").mapInPandas(run, f"group_key {kind}, n int, body string")
 
 
 def replay(events: DataFrame, *, most: int = HISTORY) -> DataFrame:
@@ -52,39 +117,97 @@ def debounce_stream(events: DataFrame, *, key: str = "key", ts: str = "ts", gap:
 
 
 def upsert_saved(batch: DataFrame, state: DataFrame, *, key: str = "key") -> DataFrame:
-    """The state with the latest save of each key: for a foreachBatch sink; a save that comes late does not replace a later one."""
+    """The state with the latest save of each key; a save that comes late does not replace a later one."""
     every = state.select(key, "saved_at", "value").unionByName(batch.select(key, "saved_at", "value"))
     return every.groupBy(key).agg(F.max("saved_at").alias("saved_at"), F.max_by("value", "saved_at").alias("value"))
 
 
+class SavedTable:
+    """The latest save of each key in a folder that all machines share, for ``foreachBatch``.
+
+    A batch writes its own saves to a folder of its number, and every ``whole_every``-th the whole table instead. It
+    counts from the moment when its row in ``commits`` is there: what a failed attempt left before is written over,
+    and a batch whose number is not above the last committed one changes nothing. A folder belongs to one stream and
+    its checkpoint, whose numbers it goes by.
+    """
+
+    def __init__(self, path: str, schema: str, *, key: str = "key", whole_every: int = 10):
+        self.path, self.schema, self.key, self.whole_every = path.rstrip("/"), schema, key, whole_every
+
+    def _commits(self, spark: SparkSession) -> list[tuple[int, bool]]:
+        """(batch, whole) of the last whole table and the batches since, a few rows."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return []
+        commits = spark.read.schema("batch long, whole boolean").parquet(f"{self.path}/commits/*")
+        base = commits.where("whole").agg(F.max("batch")).first()[0]
+        return sorted((r.batch, r.whole) for r in commits.where(F.lit(base is None) | (F.col("batch") >= F.lit(base))).collect())
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """key, saved_at, value after the last committed batch."""
+        folders = [f"{self.path}/data/{n}" for n, _ in self._commits(spark)]
+        rows = spark.read.schema(self.schema).parquet(*folders) if folders else spark.createDataFrame([], self.schema)
+        return upsert_saved(rows.limit(0), rows, key=self.key)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        commits = self._commits(spark)
+        if commits and number <= commits[-1][0]:
+            return
+        since = len(commits) - any(whole for _, whole in commits)
+        whole = since + 1 >= self.whole_every
+        saves = upsert_saved(batch, self.read(spark) if whole else batch.limit(0), key=self.key)
+        saves.write.mode("overwrite").parquet(f"{self.path}/data/{number}")
+        spark.createDataFrame([(number, whole)], "batch long, whole boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{number}")
+
+
+def save_stream(events: DataFrame, path: str, checkpoint: str, *, gap: str = "800 milliseconds", delay: str = "10 seconds") -> DataStreamWriter:
+    """A stream of changes (key, ts, tie, value) whose bursts are saved to a :class:`SavedTable`; to be started."""
+    saves = debounce_stream(events, gap=gap, delay=delay)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in saves.schema)
+    return saves.writeStream.foreachBatch(SavedTable(path, schema)).option("checkpointLocation", checkpoint).outputMode("append")
+
+
 class Assembler(StatefulProcessor):
-    """Parts of a group until all are there; a conflict drops the group, and an idle group expires."""
+    """Parts of a group until all are there (:func:`feed`); an idle group expires."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "idx long", "total long, text string")
+        self.head = handle.getValueState("head", "total long, held long, bodies int")
+        self.parts = handle.getMapState("parts", "idx long", "text string")
+
+    def get(self, idx: int) -> str | None:
+        return self.parts.getValue((idx,))[0] if self.parts.containsKey((idx,)) else None
+
+    def put(self, idx: int, text: str) -> None:
+        self.parts.updateValue((idx,), (text,))
+
+    def clear(self) -> None:
+        self.parts.clear()
+
+    def joined(self) -> str:
+        held = {k[0]: v[0] for k, v in self.parts.iterator()}
+        return "".join(held[i] for i in sorted(held))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = []
-        for batch in rows:
-            for r in batch.itertuples():
-                known = {k[0]: v for k, v in self.parts.iterator()}
-                if known and (next(iter(known.values()))[0] != r.total or (r.idx in known and known[r.idx][1] != r.text)):
-                    self.parts.clear()
-                    continue
-                self.parts.updateValue((int(r.idx),), (int(r.total), r.text))
-                known[r.idx] = (r.total, r.text)
-                if len(known) == r.total:
-                    done.append("".join(known[i][1] for i in sorted(known)))
-                    self.parts.clear()
+        total, held, n = self.head.get() if self.head.exists() else (0, 0, 0)
+        head, done = (total, held) if held else None, []
+        # a micro-batch comes in no order
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            head, body = feed(self, head, int(r.idx), int(r.total), r.text)
+            if body is not None:
+                n += 1
+                done.append((key[0], n, body))
+        self.head.update((*(head or (0, 0)), n))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 600_000)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
         if done:
-            yield pd.DataFrame({"group_key": [key[0]] * len(done), "body": done})
+            yield pd.DataFrame(done, columns=["group_key", "n", "body"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.parts.clear()
+        self.head.clear()
         return iter(())
 
     def close(self) -> None:
@@ -92,8 +215,9 @@ class Assembler(StatefulProcessor):
 
 
 def assemble_stream(parts: DataFrame) -> DataFrame:
-    """group_key, body of completed groups from a stream of parts (group_key, idx, total, text)."""
-    return parts.groupBy("group_key").transformWithStateInPandas(Assembler(), outputStructType="group_key long, body string", outputMode="append", timeMode="processingTime")
+    """The rows of :func:`assemble` from a stream of parts, each when its last part is there; parts of a later micro-batch arrive later."""
+    rows = parts.where("group_key IS NOT NULL AND idx IS NOT NULL AND total IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.groupBy("group_key").transformWithStateInPandas(Assembler(), outputStructType="group_key long, n int, body string", outputMode="append", timeMode="processingTime")
 
 
 class Replayer(StatefulProcessor):

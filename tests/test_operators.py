@@ -282,10 +282,26 @@ def test_replay_log(spark):
     assert jobs.replay(many).first().commands == list(range(10, 60))
 
 
-def test_assembly_drops_conflicts(spark):
-    rows = [(1, 0, 2, "a"), (1, 1, 2, "b"), (1, 1, 2, "b"), (2, 0, 2, "a"), (3, 0, 2, "a"), (3, 0, 2, "x"), (3, 1, 2, "b"), (4, 0, 2, "a"), (4, 1, 3, "b")]
-    parts = spark.createDataFrame(rows, "group_key long, idx long, total long, text string")
-    assert [(r.group_key, r.body) for r in jobs.assemble(parts).collect()] == [(1, "ab")]
+PARTS = [
+    # complete, one part twice
+    (1, 0, 2, "a"), (1, 1, 2, "b"),
+    # a repeat after the end starts a group that stays open
+    (1, 1, 2, "b"),
+    (2, 0, 2, "a"),
+    # another text ends the group and is not kept: the second half alone is none, a new pair is
+    (3, 0, 2, "a"), (3, 0, 2, "x"), (3, 1, 2, "b"), (3, 0, 2, "a"),
+    # another total, then the whole group
+    (4, 0, 2, "a"), (4, 1, 3, "b"), (4, 1, 2, "b"), (4, 0, 2, "a"), (4, 0, 2, "c"), (4, 1, 2, "d"),
+    (5, 0, 1, None), (5, 0, 1, "z"),
+]
+WHOLE = [(1, 1, "ab"), (3, 1, "ab"), (4, 1, "ab"), (4, 2, "cd"), (5, 1, ""), (5, 2, "z")]
+PART = "group_key long, seq long, idx long, total long, text string"
+
+
+def test_assembly_begins_anew_after_conflicts(spark):
+    parts = spark.createDataFrame([(g, n, *r) for n, (g, *r) in enumerate(PARTS)], PART)
+    assert sorted(tuple(r) for r in jobs.assemble(parts.repartition(3)).collect()) == WHOLE
+    assert jobs.assemble(parts.limit(0)).count() == 0
 
 
 def test_empty_tables(spark):
@@ -311,23 +327,72 @@ def test_split_at_links_keeps_the_text(spark):
     assert len([r for r in got if r.seq == 0]) == 2
 
 
-def test_streams_give_what_the_batch_jobs_give(spark, tmp_path):
-    rows = [(g, i, 3, f"{g}{i}") for g in range(4) for i in range(3) if not (g == 2 and i == 1)]
-    spark.createDataFrame(rows, "group_key long, idx long, total long, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("group_key long, idx long, total long, text string").parquet(str(tmp_path / "in"))
+def run_stream(spark, tmp_path, name, make, rows, schema, mode):
+    """The rows that a stream over two files gives, a file a micro-batch."""
+    half = len(rows) // 2
+    for k, part in enumerate((rows[:half], rows[half:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = jobs.assemble_stream(stream).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start()
-        q.awaitTermination(120)
+        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode(mode).start()
+        q.awaitTermination(180)
     except Exception as e:  # the state server needs a package that may be missing
         if "ModuleNotFoundError" in str(e) or "No module named" in str(e):
             pytest.skip("transformWithState needs protobuf")
         raise
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    got = {(r.group_key, r.body) for r in spark.table("assembled").collect()}
-    want = {(r.group_key, r.body) for r in jobs.assemble(spark.read.parquet(str(tmp_path / "in"))).collect()}
-    assert got == want
+    return spark.table(name).collect()
+
+
+def test_assembly_stream_equals_batch(spark, tmp_path):
+    rows = [(g, n, *r) for n, (g, *r) in enumerate(PARTS)]
+    # cut inside the groups: state goes from one micro-batch to the next
+    got = run_stream(spark, tmp_path, "assembled", jobs.assemble_stream, sorted(rows, key=lambda r: r[1] % 7 >= 3 and r[0] > 3), PART, "append")
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in jobs.assemble(spark.createDataFrame(rows, PART)).collect()) == WHOLE
+
+
+def test_replay_stream_equals_batch(spark, tmp_path):
+    ops = ["execute", "execute", "undo", "redo", "undo", "execute", "redo", "undo", "undo", "undo", "execute", "execute"]
+    rows = [(k, n, op, 100 * k + n) for n, op in enumerate(ops) for k in (1, 2, 3) if (n + k) % 4]
+    schema = "key long, seq long, op string, id long"
+    got = run_stream(spark, tmp_path, "replayed", jobs.replay_stream, rows, schema, "update")
+    last = {r.key: r.commands for r in got}
+    assert last == {r.key: r.commands for r in jobs.replay(spark.createDataFrame(rows, schema)).collect()} and len(got) == 6
+
+
+def test_saved_table_takes_each_batch_once(spark, tmp_path):
+    schema = "key long, saved_at timestamp, value double"
+    rows = lambda *r: spark.createDataFrame(r, "key long, s long, value double").select("key", F.timestamp_seconds("s").alias("saved_at"), "value")
+    saved = jobs.SavedTable(str(tmp_path / "saved"), schema, whole_every=3)
+    now = lambda: {r.key: r.value for r in saved.read(spark).collect()}
+    assert now() == {}
+    saved(rows((1, 10, 1.0), (2, 10, 2.0)), 0)
+    saved(rows((1, 20, 3.0)), 1)
+    assert now() == {1: 3.0, 2: 2.0}
+    # the same number again, whatever it holds, and a late save
+    saved(rows((1, 99, 9.0)), 1)
+    saved(rows((1, 5, 8.0), (3, 5, 5.0)), 2)
+    assert now() == {1: 3.0, 2: 2.0, 3: 5.0}
+    # an attempt that wrote its rows and was not committed counts for nothing, and is written over
+    rows((1, 500, 7.0)).write.parquet(str(tmp_path / "saved/data/3"))
+    assert now() == {1: 3.0, 2: 2.0, 3: 5.0}
+    for n in range(3, 9):
+        saved(rows((1, 30 + n, float(n)), (n, n, 0.0)), n)
+    assert now() == {1: 8.0, 2: 2.0, 3: 5.0, **{n: 0.0 for n in range(4, 9)}}
+    assert [w for _, w in saved._commits(spark)].count(True) == 1 and len(saved._commits(spark)) <= 3
+
+
+def test_stream_of_saves(spark, tmp_path):
+    rows = [(k, t, t, float(t)) for k in range(3) for t in (0, 1, 2, 100, 101)] + [(9, 10_000, 1, 0.0)]
+    df = spark.createDataFrame(rows, "key long, s long, tie long, value double").select("key", F.timestamp_seconds("s").alias("ts"), "tie", "value")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run has nothing new
+        q = jobs.save_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "saved"), str(tmp_path / "cp"), gap="10 seconds").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    saved = jobs.SavedTable(str(tmp_path / "saved"), "key long, saved_at timestamp, value double")
+    assert {(r.key, r.value) for r in saved.read(spark).collect()} == {(k, 101.0) for k in range(3)}
 
 
 def test_columns_are_cut_again(spark):
