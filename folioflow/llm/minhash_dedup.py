@@ -46,6 +46,8 @@ DEPTH, BANDS, BITS = 5, 64, 2
 ESTIMATE = 0.58
 #: Nodes of a bucket that one task compares; nodes and shingles of a part; nodes that meet every part.
 BUCKET, PART_NODES, PART_SHINGLES, LEADERS = 2_000, 4_000, 1_000_000, 32
+#: Bits of the bitmaps of a part.
+BITMAP_BITS = 1 << 29
 _MINIMA = BANDS * DEPTH
 _random = np.random.Generator(np.random.PCG64(11))
 _A = _random.integers(0, 1 << 31, _MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -188,13 +190,52 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return signed.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long").union(large)
 
 
+class _Shared:
+    """Sizes of the intersections of a part's sets, over the shingles that two of them or more have.
+
+    Near copies share most of their shingles: if these are few for the sets' sizes, sets are bitmaps of them; else a
+    set marks its own in an array that the others' lists look up.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = counts > 1
+        kept = often[token]
+        self.owner, self.token = np.repeat(np.arange(len(sets)), sizes)[kept], (np.cumsum(often) - 1)[token[kept]]
+        self.offsets = np.searchsorted(self.owner, np.arange(len(sets) + 1))
+        wide = -(-int(often.sum()) // 64) * 64
+        # a bit costs less than a lookup, and all of them are held
+        self.bits = self._bitmaps(len(sets), wide) if wide <= max(64, 16 * len(self.token) // max(1, len(sets))) and len(sets) * wide <= BITMAP_BITS else None
+        self.marks = np.zeros(wide, np.uint8)
+
+    def _bitmaps(self, n: int, wide: int) -> np.ndarray:
+        out = np.empty((n, wide // 64), np.uint64)
+        for at in range(0, n, 256):
+            a, b = self.offsets[at], self.offsets[min(n, at + 256)]
+            held = np.zeros((min(n, at + 256) - at, wide), bool)
+            held[self.owner[a:b] - at, self.token[a:b]] = True
+            out[at : at + 256] = np.packbits(held, axis=1).view(np.uint64)
+        return out
+
+    def sizes_with(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        own = self.token[self.offsets[i] : self.offsets[i + 1]]
+        self.marks[own] = 1
+        lengths = self.offsets[others + 1] - self.offsets[others]
+        starts = np.cumsum(lengths) - lengths
+        cells = np.arange(lengths.sum()) + np.repeat(self.offsets[others] - starts, lengths)
+        found = np.concatenate([[0], np.cumsum(self.marks[self.token[cells]], dtype=np.int64)])
+        self.marks[own] = 0
+        return found[starts + lengths] - found[starts]
+
+
 def confirmed(ids: np.ndarray, labels: np.ndarray, planes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Spanning links between the labels: pairs that pass the estimate and whose sets are similar enough."""
     n = len(ids)
     sizes = np.fromiter(map(len, sets), np.int64, n)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.zeros(int(token.max()) + 1 if len(token) else 0, np.uint8)
+    shared = _Shared(sets)
     forest = _Forest(np.unique(labels, return_inverse=True)[1])
     for i in range(1, n):
         others = np.flatnonzero(forest.label[:i] != forest.label[i])
@@ -204,19 +245,15 @@ def confirmed(ids: np.ndarray, labels: np.ndarray, planes: np.ndarray, sets: lis
         near = similarity(planes[i], planes[others])
         others, near = others[near >= ESTIMATE], near[near >= ESTIMATE]
         others = others[np.argsort(-near, kind="stable")]
-        own[token[offsets[i] : offsets[i + 1]]] = 1
         width = 1
         while len(others):
             # the most similar first, then more at once; the united ones need no look
             some, others = others[:width], others[width:]
-            starts = np.concatenate([[0], np.cumsum(sizes[some])])
-            cells = np.arange(starts[-1]) + np.repeat(offsets[some] - starts[:-1], sizes[some])
-            both = np.add.reduceat(own[token[cells]], starts[:-1], dtype=np.int64)
+            both = shared.sizes_with(i, some)
             for j in some[100 * both >= percent * (sizes[i] + sizes[some] - both)].tolist():
                 forest.join(i, j)
             others = others[forest.label[others] != forest.label[i]]
-            width = min(256, 4 * width)
-        own[token[offsets[i] : offsets[i + 1]]] = 0
+            width = min(4_096 if shared.bits is not None else 256, 4 * width)
     return [(int(ids[i]), int(ids[j])) for i, j in forest.links]
 
 

@@ -70,9 +70,9 @@ def ordered(found):
     return sorted(found, key=lambda r: [(x is not None, x) for x in r])
 
 
-@pytest.mark.parametrize("sizes", [(2_000, 4_000, 1_000_000, 32), (4, 5, 200, 2), (1, 3, 100, 0)])
+@pytest.mark.parametrize("sizes", [(2_000, 4_000, 1_000_000, 32, 1 << 29), (4, 5, 200, 2, 1 << 29), (1, 3, 100, 0, 0)])
 def test_components_are_exact(spark, monkeypatch, sizes):
-    for name, value in zip(("BUCKET", "PART_NODES", "PART_SHINGLES", "LEADERS"), sizes, strict=True):
+    for name, value in zip(("BUCKET", "PART_NODES", "PART_SHINGLES", "LEADERS", "BITMAP_BITS"), sizes, strict=True):
         monkeypatch.setattr(minhash_dedup, name, value)
     data = rows()
     got = [tuple(r) for r in minhash_dedup.near_duplicates(frame(spark, data)).collect()]
@@ -81,6 +81,18 @@ def test_components_are_exact(spark, monkeypatch, sizes):
     assert ordered(got) == ordered(want)
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 0])
+def test_intersections(monkeypatch, bits):
+    monkeypatch.setattr(minhash_dedup, "BITMAP_BITS", bits)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 120, n).astype(np.uint64)) for n in (1, 3, 50, 80, 80, 100, 7)] + [np.array([500], np.uint64), np.array([600, 601], np.uint64)] * 2 + [np.array([900], np.uint64)]
+    shared = minhash_dedup._Shared(sets)
+    assert (shared.bits is not None) == bool(bits)
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i])
+        assert shared.sizes_with(i, others).tolist() == [len(set(sets[i]) & set(sets[j])) for j in others]
+
+
 def test_empty_table(spark):
     assert minhash_dedup.near_duplicates(frame(spark, rows()).limit(0)).count() == 0
 
