@@ -173,27 +173,88 @@ def whitespace_bands(items: DataFrame, *, least: float = 6.0) -> DataFrame:
     return reach.where(F.col("x1") - F.col("x0") >= least).select(*PAGE, "x0", "x1")
 
 
-def column_cut(items: DataFrame, pages: DataFrame, *, bin_width: float = 2.0, keys: list[str] = PAGE) -> DataFrame:
-    """keys, cut: the middle of the free run of x bins nearest to the middle, in the inner 20-80 % of the page.
+#: Column cuts, in points: bins, gutters that are always one and that are one between two blocks, and what parts words of a run.
+BIN, GUTTER, NARROW_GUTTER, RUN_GAP = 2.0, 10.0, 6.0, 10.0
+#: Shares: of the text's height that is the footer, of the page's width that a page number stays below, and that a run or a block reaches; rows of a block.
+FOOTER, FOLIO, BLOCK, BLOCK_ROWS = 0.05, 0.04, 0.25, 20
 
-    Items with the same first and last bin count once; a free run is what lies between the furthest bin so far
-    and the next first one. ``keys`` may part a page further (bounds lo and hi in the items then replace 0 and
-    the page's width).
+
+def _folios(held: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x, y, w of the words of the footer that do not close a gutter: narrow ones that are no part of a long run.
+
+    The footer's words are the lowest of a page, so that they are gathered, not all words. A run are words of about one
+    baseline of which no two neighbours are further apart than ``RUN_GAP``.
+    """
+    reach = F.greatest(F.lit(4.0), 0.45 * F.col("size"))
+    word = F.struct("x", (F.col("x") + F.col("w")).alias("x1"), "y", reach.alias("tol"), (F.col("narrow") & (F.col("y") <= F.col("foot"))).alias("small"))
+    most = F.max(reach).over(Window.partitionBy(*keys))
+    low = held.where("open").withColumn("most", most).where(F.col("y") <= F.col("foot") + F.col("most"))
+    found = low.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("words"), F.first("page_width").alias("page_width"))
+
+    def run_of(w: Column) -> Column:
+        near = F.filter("words", lambda o: F.abs(o["y"] - w["y"]) <= w["tol"])
+        zero = F.struct(w["x"].alias("lo"), F.lit(float("-inf")).alias("hi"), F.lit(False).alias("done"))
+
+        def step(s: Column, o: Column) -> Column:
+            # words come from left to right: one that is too far ends a run, for good if it is the word's own
+            joins = o["x"] <= s["hi"] + RUN_GAP
+            own = (s["lo"] <= w["x"]) & (s["hi"] >= w["x1"])
+            ends = s["done"] | (~joins & own)
+            lo = F.when(ends | joins, s["lo"]).otherwise(o["x"])
+            hi = F.when(ends, s["hi"]).when(joins, F.greatest(s["hi"], o["x1"])).otherwise(o["x1"])
+            return F.struct(lo.alias("lo"), hi.alias("hi"), ends.alias("done"))
+
+        return F.aggregate(near, zero, step, lambda s: s["hi"] - s["lo"])
+
+    small = F.filter("words", lambda w: w["small"] & (run_of(w) < BLOCK * F.col("page_width")))
+    return found.select(*keys, F.explode(F.array_distinct(F.transform(small, lambda w: F.struct(w["x"].alias("fx"), w["y"].alias("fy"), w["x1"].alias("fx1"))))).alias("f")).select(*keys, "f.*")
+
+
+def column_cut(items: DataFrame, pages: DataFrame, *, keys: list[str] = PAGE) -> DataFrame:
+    """keys, cut: the middle of the gutter nearest to the middle of the region, in its inner 20-80 %.
+
+    Words are laid on bins of two points; a free run of bins with words on both sides is a gutter if it is ten points
+    wide (5 % of a narrow region), or six between two blocks, each of 20 rows and a quarter of the region's width.
+    Of equally near gutters the left one is cut. Narrow words in the footer, such as page numbers, do not close a
+    gutter, unless they belong to a run of words that is a quarter of the page wide. Fewer than four words or two
+    rows have no cut. ``keys`` may part a page further; items then have the bounds lo and hi of their region, and
+    may have foot, the top of the page's footer, which the region's own 5 % replaces else.
     """
-    lo, hi = (F.col("lo"), F.col("hi")) if "lo" in items.columns else (F.lit(0.0), F.col("page_width"))
+    page, row, right = Window.partitionBy(*keys), F.floor(F.col("y") + 0.5), F.col("x") + F.col("w")
     held = items.join(pages.select(*PAGE, "page_width"), PAGE)
-    row = F.floor(F.col("y") + 0.5)
-    bins = held.groupBy(*keys, F.floor(F.col("x") / bin_width).alias("b0"), F.ceil((F.col("x") + F.col("w")) / bin_width).alias("b1")).agg(
-        F.count("*").alias("n"), F.min(row).alias("r0"), F.max(row).alias("r1"), F.min("x").alias("low"), F.max(F.col("x") + F.col("w")).alias("high"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
-    page = Window.partitionBy(*keys)
+    for name, value in (("lo", F.lit(0.0)), ("hi", F.col("page_width")), ("size", F.lit(0.0))):
+        held = held if name in items.columns else held.withColumn(name, value)
+    if "foot" not in items.columns:
+        held = held.withColumn("foot", F.min("y").over(page) + FOOTER * (F.max("y").over(page) - F.min("y").over(page)))
+    held = held.select(*keys, "x", "y", "w", "size", "page_width", "lo", "hi", "foot", row.alias("row"), (F.col("w") < FOLIO * F.col("page_width")).alias("narrow"))
+    above = F.when(F.col("y") > F.col("foot"), F.col("row"))
+    # read several times below
+    held = written(held.withColumn("open", F.coalesce(F.min(above).over(page) < F.max(above).over(page), F.lit(False))))
+    folios = _folios(held, keys).select(*[F.col(k).alias(f"f_{k}") for k in keys], "fx", "fy", "fx1")
+    same = [F.col(k) == F.col(f"f_{k}") for k in keys] + [F.col("narrow"), F.col("x") == F.col("fx"), F.col("y") == F.col("fy"), right == F.col("fx1")]
+    closing = held.join(folios, same, "left_anti")
+    middle = F.col("x") + F.col("w") / 2
+    whole = held.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min(middle).alias("low"), F.max(middle).alias("high"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("page_width").alias("page_width"))
+    whole = whole.where((F.col("n") >= 4) & (F.col("r0") < F.col("r1")))
+    last_bin = F.ceil(F.col("page_width") / BIN) - 1
+    # words of one first and last bin count once; a free run lies between the furthest bin so far and the next first one
+    bins = closing.groupBy(*keys, F.greatest(F.lit(0), F.floor(F.col("x") / BIN)).alias("b0"), F.least(F.ceil(right / BIN), last_bin).alias("b1")).agg(F.lit(1).alias("one"))
     reach = F.max("b1").over(page.orderBy("b0", "b1").rowsBetween(Window.unboundedPreceding, -1))
-    whole = bins.select(*keys, "b0", reach.alias("reach"), F.sum("n").over(page).alias("n"), F.min("r0").over(page).alias("r0"), F.max("r1").over(page).alias("r1"), F.min("low").over(page).alias("low"), F.max("high").over(page).alias("high"), "lo", "hi")
-    width = F.col("hi") - F.col("lo")
-    first, last = F.greatest(F.col("reach") + 1, F.floor((F.col("lo") + 0.2 * width) / bin_width)), F.least(F.col("b0") - 1, F.floor((F.col("lo") + 0.8 * width) / bin_width))
-    runs = whole.where((F.col("n") >= 4) & (F.col("r0") < F.col("r1")) & (first <= last)).withColumns({"g0": first * bin_width, "g1": (last + 1) * bin_width})
-    wide = runs.where((F.col("g1") - F.col("g0") >= F.least(0.05 * width, F.lit(10.0))) & (F.col("g0") > F.col("low")) & (F.col("g1") < F.col("high")))
-    middle = (F.col("g0") + F.col("g1")) / 2
-    return wide.groupBy(*keys).agg(F.min_by(middle, F.struct(F.abs(middle - (F.col("lo") + F.col("hi")) / 2), middle)).alias("cut"))
+    between = bins.select(*keys, (reach + 1).alias("g0"), (F.col("b0") - 1).alias("g1"))
+    beyond = bins.groupBy(*keys).agg((F.max("b1") + 1).alias("g0")).select(*keys, "g0", F.lit(None).cast("long").alias("g1"))
+    region = F.col("hi") - F.col("lo")
+    free = between.unionByName(beyond).join(whole, keys)
+    free = free.withColumns({"g0": F.greatest("g0", F.floor((F.col("lo") + 0.2 * region) / BIN)), "g1": F.least("g1", F.ceil((F.col("lo") + 0.8 * region) / BIN))}).where("g0 <= g1")
+    free = free.withColumns({"wide": (F.col("g1") - F.col("g0") + 1) * BIN, "mid": F.floor((F.col("g0") + F.col("g1")) / 2 + 0.5) * BIN, "least": F.least(0.05 * region, F.lit(GUTTER))})
+    free = free.where((F.col("low") < F.col("mid")) & (F.col("high") >= F.col("mid")) & (F.col("wide") >= F.least("least", F.lit(NARROW_GUTTER))))
+    # both sides of the narrow ones: they are few
+    doubtful = free.where("wide < least").select(*keys, "mid")
+    side = held.select(*keys, "x", "w", "row").join(doubtful, keys).withColumn("right", (middle >= F.col("mid")).cast("int"))
+    sides = side.groupBy(*keys, "mid", "right").agg(F.size(F.collect_set("row")).alias("rows"), (F.max(right) - F.min("x")).alias("reach"))
+    blocks = sides.groupBy(*keys, "mid").agg(F.min("rows").alias("rows"), F.min("reach").alias("reach"), F.count("*").alias("sides"))
+    judged = free.join(blocks, [*keys, "mid"], "left")
+    good = judged.where((F.col("wide") >= F.col("least")) | F.coalesce((F.col("sides") == 2) & (F.col("rows") >= BLOCK_ROWS) & (F.col("reach") >= BLOCK * region), F.lit(False)))
+    return good.groupBy(*keys).agg(F.min_by("mid", F.struct(F.abs(F.col("mid") - (F.col("lo") + F.col("hi")) / 2), "mid")).alias("cut"))
 
 
 def split_columns(items: DataFrame, pages: DataFrame, *, depth: int = 3, keys: list[str] = PAGE) -> DataFrame:
@@ -201,7 +262,7 @@ def split_columns(items: DataFrame, pages: DataFrame, *, depth: int = 3, keys: l
     out = items.join(pages.select(*PAGE, "page_width"), PAGE).withColumns({"path": F.lit(""), "lo": F.lit(0.0), "hi": F.col("page_width")}).drop("page_width")
     for _ in range(depth):
         cuts = column_cut(out, pages, keys=[*keys, "path"])
-        right = F.col("x") + F.col("w") / 2 > F.col("cut")
+        right = F.col("x") + F.col("w") / 2 >= F.col("cut")
         found = F.col("cut").isNotNull()
         out = out.join(cuts, [*keys, "path"], "left").withColumns({"path": F.concat("path", F.when(found & right, "1").otherwise("0")), "lo": F.when(found & right, F.col("cut")).otherwise(F.col("lo")), "hi": F.when(found & ~right, F.col("cut")).otherwise(F.col("hi"))}).drop("cut")
     return out.withColumn("col", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("path")) - 1).cast("int")).drop("path", "lo", "hi")

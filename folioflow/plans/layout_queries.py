@@ -180,18 +180,32 @@ def w4_whitespace_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.whitespace_bands(narrow_items(spark, sf_dir))
 
 
-_WIDE = "wide AS (SELECT doc_id, page, seq, y, CASE WHEN seq % 12 >= 6 THEN x + 60 ELSE x END AS x, 40.0::DOUBLE AS w FROM items)"
-_CUT = f"""{_WIDE}, ok AS (SELECT doc_id, page, min(x) AS low, max(x + w) AS high FROM wide GROUP BY ALL HAVING count(*) >= 4 AND count(DISTINCT floor(y + 0.5)) >= 2),
-used AS (SELECT DISTINCT doc_id, page, unnest(range(floor(x / 2)::INT, ceil((x + w) / 2)::INT + 1)) AS bin FROM wide),
-free AS (SELECT doc_id, page, low, high, bin FROM ok, range(68, 274) g(bin) WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = ok.doc_id AND u.page = ok.page AND u.bin = g.bin)),
-isl AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS run FROM free),
-runs AS (SELECT doc_id, page, low, high, min(bin) * 2.0 AS g0, (max(bin) + 1) * 2.0 AS g1 FROM isl GROUP BY doc_id, page, low, high, run),
-cuts AS (SELECT doc_id, page, min_by((g0 + g1) / 2, abs((g0 + g1) / 2 - 342) * 10000 + (g0 + g1) / 2)::DOUBLE AS cut FROM runs WHERE g1 - g0 >= 10 AND g0 > low AND g1 < high GROUP BY ALL)"""
+_WIDE = """wide AS (SELECT doc_id, page, seq, size, CASE WHEN seq % 97 BETWEEN 5 AND 7 THEN 10.0 ELSE y END::DOUBLE AS y, CASE WHEN seq % 97 = 5 THEN 330 WHEN seq % 97 = 6 THEN CASE WHEN doc_id % 4 = 3 THEN 200 ELSE 100 END WHEN seq % 97 = 7 THEN CASE WHEN doc_id % 4 = 3 THEN 345 ELSE 500 END
+ WHEN seq % 12 >= 6 THEN x + CASE doc_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 12 ELSE 9 END ELSE x END::DOUBLE AS x, CASE WHEN seq % 97 = 5 THEN 8 WHEN seq % 97 = 6 AND doc_id % 4 = 3 THEN 125 WHEN seq % 97 BETWEEN 6 AND 7 THEN 20 ELSE 40 END::DOUBLE AS w FROM items)"""
+_CUT = f"""{_WIDE}, st AS (SELECT doc_id, page, min(y) + 0.05::DOUBLE * (max(y) - min(y)) AS foot, count(*) AS n, count(DISTINCT floor(y + 0.5)) AS rows, min(x + w / 2) AS low, max(x + w / 2) AS high FROM wide GROUP BY ALL),
+op AS (SELECT st.*, (SELECT count(DISTINCT floor(y + 0.5)) >= 2 FROM wide v WHERE v.doc_id = st.doc_id AND v.page = st.page AND v.y > foot) AS open FROM st),
+f AS (SELECT DISTINCT v.doc_id, v.page, v.x, v.y, v.w, v.size FROM wide v JOIN op USING (doc_id, page) WHERE open AND v.y <= foot AND v.w < 0.04::DOUBLE * 684),
+ln AS (SELECT f.*, o.x AS ox, o.x + o.w AS ox1, CASE WHEN o.x > max(o.x + o.w) OVER (PARTITION BY f.doc_id, f.page, f.x, f.y, f.w, f.size ORDER BY o.x, o.w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 10 THEN 1 ELSE 0 END AS new
+ FROM f JOIN wide o ON o.doc_id = f.doc_id AND o.page = f.page AND abs(o.y - f.y) <= greatest(4, 0.45::DOUBLE * f.size)),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, x, y, w, size ORDER BY ox, ox1 - ox) AS run FROM ln),
+rn AS (SELECT doc_id, page, x, y, w, size, run, max(ox1) - min(ox) AS reach, min(ox) AS a, max(ox1) AS b FROM isl GROUP BY ALL),
+fol AS (SELECT DISTINCT doc_id, page, x, y, w FROM rn WHERE a <= x AND b >= x + w AND reach < 0.25::DOUBLE * 684),
+used AS (SELECT DISTINCT doc_id, page, unnest(range(floor(x / 2)::INT, ceil((x + w) / 2)::INT + 1)) AS bin FROM wide ANTI JOIN fol USING (doc_id, page, x, y, w)),
+free AS (SELECT doc_id, page, low, high, bin FROM op, range(68, 275) g(bin) WHERE n >= 4 AND rows >= 2 AND NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = op.doc_id AND u.page = op.page AND u.bin = g.bin)),
+ru AS (SELECT doc_id, page, low, high, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS run, bin FROM free),
+gap AS (SELECT doc_id, page, (max(bin) - min(bin) + 1) * 2 AS wide, floor((min(bin) + max(bin)) / 2 + 0.5) * 2 AS mid FROM ru GROUP BY doc_id, page, low, high, run HAVING low < mid AND high >= mid AND wide >= 6),
+sd AS (SELECT g.doc_id, g.page, g.mid, v.x + v.w / 2 >= g.mid AS r, count(DISTINCT floor(v.y + 0.5)) AS rows, max(v.x + v.w) - min(v.x) AS reach FROM gap g JOIN wide v USING (doc_id, page) WHERE g.wide < 10 GROUP BY ALL),
+bl AS (SELECT doc_id, page, mid FROM sd GROUP BY ALL HAVING count(*) = 2 AND min(rows) >= 20 AND min(reach) >= 171),
+cuts AS (SELECT doc_id, page, min_by(mid, abs(mid - 342) * 10000 + mid)::DOUBLE AS cut FROM gap WHERE wide >= 10 OR EXISTS (SELECT 1 FROM bl WHERE bl.doc_id = gap.doc_id AND bl.page = gap.page AND bl.mid = gap.mid) GROUP BY ALL)"""
 
 
 def wide_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = items_of(spark, sf_dir)
-    moved = items.withColumn("x", F.when(F.col("seq") % 12 >= 6, F.col("x") + 60).otherwise(F.col("x"))).withColumn("w", F.lit(40.0))
+    """Two columns with gutters of 60, 12 and 9 points; page numbers below them, in every fourth document inside a long line."""
+    k, f, long = F.col("seq") % 12, F.col("seq") % 97, F.col("doc_id") % 4 == 3
+    shift = F.when(F.col("doc_id") % 3 == 0, 60.0).when(F.col("doc_id") % 3 == 1, 12.0).otherwise(9.0)
+    x = F.when(f == 5, 330.0).when(f == 6, F.when(long, 200.0).otherwise(100.0)).when(f == 7, F.when(long, 345.0).otherwise(500.0)).otherwise(F.col("x") + F.when(k >= 6, shift).otherwise(0.0))
+    w = F.when(f == 5, 8.0).when((f == 6) & long, 125.0).when(f.isin(6, 7), 20.0).otherwise(40.0)
+    moved = items_of(spark, sf_dir).withColumns({"x": x, "w": w, "y": F.when(f.between(5, 7), 10.0).otherwise(F.col("y"))})
     return moved, derived.pages(spark, sf_dir).withColumn("page_width", F.lit(684.0))
 
 
@@ -204,13 +218,13 @@ def _split_sql(depth: int = 3) -> str:
     """The levels of a recursive split, each over the parts of the one before."""
     out = ["w0 AS (SELECT doc_id, page, seq, y, x + CASE WHEN seq % 12 >= 9 THEN 120 WHEN seq % 12 >= 6 THEN 60 ELSE 0 END AS x, 40.0::DOUBLE AS w, '' AS path, 0.0::DOUBLE AS lo, 744.0::DOUBLE AS hi FROM items)"]
     for i in range(depth):
-        out.append(f"""ok{i} AS (SELECT doc_id, page, path, min(x) AS low, max(x + w) AS high, min(lo) AS lo, min(hi) AS hi FROM w{i} GROUP BY ALL HAVING count(*) >= 4 AND count(DISTINCT floor(y + 0.5)) >= 2),
+        out.append(f"""ok{i} AS (SELECT doc_id, page, path, min(x + 20) AS low, max(x + 20) AS high, min(lo) AS lo, min(hi) AS hi FROM w{i} GROUP BY ALL HAVING count(*) >= 4 AND count(DISTINCT floor(y + 0.5)) >= 2),
 used{i} AS (SELECT DISTINCT doc_id, page, path, unnest(range(floor(x / 2)::INT, ceil((x + w) / 2)::INT + 1)) AS bin FROM w{i}),
-grid{i} AS (SELECT *, unnest(range(floor((lo + 0.2 * (hi - lo)) / 2)::INT, floor((lo + 0.8 * (hi - lo)) / 2)::INT + 1)) AS bin FROM ok{i}),
+grid{i} AS (SELECT *, unnest(range(floor((lo + 0.2::DOUBLE * (hi - lo)) / 2)::INT, ceil((lo + 0.8::DOUBLE * (hi - lo)) / 2)::INT + 1)) AS bin FROM ok{i}),
 free{i} AS (SELECT g.*, bin - row_number() OVER (PARTITION BY doc_id, page, path ORDER BY bin) AS run FROM grid{i} g ANTI JOIN used{i} USING (doc_id, page, path, bin)),
-runs{i} AS (SELECT doc_id, page, path, low, high, lo, hi, min(bin) * 2.0 AS g0, (max(bin) + 1) * 2.0 AS g1 FROM free{i} GROUP BY doc_id, page, path, low, high, lo, hi, run),
-cuts{i} AS (SELECT doc_id, page, path, min_by((g0 + g1) / 2, abs((g0 + g1) / 2 - (lo + hi) / 2) * 10000 + (g0 + g1) / 2)::DOUBLE AS cut FROM runs{i} WHERE g1 - g0 >= least(10, 0.05 * (hi - lo)) AND g0 > low AND g1 < high GROUP BY ALL),
-w{i + 1} AS (SELECT doc_id, page, seq, y, x, w, path || CASE WHEN x + 20 > cut THEN '1' ELSE '0' END AS path, CASE WHEN x + 20 > cut THEN cut ELSE lo END AS lo, CASE WHEN x + 20 <= cut THEN cut ELSE hi END AS hi FROM w{i} LEFT JOIN cuts{i} USING (doc_id, page, path))""")
+runs{i} AS (SELECT doc_id, page, path, low, high, lo, hi, (max(bin) - min(bin) + 1) * 2 AS wide, (floor((min(bin) + max(bin)) / 2 + 0.5) * 2)::DOUBLE AS mid FROM free{i} GROUP BY doc_id, page, path, low, high, lo, hi, run),
+cuts{i} AS (SELECT doc_id, page, path, min_by(mid, abs(mid - (lo + hi) / 2) * 10000 + mid)::DOUBLE AS cut FROM runs{i} WHERE wide >= least(10, 0.05::DOUBLE * (hi - lo)) AND low < mid AND high >= mid GROUP BY ALL),
+w{i + 1} AS (SELECT doc_id, page, seq, y, x, w, path || CASE WHEN x + 20 >= cut THEN '1' ELSE '0' END AS path, CASE WHEN x + 20 >= cut THEN cut ELSE lo END AS lo, CASE WHEN x + 20 < cut THEN cut ELSE hi END AS hi FROM w{i} LEFT JOIN cuts{i} USING (doc_id, page, path))""")
     return ", ".join(out) + f" SELECT doc_id, page, seq, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY path) - 1)::INT AS col FROM w{depth}"
 
 

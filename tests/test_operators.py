@@ -395,6 +395,30 @@ def test_stream_of_saves(spark, tmp_path):
     assert {(r.key, r.value) for r in saved.read(spark).collect()} == {(k, 101.0) for k in range(3)}
 
 
+def cut_of(spark, rows, width=600.0):
+    """rows of <x, y, w>, size 10: the cut of their page."""
+    df = spark.createDataFrame([(1, 0, k, float(x), float(y), float(w), 10.0) for k, (x, y, w) in enumerate(rows)], "doc_id long, page int, seq long, x double, y double, w double, size double")
+    got = layout.column_cut(df, spark.createDataFrame([(1, 0, width)], "doc_id long, page int, page_width double")).collect()
+    return got[0].cut if got else None
+
+
+def test_gutters(spark):
+    two = lambda gap, rows=30, left=50, wide=240: [(x, 700 - 14 * r, wide) for r in range(rows) for x in (left, left + wide + gap)]
+    # bins of two points: 290 to 310 is free from 292 to 308
+    assert cut_of(spark, two(20)) == 300.0
+    # a page number, alone or beside another short word, does not close it; a long line does, as does a short piece inside of one
+    assert cut_of(spark, [*two(20), (296, 30, 8)]) == 300.0
+    assert cut_of(spark, [*two(20), (270, 30, 18), (296, 30, 8), (310, 30, 20)]) == 300.0
+    assert cut_of(spark, [*two(20), (100, 30, 195), (302, 30, 190)]) is None
+    assert cut_of(spark, [*two(20), (100, 30, 191), (298, 32, 8), (312, 30, 190)]) is None
+    assert cut_of(spark, [*two(20), (296, 650, 8)]) is None
+    # nine points are a gutter between two blocks only
+    assert cut_of(spark, two(9)) == 294.0 and cut_of(spark, two(9, rows=19)) is None
+    assert cut_of(spark, [(x, 700 - 14 * r, w) for r in range(30) for x, w in ((50, 100), (159, 300))]) is None
+    # one row, three words, no words on one side
+    assert cut_of(spark, two(20, rows=1)) is None and cut_of(spark, two(20)[:3]) is None and cut_of(spark, [(50, 700 - 14 * r, 100) for r in range(9)]) is None
+
+
 def test_columns_are_cut_again(spark):
     rows = [(f"{c}{r}", x, 700.0 - 14 * r, 40.0, 12.0) for r in range(8) for c, x in enumerate((60.0, 240.0, 420.0))]
     got = {r.str: r.col for r in layout.split_columns(items(spark, rows), pages(spark)).collect()}
