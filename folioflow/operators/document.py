@@ -113,7 +113,7 @@ def by_level(roots: DataFrame, nodes: DataFrame, step: dict[str, Column]) -> Dat
 
 def flatten_outline(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, level, title, path: a tree (node_id, parent_id, ord, title) in preorder by path; blank titles are left out, their children stay."""
-    own = F.lpad(F.col("ord").cast("string"), 8, "0")
+    own = F.lpad(F.col("ord").cast("string"), 19, "0")  # as long as a long
     roots = nodes.where("parent_id IS NULL").select("doc_id", "node_id", "title", F.lit(1).alias("level"), own.alias("path"))
     tree = by_level(roots, nodes, {"title": F.col("title"), "level": F.col("up_level") + 1, "path": F.concat("up_path", F.lit("."), own)})
     return tree.where(F.trim("title") != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.lineage import written
@@ -34,20 +34,41 @@ def resolve_numbering(nums: DataFrame, abstracts: DataFrame) -> DataFrame:
     return nums.join(level, F.col("abstract_id") == F.col("a"), "left").select("num_id", F.coalesce("format", F.lit("other")).alias("format"))
 
 
+def resolve_target(owner: Column, target: Column) -> Column:
+    """The path that a relationship's target means: from the root if it begins with a slash, else from the owner's folder, with ``.`` and ``..`` folded (beyond the root they fall away); the package itself owns what has no owner."""
+    folder = F.regexp_extract(F.coalesce(owner, F.lit("")), "^(.*/)?", 1)
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, part: Column) -> Column:
+        up = F.slice(held, F.lit(1), F.greatest(F.lit(0), F.size(held) - 1))
+        return F.when(part.isin("", "."), held).when(part == "..", up).otherwise(F.concat(held, F.array(part)))
+
+    folded = F.array_join(F.aggregate(F.split(F.concat(folder, target), "/"), none, step), "/")
+    return F.when(target.startswith("/"), F.substring(target, F.lit(2), F.char_length(target))).otherwise(folded)
+
+
+def part_key(path: Column) -> Column:
+    """What two names of one part have in common: percent codes decoded, if they are all in order, and lower case."""
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    # codes that are no UTF-8 come out as the replacement sign
+    bad = decoded.contains("\ufffd") & ~path.contains("\ufffd")
+    return F.lower(F.when(decoded.isNull() | bad, path).otherwise(decoded))
+
+
 def orphan_parts(parts: DataFrame, rels: DataFrame, overrides: DataFrame, attrs: DataFrame) -> DataFrame:
     """package, path: media parts that nothing uses.
 
-    A part is live if the content types name it, or a relationship points to it whose id stands among its
-    owner's attribute values or whose owner cannot be read. A package with an unreadable relationship part
-    loses nothing. Paths are compared without case.
+    A part is live if the content types name it, or a relationship (owner, rel_id, target as written) points to it
+    whose id stands among its owner's attribute values, or whose owner is the package (null) or a part that is
+    not there or cannot be read. A package with an unreadable relationship part loses nothing. Targets are resolved
+    against their owner, and paths compared decoded and without case.
     """
-    low = lambda c: F.lower(F.regexp_replace(c, "^/", ""))
-    media = parts.where(F.col("path").contains("/media/")).select("package", "path", low("path").alias("p"))
-    used = rels.where("rel_id IS NOT NULL").select("package", "owner", "rel_id", low("target").alias("p"))
-    unreadable = parts.where("NOT readable").select("package", F.col("path").alias("owner"))
+    media = parts.where(part_key(F.col("path")).contains("/media/")).select("package", "path", part_key(F.col("path")).alias("p"))
+    used = rels.where("rel_id IS NOT NULL AND target IS NOT NULL").select("package", "owner", "rel_id", part_key(resolve_target(F.col("owner"), F.col("target"))).alias("p"))
+    readable = parts.where("readable").select("package", F.col("path").alias("owner")).distinct()
     live = used.join(attrs.select("package", "owner", F.col("value").alias("rel_id")).distinct(), ["package", "owner", "rel_id"], "left_semi").select("package", "p")
-    kept = used.join(unreadable, ["package", "owner"], "left_semi").select("package", "p")
-    named = overrides.select("package", low("path").alias("p"))
+    kept = used.join(readable, ["package", "owner"], "left_anti").select("package", "p")
+    named = overrides.select("package", part_key(F.regexp_replace("path", "^/", "")).alias("p"))
     closed = parts.where(~F.col("readable") & F.col("path").endswith(".rels")).select("package").distinct()
     return media.join(live.union(kept).union(named).distinct(), ["package", "p"], "left_anti").join(closed, "package", "left_anti").select("package", "path")
 

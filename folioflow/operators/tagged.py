@@ -193,7 +193,7 @@ def tree_blocks(nodes: DataFrame, items: DataFrame) -> DataFrame:
     lists nest, a nested list's items are blocks of their own; cells know their table; figures are left out
     with all that is in them; other roles are looked through. Blocks without text are left out.
     """
-    role, own = F.col("role"), F.lpad(F.col("ord").cast("string"), 8, "0")
+    role, own = F.col("role"), F.lpad(F.col("ord").cast("string"), 19, "0")
     heading = role.rlike("^(H[1-6]?|Title)$")
     level = F.when(role.rlike("^H[1-6]$"), F.substring(role, 2, 1).cast("int")).otherwise(1)
     kind = F.when(heading, "heading").when(role.isin(*BODY_ROLES), "body").when(role == "LI", "item").when(role.isin("TD", "TH"), "cell")
@@ -211,7 +211,46 @@ def tree_blocks(nodes: DataFrame, items: DataFrame) -> DataFrame:
     tree = by_level(roots, nodes, {n: s for n, (_, s) in state.items()} | {"block": block})
     seen = tree.where(~F.col("hidden") & F.col("block").isNotNull())
     place = seen.where(F.col("block.id") == F.col("node_id")).select("doc_id", "node_id", "path", F.col("block.kind").alias("kind"), F.col("block.level").alias("level"), F.when(F.col("block.kind") == "item", F.col("depth")).otherwise(0).alias("depth"), F.when(F.col("block.kind") == "cell", F.col("table_id")).alias("table_id"))
-    leaves = seen.select("doc_id", F.col("node_id").alias("leaf_id"), F.col("block.id").alias("node_id"))
-    words = F.array_sort(F.collect_list(F.struct("seq", "str")))
+    leaves = seen.select("doc_id", F.col("node_id").alias("leaf_id"), F.col("block.id").alias("node_id"), F.col("path").alias("leaf_path"))
+    # the tree's order, not the page's
+    words = F.array_sort(F.collect_list(F.struct("leaf_path", "seq", "str")))
     texts = items.join(leaves, ["doc_id", "leaf_id"]).groupBy("doc_id", "node_id").agg(F.array_join(F.transform(words, lambda w: w["str"]), " ").alias("text"))
     return place.join(texts, ["doc_id", "node_id"]).where(F.trim("text") != "")
+
+
+def tree_tables(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, table_id, r, c, text: the full grids of the tables in a structure tree (nodes and items as in :func:`tree_blocks`).
+
+    A table's rows are its TR nodes, under it or under row groups; a row's cells are its TD and TH nodes. Cells take
+    the text of all that is in them but for tables of their own, which have their own grid, in the order of the
+    tree. Rows are filled up to the widest with empty cells; tables without any text are left out.
+    """
+    role, own = F.upper("role"), F.lpad(F.col("ord").cast("string"), 19, "0")
+    cell = role.isin("TD", "TH") & F.col("up_row").isNotNull()
+    state = {
+        "path": (own, F.concat("up_path", F.lit("."), own)),
+        # the table whose rows may come next; the table of a row; the row and table of a cell; the cell of a leaf
+        "grid": (F.when(role == "TABLE", F.col("node_id")), F.when(role == "TABLE", F.col("node_id")).when(role.isin("THEAD", "TBODY", "TFOOT"), F.col("up_grid"))),
+        "row": (None, F.when((role == "TR") & F.col("up_grid").isNotNull(), F.struct(F.col("up_grid").alias("table_id"), F.col("node_id").alias("id")))),
+        "cell_row": (None, F.when(cell, F.col("up_row"))),
+        "cell": (None, F.when(role == "TABLE", None).when(cell, F.col("node_id")).otherwise(F.col("up_cell"))),
+    }
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    pair = f"struct<table_id:{kind},id:{kind}>"
+    none = {"row": F.lit(None).cast(pair), "cell_row": F.lit(None).cast(pair), "cell": F.lit(None).cast(kind)}
+    roots = nodes.where("parent_id IS NULL").select("doc_id", "node_id", *[(none[n] if r is None else r).alias(n) for n, (r, _) in state.items()])
+    tree = by_level(roots, nodes, {n: s for n, (_, s) in state.items()})
+    rows = tree.where("row IS NOT NULL").select("doc_id", F.col("row.table_id").alias("table_id"), F.col("node_id").alias("row_id"), (F.row_number().over(Window.partitionBy("doc_id", "row.table_id").orderBy("path")) - 1).alias("r"))
+    cells = tree.where("cell_row IS NOT NULL").select("doc_id", F.col("cell_row.id").alias("row_id"), F.col("node_id").alias("cell"), (F.row_number().over(Window.partitionBy("doc_id", "cell_row.id").orderBy("path")) - 1).alias("c"))
+    leaves = tree.where("cell IS NOT NULL").select("doc_id", F.col("node_id").alias("leaf_id"), "cell", "path")
+    words = F.array_sort(F.collect_list(F.struct("path", "seq", "str")))
+    joined = F.trim(F.regexp_replace(F.array_join(F.transform(words, lambda w: w["str"]), " "), r"\s+", " "))
+    texts = items.join(leaves, ["doc_id", "leaf_id"]).groupBy("doc_id", "cell").agg(joined.alias("text"))
+    placed = rows.join(cells, ["doc_id", "row_id"], "left").join(texts, ["doc_id", "cell"], "left")
+    # a row as a map of its cells: its table's width fills it up
+    held = placed.groupBy("doc_id", "table_id", "r").agg(F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", F.coalesce("text", F.lit("")).alias("text"))))).alias("held"), F.coalesce(F.max("c") + 1, F.lit(0)).alias("n"))
+    table = Window.partitionBy("doc_id", "table_id")
+    some = F.max(F.exists(F.map_values("held"), lambda t: t != "")).over(table)
+    whole = held.withColumn("n", F.max("n").over(table)).withColumn("some", some).where("some")
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct(c.alias("c"), F.coalesce(F.try_element_at("held", c), F.lit("")).alias("text")))
+    return whole.select("doc_id", "table_id", "r", F.inline(every))

@@ -111,7 +111,7 @@ def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.paragraphs(spark, sf_dir).select("doc_id", n.alias("node_id"), F.when(n > 0, F.floor((n - 1) / 4)).alias("parent_id"), "ord", F.when(n % 6 == 5, " ").otherwise(F.col("text")).alias("title"))
 
 
-@add("WITH RECURSIVE " + with_tables("paras").removeprefix("WITH ") + f", {_TREE}, tree AS (SELECT doc_id, node_id, title, 1 AS level, lpad(ord::VARCHAR, 8, '0') AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.node_id, n.title, t.level + 1, t.path || '.' || lpad(n.ord::VARCHAR, 8, '0') FROM nodes n JOIN tree t ON n.doc_id = t.doc_id AND n.parent_id = t.node_id) SELECT doc_id, node_id, title, level, path FROM tree WHERE trim(title) <> ''")
+@add("WITH RECURSIVE " + with_tables("paras").removeprefix("WITH ") + f", {_TREE}, tree AS (SELECT doc_id, node_id, title, 1 AS level, lpad(ord::VARCHAR, 19, '0') AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.node_id, n.title, t.level + 1, t.path || '.' || lpad(n.ord::VARCHAR, 19, '0') FROM nodes n JOIN tree t ON n.doc_id = t.doc_id AND n.parent_id = t.node_id) SELECT doc_id, node_id, title, level, path FROM tree WHERE trim(title) <> ''")
 def w21_flatten_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.flatten_outline(outline_nodes(spark, sf_dir))
 

@@ -174,17 +174,20 @@ _PKG = "p AS (SELECT l_orderkey // 4 AS package, l_linenumber AS i, l_partkey AS
 
 
 @add(f"""WITH {_PKG}, media AS (SELECT DISTINCT package, 'word/media/Image' || j || '_' || i || '.png' AS path, i, j FROM p),
-live AS (SELECT DISTINCT package, j, i FROM p WHERE k % 3 = 0 OR j = 2), over AS (SELECT DISTINCT package, j, i FROM p WHERE k % 7 = 1), closed AS (SELECT DISTINCT package FROM p WHERE package % 9 = 4)
+live AS (SELECT DISTINCT package, j, i FROM p WHERE (k % 3 = 0 OR j = 2) AND k % 8 <> 7), over AS (SELECT DISTINCT package, j, i FROM p WHERE k % 7 = 1), closed AS (SELECT DISTINCT package FROM p WHERE package % 9 = 4)
 SELECT package, path FROM media m WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.package = m.package AND l.j = m.j AND l.i = m.i) AND NOT EXISTS (SELECT 1 FROM over l WHERE l.package = m.package AND l.j = m.j AND l.i = m.i) AND package NOT IN (SELECT package FROM closed)""")
 def j17_orphan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     p = li.select(F.floor(F.col("l_orderkey") / 4).alias("package"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("k"), (F.col("l_orderkey") % 4).alias("j"))
     path = F.concat(F.lit("word/media/Image"), "j", F.lit("_"), "i", F.lit(".png"))
     owner = F.concat(F.lit("word/part"), "j", F.lit(".xml"))
+    # from the owner's folder or the root, by detours, with codes; one in eight leads elsewhere
+    file, way = F.concat(F.lit("IMAGE"), "j", F.lit("_"), "i", F.lit(".png")), F.col("k") % 8
+    target = F.when(way < 2, F.concat(F.lit("media/"), file)).when(way < 4, F.concat(F.lit("/Word/media/"), file)).when(way < 6, F.concat(F.lit("../word/./x/../media/"), file)).when(way == 6, F.concat(F.lit("%6dedia/"), F.replace(file, F.lit("_"), F.lit("%5F")))).otherwise(F.concat(F.lit("../media/"), file))
     media = p.select("package", path.alias("path"), F.lit(True).alias("readable")).distinct()
     owners = p.select("package", owner.alias("path"), (F.col("j") != 2).alias("readable")).distinct()
     rel_parts = p.select("package", F.lit("word/_rels/a.rels").alias("path"), (F.col("package") % 9 != 4).alias("readable")).distinct()
-    rels = p.select("package", owner.alias("owner"), F.concat(F.lit("r"), "j", F.lit("_"), "i", F.lit("_"), "k").alias("rel_id"), F.upper(path).alias("target"))
+    rels = p.select("package", owner.alias("owner"), F.concat(F.lit("r"), "j", F.lit("_"), "i", F.lit("_"), "k").alias("rel_id"), target.alias("target"))
     attrs = p.where("k % 3 = 0").select("package", owner.alias("owner"), F.concat(F.lit("r"), "j", F.lit("_"), "i", F.lit("_"), "k").alias("value"))
     overrides = p.where("k % 7 = 1").select("package", F.concat(F.lit("/"), path).alias("path"))
     return reconcile.orphan_parts(media.union(owners).union(rel_parts), rels, overrides, attrs)

@@ -227,13 +227,26 @@ def test_closure_with_cycles_and_dangling(spark):
     assert got == {("c", "dangling"), ("b", "dropped")}
 
 
+def test_targets_of_relationships(spark):
+    rows = {
+        ("word/document.xml", "media/a.png"): "word/media/a.png", ("word/document.xml", "../media/./a.png"): "media/a.png", ("word/document.xml", "../../../a.png"): "a.png",
+        ("word/document.xml", "/word/../a.png"): "word/../a.png", (None, "word//x/../document.xml"): "word/document.xml", ("top.xml", "a b"): "a b",
+    }
+    df = spark.createDataFrame(list(rows), "o string, t string").select("o", "t", reconcile.resolve_target(F.col("o"), F.col("t")).alias("p"))
+    assert {(r.o, r.t): r.p for r in df.collect()} == rows
+    keys = {"Word/Media/A.PNG": "word/media/a.png", "m/%E5%9B%B3+1.png": "m/図+1.png", "m/100%.png": "m/100%.png", "m/%FF.png": "m/%ff.png", "m/%2541": "m/%41"}
+    df = spark.createDataFrame([(k,) for k in keys], "t string").select("t", reconcile.part_key(F.col("t")).alias("p"))
+    assert {r.t: r.p for r in df.collect()} == keys
+
+
 def test_orphans_fail_safe(spark):
-    parts = spark.createDataFrame([(p, f, ok) for p in (1, 2) for f, ok in [("word/media/a.png", True), ("word/media/b.png", True), ("word/doc.xml", True), ("word/_rels/doc.xml.rels", p == 1)]], "package int, path string, readable boolean")
-    rels = spark.createDataFrame([(1, "word/doc.xml", "r1", "word/media/A.PNG"), (1, "word/doc.xml", "r2", "word/media/b.png")], "package int, owner string, rel_id string, target string")
+    parts = spark.createDataFrame([(p, f, ok) for p in (1, 2) for f, ok in [*((f"word/media/{x}.png", True) for x in "abcdefg"), ("word/doc.xml", True), ("word/bad.xml", False), ("word/_rels/doc.xml.rels", p == 1)]], "package int, path string, readable boolean")
+    rels = [("word/doc.xml", "r1", "media/%41.PNG"), ("word/doc.xml", "r2", "media/b.png"), ("word/bad.xml", "r3", "../word/media/c.png"), (None, "r4", "word/media/d.png"), ("word/gone.xml", "r5", "media/e.png"), ("word/doc.xml", "r1", "/media/f.png")]
+    rels = spark.createDataFrame([(1, *r) for r in rels], "package int, owner string, rel_id string, target string")
     attrs = spark.createDataFrame([(1, "word/doc.xml", "r1")], "package int, owner string, value string")
-    none = spark.createDataFrame([], "package int, path string")
-    got = [(r.package, r.path) for r in reconcile.orphan_parts(parts, rels, none, attrs).collect()]
-    assert got == [(1, "word/media/b.png")]
+    named = spark.createDataFrame([(1, "/Word/media/g.png")], "package int, path string")
+    got = sorted((r.package, r.path) for r in reconcile.orphan_parts(parts, rels, named, attrs).collect())
+    assert got == [(1, "word/media/b.png"), (1, "word/media/f.png")]
 
 
 def test_search_offsets_and_boxes(spark):
@@ -448,6 +461,18 @@ def test_tree_blocks(spark):
     assert got == {1: ("heading", 2, 0, None, "t1"), 3: ("item", 0, 1, None, "t3 t4"), 6: ("item", 0, 2, None, "t6"), 11: ("cell", 0, 0, 9, "t12")}
 
 
+def test_tables_of_trees(spark):
+    role = {
+        0: ("Document", None), 1: ("Table", 0), 2: ("TR", 1), 3: ("TH", 2), 4: ("TD", 2), 5: ("TBody", 1), 6: ("TR", 5), 7: ("TD", 6), 8: ("P", 7), 9: ("Table", 7), 10: ("TR", 9), 11: ("td", 10), 12: ("TR", 5), 13: ("Span", 12),
+        # rows that are no table's, a table without text
+        14: ("Sect", 0), 15: ("TR", 14), 16: ("TD", 15), 17: ("Table", 0), 18: ("TR", 17), 19: ("TD", 18), 20: ("Span", 3), 21: ("Span", 3),
+    }
+    nodes = spark.createDataFrame([(1, n, p, n, r) for n, (r, p) in role.items()], "doc_id long, node_id long, parent_id long, ord long, role string")
+    its = spark.createDataFrame([(1, 21, 0, "after"), (1, 20, 1, "first"), (1, 8, 2, "in  p"), (1, 11, 3, "inner"), (1, 7, 4, "own"), (1, 16, 5, "no"), (1, 13, 6, "no"), (1, 19, 7, " ")], "doc_id long, leaf_id long, seq long, str string")
+    got = {(r.table_id, r.r, r.c): r.text for r in tagged.tree_tables(nodes, its).collect()}
+    assert got == {(1, 0, 0): "first after", (1, 0, 1): "", (1, 1, 0): "own in p", (1, 1, 1): "", (1, 2, 0): "", (1, 2, 1): "", (9, 0, 0): "inner"}
+
+
 def test_elements_follow_a_turned_page(spark):
     point = "array<struct<x: double, y: double>>"
     el = spark.createDataFrame([(1, "box", 10.0, 20.0, 30.0, 40.0, None), (1, "arrow", 10.0, 20.0, 30.0, 40.0, [(10.0, 20.0), (40.0, 60.0)]), (2, "box", 1.0, 2.0, 3.0, 4.0, None)], f"page_id int, kind string, x double, y double, w double, h double, points {point}")
