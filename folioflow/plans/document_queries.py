@@ -161,12 +161,31 @@ def a12_resample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.resample_plan(placements, part.select(F.col("p_partkey").alias("image"), (F.col("p_size") * 10).alias("px_w"), (F.col("p_size") * 15).alias("px_h")))
 
 
-@add(with_tables("items") + f""", {_LINES}, e AS (SELECT *, rowno // 5 AS para, min(x0) OVER q AS l, max(x1) OVER q AS r FROM lines WINDOW q AS (PARTITION BY doc_id, page)),
-g AS (SELECT doc_id, page, para, bool_and(abs(x0 - l) <= 0.5 * size) AS a, bool_and(abs(r - x1) <= 0.5 * size) AS b, bool_and(abs((x0 - l) - (r - x1)) <= size) AS m, count(*) AS n_lines, min(x0) AS x0, max(x1) AS x1 FROM e GROUP BY ALL)
-SELECT doc_id, page, para::BIGINT AS para, CASE WHEN a AND b AND n_lines > 1 THEN 'justified' WHEN a THEN 'left' WHEN b THEN 'right' WHEN m THEN 'center' ELSE 'left' END AS align, n_lines, x0, x1 FROM g""")
+_SHAPED = """sl AS (SELECT doc_id, page, ord % 20 AS k, ord % 20 // 3 AS para, ord AS line, size, CASE WHEN ord % 9 < 2 THEN '- ' ELSE '' END || 'x' || text AS text FROM paras),
+sh AS (SELECT *, 780.0::DOUBLE - 12.5::DOUBLE * k - 40.0::DOUBLE * (para // 2) AS y, CASE WHEN para % 6 = 4 THEN 250 WHEN para % 6 = 5 THEN 400 WHEN k % 3 = 0 AND doc_id % 2 = 0 THEN 92 WHEN para % 6 = 1 THEN 110 ELSE 72 END::DOUBLE AS x0, CASE WHEN para % 6 = 4 THEN 362 WHEN k % 3 = 2 AND para % 6 < 4 THEN 300 ELSE 540 END::DOUBLE AS x1 FROM sl)"""
+
+
+def shaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of three lines: plain, inset, with indented first lines, centred, right, in uneven distances."""
+    k = F.col("ord") % 20
+    para = F.floor(k / 3)
+    x0 = F.when(para % 6 == 4, 250.0).when(para % 6 == 5, 400.0).when((k % 3 == 0) & (F.col("doc_id") % 2 == 0), 92.0).when(para % 6 == 1, 110.0).otherwise(72.0)
+    x1 = F.when(para % 6 == 4, 362.0).when((k % 3 == 2) & (para % 6 < 4), 300.0).otherwise(540.0)
+    y = F.lit(780.0) - 12.5 * k - 40.0 * F.floor(para / 2)
+    return derived.paragraphs(spark, sf_dir).select("doc_id", "page", para.alias("para"), F.col("ord").alias("line"), "size", F.concat(F.when(F.col("ord") % 9 < 2, "- ").otherwise(""), F.lit("x"), "text").alias("text"), y.alias("y"), x0.alias("x0"), x1.alias("x1"))
+
+
+@add(with_tables("paras") + f""", {_SHAPED}, ed AS (SELECT doc_id, page, list_sort(list(x0))[floor(0.05::DOUBLE * (count(*) - 1) + 0.5)::INT + 1] AS c0, list_sort(list(x1))[floor(0.95::DOUBLE * (count(*) - 1) + 0.5)::INT + 1] AS c1 FROM sh GROUP BY ALL),
+ln AS (SELECT sh.*, c0, c1, max(size) OVER q AS big, count(*) OVER q AS n, row_number() OVER (PARTITION BY doc_id, page, para ORDER BY line) AS i FROM sh JOIN ed USING (doc_id, page) WINDOW q AS (PARTITION BY doc_id, page, para)),
+pg AS (SELECT doc_id, page, para, any_value(c0) AS c0, any_value(big) AS big, any_value(n) AS n, max(y) AS y, min(y) AS low, arg_min(x0, line) AS x0, min(CASE WHEN i > 1 OR n = 1 THEN x0 END) AS block, arg_min(text, line) AS text, greatest(2, any_value(big) / 2) AS tol,
+ bool_and(abs((x0 + x1) / 2 - 306) < 30.6 AND x0 > 91.8 AND x1 - x0 < 367.2) AS mid, bool_and(x0 > 306) AND max(x1) - min(x1) < 12.24 AS rgt, any_value(n) >= 2 AND bool_and((i = n) OR (abs(x0 - c0) <= greatest(2, big / 2) AND abs(x1 - c1) <= greatest(2, big / 2))) AS jus FROM ln GROUP BY ALL),
+al AS (SELECT *, CASE WHEN mid THEN 'center' WHEN rgt THEN 'right' WHEN jus THEN 'justify' ELSE 'left' END AS align, lag(low) OVER w - y - big AS up, low - lead(y) OVER w - big AS down FROM pg WINDOW w AS (PARTITION BY doc_id, page ORDER BY para))
+SELECT doc_id, page, para::BIGINT AS para, align, CASE WHEN align IN ('left', 'justify') AND block - c0 > tol THEN floor(block - c0 + 0.5)::INT END AS indent_left, CASE WHEN align IN ('left', 'justify') AND x0 - block > tol THEN floor(x0 - block + 0.5)::INT END AS indent_first,
+ CASE WHEN n > 1 AND (y - low) / (n - 1) BETWEEN 0.001 AND 4 * big THEN floor((y - low) / (n - 1) * 10 + 0.5) / 10 END::DOUBLE AS leading, CASE WHEN up > 0 THEN floor(least(up, 6 * big) + 0.5)::INT END AS space_before, CASE WHEN down > 0 THEN floor(least(down, 6 * big) + 0.5)::INT END AS space_after,
+ CASE WHEN text LIKE '- %' THEN least(8, greatest(0, floor((x0 - c0) / big + 0.5)))::INT END AS list_depth, n::INT AS n_lines, x0, y, big AS size FROM al""")
 def w14_paragraph_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = layout.baseline_texts(items_of(spark, sf_dir)).withColumn("para", F.floor((720 - F.col("y")) / 14 / 5))
-    return document.paragraph_geometry(lines, ["doc_id", "page", "para"])
+    lines = shaped_lines(spark, sf_dir)
+    return document.paragraph_geometry(lines, lines.select("doc_id", "page", F.lit(612.0).alias("page_width")).distinct())
 
 
 @add("WITH w AS (SELECT doc_id, text, string_split(replace(text, 'ß', 'ss'), ' ') AS t FROM documents) SELECT doc_id, array_to_string(list_transform(t, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS titled, len(regexp_extract_all(text, '\\p{L}')) AS letters FROM w")

@@ -415,6 +415,23 @@ def cut_of(spark, rows, width=600.0):
     return got[0].cut if got else None
 
 
+def test_geometry_of_paragraphs(spark):
+    rows = [
+        # justified, first line set in by 20; a list item 20 from the edge; centred; right; alone and far below
+        (0, 0, 700.0, 70.0, 500.0, "a"), (0, 1, 688.0, 50.0, 500.0, "a"), (0, 2, 675.5, 50.0, 200.0, "a"),
+        (1, 3, 650.0, 70.0, 300.0, " 1. x"), (1, 4, 638.0, 82.0, 300.0, "a"),
+        (2, 5, 610.0, 250.0, 350.0, "a"), (3, 6, 580.0, 320.0, 500.0, "a"), (3, 7, 568.0, 400.0, 505.0, "a"), (4, 8, 400.0, 50.0, 500.0, "a"), (5, 9, 389.0, 50.0, 500.0, "a"),
+    ]
+    lines = spark.createDataFrame([(1, 0, p, k, y, 10.0, x0, x1, t) for p, k, y, x0, x1, t in rows], "doc_id long, page int, para int, line int, y double, size double, x0 double, x1 double, text string")
+    pages = spark.createDataFrame([(1, 0, 600.0)], "doc_id long, page int, page_width double")
+    got = [tuple(r)[3:10] for r in document.paragraph_geometry(lines, pages).orderBy("para").collect()]
+    # the first line of the first paragraph is not at the edge, so that it is left
+    assert got == [
+        ("left", None, 20, 12.3, None, 16, None), ("left", 32, None, 12.0, 16, 18, 2), ("center", None, None, None, 18, 20, None),
+        ("right", None, None, 12.0, 20, 60, None), ("left", None, None, None, 60, 1, None), ("left", None, None, None, 1, None, None),
+    ]
+
+
 def test_gutters(spark):
     two = lambda gap, rows=30, left=50, wide=240: [(x, 700 - 14 * r, wide) for r in range(rows) for x in (left, left + wide + gap)]
     # bins of two points: 290 to 310 is free from 292 to 308
