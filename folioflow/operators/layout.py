@@ -366,6 +366,59 @@ def runs_of(j: DataFrame) -> DataFrame:
     return runs.groupBy(*PAGE, "line", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "piece"))), lambda p: p["piece"]), "").alias("text"), F.first("font").alias("font"), F.max("size").alias("size"))
 
 
+#: Attributes of a word that its run shares, besides the size, and what stands for one that the words do not have.
+STYLE = {"font": "string", "bold": "boolean", "italic": "boolean", "rtl": "boolean", "color": "string", "url": "string", "anchor": "string", "underline": "boolean", "strike": "boolean"}
+
+
+def paragraph_runs(words: DataFrame, *, keys: list[str] = PAGE) -> DataFrame:
+    """keys, para, run, text, size, raised and the columns of :data:`STYLE` that the words have: runs of a paragraph's words (para, line, pos in reading order, x, y, w, size, str).
+
+    A word is raised (``super`` or ``sub``) if it is smaller than 0.85 of its line's largest and off its baseline by
+    more than 0.12 of it. A word joins the run before it, on the same line or not, if they share all attributes and
+    its size, to half a point, is within 0.6 of the run's first one. A blank comes between words whose boxes are over
+    0.15 sizes apart, if neither has one there; where the direction changes, between the boxes of all words of a
+    direction; and between lines.
+    """
+    style = [c for c in STYLE if c in words.columns]
+    line, para = [*keys, "para", "line"], [*keys, "para"]
+    rtl = F.col("rtl") if "rtl" in words.columns else F.lit(False)
+    of_line, by_pos = Window.partitionBy(*line), Window.partitionBy(*line).orderBy("pos")
+    up = lambda c: F.lag(c).over(by_pos)
+    big = F.max("size").over(of_line)
+    held = words.withColumns({"__big": big, "__x1": F.col("x") + F.col("w"), "__turn": F.when(rtl == F.lag(rtl).over(by_pos), 0).otherwise(1)})
+    held = held.withColumn("__base", F.min(F.when(F.col("size") == F.col("__big"), F.struct("pos", "y"))).over(of_line)["y"])
+    off, sizes = F.col("y") - F.col("__base"), F.col("size") / F.col("__big")
+    held = held.withColumn("raised", F.when((sizes < 0.85) & (F.abs(off) > 0.12 * F.col("__big")), F.when(off > 0, "super").otherwise("sub")))
+    held = held.withColumn("__part", F.sum("__turn").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy(*line, "__part")
+    held = held.withColumns({"__p0": F.min("x").over(part), "__p1": F.max("__x1").over(part)})
+    near, far = F.greatest("x", up("x")) - F.least("__x1", up("__x1")), F.greatest("__p0", up("__p0")) - F.least("__p1", up("__p1"))
+    gap = F.when(F.col("__turn") == 1, far).otherwise(near)
+    blank = (gap > 0.15 * F.least("size", up("size"))) & ~up("str").rlike(r"\s$") & ~F.col("str").rlike(r"^\s")
+    order = Window.partitionBy(*para).orderBy("line", "pos")
+    ends = (F.lead("line").over(order) != F.col("line")) & ~F.col("str").rlike(r"\s$")
+    held = held.withColumn("__piece", F.concat(F.when(F.coalesce(blank, F.lit(False)), " ").otherwise(""), "str", F.when(F.coalesce(ends, F.lit(False)), " ").otherwise("")))
+    held = held.withColumn("__half", F.floor(F.col("size") * 2 + 0.5) / 2).withColumn("__style", F.struct("raised", *style))
+    new = F.when(F.col("__style").eqNullSafe(F.lag("__style").over(order)), 0).otherwise(1)
+    held = held.withColumn("__new", new).withColumn("__alike", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # words of one style; only where their sizes differ a fold finds the first word of each run
+    alike = held.groupBy(*para, "__alike").agg(F.array_sort(F.collect_list(F.struct("line", "pos", F.col("__half").alias("size"), F.col("__piece").alias("piece")))).alias("__words"), F.first("__style").alias("__style"))
+    zero = F.expr("named_struct('head', cast(null as double), 'at', 0, 'starts', cast(array() as array<int>))")
+
+    def step(s: Column, w: Column) -> Column:
+        joins = F.coalesce(F.abs(w["size"] - s["head"]) < 0.6, F.lit(False))
+        return F.struct(F.when(joins, s["head"]).otherwise(w["size"]).alias("head"), (s["at"] + 1).alias("at"), F.when(joins, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"]))).alias("starts"))
+
+    sizes = F.transform("__words", lambda w: w["size"])
+    starts = F.when(F.array_max(sizes) - F.array_min(sizes) < 0.6, F.array(F.lit(0))).otherwise(F.aggregate("__words", zero, step, lambda s: s["starts"]))
+    cut = alike.withColumn("__starts", starts).select(*para, "__alike", "__style", "__words", "__starts", F.posexplode("__starts").alias("__no", "__at"))
+    stop = F.coalesce(F.get("__starts", F.col("__no") + 1), F.size("__words"))
+    own = F.slice("__words", F.col("__at") + 1, stop - F.col("__at"))
+    runs = cut.withColumn("text", F.array_join(F.transform(own, lambda w: w["piece"]), "")).withColumn("size", F.get("__words", F.col("__at"))["size"])
+    number = F.row_number().over(Window.partitionBy(*para).orderBy("__alike", "__no")) - 1
+    return runs.select(*para, number.alias("run"), "text", "size", *[F.col(f"__style.{c}").alias(c) for c in ("raised", *style)])
+
+
 def interleave(source: DataFrame, overlay: DataFrame) -> DataFrame:
     """doc_id, page, pos, text, y: both tables from the top down, no y last, the source first on ties; pages without overlay keep their order."""
     rows = source.select(*PAGE, "ord", "text", "y", F.lit(0).alias("kind")).unionByName(overlay.select(*PAGE, "ord", "text", "y", F.lit(1).alias("kind")))

@@ -268,6 +268,32 @@ def w13_build_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.runs_of(layout.with_baselines(items_of(spark, sf_dir), ["x", "w", "size", "str", "font"]))
 
 
+_STYLED = """wd AS (SELECT doc_id, page, seq, (seq % 600) // 36 AS para, (seq % 600) // 12 AS line, seq % 12 AS pos, x, y + CASE WHEN seq % 17 = 3 THEN 4 WHEN seq % 17 = 9 THEN -4 ELSE 0 END AS y, w, CASE WHEN seq % 17 IN (3, 9) THEN 6.0 ELSE 10.0 + 0.5 * (seq // 3 % 4) END::DOUBLE AS size, font, CASE WHEN seq % 23 < 2 THEN 'ff0000' END AS color, str FROM items),
+st AS (SELECT *, max(size) OVER q AS big, lag(x + w) OVER p AS pe, lag(size) OVER p AS ps, lag(str) OVER p AS pstr, lead(line) OVER (PARTITION BY doc_id, page, para ORDER BY line, pos) AS next_line, row_number() OVER (PARTITION BY doc_id, page, para ORDER BY line, pos) AS rn FROM wd WINDOW q AS (PARTITION BY doc_id, page, line), p AS (PARTITION BY doc_id, page, line ORDER BY pos)),
+bs AS (SELECT st.*, arg_min(CASE WHEN size = big THEN y END, CASE WHEN size = big THEN pos END) OVER (PARTITION BY doc_id, page, line) AS base FROM st),
+pc AS (SELECT *, CASE WHEN size / big < 0.85 AND abs(y - base) > 0.12::DOUBLE * big THEN CASE WHEN y > base THEN 'super' ELSE 'sub' END END AS raised,
+ CASE WHEN pe IS NOT NULL AND x - pe > 0.15::DOUBLE * least(size, ps) AND NOT regexp_matches(pstr, '\\s$') AND NOT regexp_matches(str, '^\\s') THEN ' ' ELSE '' END || str || CASE WHEN next_line <> line AND NOT regexp_matches(str, '\\s$') THEN ' ' ELSE '' END AS piece FROM bs)"""
+
+
+def styled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of three rows: raised and lowered words, sizes that climb by half points, colours."""
+    s = F.col("seq")
+    items = items_of(spark, sf_dir)
+    k = s % 600
+    size = F.when((s % 17).isin(3, 9), 6.0).otherwise(10.0 + 0.5 * (F.floor(s / 3) % 4))
+    y = F.col("y") + F.when(s % 17 == 3, 4.0).when(s % 17 == 9, -4.0).otherwise(0.0)
+    return items.select("doc_id", "page", F.floor(k / 36).alias("para"), F.floor(k / 12).alias("line"), (s % 12).alias("pos"), "x", y.alias("y"), "w", size.alias("size"), "font", F.when(s % 23 < 2, "ff0000").alias("color"), "str")
+
+
+@add("WITH RECURSIVE " + with_tables("items").removeprefix("WITH ") + f""", {_STYLED},
+rc AS (SELECT doc_id, page, para, rn, size, raised, font, color, piece, 0 AS run, size AS head FROM pc WHERE rn = 1
+UNION ALL SELECT p.doc_id, p.page, p.para, p.rn, p.size, p.raised, p.font, p.color, p.piece, r.run + CASE WHEN same THEN 0 ELSE 1 END, CASE WHEN same THEN r.head ELSE p.size END
+ FROM rc r JOIN pc p ON p.doc_id = r.doc_id AND p.page = r.page AND p.para = r.para AND p.rn = r.rn + 1, LATERAL (SELECT p.font = r.font AND p.color IS NOT DISTINCT FROM r.color AND p.raised IS NOT DISTINCT FROM r.raised AND abs(p.size - r.head) < 0.6 AS same))
+SELECT doc_id, page, para::BIGINT AS para, run::INT AS run, string_agg(piece, '' ORDER BY rn) AS text, any_value(head)::DOUBLE AS size, any_value(raised) AS raised, any_value(font) AS font, any_value(color) AS color FROM rc GROUP BY doc_id, page, para, run""")
+def w13_paragraph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.paragraph_runs(styled_words(spark, sf_dir))
+
+
 @add(with_tables("paras") + """, o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN page ELSE -1 - page END::INT AS page, ord, 'overlay ' || ord AS text, CASE WHEN ord % 4 = 1 THEN NULL ELSE y - 5 * (ord % 3) END AS y FROM paras),
 a AS (SELECT doc_id, page, ord, text, y, 0 AS kind FROM paras UNION ALL SELECT *, 1 FROM o), k AS (SELECT *, CASE WHEN max(kind) OVER (PARTITION BY doc_id, page) > 0 THEN y END AS key FROM a)
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY key DESC NULLS LAST, kind, ord) AS pos, text, y FROM k""")

@@ -432,6 +432,20 @@ def test_geometry_of_paragraphs(spark):
     ]
 
 
+def test_runs_of_a_paragraph(spark):
+    rows = [
+        # sizes climb: each is near the one before, the third is too far from the first
+        (0, 0, 10.0, 0.0, 20.0, 10.0, "a", False), (0, 1, 32.0, 0.0, 20.0, 10.5, "b", False), (0, 2, 52.5, 0.0, 10.0, 11.0, "c", False),
+        # a small raised word, one that is only small
+        (0, 3, 62.5, 4.0, 5.0, 6.0, "2", False), (0, 4, 80.0, 0.0, 5.0, 6.0, "d", False),
+        # on the next line, an Arabic phrase of two words inside of Latin ones: the blank is at the phrase's edge
+        (1, 0, 10.0, -14.0, 20.0, 10.0, "e ", False), (1, 1, 70.0, -14.0, 20.0, 10.0, "س", True), (1, 2, 40.0, -14.0, 28.0, 10.0, "ل", True), (1, 3, 91.0, -14.0, 9.0, 10.0, "f", False), (1, 4, 103.0, -14.0, 9.0, 10.0, "g", False),
+    ]
+    words = spark.createDataFrame([(1, 0, 0, *r) for r in rows], "doc_id long, page int, para int, line int, pos int, x double, y double, w double, size double, str string, rtl boolean")
+    got = [(r.text, r["size"], r.raised, r.rtl) for r in layout.paragraph_runs(words).orderBy("run").collect()]
+    assert got == [("a b", 10.0, None, False), ("c", 11.0, None, False), ("2", 6.0, "super", False), (" d ", 6.0, None, False), ("e ", 10.0, None, False), ("س ل", 10.0, None, True), ("f g", 10.0, None, False)]
+
+
 def test_gutters(spark):
     two = lambda gap, rows=30, left=50, wide=240: [(x, 700 - 14 * r, wide) for r in range(rows) for x in (left, left + wide + gap)]
     # bins of two points: 290 to 310 is free from 292 to 308
