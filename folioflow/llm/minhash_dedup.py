@@ -205,8 +205,8 @@ class _Shared:
         self.owner, self.token = np.repeat(np.arange(len(sets)), sizes)[kept], (np.cumsum(often) - 1)[token[kept]]
         self.offsets = np.searchsorted(self.owner, np.arange(len(sets) + 1))
         wide = -(-int(often.sum()) // 64) * 64
-        # a bit costs less than a lookup, and all of them are held
-        self.bits = self._bitmaps(len(sets), wide) if wide <= max(64, 16 * len(self.token) // max(1, len(sets))) and len(sets) * wide <= BITMAP_BITS else None
+        # a lookup costs as much as several words of bits
+        self.bits = self._bitmaps(len(sets), wide) if wide <= max(64, 256 * len(self.token) // max(1, len(sets))) and len(sets) * wide <= BITMAP_BITS else None
         self.marks = np.zeros(wide, np.uint8)
 
     def _bitmaps(self, n: int, wide: int) -> np.ndarray:
