@@ -25,13 +25,18 @@ def rank_headings(paras: DataFrame, body: DataFrame, *, least: float = 1.15, lev
 
 
 def promote_headings(paras: DataFrame, body: DataFrame) -> DataFrame:
-    """Raises level where a short paragraph of about body size is all upper case: one under the last size level (6 at most), or 3 where there is none."""
+    """Raises level where a short paragraph of about body size is all upper case or, by the column bold, in bold runs only: one under the last size level (6 at most), or 3 where there is none.
+
+    Where there are columns for them, turned paragraphs and ones with a ruled run (underlined or struck) stay.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in paras.columns else F.lit(False)
     top = paras.groupBy("doc_id").agg(F.max("level").alias("top"))
     t = F.col("text")
     near = F.abs(F.col("size") / F.col("body") - 1) <= 0.05
     short = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) <= 8
-    shout = (t == F.upper(t)) & t.rlike("[A-Z]") & (F.regexp_count(t, F.lit("[A-Za-z]")) >= 3)
-    promoted = (F.col("level") == 0) & near & short & shout & list_prefix(t).isNull()
+    shout = (t == F.upper(t)) & t.rlike("[A-Z]")
+    letters = F.regexp_count(t, F.lit("[A-Za-z]")) >= 3
+    promoted = (F.col("level") == 0) & near & short & letters & (shout | flag("bold")) & ~flag("ruled") & ~flag("turned") & list_prefix(t).isNull()
     j = paras.join(top, "doc_id").join(body, "doc_id")
     return j.withColumn("level", F.when(promoted, F.when(F.col("top") > 0, F.least(F.lit(6), F.col("top") + 1)).otherwise(3)).otherwise(F.col("level"))).drop("top", "body")
 
@@ -99,6 +104,13 @@ def resolve_anchors(paras: DataFrame, targets: DataFrame) -> DataFrame:
     return hit.join(named.select("doc_id", "ord", "bookmark"), ["doc_id", "ord"])
 
 
+def destinations(dests: DataFrame, counts: DataFrame) -> DataFrame:
+    """The links' destinations (doc_id, target, page from 0, kind, args) with their top: XYZ has it second, FitH and FitBH first, FitR fourth; others, and numbers that are not finite, have none. Pages that the document (n_pages) does not have go."""
+    top = F.when(F.col("kind") == "XYZ", F.get("args", F.lit(1))).when(F.col("kind").isin("FitH", "FitBH"), F.get("args", F.lit(0))).when(F.col("kind") == "FitR", F.get("args", F.lit(3)))
+    there = dests.join(counts.select("doc_id", "n_pages"), "doc_id").where((F.col("page") >= 0) & (F.col("page") < F.col("n_pages")))
+    return there.withColumn("top", top).withColumn("top", F.when(F.abs("top") < float("inf"), F.col("top"))).drop("n_pages")
+
+
 def by_level(roots: DataFrame, nodes: DataFrame, step: dict[str, Column]) -> DataFrame:
     """The roots and, level by level, the nodes under them: each level joins only the one above and is written to the checkpoint folder.
 
@@ -128,23 +140,79 @@ def flatten_fields(nodes: DataFrame) -> DataFrame:
     return tree.where("value IS NOT NULL").select("doc_id", "name", "value")
 
 
-def render_text(blocks: DataFrame) -> DataFrame:
-    """doc_id, body: blocks (ord, text, marker, depth) that are not blank, lists indented by two blanks a depth, a blank line between."""
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def _whole_texts(parts: list[DataFrame]) -> DataFrame:
+    """doc_id, body: pages one after the other, on each the paragraphs, then tables, then images, a blank line between."""
+    both = parts[0].select("doc_id", "page", F.lit(0).alias("kind"), "ord", "t")
+    for kind, part in enumerate(parts[1:], 1):
+        both = both.unionByName(part.select("doc_id", "page", F.lit(kind).alias("kind"), "ord", "t"))
+    rows = F.array_sort(F.collect_list(F.struct("page", "kind", "ord", "t")))
+    return both.where(F.col("t").rlike(r"\S")).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("body"))
+
+
+def render_text(blocks: DataFrame, *, tables: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """doc_id, body: blocks (ord, text, marker, depth) that are not blank, lists indented by two blanks a depth, a blank line between.
+
+    Tables (doc_id, page, ord, cells) come as rows of cells parted by tabs and images (doc_id, page, ord) as a
+    placeholder, both after the blocks of their page; the blocks then need a page.
+    """
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "marker", "text")
-    rows = F.array_sort(F.collect_list(F.struct("ord", line.alias("t"))))
-    return blocks.where(F.trim("text") != "").groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("body"))
-
-
-def render_markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, body: as text, with headings, emphasis of the trimmed text, escaped stars and backslashes, and allowed links."""
-    t = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("*"), F.lit("\\*"))
-    core, lead, tail = F.trim(t), F.regexp_extract(t, r"^( *)", 1), F.regexp_extract(t, r"( *)$", 1)
-    strong = F.when(F.col("bold") & (core != ""), F.concat(lead, F.lit("**"), core, F.lit("**"), tail)).otherwise(t)
-    linked = F.when(F.col("url").isNotNull() & allowed_scheme(F.col("url")), F.concat(F.lit("["), strong, F.lit("]("), encode_link(F.col("url")), F.lit(")"))).otherwise(strong)
-    head = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).otherwise("")
-    line = F.concat(head, F.repeat(F.lit("  "), F.col("depth")), "marker", linked)
-    rows = F.array_sort(F.collect_list(F.struct("ord", line.alias("t"))))
-    return blocks.where(F.trim("text") != "").groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("body"))
+    parts = [blocks.where(F.col("text").rlike(r"\S")).select("doc_id", F.coalesce(_optional(blocks, "page", "long"), F.lit(0)).alias("page"), "ord", line.alias("t"))]
+    if tables is not None:
+        cell = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+        rows = F.transform("cells", lambda r: F.array_join(F.transform(r, cell), "\t"))
+        parts.append(tables.select("doc_id", "page", "ord", F.array_join(rows, "\n").alias("t")))
+    if images is not None:
+        parts.append(images.select("doc_id", "page", "ord", F.lit("[image]").alias("t")))
+    return _whole_texts(parts)
+
+
+def markdown_run(r: Column) -> Column:
+    """A run (text, bold, italic, url, anchor) as Markdown: stars and backslashes escaped, emphasis and links around the trimmed text; a link that is not allowed is plain, and so is a blank run."""
+    t = r["text"]
+    lead, tail = F.regexp_extract(t, r"^(\s*)", 1), F.regexp_extract(t, r"(\s*)$", 1)
+    core = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"([*\\])", r"\\$1")
+    on = lambda c: F.coalesce(r[c], F.lit(False))
+    stars = F.concat(F.when(on("bold"), "**").otherwise(""), F.when(on("italic"), "*").otherwise(""))
+    strong = F.concat(stars, core, stars)
+    outside = F.when(allowed_scheme(r["url"]), F.concat(F.lit("["), strong, F.lit("]("), encode_link(F.trim(r["url"])), F.lit(")"))).otherwise(strong)
+    inside = F.when(r["anchor"].isNotNull(), F.concat(F.lit("["), strong, F.lit("](#"), r["anchor"], F.lit(")"))).otherwise(strong)
+    linked = F.when(r["url"].isNotNull() & (r["url"] != ""), outside).otherwise(inside)
+    return F.when(t.rlike(r"\S"), F.concat(lead, linked, tail)).otherwise(t)
+
+
+def render_markdown(blocks: DataFrame, *, tables: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """doc_id, body: as text, with headings (a list item is none), runs, and an anchor before the text of a block with a bookmark.
+
+    A block has runs (see :func:`markdown_run`), or is one run of its own columns text, bold, italic, url and anchor.
+    Tables (cells) are pipe tables whose first row is the header, images (mime, data) data links.
+    """
+    b = blocks
+    if "runs" not in blocks.columns:
+        own = [F.col("text"), *[_optional(blocks, c, k).alias(c) for c, k in (("bold", "boolean"), ("italic", "boolean"), ("url", "string"), ("anchor", "string"))]]
+        b = blocks.withColumn("runs", F.array(F.struct(*own)))
+    body = F.array_join(F.transform("runs", markdown_run), "")
+    mark = _optional(blocks, "bookmark", "string")
+    body = F.when(mark.isNotNull(), F.concat(F.lit('<a id="'), mark, F.lit('"></a>'), F.regexp_replace(body, r"^\s+", ""))).otherwise(body)
+    trimmed = F.regexp_replace(body, r"^\s+|\s+$", "")
+    item = F.concat(F.repeat(F.lit("  "), F.col("depth")), "marker", trimmed)
+    line = F.when(F.col("marker") != "", item).when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), trimmed)).otherwise(body)
+    some = F.exists("runs", lambda r: r["text"].rlike(r"\S"))
+    parts = [b.where(some).select("doc_id", F.coalesce(_optional(blocks, "page", "long"), F.lit(0)).alias("page"), "ord", line.alias("t"))]
+    if tables is not None:
+        cell = lambda c: F.trim(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
+        row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+        first = F.element_at("cells", 1)
+        rows = F.transform("cells", lambda r: row(F.transform(r, cell)))
+        rows = F.concat(F.slice(rows, 1, 1), F.array(row(F.transform(first, lambda _: F.lit("---")))), F.slice(rows, F.lit(2), F.size(rows)))
+        held = tables.where((F.size("cells") > 0) & (F.size(F.get("cells", F.lit(0))) > 0))
+        parts.append(held.select("doc_id", "page", "ord", F.array_join(rows, "\n").alias("t")))
+    if images is not None:
+        parts.append(images.select("doc_id", "page", "ord", F.concat(F.lit("![image](data:"), "mime", F.lit(";base64,"), "data", F.lit(")")).alias("t")))
+    return _whole_texts(parts)
 
 
 def artifact_census(pages: DataFrame, col: str = "html") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.lineage import written
-from folioflow.functions.text import fold_ligatures, list_prefix
+from folioflow.functions.text import fold_ligatures, is_arabic, list_prefix
 
 PAGE = ["doc_id", "page"]
 
@@ -59,17 +59,29 @@ def tag_links(items: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def split_at_links(items: DataFrame, links: DataFrame) -> DataFrame:
-    """Items cut where a link's edge falls inside, at the character in proportion, moved up to two to a blank; pieces share the width."""
-    l = links.select(F.col("doc_id").alias("l_doc"), F.col("page").alias("l_page"), F.explode(F.array("lx", F.col("lx") + F.col("lw"))).alias("edge"), "ly", "lh")
-    cy = F.col("y") + 0.4 * F.col("size")
-    inside = (F.col("edge") > F.col("x")) & (F.col("edge") < F.col("x") + F.col("w")) & cy.between(F.col("ly"), F.col("ly") + F.col("lh"))
-    n = F.char_length("str")
+    """Items cut where a link's edge falls inside, at the character in proportion; pieces share the width.
+
+    A left edge moves to the nearest start of a word, a right edge to the nearest end of one, by two characters at
+    most, to the left on a tie; with none there it stays. Items that are turned (matrix a, b) or read from the
+    right, and such of one character or no width, stay whole.
+    """
+    l = links.select(F.col("doc_id").alias("l_doc"), F.col("page").alias("l_page"), "lx", (F.col("lx") + F.col("lw")).alias("lx1"), "ly", "lh")
+    l = l.select("*", F.explode(F.array(F.struct(F.col("lx").alias("edge"), F.lit(True).alias("opens")), F.struct(F.col("lx1").alias("edge"), F.lit(False).alias("opens")))).alias("e")).select("*", "e.edge", "e.opens")
+    n, cy = F.char_length("str"), F.col("y") + 0.4 * F.col("size")
+    right = F.col("x") + F.col("w")
+    inside = (F.col("edge") > F.col("x")) & (F.col("edge") < right) & cy.between(F.col("ly"), F.col("ly") + F.col("lh"))
+    level = ~is_arabic(F.col("str")) & (n >= 2) & (F.col("w") > 0)
+    if {"a", "b"} <= set(items.columns):
+        level = level & (F.abs("b") <= F.abs("a"))
     at = F.floor((F.col("edge") - F.col("x")) / F.col("w") * n + 0.5).cast("int")
-    blank = lambda k: F.substring(F.col("str"), at + k, F.lit(1)) == " "
+    word = lambda k: F.substring(F.col("str"), k, F.lit(1)).rlike(r"[\p{L}\p{N}]")
     near = at
     for k in (2, -2, 1, -1, 0):
-        near = F.when((at + k > 0) & (at + k < n) & blank(k), at + k).otherwise(near)
-    cuts = items.join(l, (F.col("doc_id") == F.col("l_doc")) & (F.col("page") == F.col("l_page")) & inside).select("doc_id", "page", "seq", near.alias("cut")).where("cut > 0").groupBy("doc_id", "page", "seq").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+        before, after = word(at + k), word(at + k + 1)
+        fits = (at + k > 0) & (at + k < n) & F.when(F.col("opens"), ~before & after).otherwise(before & ~after)
+        near = F.when(fits, at + k).otherwise(near)
+    hit = items.where(level).join(l, (F.col("doc_id") == F.col("l_doc")) & (F.col("page") == F.col("l_page")) & inside)
+    cuts = hit.select("doc_id", "page", "seq", near.alias("cut")).where("cut > 0").groupBy("doc_id", "page", "seq").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     joined = items.join(cuts, [*PAGE, "seq"], "left")
     starts = F.concat(F.array(F.lit(0)), F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: c < n))
     parts = joined.select(*items.columns, F.posexplode(starts).alias("piece", "start"), starts.alias("starts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import to_display_point
@@ -75,28 +75,34 @@ def crop_margins(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"crop_x": m["left"], "crop_y": m["top"], "crop_w": w - m["left"] - m["right"], "crop_h": h - m["top"] - m["bottom"]}).where("crop_w >= 1 AND crop_h >= 1")
 
 
-def stamp_pages(pages: DataFrame, *, prefix: str = "", start: int = 1, digits: int = 6, order: str = "page_id") -> DataFrame:
-    """Adds n (1-based place in the whole table by a unique ``order`` column) and stamp (prefix and padded number).
+def stamp_pages(pages: DataFrame, *, prefix: str = "", start: int = 1, digits: int = 6, order: str = "page_id", mode: str = "number") -> DataFrame:
+    """Adds n (1-based place in the whole table by a unique ``order`` column) and stamp: prefix and padded number, or in mode ``page`` "n / N".
 
-    Rows are range-partitioned and sorted; each partition's count, a row each, gives the offsets, so that no
+    A range of pages is chosen after stamping, so that its numbers are those of the whole table. Rows are
+    range-partitioned and sorted; the partitions' counts, a row each, are summed up and joined back, so that no
     task holds all rows.
     """
-    if not (0 <= start <= 999_999_999_999 and 1 <= digits <= 12):
-        raise ValueError("start has to be within 0 and 999,999,999,999, digits within 1 and 12")
+    if mode not in ("number", "page") or not (0 <= start <= 999_999_999_999 and 1 <= digits <= 12):
+        raise ValueError("mode is number or page; start has to be within 0 and 999,999,999,999, digits within 1 and 12")
     # written, so that the ranges and the places in them stay what they are
     dealt = written(pages.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33).cast("int")
+    dealt = dealt.withColumn("__part", F.shiftright("__at", 33))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.select("__part", before.alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__total"))
     # a row for each partition
-    counts = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for k in range(max(counts, default=-1) + 1):
-        before.append(F.lit(total).cast("long"))
-        total += counts.get(k, 0)
-    offset = F.get(F.array(*before), part) if before else F.lit(0).cast("long")
+    numbered = dealt.join(F.broadcast(sums), "__part").withColumn("n", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     number = (F.col("n") + (start - 1)).cast("string")
     pad = F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(digits) - F.length(number)))
-    numbered = dealt.withColumn("n", offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    return numbered.withColumn("stamp", F.concat(F.lit(prefix), pad, number)).drop("__at")
+    stamp = F.concat(F.lit(prefix), pad, number) if mode == "number" else F.concat_ws(" / ", "n", "__total")
+    return numbered.withColumn("stamp", stamp).select(*pages.columns, "n", "stamp")
+
+
+def stamp_origin(position: Column, margin: float) -> tuple[Column, Column]:
+    """Lower left corner (y up) of a stamp (text_w, font_size) on its page (page_width, page_height): t or b, then l, c or r."""
+    side, free = F.substring(position, 2, 1), F.col("page_width") - F.col("text_w")
+    x = F.when(side == "l", F.lit(margin)).when(side == "r", free - margin).otherwise(free / 2)
+    return x, F.when(position.startswith("t"), F.col("page_height") - margin - F.col("font_size")).otherwise(F.lit(margin))
 
 
 def rotate_elements(elements: DataFrame, turned: DataFrame) -> DataFrame:

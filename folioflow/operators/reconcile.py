@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.lineage import written
 
+from .redact import outside_clip
+
 
 def page_fingerprints(items: DataFrame) -> DataFrame:
     """doc_id, page, print: 128 bits of a page's strings with their origins at two decimals, in order."""
@@ -120,15 +122,70 @@ def align_items(a: DataFrame, b: DataFrame, *, tol: float = 0.01) -> DataFrame:
     return whole.where("ok = 1").select(*keys, "a_seq", "b_seq")
 
 
+def open_markers(stream: DataFrame) -> DataFrame:
+    """Adds k, m_tag and m_k to a page's stream (doc_id, page, seq, kind of item, begin or end, tag, own).
+
+    Begins open a marker and ends close the last open one, if any; k numbers the own markers of a tag on a page from
+    0. m_tag and m_k name the innermost own marker that is open at a row; others are looked through. The nesting is
+    told by sums and last values over a page, so that no stack is folded: the marker that an end closes is the last
+    one begun on its level, and the innermost open one is the last own one begun on the level of own markers.
+    """
+    page = Window.partitionBy("doc_id", "page").orderBy("seq")
+    begin, end = F.col("kind") == "begin", F.col("kind") == "end"
+    own = begin & F.coalesce("own", F.lit(False))
+    held = stream.withColumn("__sum", F.sum(F.when(begin, 1).when(end, -1).otherwise(0)).over(page))
+    # an end with nothing open closes nothing: the lowest sum so far is the ground
+    held = held.withColumn("__depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(page)))
+    level = F.when(begin, F.col("__depth")).when(end, F.coalesce(F.lag("__depth").over(page), F.lit(0)))
+    held = held.withColumn("__level", level)
+    on_level = Window.partitionBy("doc_id", "page", "__level").orderBy("seq")
+    closes = end & (F.col("__level") > 0) & F.coalesce(F.last(F.when(begin, own), ignorenulls=True).over(on_level), F.lit(False))
+    held = held.withColumn("__owns", F.sum(F.when(own, 1).when(closes, -1).otherwise(0)).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    held = held.withColumn("k", F.when(own, F.sum(F.when(own, 1).otherwise(0)).over(Window.partitionBy("doc_id", "page", "tag").orderBy("seq")) - 1))
+    on_own = Window.partitionBy("doc_id", "page", "__owns").orderBy("seq")
+    last = F.last(F.when(own, F.struct("tag", "k")), ignorenulls=True).over(on_own)
+    held = held.withColumn("__open", F.when(F.col("__owns") > 0, last))
+    return held.withColumn("m_tag", F.col("__open.tag")).withColumn("m_k", F.col("__open.k")).drop("__sum", "__depth", "__level", "__owns", "__open")
+
+
+def carry_clips(items: DataFrame, stream: DataFrame, clips: DataFrame) -> DataFrame:
+    """doc_id, page, seq, m_tag, m_k, hidden: the items of a page with the innermost marker of the marked extraction that each stands in.
+
+    ``stream`` is the marked extraction (see :func:`open_markers`; items have str, x, y), ``clips`` (doc_id, page,
+    tag, k, cx0 to cy1) the clip of each own marker; null corners clip nothing. hidden is true for an item, not blank
+    and with a finite box, that lies wholly outside its marker's clip, or whose clip has no area. A page whose two
+    extractions differ in number, text or place of items, or on which markers and clips are not one for one, is
+    refused: none of its rows come. Clips of a page without items count for nothing.
+    """
+    keys = ["doc_id", "page"]
+    # read below for its items and for its markers
+    marked = written(open_markers(stream))
+    texts = marked.where("kind = 'item'").select(*keys, "seq", "str", "x", "y", "m_tag", "m_k")
+    pairs = align_items(items, texts)
+    begun = marked.where("kind = 'begin' AND k IS NOT NULL").select(*keys, "tag", "k", F.lit(True).alias("begun"))
+    boxes = clips.select(*keys, "tag", "k", "cx0", "cy0", "cx1", "cy1", F.lit(True).alias("clipped"))
+    refused = begun.join(boxes, [*keys, "tag", "k"], "full").where("begun IS NULL OR clipped IS NULL").select(*keys).distinct()
+    own = texts.select(*keys, F.col("seq").alias("b_seq"), "m_tag", "m_k")
+    held = items.select(*keys, F.col("seq").alias("a_seq"), "str", "x", "y", "w", "size")
+    j = pairs.join(refused, keys, "left_anti").join(own, [*keys, "b_seq"]).join(held, [*keys, "a_seq"])
+    j = j.join(boxes.select(*keys, F.col("tag").alias("m_tag"), F.col("k").alias("m_k"), "cx0", "cy0", "cx1", "cy1"), [*keys, "m_tag", "m_k"], "left")
+    return j.select(*keys, F.col("a_seq").alias("seq"), "m_tag", "m_k", ((F.trim("str") != "") & outside_clip()).alias("hidden"))
+
+
 def export_fields(widgets: DataFrame, values: DataFrame) -> DataFrame:
-    """src_id, name, value: one row for each first widget of a name; the user's value else the source's; names with a redacted widget are left out, and so are empty ones that the user has not set; check boxes and radios without value are Off."""
+    """src_id, name, values: one row for each first widget of a name; the user's value else the source's; names with a redacted widget are left out, and so are empty ones that the user has not set.
+
+    values is an array: check boxes and radios without value are Off, a list's chosen entries (one a line) stand each
+    by itself, and a list without any is left out.
+    """
     covered = widgets.where("redacted").select("src_id", "name").distinct()
     w = Window.partitionBy("src_id", "name").orderBy("ord")
-    first = widgets.join(covered, ["src_id", "name"], "left_anti").withColumn("k", F.row_number().over(w)).where("k = 1")
+    first = widgets.join(covered, ["src_id", "name"], "left_anti").withColumn("n", F.row_number().over(w)).where("n = 1")
     j = first.join(values.select("src_id", "name", F.col("value").alias("user_value")), ["src_id", "name"], "left")
-    value = F.coalesce("user_value", "source_value", F.lit(""))
-    kept = j.withColumn("value", value).where((F.col("value") != "") | F.col("user_value").isNotNull())
-    return kept.select("src_id", "name", F.when(F.col("kind").isin("checkbox", "radio") & (F.col("value") == ""), "Off").otherwise(F.col("value")).alias("value"))
+    kept = j.withColumn("value", F.coalesce("user_value", "source_value", F.lit(""))).where((F.col("value") != "") | F.col("user_value").isNotNull())
+    one = F.when(F.col("kind").isin("checkbox", "radio") & (F.col("value") == ""), "Off").otherwise(F.col("value"))
+    kept = kept.withColumn("values", F.when(F.col("kind") == "list", F.split("value", "\n")).otherwise(F.array(one)))
+    return kept.where((F.col("kind") != "list") | (F.col("value") != "")).select("src_id", "name", "values")
 
 
 def import_fields(fields: DataFrame, widgets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import box, matrix_box, overlaps, rotated_box
@@ -74,13 +74,17 @@ def redact_elements(elements: DataFrame) -> DataFrame:
     return free.unionByName(boxed.where("kind = 'redaction'")).select(*elements.columns)
 
 
-def drop_clipped(items: DataFrame, clips: DataFrame) -> DataFrame:
-    """Items that are not wholly outside their clip box; a clip without area hides all of its items, unreadable positions stay."""
-    c = clips.select(F.col("doc_id").alias("c_doc"), F.col("page").alias("c_page"), F.col("seq").alias("c_seq"), "cx0", "cy0", "cx1", "cy1")
-    j = items.join(c, (F.col("doc_id") == F.col("c_doc")) & (F.col("page") == F.col("c_page")) & (F.col("seq") == F.col("c_seq")), "left")
+def outside_clip() -> Column:
+    """Whether an item (x, y, w, size) lies wholly outside its clip (cx0 to cy1), edges being inside, or its clip has no area; false without a clip and for unreadable positions."""
     low = F.col("y") - 0.25 * F.col("size")
     outside = (F.col("x") + F.col("w") < F.col("cx0")) | (F.col("x") > F.col("cx1")) | (F.col("y") + F.col("size") < F.col("cy0")) | (low > F.col("cy1"))
     empty = (F.col("cx1") <= F.col("cx0")) | (F.col("cy1") <= F.col("cy0"))
     unreadable = F.isnan("x") | F.isnan("y") | F.isnan("w")
-    hidden = F.coalesce(~unreadable & (empty | outside), F.lit(False))
-    return j.where(~hidden).select(*items.columns)
+    return F.coalesce(~unreadable & (empty | outside), F.lit(False))
+
+
+def drop_clipped(items: DataFrame, clips: DataFrame) -> DataFrame:
+    """Items that are not wholly outside their clip box; a clip without area hides all of its items, unreadable positions stay."""
+    c = clips.select(F.col("doc_id").alias("c_doc"), F.col("page").alias("c_page"), F.col("seq").alias("c_seq"), "cx0", "cy0", "cx1", "cy1")
+    j = items.join(c, (F.col("doc_id") == F.col("c_doc")) & (F.col("page") == F.col("c_page")) & (F.col("seq") == F.col("c_seq")), "left")
+    return j.where(~outside_clip()).select(*items.columns)

@@ -31,12 +31,13 @@ def a2_rank_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(with_tables("paras") + f""", {_LEVEL}, up AS (SELECT * REPLACE (CASE WHEN ord % 4 = 2 THEN upper(replace(text, 'ß', 'ss')) ELSE text END AS text) FROM lev), top AS (SELECT doc_id, max(level) AS top FROM lev GROUP BY ALL)
-SELECT doc_id, ord, CASE WHEN level = 0 AND abs(size / body - 1) <= 0.05 AND text = upper(text) AND regexp_matches(text, '[A-Z]') AND len(regexp_extract_all(text, '[A-Za-z]')) >= 3 AND len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) <= 8 THEN CASE WHEN top > 0 THEN least(6, top + 1) ELSE 3 END ELSE level END::INT AS level FROM up JOIN top USING (doc_id) JOIN body USING (doc_id)""")
+SELECT doc_id, ord, CASE WHEN level = 0 AND abs(size / body - 1) <= 0.05 AND ord % 8 <> 5 AND ((text = upper(text) AND regexp_matches(text, '[A-Z]')) OR ord % 4 = 1) AND len(regexp_extract_all(text, '[A-Za-z]')) >= 3 AND len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) <= 8 THEN CASE WHEN top > 0 THEN least(6, top + 1) ELSE 3 END ELSE level END::INT AS level FROM up JOIN top USING (doc_id) JOIN body USING (doc_id)""")
 def a3_promote_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.paragraphs(spark, sf_dir)
     body = document.body_size(p)
     ranked = document.rank_headings(p, body)
     shout = ranked.withColumn("text", F.when(F.col("ord") % 4 == 2, F.upper(F.replace("text", F.lit("ß"), F.lit("ss")))).otherwise(F.col("text")))
+    shout = shout.withColumns({"bold": F.col("ord") % 4 == 1, "ruled": F.col("ord") % 8 == 5})
     return document.promote_headings(shout, body).select("doc_id", "ord", "level")
 
 
@@ -91,7 +92,7 @@ def w11_list_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.list_ordinals(threes(spark, sf_dir)).select("doc_id", "ord", "kind", "ordinal")
 
 
-@add(with_tables("paras") + """, tg AS (SELECT doc_id, page, min(ord) * 10 + k AS target, CASE WHEN k = 2 THEN NULL ELSE 700 - 300 * k END::DOUBLE AS top FROM paras, range(3) t(k) GROUP BY doc_id, page, k),
+@add(with_tables("paras") + """, tg AS (SELECT doc_id, page, min(ord) * 10 + k AS target, CASE WHEN k = 2 THEN NULL WHEN k = 3 THEN 100 ELSE 700 - 300 * k END::DOUBLE AS top FROM paras, range(4) t(k) GROUP BY doc_id, page, k),
 j AS (SELECT t.*, p.ord, p.y FROM tg t JOIN paras p USING (doc_id, page) WHERE trim(p.text) <> ''),
 h AS (SELECT doc_id, target, CASE WHEN max(top) IS NULL THEN min(ord) ELSE coalesce(arg_min(ord, [-y, ord]) FILTER (WHERE y <= top + 1), arg_min(ord, [y, ord])) END AS ord FROM j GROUP BY ALL),
 u AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY min(target)) AS bookmark FROM h GROUP BY doc_id, ord)
@@ -99,8 +100,12 @@ SELECT doc_id, target, ord, bookmark::INT AS bookmark FROM h JOIN u USING (doc_i
 def j11_resolve_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.paragraphs(spark, sf_dir)
     k = F.col("k")
-    targets = p.groupBy("doc_id", "page").agg(F.min("ord").alias("m")).select("doc_id", "page", "m", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("k")).select("doc_id", "page", (F.col("m") * 10 + k).alias("target"), F.when(k == 2, None).otherwise(700.0 - 300 * k).alias("top"))
-    return document.resolve_anchors(p, targets).select("doc_id", "target", "ord", "bookmark")
+    # the last of five destinations on each page is on one that the document does not have
+    counts = p.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+    kinds = [("XYZ", [0.0, 700.0, 1.0]), ("FitH", [400.0]), ("FitB", [300.0]), ("FitR", [0.0, 0.0, 50.0, 100.0]), ("XYZ", [0.0, 500.0, 1.0])]
+    kind = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(n).alias("kind"), F.array(*map(F.lit, a)).alias("args")) for i, (n, a) in enumerate(kinds)])
+    dests = p.groupBy("doc_id", "page").agg(F.min("ord").alias("m")).select("*", F.inline(kind)).select("doc_id", F.when(k == 4, F.col("page") + 1_000_000).otherwise(F.col("page")).alias("page"), (F.col("m") * 10 + k).alias("target"), "kind", "args")
+    return document.resolve_anchors(p, document.destinations(dests, counts)).select("doc_id", "target", "ord", "bookmark")
 
 
 _TREE = "nodes AS (SELECT doc_id, ord AS node_id, CASE WHEN ord > 0 THEN (ord - 1) // 4 END AS parent_id, ord, CASE WHEN ord % 6 = 5 THEN ' ' ELSE text END AS title FROM paras)"
@@ -122,26 +127,50 @@ def s3_flatten_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.flatten_fields(n.select("doc_id", "node_id", "parent_id", F.concat(F.lit("f"), "ord").alias("part"), F.when(F.col("ord") % 3 > 0, F.col("title")).alias("value")))
 
 
-_BLOCKS = "bl AS (SELECT doc_id, ord, text, CASE WHEN ord % 3 = 1 THEN '- ' ELSE '' END AS marker, (CASE WHEN ord % 3 = 1 THEN ord % 2 ELSE 0 END)::INT AS depth, (CASE WHEN ord % 7 = 0 THEN 1 + ord % 3 ELSE 0 END)::INT AS level, ord % 5 = 2 AS bold, CASE WHEN ord % 11 = 3 THEN 'https://example.com/(' || ord || ')' WHEN ord % 11 = 4 THEN 'javascript:x' END AS url FROM paras)"
+_BLOCKS = """bl AS (SELECT doc_id, ord, page, text, CASE WHEN ord % 3 = 1 THEN '- ' ELSE '' END AS marker, (CASE WHEN ord % 3 = 1 THEN ord % 2 ELSE 0 END)::INT AS depth, (CASE WHEN ord % 7 = 0 THEN 1 + ord % 3 ELSE 0 END)::INT AS level FROM paras),
+tb AS (SELECT doc_id, page, min(ord) AS ord, [[min_by(text, ord), 'n|' || page], [' a  b ', max(ord)::VARCHAR]] AS cells FROM paras WHERE page % 3 = 1 GROUP BY doc_id, page),
+im AS (SELECT doc_id, page, min(ord) AS ord, md5(doc_id || '/' || page) AS data FROM paras WHERE page % 4 = 2 GROUP BY doc_id, page)"""
 
 
-def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocks_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of two runs each (a first word, the rest), a table on every third page and an image on every fourth."""
     n = F.col("ord")
     item = n % 3 == 1
-    return derived.paragraphs(spark, sf_dir).select("doc_id", "ord", "text", F.when(item, "- ").otherwise("").alias("marker"), F.when(item, n % 2).otherwise(0).cast("int").alias("depth"), F.when(n % 7 == 0, 1 + n % 3).otherwise(0).cast("int").alias("level"), (n % 5 == 2).alias("bold"), F.when(n % 11 == 3, F.concat(F.lit("https://example.com/("), n, F.lit(")"))).when(n % 11 == 4, "javascript:x").alias("url"))
+    p = derived.paragraphs(spark, sf_dir)
+    url = F.when(n % 11 == 3, F.concat(F.lit("https://example.com/("), n, F.lit(")"))).when(n % 11 == 4, "javascript:x")
+    word = F.regexp_extract("text", "^([^ ]* *)", 1)
+    rest = F.substring("text", F.char_length(word) + 1, F.char_length("text"))
+    none = F.lit(None).cast("string")
+    first = F.struct(word.alias("text"), (n % 5 == 2).alias("bold"), (n % 4 == 1).alias("italic"), none.alias("url"), F.when(n % 11 == 5, F.concat(F.lit("a"), n % 3)).alias("anchor"))
+    second = F.struct(rest.alias("text"), (n % 10 == 2).alias("bold"), (n % 6 == 3).alias("italic"), url.alias("url"), none.alias("anchor"))
+    blocks = p.select("doc_id", "ord", "page", "text", F.when(item, "- ").otherwise("").alias("marker"), F.when(item, n % 2).otherwise(0).cast("int").alias("depth"), F.when(n % 7 == 0, 1 + n % 3).otherwise(0).cast("int").alias("level"), F.when(n % 13 == 6, F.concat(F.lit("b"), n)).alias("bookmark"), F.array(first, second).alias("runs"))
+    pages = p.groupBy("doc_id", "page").agg(F.min("ord").alias("ord"), F.min_by("text", "ord").alias("top"), F.max("ord").cast("string").alias("last"))
+    cells = F.array(F.array("top", F.concat(F.lit("n|"), "page")), F.array(F.lit(" a  b "), F.col("last")))
+    images = pages.where("page % 4 = 2").select("doc_id", "page", "ord", F.lit("image/png").alias("mime"), F.md5(F.concat_ws("/", "doc_id", "page")).alias("data"))
+    return blocks, pages.where("page % 3 = 1").select("doc_id", "page", "ord", cells.alias("cells")), images
+
+
+@add(with_tables("paras") + f""", {_BLOCKS}, al AS (SELECT doc_id, page, 0 AS kind, ord, repeat('  ', depth) || marker || text AS t FROM bl WHERE trim(text) <> ''
+UNION ALL SELECT doc_id, page, 1, ord, array_to_string(list_transform(cells, lambda r: array_to_string(list_transform(r, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))), chr(9))), chr(10)) FROM tb UNION ALL SELECT doc_id, page, 2, ord, '[image]' FROM im)
+SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page, kind, ord) AS body FROM al GROUP BY ALL""")
+def k3_render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, tables, images = blocks_of(spark, sf_dir)
+    return document.render_text(blocks, tables=tables, images=images)
 
 
-@add(with_tables("paras") + f", {_BLOCKS} SELECT doc_id, string_agg(repeat('  ', depth) || marker || text, chr(10) || chr(10) ORDER BY ord) AS body FROM bl WHERE trim(text) <> '' GROUP BY ALL")
-def k3_render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document.render_text(blocks_of(spark, sf_dir))
+_STYLED = "CASE WHEN trim({t}) = '' THEN {t} ELSE regexp_extract({t}, '^( *)', 1) || {open} || {stars} || replace(replace(trim({t}), '\\', '\\\\'), '*', '\\*') || {stars} || {close} || regexp_extract({t}, '( *)$', 1) END"
+_FIRST = _STYLED.format(t="w", stars="CASE WHEN ord % 5 = 2 THEN '**' ELSE '' END || CASE WHEN ord % 4 = 1 THEN '*' ELSE '' END", open="CASE WHEN ord % 11 = 5 THEN '[' ELSE '' END", close="CASE WHEN ord % 11 = 5 THEN '](#a' || ord % 3 || ')' ELSE '' END")
+_SECOND = _STYLED.format(t="r", stars="CASE WHEN ord % 10 = 2 THEN '**' ELSE '' END || CASE WHEN ord % 6 = 3 THEN '*' ELSE '' END", open="CASE WHEN ord % 11 = 3 THEN '[' ELSE '' END", close="CASE WHEN ord % 11 = 3 THEN '](https://example.com/%28' || ord || '%29)' ELSE '' END")
 
 
-@add(with_tables("paras") + f""", {_BLOCKS}, e AS (SELECT *, replace(replace(text, '\\', '\\\\'), '*', '\\*') AS t FROM bl WHERE trim(text) <> ''),
-s AS (SELECT *, CASE WHEN bold AND trim(t) <> '' THEN regexp_extract(t, '^( *)', 1) || '**' || trim(t) || '**' || regexp_extract(t, '( *)$', 1) ELSE t END AS st FROM e),
-l AS (SELECT *, CASE WHEN url LIKE 'https:%' THEN '[' || st || '](' || replace(replace(url, '(', '%28'), ')', '%29') || ')' ELSE st END AS ln FROM s)
-SELECT doc_id, string_agg(CASE WHEN level > 0 THEN repeat('#', level) || ' ' ELSE '' END || repeat('  ', depth) || marker || ln, chr(10) || chr(10) ORDER BY ord) AS body FROM l GROUP BY ALL""")
+@add(with_tables("paras") + f""", {_BLOCKS}, sp AS (SELECT *, regexp_extract(text, '^([^ ]* *)', 1) AS w FROM bl WHERE trim(text) <> ''), tw AS (SELECT *, substr(text, length(w) + 1) AS r FROM sp),
+bo AS (SELECT *, {_FIRST} || {_SECOND} AS body FROM tw), an AS (SELECT * REPLACE (CASE WHEN ord % 13 = 6 THEN '<a id="b' || ord || '"></a>' || ltrim(body) ELSE body END AS body) FROM bo),
+al AS (SELECT doc_id, page, 0 AS kind, ord, CASE WHEN marker <> '' THEN repeat('  ', depth) || marker || trim(body) WHEN level > 0 THEN repeat('#', level) || ' ' || trim(body) ELSE body END AS t FROM an
+UNION ALL SELECT doc_id, page, 1, ord, '| ' || trim(replace(cells[1][1], '|', '\\|')) || ' | n\\|' || page || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| a  b | ' || cells[2][2] || ' |' FROM tb UNION ALL SELECT doc_id, page, 2, ord, '![image](data:image/png;base64,' || data || ')' FROM im)
+SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page, kind, ord) AS body FROM al GROUP BY ALL""")
 def k4_render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document.render_markdown(blocks_of(spark, sf_dir))
+    blocks, tables, images = blocks_of(spark, sf_dir)
+    return document.render_markdown(blocks, tables=tables, images=images)
 
 
 _FLAGS = {"has_script": "(?i)<script[\\s>]", "has_style": "(?i)<style[\\s>]", "has_comment": "<!--", "has_iframe": "(?i)<iframe[\\s>]", "has_form": "(?i)<form[\\s>]", "has_meta": "(?i)<meta[\\s>]", "has_link": "(?i)<link[\\s>]", "has_handler": "(?i)\\son[a-z]+\\s*=", "has_js_url": "(?i)javascript:", "has_data_url": "(?i)src\\s*=\\s*.data:", "has_object": "(?i)<(object|embed)[\\s>]"}

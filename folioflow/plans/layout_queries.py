@@ -92,13 +92,16 @@ def f5_drop_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOXES = "boxes AS (SELECT doc_id, page, seq, x, y, CASE WHEN seq % 3 = 0 THEN w ELSE 1 END AS bw, CASE WHEN seq % 3 = 1 THEN w ELSE 1 END AS bh FROM items)"
 
 
-@add(with_tables("items") + f", {_BOXES} SELECT doc_id, page, seq, CASE WHEN bw > 2 AND bh < 8 AND bw > 3 * bh THEN 'horizontal' ELSE 'vertical' END AS kind FROM boxes WHERE (bw > 2 AND bh < 8 AND bw > 3 * bh) OR (bh > 2 AND bw < 8 AND bh > 3 * bw)")
+@add(with_tables("items") + f""", {_BOXES}, seen AS (SELECT *, CASE WHEN seq % 5 = 1 THEN greatest(x, x + 8) ELSE x END AS vx0, CASE WHEN seq % 5 = 1 THEN least(x + bw, x + 20) ELSE x + bw END AS vx1 FROM boxes WHERE (bw > 2 AND bh < 8 AND bw > 3 * bh) OR (bh > 2 AND bw < 8 AND bh > 3 * bw))
+SELECT doc_id, page, seq, CASE WHEN bw > 2 AND bh < 8 AND bw > 3 * bh THEN 'horizontal' ELSE 'vertical' END AS kind, vx0::DOUBLE AS x, (vx1 - vx0)::DOUBLE AS w FROM seen WHERE vx1 > vx0""")
 def f1_classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.operators.tables import classify_rules
 
     s = F.col("seq")
     boxes = items_of(spark, sf_dir).select("doc_id", "page", "seq", "x", "y", F.when(s % 3 == 0, F.col("w")).otherwise(1.0).alias("w"), F.when(s % 3 == 1, F.col("w")).otherwise(1.0).alias("h"))
-    return classify_rules(boxes).select("doc_id", "page", "seq", "kind")
+    cut = s % 5 == 1
+    clips = {"cx0": F.when(cut, F.col("x") + 8), "cy0": F.when(cut, F.col("y") - 1), "cx1": F.when(cut, F.col("x") + 20), "cy1": F.when(cut, F.col("y") + 1000)}
+    return classify_rules(boxes.withColumns(clips)).select("doc_id", "page", "seq", "kind", "x", "w")
 
 
 _TURN = "turned AS (SELECT doc_id, page, seq, CASE WHEN seq % 10 = 3 THEN 'up' WHEN seq % 10 = 4 THEN 'down' END AS turned FROM items)"

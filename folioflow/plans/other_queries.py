@@ -86,6 +86,18 @@ def w18_stamp_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_.stamp_pages(o, prefix="ORD", start=100, digits=6)
 
 
+@add("""WITH s AS (SELECT o_orderkey AS page_id, row_number() OVER (ORDER BY o_orderkey) || ' / ' || count(*) OVER () AS stamp FROM orders),
+p AS (SELECT *, 5.0 * length(stamp) AS tw, (500 + page_id % 4 * 50)::DOUBLE AS pw, 800.0 AS ph, ['tl', 'tc', 'tr', 'bl', 'bc', 'br'][page_id % 6 + 1] AS pos FROM s)
+SELECT page_id, stamp, CASE pos[2] WHEN 'l' THEN 36.0 WHEN 'r' THEN pw - 36 - tw ELSE (pw - tw) / 2 END::DOUBLE AS x, CASE pos[1] WHEN 't' THEN ph - 36 - 10 ELSE 36.0 END::DOUBLE AS y FROM p""")
+def w18_stamp_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    stamped = pages_.stamp_pages(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id")), mode="page")
+    sized = stamped.withColumns({"text_w": 5.0 * F.length("stamp"), "font_size": F.lit(10.0), "page_width": 500.0 + k % 4 * 50, "page_height": F.lit(800.0)})
+    places = F.array(*[F.lit(p) for p in ("tl", "tc", "tr", "bl", "bc", "br")])
+    x, y = pages_.stamp_origin(F.get(places, (k % 6).cast("int")), 36.0)
+    return sized.select("page_id", "stamp", x.alias("x"), y.alias("y"))
+
+
 @add(with_tables("items") + """, h AS (SELECT *, regexp_extract_all(str, '(?i)er') AS m, regexp_split_to_array(str, '(?i)er') AS p FROM items WHERE regexp_matches(str, '(?i)er')),
 o AS (SELECT doc_id, page, seq, str, x, y, w, size, m, p, unnest(range(1, len(m) + 1)) AS k FROM h),
 s AS (SELECT *, (list_sum(list_transform(p[1:k], lambda t: length(t))) + 2 * (k - 1))::INT AS start FROM o)
@@ -224,7 +236,8 @@ def j21_dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.dangling_refs(have, edges, roots, drops)
 
 
-@add(with_tables("items") + """, b AS (SELECT doc_id, page, seq * 2 AS seq, CASE WHEN doc_id % 5 = 1 AND seq % 600 = 9 THEN '?' ELSE str END AS str, x + 0.005 AS x, y FROM items WHERE NOT (doc_id % 7 = 2 AND seq % 600 = 20)),
+# what is read twice is kept, or its texts would be split again each time
+@add(with_tables("items").replace("items AS (", "items AS MATERIALIZED (") + """, b AS MATERIALIZED (SELECT doc_id, page, seq * 2 AS seq, CASE WHEN doc_id % 5 = 1 AND seq % 600 = 9 THEN '?' ELSE str END AS str, x + 0.005 AS x, y FROM items WHERE NOT (doc_id % 7 = 2 AND seq % 600 = 20)),
 bad AS (SELECT DISTINCT i.doc_id, i.page FROM items i LEFT JOIN b ON b.doc_id = i.doc_id AND b.seq = 2 * i.seq WHERE b.seq IS NULL OR b.str <> i.str)
 SELECT doc_id, page, seq AS a_seq, seq * 2 AS b_seq FROM items ANTI JOIN bad USING (doc_id, page)""")
 def j20_align_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,22 +247,48 @@ def j20_align_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.align_items(a, b)
 
 
-_WIDGETS = "wd AS (SELECT l_suppkey AS src_id, 'f' || l_partkey % 200 AS name, l_orderkey * 10 + l_linenumber AS ord, CASE l_linenumber % 3 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'text' ELSE 'list' END AS kind, CASE WHEN l_orderkey % 4 > 0 THEN 'v' || l_orderkey END AS source_value, l_partkey % 200 = 7 AND l_orderkey % 50 = 0 AS redacted FROM lineitem), vl AS (SELECT DISTINCT src_id, name, CASE WHEN src_id % 5 = 0 THEN '' ELSE 'user' END AS value FROM wd WHERE substr(name, 2)::INT % 9 = 0)"
+@add(with_tables("items").replace("raw AS (", "raw AS MATERIALIZED (") + """, m AS (SELECT *, seq % 600 // 40 AS b, seq % 40 AS s FROM items WHERE doc_id % 5 <> 1 OR seq % 600 <> 9),
+bad AS (SELECT DISTINCT doc_id, page FROM items WHERE doc_id % 5 = 1 AND seq % 600 = 9 UNION SELECT DISTINCT doc_id, page FROM raw WHERE doc_id % 7 = 2 AND seq % 600 = 10 UNION SELECT DISTINCT doc_id, page FROM raw WHERE doc_id % 7 = 3 AND seq % 600 = 0 AND page = 0),
+t AS (SELECT *, CASE WHEN s BETWEEN 10 AND 14 THEN 'G' WHEN s BETWEEN 5 AND 29 THEN 'F' || (b % 2) END AS m_tag, CASE WHEN s BETWEEN 10 AND 14 THEN b WHEN s BETWEEN 5 AND 29 THEN b // 2 END AS m_k FROM m)
+SELECT doc_id, page, seq, m_tag, m_k, CASE WHEN m_tag IS NULL THEN false WHEN m_tag = 'G' THEN x + w < 200 OR x > 400 WHEN m_k % 3 = 0 THEN false WHEN m_k % 3 = 2 THEN true ELSE x + w < 72 OR x > 300 END AS hidden FROM t ANTI JOIN bad USING (doc_id, page)""")
+def j20_carry_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = items_of(spark, sf_dir)
+    d, s = F.col("doc_id"), F.col("seq")
+    block, place = F.floor(s % 600 / 40), s % 40
+    form = F.concat(F.lit("F"), block % 2)
+    # each block opens a form, in it a marker of the document's own, in it another form; every fifth has an end too many
+    stream = items.select("doc_id", "page", (s * 10 + 5).alias("seq"), F.lit("item").alias("kind"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("own"), F.when((d % 5 == 1) & (s % 600 == 9), "?").otherwise(F.col("str")).alias("str"), F.col("x") + 0.005, "y")
+    tokens = derived.raw_items(spark, sf_dir).select("doc_id", "page", "seq").where(place.isin(5, 8, 10, 15, 20, 30) | ((place == 35) & (F.floor(s / 40) % 5 == 3)))
+    begins = place.isin(5, 8, 10)
+    tag = F.when(place == 5, form).when(place == 8, "P").when(place == 10, "G")
+    marks = tokens.select("doc_id", "page", (s * 10 + 1).alias("seq"), F.when(begins, "begin").otherwise("end").alias("kind"), tag.alias("tag"), (begins & (place != 8)).alias("own"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    k = F.when(place == 5, F.floor(block / 2)).otherwise(block)
+    inner = place == 10
+    clip = {"cx0": F.when(inner, 200.0).when(k % 3 > 0, 72.0), "cy0": F.when(inner | (k % 3 > 0), 0.0), "cx1": F.when(inner, 400.0).when(k % 3 == 1, 300.0).when(k % 3 == 2, 72.0), "cy1": F.when(inner | (k % 3 > 0), 792.0)}
+    corners = [c.alias(n) for n, c in clip.items()]
+    clips = tokens.where(place.isin(5, 10) & ~((d % 7 == 2) & (s % 600 == 10))).select("doc_id", "page", tag.alias("tag"), k.alias("k"), *corners)
+    more = derived.raw_items(spark, sf_dir).where((d % 7 == 3) & (s == 0)).select("doc_id", "page", F.lit("X").alias("tag"), F.lit(0).cast("long").alias("k"), *[F.lit(0.0).alias(n) for n in clip])
+    return reconcile.carry_clips(items, stream.toDF(*marks.columns).unionByName(marks), clips.unionByName(more))
+
+
+_WIDGETS = "wd AS (SELECT l_suppkey AS src_id, 'f' || l_partkey % 200 AS name, l_orderkey * 10 + l_linenumber AS ord, CASE l_linenumber % 3 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'text' ELSE 'list' END AS kind, CASE WHEN l_orderkey % 8 = 7 THEN 'v' || l_orderkey || chr(10) || 'w' WHEN l_orderkey % 4 > 0 THEN 'v' || l_orderkey END AS source_value, l_partkey % 200 = 7 AND l_orderkey % 50 = 0 AS redacted FROM lineitem), vl AS (SELECT DISTINCT src_id, name, CASE WHEN src_id % 5 = 0 THEN '' ELSE 'user' END AS value FROM wd WHERE substr(name, 2)::INT % 9 = 0)"
 
 
 def widgets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, sf_dir, "lineitem")
     o, p, k = F.col("l_orderkey"), F.col("l_partkey") % 200, F.col("l_linenumber") % 3
-    w = li.select(F.col("l_suppkey").alias("src_id"), F.concat(F.lit("f"), p).alias("name"), (o * 10 + F.col("l_linenumber")).alias("ord"), F.when(k == 0, "checkbox").when(k == 1, "text").otherwise("list").alias("kind"), F.when(o % 4 > 0, F.concat(F.lit("v"), o)).alias("source_value"), ((p == 7) & (o % 50 == 0)).alias("redacted"))
+    w = li.select(F.col("l_suppkey").alias("src_id"), F.concat(F.lit("f"), p).alias("name"), (o * 10 + F.col("l_linenumber")).alias("ord"), F.when(k == 0, "checkbox").when(k == 1, "text").otherwise("list").alias("kind"), F.when(o % 8 == 7, F.concat(F.lit("v"), o, F.lit("\nw"))).when(o % 4 > 0, F.concat(F.lit("v"), o)).alias("source_value"), ((p == 7) & (o % 50 == 0)).alias("redacted"))
     values = w.where(F.substring("name", 2, 9).cast("int") % 9 == 0).select("src_id", "name", F.when(F.col("src_id") % 5 == 0, "").otherwise("user").alias("value")).distinct()
     return w, values
 
 
 @add(f"""WITH {_WIDGETS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_id, name ORDER BY ord, kind) AS k FROM wd WHERE (src_id, name) NOT IN (SELECT (src_id, name) FROM wd WHERE redacted)) WHERE k = 1),
-j AS (SELECT f.*, vl.value AS u, coalesce(vl.value, source_value, '') AS v FROM f LEFT JOIN vl USING (src_id, name)) SELECT src_id, name, CASE WHEN kind = 'checkbox' AND v = '' THEN 'Off' ELSE v END AS value FROM j WHERE v <> '' OR u IS NOT NULL""")
+j AS (SELECT f.*, vl.value AS u, coalesce(vl.value, source_value, '') AS v FROM f LEFT JOIN vl USING (src_id, name)),
+l AS (SELECT src_id, name, CASE WHEN kind = 'list' THEN string_split(v, chr(10)) WHEN kind = 'checkbox' AND v = '' THEN ['Off'] ELSE [v] END AS vs FROM j WHERE v <> '' OR (u IS NOT NULL AND kind <> 'list'))
+SELECT src_id, name, unnest(range(len(vs)))::INT AS n, unnest(vs) AS value FROM l""")
 def j13_export_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, v = widgets(spark, sf_dir)
-    return reconcile.export_fields(w, v)
+    return reconcile.export_fields(w, v).select("src_id", "name", F.posexplode("values").alias("n", "value"))
 
 
 @add(f"WITH {_WIDGETS}, n AS (SELECT src_id, name, min_by(kind, ord) AS kind FROM wd GROUP BY ALL), fl AS (SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Off' ELSE 'x' || p_partkey END AS value FROM part) SELECT name, src_id, kind, CASE WHEN value = 'Off' THEN '' ELSE value END AS value FROM fl LEFT JOIN n USING (name)")
@@ -324,12 +363,16 @@ def s5_ocr_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.ocr_paragraphs(table(spark, sf_dir, "documents"))
 
 
-@add("WITH l AS (SELECT conv_id, turn, unnest(range(len(t))) AS i, unnest(t) AS s FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), '. ') AS t FROM conversations)), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS k FROM l WHERE trim(s) <> '') SELECT conv_id, turn, k::INT AS line, trim(s) AS text, (792 - turn * 20 - k * 12)::DOUBLE AS y FROM n")
+@add("""WITH c AS (SELECT conv_id, turn AS ord, (turn // 3 * 40)::DOUBLE AS yd, (turn * 7 % 3 * 100)::DOUBLE AS x, string_split(replace(replace(text, chr(10), ' '), '. ', chr(10)), chr(10)) AS t, ['#000000', '#1a2b3c', '', 'ff0000'][turn % 4 + 1] AS color, ['Courier New', 'Times', 'Arial', 'Cambria', NULL][turn % 5 + 1] AS f FROM conversations),
+l AS (SELECT * EXCLUDE (t), unnest(range(len(t))) AS i, unnest(t) AS text FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, ord ORDER BY i) - 1 AS line, row_number() OVER (PARTITION BY conv_id ORDER BY yd, x, ord, i) - 1 AS para FROM l WHERE regexp_matches(text, '\\S'))
+SELECT conv_id, para::INT AS para, ord, line::INT AS line, text, (792 - yd - line * 12)::DOUBLE AS y, false AS rtl, CASE WHEN color = '#1a2b3c' THEN '1A2B3C' WHEN color = 'ff0000' THEN 'FF0000' END AS color, CASE WHEN f = 'Courier New' THEN 'monospace' WHEN f IN ('Times', 'Cambria') THEN 'serif' ELSE 'sans-serif' END AS family FROM n""")
 def s6_overlay_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c, t = table(spark, sf_dir, "conversations"), F.col("turn")
     flat = F.regexp_replace(F.regexp_replace("text", "\n", " "), r"\. ", "\n")
-    el = c.select("conv_id", "turn", flat.alias("text"), (F.col("turn") * 20.0).alias("y_down"), F.lit(12.0).alias("font_size"), F.lit(792.0).alias("page_height"))
-    return ocr.overlay_paragraphs(el, ["conv_id", "turn"])
+    color = F.get(F.array(*[F.lit(x) for x in ("#000000", "#1a2b3c", "", "ff0000")]), (t % 4).cast("int"))
+    family = F.get(F.array(*[F.lit(x) for x in ("Courier New", "Times", "Arial", "Cambria", None)]), (t % 5).cast("int"))
+    el = c.select("conv_id", t.alias("ord"), flat.alias("text"), (F.floor(t / 3) * 40.0).alias("y_down"), (t * 7 % 3 * 100.0).alias("x"), F.lit(12.0).alias("font_size"), F.lit(792.0).alias("page_height"), color.alias("color"), family.alias("font_family"))
+    return ocr.overlay_paragraphs(el, ["conv_id"])
 
 
 @add("SELECT event_id, event_type FROM events WHERE event_id % 3 <> 1")

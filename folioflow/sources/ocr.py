@@ -30,11 +30,24 @@ def ocr_paragraphs(df: DataFrame) -> DataFrame:
     return lines.select("doc_id", n.alias("para"), "text", is_arabic(F.col("text")).alias("rtl"))
 
 
+#: Parts of the names of font families by their generic one; the first that fits counts.
+GENERIC = {"monospace": "courier|consol|mono|menlo", "serif": "times|georgia|serif|garamond|minion|cambria"}
+
+
 def overlay_paragraphs(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line, text, y: the lines of overlay texts that are not blank, counted down from the element's top by its font size."""
-    lines = elements.select(*keys, "y_down", "font_size", "page_height", F.posexplode(F.split("text", "\n")).alias("i", "s")).where(F.trim("s") != "")
-    n = (F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1).cast("int")
-    return lines.withColumn("line", n).select(*keys, "line", F.trim("s").alias("text"), (F.col("page_height") - F.col("y_down") - F.col("line") * F.col("font_size")).alias("y"))
+    """keys, para, ord, line, text, y, rtl, color, family: the lines of a page's overlay texts (ord, x, y_down, font_size, page_height, text, color, font_family) that are not blank.
+
+    Elements follow one another from the top, then from the left, then by ord; lines are counted down from the
+    element's top by its font size (no height: no y). Black is no colour; others lose their sign.
+    """
+    held = elements.select(*keys, "ord", "x", "y_down", "font_size", "page_height", "color", "font_family", F.posexplode(F.split("text", "\n")).alias("i", "text")).where(F.col("text").rlike(r"\S"))
+    line = (F.row_number().over(Window.partitionBy(*keys, "ord").orderBy("i")) - 1).cast("int")
+    para = (F.row_number().over(Window.partitionBy(*keys).orderBy("y_down", "x", "ord", "i")) - 1).cast("int")
+    name = F.lower(F.coalesce("font_family", F.lit("")))
+    family = F.when(name.rlike(GENERIC["monospace"]), "monospace").when(name.rlike(GENERIC["serif"]), "serif").otherwise("sans-serif")
+    color = F.when((F.col("color") != "") & (F.upper("color") != "#000000"), F.upper(F.regexp_replace("color", "^#", "")))
+    lines = held.withColumns({"line": line, "para": para, "rtl": is_arabic(F.col("text")), "family": family, "shade": color})
+    return lines.select(*keys, "para", "ord", "line", "text", (F.col("page_height") - F.col("y_down") - F.col("line") * F.col("font_size")).alias("y"), "rtl", F.col("shade").alias("color"), "family")
 
 
 def current_snapshots(df: DataFrame, *, version: int = 1) -> DataFrame:

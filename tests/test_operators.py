@@ -575,3 +575,122 @@ def test_debounced_stream(spark, tmp_path):
     assert got == {(k, v) for k in range(3) for v in (2.0, 101.0)}
     state = jobs.upsert_saved(spark.table("debounced"), spark.table("debounced").limit(0))
     assert {(r.key, r.value) for r in state.collect()} == {(k, 101.0) for k in range(3)}
+
+
+def test_links_cut_at_words(spark):
+    """Left edges go to the start of a word, right edges to the end of one; turned and right-to-left items stay whole."""
+    it = items(spark, [("see (example) now", 0.0, 100.0, 170.0, 10.0), ("see (example) now", 0.0, 300.0, 170.0, 10.0), ("سلام عليكم", 0.0, 100.0, 100.0, 10.0), ("......", 0.0, 100.0, 60.0, 10.0)])
+    it = it.withColumn("a", F.when(F.col("seq") == 1, 0.0).otherwise(F.col("a"))).withColumn("b", F.when(F.col("seq") == 1, 10.0).otherwise(F.col("b")))
+    links = spark.createDataFrame([(1, 0, 0, "u", 42.0, 86.0, 0.0, 400.0)], "doc_id long, page int, ord int, url string, lx double, ly double, lw double, lh double")
+    got = {}
+    for r in layout.split_at_links(it, links.withColumn("ly", F.lit(0.0)).withColumn("lw", F.lit(86.0))).orderBy("seq", "piece").collect():
+        got.setdefault(r.seq, []).append((r.str, r.x, r.w))
+    assert got[0] == [("see (", 0.0, 50.0), ("example", 50.0, 70.0), (") now", 120.0, 50.0)]
+    assert [len(got[k]) for k in (1, 2)] == [1, 1]
+    assert [p[0] for p in got[3]] == ["....", ".."]
+
+
+def test_rules_are_what_a_clip_shows_of_them(spark):
+    rows = [("cut", 0.0, 0.0, 100.0, 2.0, 50.0, 0.0, 60.0, 9.0), ("free", 0.0, 0.0, 100.0, 2.0, None, None, None, None), ("gone", 0.0, 0.0, 100.0, 2.0, 100.0, 0.0, 200.0, 9.0), ("block", 0.0, 0.0, 40.0, 40.0, 0.0, 0.0, 40.0, 2.0), ("short", 0.0, 0.0, 2.0, 90.0, 0.0, 10.0, 5.0, 11.0)]
+    df = spark.createDataFrame(rows, "name string, x double, y double, w double, h double, cx0 double, cy0 double, cx1 double, cy1 double")
+    got = {r.name: (r.kind, r.x, r.y, r.w, r.h) for r in tables.classify_rules(df).collect()}
+    assert got == {"cut": ("horizontal", 50.0, 0.0, 10.0, 2.0), "free": ("horizontal", 0.0, 0.0, 100.0, 2.0), "short": ("vertical", 0.0, 10.0, 2.0, 1.0)}
+
+
+def plain_markers(rows):
+    """The innermost own marker at each item, by a stack."""
+    stack, seen, out = [], {}, {}
+    for seq, kind, tag, own in rows:
+        if kind == "begin":
+            if own:
+                seen[tag] = seen.get(tag, -1) + 1
+            stack.append((tag, seen[tag]) if own else None)
+        elif kind == "end":
+            if stack:
+                stack.pop()
+        else:
+            out[seq] = next((m for m in reversed(stack) if m), (None, None))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_open_markers_by_a_stack(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pages_of = {p: [(s, rng.choice(["item", "item", "begin", "end", "end" if seed else "begin"]), rng.choice("AB"), rng.random() < 0.6) for s in range(80)] for p in range(12)}
+    rows = [(1, p, s, k, t if k == "begin" else None, o if k == "begin" else None) for p, r in pages_of.items() for s, k, t, o in r]
+    got = reconcile.open_markers(spark.createDataFrame(rows, "doc_id long, page int, seq long, kind string, tag string, own boolean"))
+    found = {(r.page, r.seq): (r.m_tag, r.m_k) for r in got.where("kind = 'item'").collect()}
+    assert found == {(p, s): m for p, r in pages_of.items() for s, m in plain_markers(r).items()}
+
+
+def test_clips_hide_items_of_pages_that_agree(spark):
+    it = spark.createDataFrame([(1, p, s, w, 10.0 * s, 50.0, 8.0, 10.0) for p in range(5) for s, w in enumerate(["a", "b", "c"])], "doc_id long, page int, seq long, str string, x double, y double, w double, size double")
+    stream = []
+    for p in range(5):
+        stream += [(1, p, 0, "item", None, None, "a", 0.0, 50.0), (1, p, 1, "begin", "F", True, None, None, None), (1, p, 2, "item", None, None, "B" if p == 1 else "b", 10.009, 50.0), (1, p, 3, "end", None, None, None, None, None), (1, p, 4, "item", None, None, "c", 20.0, 50.02 if p == 2 else 50.0)]
+    marked = spark.createDataFrame(stream, "doc_id long, page int, seq long, kind string, tag string, own boolean, str string, x double, y double")
+    clips = spark.createDataFrame([(1, p, "F", k, 0.0, 0.0, 9.0, 99.0) for p in (0, 1, 2) for k in (0,)] + [(1, 3, "F", k, 0.0, 0.0, 9.0, 99.0) for k in (0, 1)], "doc_id long, page int, tag string, k long, cx0 double, cy0 double, cx1 double, cy1 double")
+    # a text, a place, a clip too many and one that is missing refuse pages 1 to 4
+    got = sorted((r.page, r.seq, r.m_tag, r.hidden) for r in reconcile.carry_clips(it, marked, clips).collect())
+    assert got == [(0, 0, None, False), (0, 1, "F", True), (0, 2, None, False)]
+
+
+def test_fields_go_out_as_their_values(spark):
+    widgets = spark.createDataFrame(
+        [(1, "list", 1, "list", "a\nb", False), (1, "none", 2, "list", "a", False), (1, "box", 3, "checkbox", None, False), (1, "unset", 4, "checkbox", None, False), (1, "hid", 5, "text", "x", False), (1, "hid", 6, "text", "x", True), (1, "text", 7, "text", "a\nb", False), (1, "text", 8, "text", "later", False)],
+        "src_id long, name string, ord long, kind string, source_value string, redacted boolean",
+    )
+    values = spark.createDataFrame([(1, "none", ""), (1, "box", "")], "src_id long, name string, value string")
+    assert {r.name: r["values"] for r in reconcile.export_fields(widgets, values).collect()} == {"list": ["a", "b"], "box": ["Off"], "text": ["a\nb"]}
+
+
+def test_bold_paragraphs_are_headings(spark):
+    rows = [("Bold words", True, False, False), ("Bold but ruled", True, True, False), ("Bold and turned", True, False, True), ("Only plain", False, False, False), ("OK", True, False, False), ("ALL UPPER", None, None, None), ("• Bold item", True, False, False), ("one two three four five six seven eight nine", True, False, False)]
+    paras = spark.createDataFrame([(1, i, t, 10.0, 0, b, r, u) for i, (t, b, r, u) in enumerate(rows)], "doc_id long, ord long, text string, size double, level int, bold boolean, ruled boolean, turned boolean")
+    got = document.promote_headings(paras, spark.createDataFrame([(1, 10.0)], "doc_id long, body double"))
+    assert {r.text for r in got.where("level = 3").collect()} == {"Bold words", "ALL UPPER"}
+
+
+def test_destinations_by_kind(spark):
+    nan = float("nan")
+    rows = [(1, 0, 0, "XYZ", [1.0, 700.0, 0.0]), (1, 1, 0, "FitBH", [50.0]), (1, 2, 1, "FitR", [0.0, 1.0, 2.0, 3.0]), (1, 3, 1, "Fit", []), (1, 4, 0, "XYZ", [1.0, None, 0.0]), (1, 5, 2, "XYZ", [0.0, 1.0, 0.0]), (1, 6, -1, "Fit", []), (1, 7, 0, "FitH", [nan]), (1, 8, 0, "FitH", [])]
+    df = spark.createDataFrame(rows, "doc_id long, target long, page int, kind string, args array<double>")
+    got = document.destinations(df, spark.createDataFrame([(1, 2)], "doc_id long, n_pages int"))
+    assert {r.target: r.top for r in got.collect()} == {0: 700.0, 1: 50.0, 2: 3.0, 3: None, 4: None, 7: None, 8: None}
+
+
+def test_texts_with_runs_tables_and_images(spark):
+    run = "struct<text:string,bold:boolean,italic:boolean,url:string,anchor:string>"
+    rows = [
+        (1, 0, 0, "Title", "", 0, 2, "b1", [("  Title ", True, True, None, None)]),
+        (1, 0, 1, "item", "- ", 1, 1, None, [("a*b ", False, True, None, None), ("\\ c", None, None, None, "b1")]),
+        (1, 1, 2, "x y", "", 0, 0, None, [("x ", False, False, " https://e.org/(1) ", None), ("y", True, False, "javascript:z", "b1"), (" ", True, True, None, None)]),
+        (1, 1, 3, " ", "", 0, 0, None, [(" ", True, False, None, None)]),
+    ]
+    blocks = spark.createDataFrame(rows, f"doc_id long, page int, ord long, text string, marker string, depth int, level int, bookmark string, runs array<{run}>")
+    grid = spark.createDataFrame([(1, 0, 0, [["h|1", "h\n2"], [" a  b ", ""]]), (1, 1, 0, [])], "doc_id long, page int, ord long, cells array<array<string>>")
+    images = spark.createDataFrame([(1, 0, 0, "image/png", "AAAA")], "doc_id long, page int, ord long, mime string, data string")
+    md = document.render_markdown(blocks, tables=grid, images=images).first().body
+    assert md.split("\n\n") == [
+        '## <a id="b1"></a>***Title***', "  - *a\\*b* [\\\\ c](#b1)", "| h\\|1 | h 2 |\n| --- | --- |\n| a  b |  |", "![image](data:image/png;base64,AAAA)", "[x](https://e.org/%281%29) **y** ",
+    ]
+    plain = document.render_text(blocks, tables=grid, images=images).first().body
+    assert plain.split("\n\n") == ["Title", "  - item", "h|1\th 2\na b\t", "[image]", "x y"]
+
+
+def test_overlay_texts_in_reading_order(spark):
+    rows = [(1, 0, 50.0, 10.0, 12.0, "low", "#000000", "Arial"), (1, 1, 9.0, 5.0, 10.0, "right\n \n  two", "#a0b1c2", "Courier"), (1, 2, 2.0, 5.0, 10.0, "سلام", None, "Minion Pro"), (1, 3, 0.0, 1.0, 10.0, None, "", None)]
+    el = spark.createDataFrame([(*r, 100.0) for r in rows], "page long, ord int, x double, y_down double, font_size double, text string, color string, font_family string, page_height double")
+    got = [tuple(r) for r in ocr.overlay_paragraphs(el, ["page"]).orderBy("para").drop("page").collect()]
+    assert got == [(0, 2, 0, "سلام", 95.0, True, None, "serif"), (1, 1, 0, "right", 95.0, False, "A0B1C2", "monospace"), (2, 1, 1, "  two", 85.0, False, "A0B1C2", "monospace"), (3, 0, 0, "low", 90.0, False, None, "sans-serif")]
+
+
+def test_stamps_of_pages_and_their_places(spark):
+    df = spark.range(3).selectExpr("id AS page_id").repartition(3)
+    assert [r.stamp for r in manifest.stamp_pages(df, mode="page").orderBy("n").collect()] == ["1 / 3", "2 / 3", "3 / 3"]
+    at = spark.createDataFrame([("tl",), ("tc",), ("br",)], "pos string").selectExpr("*", "100D AS page_width", "200D AS page_height", "20D AS text_w", "10D AS font_size")
+    x, y = manifest.stamp_origin(F.col("pos"), 5.0)
+    assert {r.pos: (r.x, r.y) for r in at.select("pos", x.alias("x"), y.alias("y")).collect()} == {"tl": (5.0, 185.0), "tc": (40.0, 185.0), "br": (75.0, 5.0)}
+    assert manifest.stamp_pages(df.limit(0), mode="page").count() == 0
