@@ -1,12 +1,18 @@
-"""Operator 4: repeated runs of lines.
-
-A run of two lines or more repeats just where all its windows of two adjacent lines do, so the windows at every
-line are compared; no boundary has to fall inside a passage, and inserted or deleted lines move nothing. Rolling
-hashes of the windows go to count-min sketches of blocks of texts (``sketch.py``); only windows that are
-estimated repeated are compared over all documents, as bytes: a block sends each window once, from its first
-occurrence there, and a bucket of windows finds the first of all. So a window that a third of all documents
-hold costs one record a block. The first occurrence (smallest doc_id, then hash of the row, then place) stays,
-the lines of every later one are removed.
+"""Operator 4: repeated runs of lines, by content-defined chunks.
+
+Rolling hashes over the hashes of adjacent lines choose where a text is cut, so that lines put in or taken out move
+only the cuts next to them, and a passage that two texts share is cut alike in both. A chunk reaches to the first line
+of the next one: every two adjacent lines, a window, lie in just one chunk. Chunks that occur again go as a whole,
+from their bytes. What a passage shares with the beginning or end of a chunk only is found on a second level, the
+windows of the chunks that stay: those that occur earlier go, so no boundary has to fall inside a passage, and every
+repeated run of two lines or more is removed. That nothing else is: all windows of a chunk that goes are in the
+earlier one.
+
+The windows' hashes go to count-min sketches of blocks of texts (``sketch.py``). Chunks all of whose windows, and in
+other chunks the windows that, are estimated repeated are compared over all documents: a block sends each once,
+from its first occurrence there, and a bucket finds the first of all. So a chunk that a third of all documents hold
+costs one record a block, and its windows one record in all. The first occurrence (smallest doc_id, then hash of the
+row, then place) stays, the lines of every later one are removed.
 
 Defined results: a null text is an empty one with one empty line; a text without a line feed has one line
 and loses nothing; a window of blank lines only is never removed by itself; where one line follows itself and
@@ -32,32 +38,29 @@ from .common import release, small_batches, unused
 from .hashing import mix
 from .sketch import Shape, dealt, may_repeat, pack, repeat_marks, unpack
 
-ROLL, MEAN_LINES, LEAST_LINES = 2, 4, 2
-#: Bytes of input a bucket of windows.
+#: Mean lines of a chunk, most of one (a longer one is cut by number), lines of a window.
+MEAN_LINES, MOST_LINES, LEAST_LINES = 4, 64, 2
+#: Bytes of input a bucket of chunks.
 BUCKET_BYTES = 16 << 20
-_FACTOR, _MASK = 0x100000001B3, (1 << 64) - 1
+_FACTOR = 0x100000001B3
 _LEAST_ID = -(1 << 63)
 
 
-def cut_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """Chunks as (first line, line after the last)."""
-    out, first, window = [], 0, []
-    lead = pow(_FACTOR, ROLL, 1 << 64)
-    roll = 0
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line)
-        window.append(h)
-        roll = (roll * _FACTOR + h) & _MASK
-        if len(window) > ROLL:
-            roll = (roll - window.pop(0) * lead) & _MASK
-        if len(window) == ROLL and ((roll ^ roll >> 29) * 0xBF58476D1CE4E5B9 & _MASK) >> 40 & 0xFFFFFF < (1 << 24) // MEAN_LINES:
-            out.append((first, i + 1))
-            first = i + 1
-    if first < len(lines):
-        out.append((first, len(lines)))
+def _starts(windows: np.ndarray) -> list[int]:
+    """First windows of the chunks, from the rolled hashes of all windows: a text is cut behind a window that its hash chooses."""
+    chosen = np.flatnonzero(windows >> np.uint64(40) < np.uint64((1 << 24) // MEAN_LINES)) + LEAST_LINES
+    out = []
+    for first, end in zip([0, *chosen.tolist()], [*chosen.tolist(), len(windows)], strict=True):
+        out += range(first, min(end, len(windows)), MOST_LINES)
     return out
 
 
+def cut_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Chunks as (first line, line after the last), without the line that each shares with the next one."""
+    starts = [0, *_starts(line_hashes([b"\n".join(lines).decode("utf-8", "surrogatepass")])[0])[1:]]
+    return list(zip(starts, [*starts[1:], len(lines)], strict=True))
+
+
 def _lines(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
@@ -99,59 +102,125 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     buckets = max(16, -(-(size or 0) // BUCKET_BYTES))
 
     def firsts(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
-        """The first occurrence of each window of the block, by bucket of its bytes; the block's other ones are decided."""
+        """The first occurrence of each chunk and window of the block, by bucket of its bytes; the block's other ones are decided."""
         ids, tags, texts = rows.column("doc_id").to_pylist(), rows.column(tag).to_pylist(), rows.column("text").to_pylist()
         own = line_hashes(texts)
         repeats = may_repeat(np.concatenate([np.zeros(0, np.uint64), *own]), marks, shape)
         ends = np.cumsum([0, *map(len, own)])
-        first: dict[bytes, tuple[int, int, int]] = {}
-        later: list[tuple[int, int, int]] = []
+        chunks, windows = _Firsts(), _Firsts()
         seen = set()
         for row, (doc, t) in enumerate(zip(ids, tags, strict=True)):
             again = repeats[ends[row] : ends[row + 1]]
             if not again.any() or (doc, t) in seen:
                 continue
             seen.add((doc, t))
-            again = again.tolist()
-            for place, _, _, body in _multi(_lines(texts[row])):
-                if again[place]:
-                    at = (_LEAST_ID if doc is None else doc, t, place)
-                    held = first.setdefault(body, at)
-                    if held != at:
-                        first[body] = min(held, at)
-                        later.append(max(held, at))
-        by_bucket: dict[int, list[bytes]] = {}
-        for body in first:
-            by_bucket.setdefault(xxhash.xxh3_64_intdigest(body) % buckets, []).append(body)
+            again, lines = again.tolist(), _lines(texts[row])
+            starts = _starts(own[row])
+            for first, end in zip(starts, [*starts[1:], len(again)], strict=True):
+                at = (_LEAST_ID if doc is None else doc, t, first)
+                if end - first > 1 and all(again[first:end]):
+                    chunks.meet(b"\n".join(lines[first : end + 1]), at, None)
+                    continue
+                for place, _, _, body in _multi(lines[first : end + 1]):
+                    if again[first + place]:
+                        windows.meet(body, (*at[:2], first + place), None)
         number = key[0].as_py()
-        out = [(k, _packed([first[b] for b in bodies]), _packed_bodies(bodies)) for k, bodies in by_bucket.items()]
-        if later:
-            out.append((number % buckets, _packed(later), None))
+        gone = [at for at, _ in windows.later]
+        for body, at, _ in chunks.lost():
+            gone += _windows_at(body, at)
+        out = [*chunks.sent(CHUNK, number, buckets), *windows.sent(WINDOW, number, buckets)]
+        if gone:
+            out.append((number % buckets, number, GONE, _packed(gone), None))
         release()
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "block": pa.array([number] * len(out), pa.int32()), "places": pa.array([r[1] for r in out], pa.binary()), "bodies": pa.array([r[2] for r in out], pa.binary())})
+        return _rows(out)
+
+    def whole(bucket: pa.Table) -> pa.Table:
+        """Chunks that are not the first of their bytes are decided; the first ones send their windows."""
+        chunks, out = _Firsts(), []
+        for k, block, level, places, bodies in zip(*(bucket.column(c).to_pylist() for c in _SENT), strict=True):
+            if level != CHUNK:
+                out.append((k, block, level, places, bodies))
+                continue
+            for at, body in zip(_places(places), _bodies(bodies), strict=True):
+                chunks.meet(body, at, block)
+        lost: dict[int, list[tuple[int, int, int]]] = {}
+        for body, at, block in chunks.lost():
+            lost.setdefault(block, []).extend(_windows_at(body, at))
+        out += [(block % buckets, block, GONE, _packed(places), None) for block, places in lost.items() if places]
+        by_block: dict[int, _Firsts] = {}
+        for body, (at, block) in chunks.first.items():
+            for place, _, _, window in _multi(body.split(b"\n")):
+                by_block.setdefault(block, _Firsts()).meet(window, (*at[:2], at[2] + place), None)
+        for block, windows in by_block.items():
+            out += windows.sent(WINDOW, block, buckets)
+            if windows.later:
+                out.append((block % buckets, block, GONE, _packed([at for at, _ in windows.later]), None))
+        release()
+        return _rows(out)
 
     def meet(bucket: pa.Table) -> pa.Table:
         """The windows that are not the first of their bytes."""
-        best: dict[bytes, tuple[tuple[int, int, int], int]] = {}
-        lost: dict[int, list[tuple[int, int, int]]] = {}
-        out = []
-        for block, places, bodies in zip(*(bucket.column(c).to_pylist() for c in ("block", "places", "bodies")), strict=True):
-            if bodies is None:
+        windows, out = _Firsts(), []
+        for _, block, level, places, bodies in zip(*(bucket.column(c).to_pylist() for c in _SENT), strict=True):
+            if level == GONE:
                 out.append((block, places))
                 continue
             for at, body in zip(_places(places), _bodies(bodies), strict=True):
-                held = best.setdefault(body, (at, block))
-                if held[0] != at:
-                    best[body] = min(held, (at, block))
-                    worse = max(held, (at, block))
-                    lost.setdefault(worse[1], []).append(worse[0])
+                windows.meet(body, at, block)
+        lost: dict[int, list[tuple[int, int, int]]] = {}
+        for at, block in windows.later:
+            lost.setdefault(block, []).append(at)
         out += [(block, _packed(places)) for block, places in lost.items()]
         release()
         return pa.table({"block": pa.array([r[0] for r in out], pa.int32()), "places": pa.array([r[1] for r in out], pa.binary())})
 
     marks = repeat_marks(blocks, block, shape, lambda rows: _hashes(rows.column("text").to_pylist()))
-    sent = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(firsts, "bucket long, block int, places binary, bodies binary")
-    return blocks, sent.groupBy("bucket").applyInArrow(meet, "block int, places binary"), [block, tag]
+    sent = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(firsts, _SENT_SCHEMA)
+    windows = sent.groupBy("bucket").applyInArrow(whole, _SENT_SCHEMA)
+    return blocks, windows.groupBy("bucket").applyInArrow(meet, "block int, places binary"), [block, tag]
+
+
+#: What is sent to a bucket: chunks, windows, or windows that are decided.
+CHUNK, WINDOW, GONE = 0, 1, 2
+_SENT = ("bucket", "block", "level", "places", "bodies")
+_SENT_SCHEMA = "bucket long, block int, level int, places binary, bodies binary"
+
+
+class _Firsts:
+    """The first place of each body, and the (place, mark) of all others; a later place's body is the kept one's."""
+
+    def __init__(self) -> None:
+        self.first: dict[bytes, tuple[tuple[int, int, int], int | None]] = {}
+        self.later: list[tuple[tuple[int, int, int], int | None]] = []
+        self._bodies: list[bytes] = []
+
+    def meet(self, body: bytes, at: tuple[int, int, int], mark: int | None) -> None:
+        held = self.first.setdefault(body, (at, mark))
+        if held[0] != at:
+            less, more = (held, (at, mark)) if held[0] < at else ((at, mark), held)
+            self.first[body] = less
+            self.later.append(more)
+            self._bodies.append(body)
+
+    def lost(self) -> Iterator[tuple[bytes, tuple[int, int, int], int | None]]:
+        for body, (at, mark) in zip(self._bodies, self.later, strict=True):
+            yield body, at, mark
+
+    def sent(self, level: int, number: int, buckets: int) -> list[tuple[int, int, int, bytes, bytes]]:
+        by_bucket: dict[int, list[bytes]] = {}
+        for body in self.first:
+            by_bucket.setdefault(xxhash.xxh3_64_intdigest(body) % buckets, []).append(body)
+        return [(k, number, level, _packed([self.first[b][0] for b in bodies]), _packed_bodies(bodies)) for k, bodies in by_bucket.items()]
+
+
+def _windows_at(chunk: bytes, at: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """Places of a chunk's windows that may be removed."""
+    return [(*at[:2], at[2] + place) for place, _, _, _ in _multi(chunk.split(b"\n"))]
+
+
+def _rows(sent: list[tuple[int, int, int, bytes, bytes | None]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in sent], t) for i, (n, t) in enumerate(zip(_SENT, kinds, strict=True))})
 
 
 def _packed(places: list[tuple[int, int, int]]) -> bytes:

@@ -53,3 +53,14 @@ def test_against_brute_force(spark, seed):
     docs |= {100: ["same"] * 7, 101: ["same"] * 3, 102: [f"copy {i}" for i in range(9)], 103: [f"copy {i}" for i in range(9)]}
     want = {d: "\n".join(x) for d, x in brute(docs).items() if "\n".join(x) or len(x) == len(docs[d])}
     assert {d: t for d, (t, _) in run(spark, docs).items()} == want and 103 not in want and want[100] == "same\nsame"
+
+
+def test_shared_passages_are_cut_alike_and_long_runs_by_number(spark):
+    passage = [f"shared line {i}" for i in range(60)]
+    texts = {d: [f"own {d} {i}" for i in range(n)] + passage + [f"end {d}"] for d, n in ((1, 3), (2, 8), (3, 1))}
+    chunks = {d: {tuple(x[a:b]) for a, b in line_dedup.cut_chunks([t.encode() for t in x])} for d, x in texts.items()}
+    assert len(chunks[1] & chunks[2] & chunks[3]) > 8
+    same = {4: ["same"] * 500 + ["tail"], 5: ["head"] + ["same"] * 300}
+    assert max(b - a for a, b in line_dedup.cut_chunks([t.encode() for t in same[4]])) <= line_dedup.MOST_LINES
+    docs = texts | same
+    assert {d: t for d, (t, _) in run(spark, docs).items()} == {d: "\n".join(x) for d, x in brute(docs).items() if x}
