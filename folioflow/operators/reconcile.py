@@ -78,17 +78,20 @@ def orphan_parts(parts: DataFrame, rels: DataFrame, overrides: DataFrame, attrs:
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node: the closure of the roots over edges (src, dst), cycles allowed.
 
-    Each round joins only the nodes found in the last one and is written to the checkpoint folder.
+    Each round joins only the nodes found in the last one and is written to the checkpoint folder by itself; every
+    sixteenth puts the parts written so far together, so that plans stay short and a node is seldom written again.
     """
     e = written(edges.select("src", "dst").distinct())
-    seen = written(roots.select("node").distinct())
-    frontier = seen
+    frontier = seen = written(roots.select("node").distinct())
+    rounds = 0
     while True:
         frontier = written(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = written(seen.union(frontier))
-    return seen
+            return seen
+        rounds += 1
+        seen = seen.union(frontier)
+        if rounds % 16 == 0:
+            seen = written(seen)
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

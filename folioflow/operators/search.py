@@ -26,6 +26,11 @@ def safe_pattern(query: str) -> bool:
     return len(query) <= 200 and not re.search(r"\([^()]*[+*][^()]*\)[+*{]", query) and not re.search(r"\([^()]*\|[^()]*\)[+*{]", query)
 
 
+def arabic_query(query: str) -> bool:
+    """Whether a query has a letter of Arabic script."""
+    return bool(re.search("[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]", query))
+
+
 def match_offsets(text: Column, pattern: str) -> Column:
     """Array of <start, found> of the matches that are not empty, in order (starts from 0).
 
@@ -64,7 +69,7 @@ def compatible(s: pd.Series) -> pd.Series:
 def search_normalized(items: DataFrame, query: str, *, case: bool = False) -> DataFrame:
     """doc_id, page, seq: items with no raw match whose compatibility form holds the query (in either order of characters); only items beyond ASCII go through Python."""
     p = pattern_of(query, case=case)
-    if re.search("[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]", query):
+    if arabic_query(query):
         return items.select("doc_id", "page", "seq").where("false")
     odd = items.where(~F.col("str").rlike(p) & F.col("str").rlike(r"[^\x00-\x7F]")).withColumn("plain", compatible("str"))
     return odd.where(F.col("plain").rlike(p) | F.reverse("plain").rlike(p)).select("doc_id", "page", "seq")

@@ -10,7 +10,7 @@ from folioflow.functions.text import is_arabic, letter_count
 
 from .document import by_level
 from .layout import LINE_COLUMNS, PAGE, with_baselines
-from .search import match_offsets, pattern_of
+from .search import PAGE_CAP, arabic_query, match_offsets, pattern_of, search_items, search_normalized
 
 
 def tagged_items(tokens: DataFrame) -> DataFrame:
@@ -140,9 +140,9 @@ def logical_lines(items: DataFrame) -> DataFrame:
     return out.drop("rtl", "__piece", "__blank").withColumnRenamed("__row", "rtl")
 
 
-def search_lines(items: DataFrame, query: str, *, case: bool = False) -> DataFrame:
-    """doc_id, page, line, start, found and the box of the words that a match touches; matches may span items."""
-    held = logical_lines(items)
+def search_lines(items: DataFrame, query: str, *, case: bool = False, rtl: bool = False) -> DataFrame:
+    """doc_id, page, line, start, found and the box of the words that a match touches; matches may span items. With ``rtl`` in right-to-left lines only."""
+    held = logical_lines(items).where("rtl") if rtl else logical_lines(items)
     p = pattern_of(query, case=case)
     texts = held.where("pos = 1").select(*PAGE, "line", "text").where(F.col("text").rlike(p))
     hits = texts.select(*PAGE, "line", F.explode(match_offsets(F.col("text"), p)).alias("m")).select(*PAGE, "line", F.col("m.start").alias("m_start"), F.col("m.found").alias("found"))
@@ -151,6 +151,23 @@ def search_lines(items: DataFrame, query: str, *, case: bool = False) -> DataFra
     return j.groupBy(*PAGE, "line", F.col("m_start").alias("start"), "found").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("size")).alias("y1"))
 
 
+def search_pages(items: DataFrame, query: str, *, case: bool = False, cap: int = PAGE_CAP) -> DataFrame:
+    """doc_id, page, n, kind, place, start, found, x0, x1: a page's first ``cap`` matches of all kinds together.
+
+    In item order come matches inside items (kind item, at its seq) and, of a query that is not Arabic, items that
+    hold it in their compatibility form only (form, the whole item); an Arabic query's matches in right-to-left lines
+    follow (line, at the line's number).
+    """
+    inside = search_items(items, query, case=case).select(*PAGE, F.lit("item").alias("kind"), F.col("seq").alias("place"), "start", "found", F.col("mx").alias("x0"), (F.col("mx") + F.col("mw")).alias("x1"))
+    if arabic_query(query):
+        more = search_lines(items, query, case=case, rtl=True).select(*PAGE, F.lit("line").alias("kind"), F.col("line").cast("long").alias("place"), "start", "found", "x0", "x1")
+    else:
+        whole = items.join(search_normalized(items, query, case=case), [*PAGE, "seq"], "left_semi") if query.strip() else items.where("false")
+        more = whole.select(*PAGE, F.lit("form").alias("kind"), F.col("seq").alias("place"), F.lit(0).alias("start"), F.col("str").alias("found"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"))
+    n = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("kind") == "line", "place", "start"))
+    return inside.unionByName(more).withColumn("n", n).where(F.col("n") <= cap)
+
+
 def search_all(items: DataFrame, elements: DataFrame, query: str, *, case: bool = False) -> DataFrame:
     """kind, doc_id, page, id, found: items and overlay texts that hold the query."""
     p: Column | str = pattern_of(query, case=case)

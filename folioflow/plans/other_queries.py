@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import manifest as pages_
-from folioflow.operators import reconcile, search
+from folioflow.operators import reconcile, search, tagged
 from folioflow.sources import derived, ocr
 from folioflow.streaming import jobs
 
@@ -107,15 +107,27 @@ def x1_search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "page", "seq", "start", "found", F.round("mx", 6).alias("mx"), F.round("mw", 6).alias("mw"))
 
 
+@add(with_tables("items") + """, h AS (SELECT doc_id, page, 'item' AS kind, seq AS place, unnest(range(1, len(string_split(lower(str), 'the')))) AS k, string_split(lower(str), 'the') AS p FROM items WHERE contains(lower(str), 'the') AND seq % 3 = 2),
+m AS (SELECT doc_id, page, kind, place, (list_sum(list_transform(p[1:k], lambda t: length(t))) + 3 * (k - 1))::INT AS start FROM h UNION ALL SELECT doc_id, page, 'form', seq, 0 FROM items WHERE contains(lower(str), 'the') AND seq % 3 < 2)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY place, start)::INT AS n, kind, place, start FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY place, start) <= 20""")
+def t1_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty matches of each page, in plain letters and in full-width ones."""
+    return tagged.search_pages(full_width(items_of(spark, sf_dir)), "the", cap=20).select("doc_id", "page", "n", "kind", "place", "start")
+
+
 @add(with_tables("items") + " SELECT doc_id, page, seq FROM items WHERE contains(lower(str), 'the') AND seq % 3 < 2")
 def x2_search_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items in full-width letters, and in full-width letters backwards, hold the query only in their compatibility form."""
+    return search.search_normalized(full_width(items_of(spark, sf_dir)), "the")
+
+
+def full_width(items: DataFrame) -> DataFrame:
     letters = "abcdefghijklmnopqrstuvwxyz"
     wide = F.translate(F.lower("str"), letters, "".join(chr(0xFF41 + i) for i in range(26)))
     k = F.col("seq") % 3
     # a word that reads the same both ways, or holds the query backwards, is found as well, so others stay in ASCII
     hidden = F.when(F.lower("str").contains("the"), F.when(k == 0, wide).when(k == 1, F.reverse(wide)).otherwise(F.col("str"))).otherwise(F.col("str"))
-    return search.search_normalized(items_of(spark, sf_dir).withColumn("str", hidden), "the")
+    return items.withColumn("str", hidden)
 
 
 @add("""WITH l AS (SELECT doc_id, unnest(range(len(t)))::INT AS block, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),

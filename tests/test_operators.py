@@ -694,3 +694,19 @@ def test_stamps_of_pages_and_their_places(spark):
     x, y = manifest.stamp_origin(F.col("pos"), 5.0)
     assert {r.pos: (r.x, r.y) for r in at.select("pos", x.alias("x"), y.alias("y")).collect()} == {"tl": (5.0, 185.0), "tc": (40.0, 185.0), "br": (75.0, 5.0)}
     assert manifest.stamp_pages(df.limit(0), mode="page").count() == 0
+
+
+def test_a_page_cap_counts_all_kinds_of_matches(spark):
+    it = items(spark, [("the other", 0.0, 100.0, 90.0, 10.0), ("ｔｈｅ", 100.0, 100.0, 30.0, 10.0), ("nothing", 200.0, 100.0, 70.0, 10.0), ("THE", 0.0, 80.0, 30.0, 10.0)])
+    got = [(r.n, r.kind, r.place, r.start) for r in tagged.search_pages(it, "the").orderBy("n").collect()]
+    assert got == [(1, "item", 0, 0), (2, "item", 0, 5), (3, "form", 1, 0), (4, "item", 3, 0)]
+    assert tagged.search_pages(it, "the", cap=2).count() == 2 and tagged.search_pages(it, " ").count() == 0
+    arabic = items(spark, [("لا", 20.0, 100.0, 10.0, 10.0), ("س", 30.0, 100.0, 5.0, 10.0), ("the", 0.0, 60.0, 30.0, 10.0)])
+    lines = tagged.search_pages(arabic, "سلا").collect()
+    assert [(r.kind, r.n) for r in lines] == [("line", 1)] and (lines[0].x0, lines[0].x1) == (20.0, 35.0)
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 3), (50, 51)], "src long, dst long")
+    got = sorted(r.node for r in reconcile.reachable(edges, spark.createDataFrame([(0,)], "node long")).collect())
+    assert got == list(range(21))
