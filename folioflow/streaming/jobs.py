@@ -82,7 +82,9 @@ def assemble(parts: DataFrame) -> DataFrame:
 
     rows = parts.where("group_key IS NOT NULL AND idx IS NOT NULL AND total IS NOT NULL").select("group_key", "seq", "idx", "total", F.coalesce("text", F.lit("")).alias("text"))
     kind = parts.schema["group_key"].dataType.simpleString()
-    return rows.repartition("group_key").sortWithinPartitions("group_key", "seq").mapInPandas(run, f"group_key {kind}, n int, body string")
+    # dealt by a hash of the key: a union of tables that are dealt by the key itself would not be dealt again, though
+    # its parts may be put together differently, and a group's rows would lie in several tasks
+    return rows.repartition(F.xxhash64("group_key")).sortWithinPartitions("group_key", "seq").mapInPandas(run, f"group_key {kind}, n int, body string")
 
 
 def replay(events: DataFrame, *, most: int = HISTORY) -> DataFrame:

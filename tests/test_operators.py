@@ -1,6 +1,7 @@
 """Edges, refusals and invariants on tables of our own."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
@@ -359,6 +360,22 @@ def run_stream(spark, tmp_path, name, make, rows, schema, mode):
     return spark.table(name).collect()
 
 
+def test_assembly_of_united_tables_keeps_groups_whole(spark):
+    """Both parts are dealt by the key already, but the smaller one into fewer partitions."""
+    conf = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        lines = spark.range(4000).select((F.col("id") % 1000).alias("group_key"), F.floor(F.col("id") / 1000).alias("idx"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        lines = lines.withColumn("total", F.count("*").over(Window.partitionBy("group_key")))
+        first = lines.select("group_key", F.col("idx").alias("seq"), "idx", "total", "text").where("idx < 3")
+        last = lines.select("group_key", F.col("idx").alias("seq"), "idx", "total", F.lit("x").alias("text")).where("idx = 3")
+        assert jobs.assemble(first.unionByName(last)).where("n = 1 AND endswith(body, 'x')").count() == 1000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_assembly_stream_equals_batch(spark, tmp_path):
     rows = [(g, n, *r) for n, (g, *r) in enumerate(PARTS)]
     # cut inside the groups: state goes from one micro-batch to the next
