@@ -130,3 +130,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_parts_of_texts_grow_with_the_texts(spark, small, monkeypatch):
+    """Adaptive execution sizes parts by the texts, of which one part's items may not fit into memory."""
+    from folioflow.sources import derived
+
+    derived._tasks.cache_clear()
+    monkeypatch.setattr(derived, "TASK_BYTES", 20_000)
+    size = derived.table(spark, small, "documents").selectExpr("sum(octet_length(text))").first()[0]
+    try:
+        parts = derived.raw_items(spark, small).rdd.glom().map(len).collect()
+        assert len(parts) == -(-size // 20_000) > 4
+        assert sum(p > 0 for p in parts) > 4
+    finally:
+        derived._tasks.cache_clear()
