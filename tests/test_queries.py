@@ -145,3 +145,15 @@ def test_parts_of_texts_grow_with_the_texts(spark, small, monkeypatch):
         assert sum(p > 0 for p in parts) > 4
     finally:
         derived._tasks.cache_clear()
+
+
+def test_joins_of_items_shuffle_texts_alone(spark, small):
+    plan = registry.QUERIES["j7_split_at_links"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning.*?\), (\w+)", plan) and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_cuts_are_made_for_hits_only(spark, small):
+    """The places of cuts, told by patterns, are no part of the condition that every pair of item and edge is held against."""
+    plan = registry.QUERIES["j7_split_at_links"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line]
+    assert joins and not any("RLIKE" in line for line in joins)
