@@ -22,3 +22,13 @@ def test_folds_of_lines_cut_rows_out(spark, small, name):
     """A line's rows are a slice; the starts of all lines are not filtered for each item."""
     plan = plan_of(registry.QUERIES[name](spark, small))
     assert "slice(" in plan and "filter(" not in plan
+
+
+@pytest.mark.parametrize("name", ["w6_column_cut", "w7_split_columns", "w8_split_slabs"])
+def test_items_are_neither_written_nor_shuffled(spark, small, name, monkeypatch):
+    """Only the texts are dealt, before there are items."""
+    saved = []
+    for module in ("layout", "tables", "reconcile"):
+        monkeypatch.setattr(f"folioflow.operators.{module}.written", lambda df: saved.append(df) or lineage.written(df), raising=False)
+    got = exchanges(registry.QUERIES[name](spark, small))
+    assert not saved and got and all(re.fullmatch(r"hashpartitioning\(doc_id#\d+L, \d+\)", e) for e in got)
