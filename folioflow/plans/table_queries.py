@@ -56,8 +56,7 @@ span AS (SELECT doc_id, page, count(*) AS n_lines, avg(CASE WHEN n >= 2 THEN 1.0
 
 @add(with_tables("items") + f", {_BANDS} SELECT doc_id, page, n_lines, round(ratio, 6) AS ratio FROM span")
 def a10_spanning_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = narrow_items(spark, sf_dir)
-    out = tables.spanning_ratio(items, layout.cluster_baselines(items), layout.whitespace_bands(items))
+    out = tables.page_spans(narrow_items(spark, sf_dir)).select("doc_id", "page", "n_lines", "ratio")
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
