@@ -17,6 +17,14 @@ def exchanges(df):
     return re.findall(r"Exchange (\w+\(?[^\n]*?), [A-Z_]+", plan_of(df))
 
 
+def watch(monkeypatch):
+    """Collects the tables that operators and plans write to the checkpoint folder."""
+    saved = []
+    for module in ("operators.layout", "operators.tables", "operators.reconcile", "plans.pipelines"):
+        monkeypatch.setattr(f"folioflow.{module}.written", lambda df: saved.append(df) or lineage.written(df), raising=False)
+    return saved
+
+
 @pytest.mark.parametrize("name", ["w9_cluster_lines"])
 def test_folds_of_lines_cut_rows_out(spark, small, name):
     """A line's rows are a slice; the starts of all lines are not filtered for each item."""
@@ -24,11 +32,16 @@ def test_folds_of_lines_cut_rows_out(spark, small, name):
     assert "slice(" in plan and "filter(" not in plan
 
 
-@pytest.mark.parametrize("name", ["w6_column_cut", "w7_split_columns", "w8_split_slabs"])
+@pytest.mark.parametrize("name", ["w6_column_cut", "w7_split_columns", "w8_split_slabs", "w5_borderless_tables", "a10_spanning_ratio", "e2_table_csv"])
 def test_items_are_neither_written_nor_shuffled(spark, small, name, monkeypatch):
     """Only the texts are dealt, before there are items."""
-    saved = []
-    for module in ("layout", "tables", "reconcile"):
-        monkeypatch.setattr(f"folioflow.operators.{module}.written", lambda df: saved.append(df) or lineage.written(df), raising=False)
+    saved = watch(monkeypatch)
     got = exchanges(registry.QUERIES[name](spark, small))
     assert not saved and got and all(re.fullmatch(r"hashpartitioning\(doc_id#\d+L, \d+\)", e) for e in got)
+
+
+def test_markdown_writes_paragraphs_only(spark, small, monkeypatch):
+    """Neither items nor cells are written on the way to Markdown."""
+    saved = watch(monkeypatch)
+    registry.QUERIES["e1_markdown_corpus"](spark, small)
+    assert saved and all("para" in df.columns and "seq" not in df.columns for df in saved)
