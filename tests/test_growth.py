@@ -45,3 +45,11 @@ def test_markdown_writes_paragraphs_only(spark, small, monkeypatch):
     saved = watch(monkeypatch)
     registry.QUERIES["e1_markdown_corpus"](spark, small)
     assert saved and all("para" in df.columns and "seq" not in df.columns for df in saved)
+
+
+def test_clips_are_carried_without_writing(spark, small, monkeypatch):
+    """The marked stream is not written, and both extractions keep their dealing where they are compared."""
+    saved = watch(monkeypatch)
+    assert registry.QUERIES["j20_carry_clips"](spark, small) is not None and not saved
+    got = exchanges(registry.QUERIES["j20_align_items"](spark, small))
+    assert got and all(re.fullmatch(r"hashpartitioning\(doc_id#\d+L, \d+\)", e) for e in got)
