@@ -54,3 +54,14 @@ def normalized(c: Column) -> Column:
 
     wide = c.rlike(r"[^\x00-\x7F]")
     return F.when(wide, fold(F.when(wide, c))).otherwise(c)
+
+
+def normalized_all(words: Column) -> Column:
+    """As :func:`normalized`, of each string of an array: a row's strings go through Python together, and rows without a sign beyond ASCII not at all."""
+
+    @F.pandas_udf("array<string>")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: ts if ts is None else [t if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+    wide = F.exists(words, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    return F.when(wide, fold(F.when(wide, words))).otherwise(words)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.bidi import normalized
+from folioflow.functions.bidi import normalized_all
 from folioflow.functions.text import is_arabic, letter_count
 
 from .document import by_level
-from .layout import LINE_COLUMNS, PAGE, with_baselines
+from .layout import LINE_COLUMNS, PAGE, once, with_baselines
 from .search import PAGE_CAP, arabic_query, match_offsets, pattern_of, search_items, search_normalized
 
 
@@ -101,8 +101,22 @@ def order_line(words: DataFrame, keys: list[str], *, base: Column | None = None)
     sign = lambda flag, c: F.when(flag, -F.col(c)).otherwise(F.col(c))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(sign(F.col("__base"), "__run"), sign(F.col("rtl"), "x"), "seq"))
     placed = runs.withColumn("pos", place.cast("int")).drop("__own", "__base", "__new", "__run")
-    # presentation forms are all that normalising changes in most texts; the rest stays in the JVM
-    return repair_brackets(placed.withColumn("read", F.when(F.col("rtl"), normalized(F.col("str"))).otherwise(F.col("str"))), keys, "read")
+    # a line's words are gathered, as what comes out of Python has lost its dealing and could not be put in lines again without a shuffle
+    names = [c for c in placed.columns if c not in keys]
+    held = _gathered(placed, keys).withColumn("plain", F.transform("words", lambda v: F.when(v["rtl"], v["str"])))
+    held = held.withColumn("folded", normalized_all(F.col("plain")))
+    held = once(held, reads=F.transform("words", lambda v, i: F.when(v["rtl"], F.get("folded", i)).otherwise(v["str"])))
+    held = once(held, turned=F.transform("words", lambda v, i: F.when(v["rtl"] & F.get("reads", i).rlike(r"^[\s()\[\]{}]+$"), F.translate(F.get("reads", i), _OPEN + _CLOSE, _CLOSE + _OPEN)).otherwise(F.get("reads", i))))
+    # lines with nothing to mirror are most
+    whole = lambda c: F.array_join(c, "")
+    mirror = F.coalesce((F.col("turned") != F.col("reads")) & ~_balanced(whole("reads")) & _balanced(whole("turned")), F.lit(False))
+    held = once(held, read=F.when(mirror, F.col("turned")).otherwise(F.col("reads")))
+    return held.select(*keys, F.inline(F.transform("words", lambda v, i: F.struct(*[v[c].alias(c) for c in names], F.get("read", i).alias("read"))))).select(*placed.columns, "read")
+
+
+def _gathered(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and words: a line's words by pos."""
+    return words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *[c for c in words.columns if c != "pos" and c not in keys]))).alias("words"))
 
 
 def logical_lines(items: DataFrame) -> DataFrame:
@@ -129,15 +143,21 @@ def logical_lines(items: DataFrame) -> DataFrame:
     held = held.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sign = lambda flag, c: F.when(flag, -F.col(c)).otherwise(F.col(c))
     held = held.withColumn("pos", F.row_number().over(Window.partitionBy(*line).orderBy(sign(F.col("__row"), "__run"), sign(F.col("rtl"), "x"), "seq")).cast("int")).drop("__new", "__run")
-    held = repair_brackets(held, line, "str").withColumn("read", normalized(F.col("str")))
+    held = repair_brackets(held, line, "str")
     by_pos = Window.partitionBy(*line).orderBy("pos")
     up = lambda c: F.lag(c).over(by_pos)
     gap = F.greatest("x", up("x")) - F.when(up("x") <= F.col("x"), up("x") + up("w")).otherwise(F.col("x") + F.col("w"))
-    piece = held.withColumn("__piece", F.concat(F.when(gap > F.col("__blank"), " ").otherwise(""), "read"))
-    stop = F.sum(F.char_length("__piece")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
-    every = F.array_sort(F.collect_list(F.struct("pos", "__piece")).over(whole))
-    out = piece.withColumn("start", (stop - F.char_length("read")).cast("int")).withColumn("text", F.array_join(F.transform(every, lambda r: r["__piece"]), ""))
-    return out.drop("rtl", "__piece", "__blank").withColumnRenamed("__row", "rtl")
+    held = held.withColumn("__lead", F.when(gap > F.col("__blank"), " ").otherwise("")).drop("rtl", "__blank").withColumnRenamed("__row", "rtl")
+    # gathered before Python, whose rows have lost their dealing
+    names = [c for c in held.columns if c not in (*line, "__lead")]
+    lines = _gathered(held, line).withColumn("plain", F.transform("words", lambda v: v["str"]))
+    lines = lines.withColumn("reads", normalized_all(F.col("plain")))
+    lines = once(lines, pieces=F.transform("words", lambda v, i: F.concat(v["__lead"], F.get("reads", i))))
+    zero = F.array().cast("array<int>")
+    stops = F.aggregate("pieces", zero, lambda s, p: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.char_length(p))))
+    lines = once(lines, stops=stops, text=F.array_join("pieces", ""))
+    word = lambda v, i: F.struct(*[v[c].alias(c) for c in names], F.get("reads", i).alias("read"), (F.get("stops", i) - F.char_length(F.get("reads", i))).alias("start"))
+    return lines.select(*line, "text", F.inline(F.transform("words", word)))
 
 
 def search_lines(items: DataFrame, query: str, *, case: bool = False, rtl: bool = False) -> DataFrame:

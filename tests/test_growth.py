@@ -53,3 +53,10 @@ def test_clips_are_carried_without_writing(spark, small, monkeypatch):
     assert registry.QUERIES["j20_carry_clips"](spark, small) is not None and not saved
     got = exchanges(registry.QUERIES["j20_align_items"](spark, small))
     assert got and all(re.fullmatch(r"hashpartitioning\(doc_id#\d+L, \d+\)", e) for e in got)
+
+
+@pytest.mark.parametrize("name", ["w15_order_line", "w17_logical_lines"])
+def test_words_keep_their_dealing_through_python(spark, small, name):
+    """Lines are gathered before Python normalises their words, so that no word is shuffled after it."""
+    got = exchanges(registry.QUERIES[name](spark, small))
+    assert got and all(re.fullmatch(r"hashpartitioning\(doc_id#\d+L, \d+\)", e) for e in got)
