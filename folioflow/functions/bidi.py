@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -19,6 +20,7 @@ def _strong(c: str) -> bool:
     return unicodedata.bidirectional(c) in ("L", "EN", "AN")
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def logical(text: str | None) -> str | None:
     """The reading order of a string stored in visual order: right-to-left text is turned round and normalised, left-to-right spans inside it stay as they are, brackets outside of them are mirrored."""
     if text is None or not any(unicodedata.bidirectional(c) in ("R", "AL") for c in text):

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from folioflow.functions import lineage
+from folioflow.functions import bidi, lineage
 from folioflow.plans import registry
 
 
@@ -60,3 +60,10 @@ def test_words_keep_their_dealing_through_python(spark, small, name):
     """Lines are gathered before Python normalises their words, so that no word is shuffled after it."""
     got = exchanges(registry.QUERIES[name](spark, small))
     assert got and all(re.fullmatch(r"hashpartitioning\(doc_id#\d+L, \d+\)", e) for e in got)
+
+
+def test_words_are_turned_once():
+    """Words repeat: each is turned once a worker, in a store of bounded size."""
+    bidi.logical.cache_clear()
+    assert [bidi.logical("مالس") for _ in range(3)] == ["سلام"] * 3
+    assert bidi.logical.cache_info().hits == 2 and bidi.logical.cache_info().maxsize
