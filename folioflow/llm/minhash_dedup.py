@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, row_key, small_batches
+from .common import checkpointed, release, release_after, row_key, small_batches
 from .components import components
 from .hashing import mix
 from .substring_dedup import text_groups
@@ -257,18 +257,19 @@ def confirmed(ids: np.ndarray, labels: np.ndarray, planes: np.ndarray, sets: lis
     return [(int(ids[i]), int(ids[j])) for i, j in forest.links]
 
 
-def _compared(held: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that the tasks find; held has task, a, label, low and hashes, a node once or more in a task."""
+def group_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of a group, which has a, label, low and hashes, a node once or more; there are very many small ones."""
+    _, first = np.unique(rows.column("a").to_numpy(), return_index=True)
+    rows = rows.take(pa.array(first))
+    sets = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+    links = confirmed(rows.column("a").to_numpy(), rows.column("label").to_numpy(), _planes(rows.column("low").to_pylist()), sets, percent)
+    release_after(rows)
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    def run(rows: pa.Table) -> pa.Table:
-        _, first = np.unique(rows.column("a").to_numpy(), return_index=True)
-        rows = rows.take(pa.array(first))
-        sets = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
-        links = confirmed(rows.column("a").to_numpy(), rows.column("label").to_numpy(), _planes(rows.column("low").to_pylist()), sets, percent)
-        release()
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return held.groupBy("task").applyInArrow(run, "a long, b long")
+def _compared(held: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that the tasks find; held has task, a, label, low and hashes, a node once or more in a task."""
+    return held.groupBy("task").applyInArrow(lambda rows: group_links(rows, percent), "a long, b long")
 
 
 def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:

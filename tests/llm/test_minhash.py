@@ -5,9 +5,10 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioflow.llm import minhash_dedup
+from folioflow.llm import common, minhash_dedup
 from folioflow.llm.queries import op11_minhash_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +94,23 @@ def test_intersections(monkeypatch, bits):
         assert shared.sizes_with(i, others).tolist() == [len(set(sets[i]) & set(sets[j])) for j in others]
 
 
+def test_small_groups_do_not_collect_garbage(monkeypatch):
+    """Thousands of small groups are in a task, and a collection takes far longer than one of them."""
+    collected = []
+    monkeypatch.setattr(common, "release", lambda: collected.append(1))
+
+    def links(n):
+        rng = np.random.default_rng(4)
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        sets = [base, base[: len(base) * 9 // 10], base[: len(base) // 2]]
+        low = [minhash_dedup.low_bits(minhash_dedup.minima(s)) for s in sets]
+        rows = pa.table({"a": [5, 6, 7, 5], "label": [5, 6, 7, 5], "low": [*low, low[0]], "hashes": [*map(np.ndarray.tobytes, sets), sets[0].tobytes()]})
+        return minhash_dedup.group_links(rows, 80).to_pylist()
+
+    assert links(1_000) == [{"a": 6, "b": 5}] and not collected
+    assert links(300_000) == [{"a": 6, "b": 5}] and collected
+
+
 def test_empty_table(spark):
     assert minhash_dedup.near_duplicates(frame(spark, rows()).limit(0)).count() == 0
 
