@@ -1,14 +1,18 @@
-"""Operator 5 in the pipeline: exact Jaccard similarity of five-word shingles.
+"""Operator 5 in the pipeline: SimHash over five-word shingles, confirmed by exact similarity.
 
-Two documents are linked if their sets of distinct shingles have a Jaccard similarity of ``LEAST`` or more. No
-link is missed: under any order of shingles common to all documents, two such sets share one of their first
-m - ceil(LEAST m) + 1 (m is the set's size). The order puts shingles that occur once first, as a merged
-count-min sketch (``sketch.py``) estimates them, then goes by hash; a shingle that occurs once is in no other
-document, so only the repeated ones of a prefix are sent. Documents that share one are candidates; every link
-lies within a connected component of candidates.
+Two documents are linked if their sets of distinct shingles have a Jaccard similarity of ``LEAST`` or more.
 
-Such a group has no size bound. Its sets are dealt to parts of about ``PART_SHINGLES``, and each two parts meet
-in a task of their own, which gives a spanning forest of the links that it finds; the forests are joined by
+1. A set's fingerprint is the SimHash of its shingles. The BK-trees of operator 5, in shards of two agreeing bands,
+   find all fingerprints of ``RADIUS`` or fewer differing bits. What they connect is compared exactly; the links
+   that stand unite documents to classes.
+2. Fingerprints miss links, most of those near the limit. What is left is found exactly: under any order of shingles
+   common to all documents, two such sets share one of their first m - ceil(LEAST m) + 1 (m is the set's size). The
+   order puts shingles that occur once first, as a merged count-min sketch (``sketch.py``) estimates them, then goes
+   by hash; a shingle that occurs once is in no other document, so only the repeated ones of a prefix are sent. Only a
+   shingle that documents of two classes send makes candidates, and within a class nothing is compared again.
+
+A group of candidates has no size bound. Its sets are dealt to parts of about ``PART_SHINGLES``, and each two parts
+meet in a task of their own, which gives a spanning forest of the links that it finds; the forests are joined by
 connected components. A group of one part is compared in one task. In a task, a document is not compared again
 with members of a component that it is already in.
 
@@ -30,12 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, row_key, small_batches, unused
+from .common import checkpointed, release, release_after, row_key, small_batches, unused
 from .components import components
+from .simhash_dedup import near_links, set_fingerprint
 from .sketch import Shape, dealt, may_repeat, repeat_marks
 from .substring_dedup import text_groups, window_hashes
 
 SHINGLE, LEAST = 5, 0.8
+#: Bits in which fingerprints of candidates may differ.
+RADIUS = 3
 #: Shingles of the sets of a part of a large group.
 PART_SHINGLES = 1_000_000
 
@@ -62,8 +69,8 @@ def _short_digest(text: str | None) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(words), 1)
 
 
-def linked(sets: list[np.ndarray], least: float) -> list[int]:
-    """The least index of each set's component; sets are not empty.
+def linked(sets: list[np.ndarray], least: float, classes: np.ndarray | None = None) -> list[int]:
+    """The least index of each set's component; sets are not empty, those of one class are linked from the start.
 
     Sets come in order of size, and each is held against smaller ones that share a shingle of both prefixes and
     are not in its component yet: some of the latest first, which settles most members of a large component,
@@ -92,7 +99,7 @@ def linked(sets: list[np.ndarray], least: float) -> list[int]:
     at = np.empty(len(by_token), np.int64)
     at[by_token] = np.arange(len(by_token))
     first = np.searchsorted(head_token[by_token], head_token)
-    label = np.arange(n)
+    label = np.arange(n) if classes is None else np.unique(classes[order], return_inverse=True)[1]
     own, seen = np.zeros(len(counts), np.uint8), np.zeros(n, bool)
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
@@ -138,7 +145,52 @@ def linked(sets: list[np.ndarray], least: float) -> list[int]:
     return out
 
 
-def keep_dissimilar(docs: DataFrame, *, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def fingerprint_groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """a and root of the nodes (a, fp) whose fingerprints, in steps of so many bits, lead to another node's."""
+    held = nodes.where("fp IS NOT NULL").select("a", "fp")
+    roots = components(near_links(held.select("fp").distinct(), radius))
+    placed = held.join(roots, F.col("fp") == F.col("node"), "left").select("a", F.coalesce("root", "fp").alias("root"))
+    many = placed.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("held")).where("held > 1")
+    return placed.join(many, F.col("root") == F.col("of"), "left_semi")
+
+
+def group_links(rows: pa.Table, least: float) -> pa.Table:
+    """Spanning links (a, b) of a group, which has a, label and hashes; nodes of one label are linked already."""
+    nodes = rows.column("a").to_pylist()
+    roots = linked([np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()], least, rows.column("label").to_numpy())
+    links = [(nodes[i], nodes[r]) for i, r in enumerate(roots) if r != i]
+    release_after(rows)
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+def confirmed_links(blocks: DataFrame, names: tuple[str, str], members: DataFrame, *, width: int, least: float) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs of a group; members has a, label, n, key, block and root (its group).
+
+    blocks has the texts; names are those of its columns of block and key.
+    """
+    block, key = names
+    parts = members.groupBy(F.col("root").alias("of")).agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
+    members = members.join(parts, F.col("root") == F.col("of")).select("block", "key", "a", "label", "root", "parts")
+
+    def sets(rows: pa.Table, members: pa.Table) -> pa.Table:
+        place = {k: i for i, k in enumerate(members.column("key").to_pylist())}
+        wanted: dict[int, int] = {}
+        for row, k in enumerate(rows.column(key).to_pylist()):
+            if k in place:
+                wanted[row] = place.pop(k)  # of equal rows one
+        rows_of = list(wanted)
+        found = [(wanted[rows_of[i]], h.tobytes()) for i, h, _ in shingle_sets(rows.column("text").take(pa.array(rows_of, pa.int64())), width)] if rows_of else []
+        return members.select(["root", "parts", "a", "label"]).take(pa.array([f[0] for f in found], pa.int64())).append_column("hashes", pa.array([f[1] for f in found], pa.binary()))
+
+    held = blocks.groupBy(block).cogroup(members.groupBy("block")).applyInArrow(sets, "root long, parts int, a long, label long, hashes binary")
+    own = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
+    meets = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(others, lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))))
+    held = held.withColumn("own", own).select("root", "a", "label", "hashes", F.explode(meets).alias("pair")).select("root", "pair.i", "pair.j", "a", "label", "hashes")
+    return held.groupBy("root", "i", "j").applyInArrow(lambda rows: group_links(rows, least), "a long, b long")
+
+
+def keep_dissimilar(docs: DataFrame, *, width: int = SHINGLE, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """One row of each component of documents whose shingles have a similarity of ``least``; of equal rows one."""
     size = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shape = Shape.of(size, size // 6)
@@ -150,53 +202,41 @@ def keep_dissimilar(docs: DataFrame, *, width: int = SHINGLE, least: float = LEA
         nodes: list[str | None] = [None] * rows.num_rows
         heads: list[np.ndarray | None] = [None] * rows.num_rows
         sizes = [0] * rows.num_rows
+        prints: list[int | None] = [None] * rows.num_rows
         for row, h, place in shingle_sets(rows.column("text"), width):
             nodes[row], sizes[row] = xxhash.xxh3_128_hexdigest(h.tobytes()), len(h)
+            prints[row] = set_fingerprint(h)
             own = again[place]
             heads[row] = h[own][: max(0, prefix_size(len(h), least) - int((~own).sum()))].view(np.int64)
         texts = rows.column("text").to_pylist()
         nodes = [_short_digest(t) if n is None else n for n, t in zip(nodes, texts, strict=True)]
         release()
-        return pa.table({"doc_id": rows.column("doc_id"), "key": rows.column(key), "block": rows.column(block), "node": pa.array(nodes, pa.string()), "n": pa.array(sizes, pa.int64()), "prefix": pa.array(heads, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": rows.column("doc_id"), "key": rows.column(key), "block": rows.column(block), "node": pa.array(nodes, pa.string()), "n": pa.array(sizes, pa.int64()), "fp": pa.array(prints, pa.uint64()).view(pa.int64()), "prefix": pa.array(heads, pa.list_(pa.int64()))})
 
     marks = repeat_marks(blocks, block, shape, lambda rows: window_hashes(rows.column("text"), width, True))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(prefixes, f"doc_id {id_type}, key string, block int, node string, n long, prefix array<long>")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "block")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(prefixes, f"doc_id {id_type}, key string, block int, node string, n long, fp long, prefix array<long>")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "block")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix")])
     # 64 bits name a candidate
-    nodes = checkpointed(nodes.select(F.xxhash64("node").alias("a"), "first", "n", "prefix"))
-    sent = nodes.where("size(prefix) > 0").select("a", F.explode("prefix").alias("shingle"))
-    lowest = checkpointed(sent.groupBy("shingle").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").select(F.col("shingle").alias("of"), "b"))
-    groups = components(sent.join(lowest, F.col("shingle") == F.col("of")).where("a <> b").select("a", "b"))
+    nodes = checkpointed(nodes.select(F.xxhash64("node").alias("a"), "first", "n", "fp", "prefix"))
+    place = nodes.select("a", "n", F.col("first.key").alias("key"), F.col("first.block").alias("block"))
+
+    near = fingerprint_groups(nodes, radius).withColumnRenamed("a", "of")
+    members = checkpointed(place.join(near, F.col("a") == F.col("of")).select("*", F.col("a").alias("label")).drop("of"))
+    classes = components(confirmed_links(blocks, (block, key), members, width=width, least=least))
+
+    # what fingerprints miss, between classes
+    labelled = nodes.where("size(prefix) > 0").join(classes, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("label"), "prefix")
+    sent = checkpointed(labelled.select("a", "label", F.explode("prefix").alias("shingle")))
+    lowest = sent.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("most")).where("low <> most").select(F.col("shingle").alias("of"), "low")
+    met = checkpointed(sent.join(lowest, F.col("shingle") == F.col("of")).select("a", "label", "low"))
+    groups = components(met.select(F.col("label").alias("a"), F.col("low").alias("b")))
     # a group's root is no node of the table of components
     groups = groups.select(F.col("root").alias("node"), "root").distinct().union(groups)
-    members = checkpointed(nodes.join(groups, F.col("a") == F.col("node")).select("a", "n", F.col("first.key").alias("key"), F.col("first.block").alias("block"), "root"))
-    parts = members.groupBy(F.col("root").alias("of")).agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
-    members = members.join(parts, F.col("root") == F.col("of")).select("block", "key", "a", "root", "parts")
-
-    def sets(rows: pa.Table, members: pa.Table) -> pa.Table:
-        place = {k: i for i, k in enumerate(members.column("key").to_pylist())}
-        wanted: dict[int, int] = {}
-        for row, k in enumerate(rows.column(key).to_pylist()):
-            if k in place:
-                wanted[row] = place.pop(k)  # of equal rows one
-        rows_of = list(wanted)
-        found = [(wanted[rows_of[i]], h.tobytes()) for i, h, _ in shingle_sets(rows.column("text").take(pa.array(rows_of, pa.int64())), width)] if rows_of else []
-        return members.select(["root", "parts", "a"]).take(pa.array([f[0] for f in found], pa.int64())).append_column("hashes", pa.array([f[1] for f in found], pa.binary()))
-
-    def compare(rows: pa.Table) -> pa.Table:
-        nodes = rows.column("a").to_pylist()
-        roots = linked([np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()], least)
-        links = [(nodes[i], nodes[r]) for i, r in enumerate(roots) if r != i]
-        release()
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    held = blocks.groupBy(block).cogroup(members.groupBy("block")).applyInArrow(sets, "root long, parts int, a long, hashes binary")
-    own = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
-    meets = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(others, lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))))
-    held = held.withColumn("own", own).select("root", "a", "hashes", F.explode(meets).alias("pair")).select("root", "pair.i", "pair.j", "a", "hashes")
-    linked_nodes = components(held.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long"))
+    rest = met.select(F.col("a").alias("of"), "label").distinct().join(groups, F.col("label") == F.col("node")).drop("node")
+    members = checkpointed(place.join(rest, F.col("a") == F.col("of")).drop("of"))
+    missed = confirmed_links(blocks, (block, key), members, width=width, least=least)
+    linked_nodes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
     placed = nodes.join(linked_nodes, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("root"), "first")
     staying = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.block").alias("block"), F.col("first.key").alias("key"))
 

@@ -53,6 +53,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(stops), bitorder="little").view("<u8")[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64 bits of a set that is given by 64-bit hashes: one if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = np.ascontiguousarray(hashes[at : at + BLOCK], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 class BKTree:
     """Integers under Hamming distance; a child's key is its distance to its parent."""
 
@@ -120,11 +129,14 @@ def fingerprints(docs: DataFrame, *, key: str | None = None) -> DataFrame:
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius (2 at most)."""
-    if radius > 2:
-        raise ValueError("two of four bands are sure to agree only up to two differing bits")
-    band = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
+
+    There are two bands more than bits that may differ, four at least, so that two bands are sure to agree.
+    """
+    bands = max(4, radius + 2)
+    cuts = [64 * k // bands for k in range(bands + 1)]
+    band = lambda k: F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << cuts[k + 1] - cuts[k]) - 1).cast("long"))
+    pairs = [(i, j) for i in range(bands) for j in range(i + 1, bands)]
     keys = F.array(*[F.lit(n << 32).cast("long").bitwiseOR(F.shiftleft(band(i), 16)).bitwiseOR(band(j)) for n, (i, j) in enumerate(pairs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from folioflow.llm import near_dedup
+from folioflow.llm import near_dedup, simhash_dedup
 
 
 def shingles(text):
@@ -57,6 +57,59 @@ def test_a_few_changed_words(spark, monkeypatch, part):
     assert stage(spark, rows) == sorted(want) and len(want) < len(rows) - 40
 
 
+def test_fingerprints_come_first(spark, monkeypatch):
+    """Near copies are in groups of fingerprints; their links are confirmed, and the rest is between classes only."""
+    groups, classes = [], []
+    find, confirm = near_dedup.fingerprint_groups, near_dedup.confirmed_links
+
+    def found(nodes, radius):
+        groups.append((radius, {(r.a, r.root) for r in find(nodes, radius).collect()}))
+        return find(nodes, radius)
+
+    def confirmed(blocks, names, members, **limits):
+        classes.append({(r.a, r.label) for r in members.collect()})
+        return confirm(blocks, names, members, **limits)
+
+    monkeypatch.setattr(near_dedup, "fingerprint_groups", found)
+    monkeypatch.setattr(near_dedup, "confirmed_links", confirmed)
+    rng = random.Random(3)
+    rows = []
+    for base in range(5):
+        words = [f"b{base}w{i}" for i in range(4000)]
+        for _ in range(4):
+            words[rng.randrange(4000)] = "other"
+            rows.append((len(rows), " ".join(words)))
+    # similar enough, but not by fingerprint
+    rows += [(100, " ".join(f"q{i}" for i in range(104))), (101, " ".join(f"q{i}" for i in range(11, 115)))]
+    assert stage(spark, rows) == [0, 4, 8, 12, 16, 100] == sorted(brute(rows))
+    (radius, near), (first, rest) = groups[0], classes
+    assert radius == 3 and len(near) == len(first) == 20 and len({root for _, root in near}) == 5
+    assert len(rest) == len({label for _, label in rest}) == 2
+
+
+def test_fingerprint_links(spark):
+    """Of three bits, against all pairs."""
+    rng = random.Random(11)
+    values = {rng.getrandbits(64) for _ in range(60)}
+    for v in list(values):
+        for _ in range(3):
+            for bit in rng.sample(range(64), rng.randint(1, 5)):
+                v ^= 1 << bit
+            values.add(v)
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+
+    def classes(links):
+        group = {v: v for v in values}
+        for a, b in links:
+            least, most = sorted((group[a], group[b]))
+            group = {v: least if g == most else g for v, g in group.items()}
+        return group
+
+    links = [tuple(r) for r in simhash_dedup.near_links(spark.createDataFrame([(v,) for v in values], "fp long"), 3).collect()]
+    want = classes([(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
+    assert classes(links) == want and 60 < len(set(want.values())) < len(values)
+
+
 def test_repeated_rows_and_no_rows(spark):
     assert stage(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other"), (2, "other")]) == [1, 1]
     assert stage(spark, []) == []
