@@ -87,6 +87,16 @@ def test_fingerprints_come_first(spark, monkeypatch):
     assert len(rest) == len({label for _, label in rest}) == 2
 
 
+def test_set_fingerprints():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 255, 256, 600):
+        h = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        h[: n // 2] |= np.uint64(0xF0)
+        assert near_dedup.set_fingerprint(h) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
+
+
 def test_fingerprint_links(spark):
     """Of three bits, against all pairs."""
     rng = random.Random(11)
