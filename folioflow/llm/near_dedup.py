@@ -6,9 +6,11 @@ Two documents are linked if their sets of distinct shingles have a Jaccard simil
    find all fingerprints of ``RADIUS`` or fewer differing bits. What they connect is compared exactly; the links
    that stand unite documents to classes.
 2. Fingerprints miss links, most of those near the limit. What is left is found exactly: under any order of shingles
-   common to all documents, two such sets share one of their first m - ceil(LEAST m) + 1 (m is the set's size). The
-   order puts shingles that occur once first, as a merged count-min sketch (``sketch.py``) estimates them, then goes
-   by hash; a shingle that occurs once is in no other document, so only the repeated ones of a prefix are sent. Only a
+   common to all documents, two such sets share one of their first m - ceil(LEAST m) + 1 (m is the set's size). A
+   shingle that occurs once, as a merged count-min sketch (``sketch.py``) estimates, is in no other document and comes
+   first: a document that has more of them than its prefix is long has no link at all, and of the others only the
+   repeated shingles are kept, in place of the texts. These are counted exactly, and the rarest come first, so that what
+   many documents share, like a passage or a license, brings together only those that hold little else. Only a
    shingle that documents of two classes send makes candidates, and within a class nothing is compared again.
 
 A group of candidates has no size bound. Its sets are dealt to parts of about ``PART_SHINGLES``, and each two parts
@@ -69,27 +71,28 @@ def _short_digest(text: str | None) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(words), 1)
 
 
-def linked(sets: list[np.ndarray], least: float, classes: np.ndarray | None = None) -> list[int]:
+def linked(sets: list[np.ndarray], least: float, classes: np.ndarray | None = None, whole: np.ndarray | None = None) -> list[int]:
     """The least index of each set's component; sets are not empty, those of one class are linked from the start.
 
-    Sets come in order of size, and each is held against smaller ones that share a shingle of both prefixes and
+    A set may lack shingles that no other has; ``whole`` has the sizes with them. Sets come in order of size, and each is held against smaller ones that share a shingle of both prefixes and
     are not in its component yet: some of the latest first, which settles most members of a large component,
     then all that are left.
     """
     n = len(sets)
     if n < 2:
         return list(range(n))
-    sizes = np.fromiter(map(len, sets), np.int64, n)
-    order = np.argsort(sizes, kind="stable")
-    sizes = sizes[order]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    given = np.fromiter(map(len, sets), np.int64, n)
+    order = np.argsort(given if whole is None else whole, kind="stable")
+    given = given[order]
+    sizes = given if whole is None else whole[order]
+    offsets = np.concatenate([[0], np.cumsum(given)])
     _, token, counts = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
     token, single = rank[token], int((counts == 1).sum())  # a shingle of one set links nothing
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), given)
     token = token[np.lexsort((token, owner))]
-    heads = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+    heads = given - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1  # without those that the set lacks
     inside = (np.arange(len(token)) - offsets[owner] < heads[owner]) & (token >= single)
     head_token, head_owner = token[inside], owner[inside]
     bounds = np.searchsorted(head_owner, np.arange(n + 1)).tolist()
@@ -107,8 +110,8 @@ def linked(sets: list[np.ndarray], least: float, classes: np.ndarray | None = No
         others = others[sizes[others] >= least * sizes[i] - 1e-9]
         if not len(others):
             return others
-        starts = np.concatenate([[0], np.cumsum(sizes[others])])
-        cells = np.arange(starts[-1]) + np.repeat(offsets[others] - starts[:-1], sizes[others])
+        starts = np.concatenate([[0], np.cumsum(given[others])])
+        cells = np.arange(starts[-1]) + np.repeat(offsets[others] - starts[:-1], given[others])
         shared = np.add.reduceat(own[token[cells]], starts[:-1], dtype=np.int64)
         return others[shared >= least * (sizes[i] + sizes[others] - shared) - 1e-9]
 
@@ -155,41 +158,39 @@ def fingerprint_groups(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def group_links(rows: pa.Table, least: float) -> pa.Table:
-    """Spanning links (a, b) of a group, which has a, label and hashes; nodes of one label are linked already."""
-    nodes = rows.column("a").to_pylist()
-    roots = linked([np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()], least, rows.column("label").to_numpy())
+    """Spanning links (a, b) of a group, which has a, label, n and shingles; nodes of one label are linked already."""
+    nodes, sets = rows.column("a").to_pylist(), rows.column("shingles").combine_chunks()
+    bounds, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+    roots = linked([values[i:j] for i, j in pairwise(bounds)], least, rows.column("label").to_numpy(), rows.column("n").to_numpy())
     links = [(nodes[i], nodes[r]) for i, r in enumerate(roots) if r != i]
     release_after(rows)
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def confirmed_links(blocks: DataFrame, names: tuple[str, str], members: DataFrame, *, width: int, least: float) -> DataFrame:
-    """Links (a, b) whose components are those of all similar pairs of a group; members has a, label, n, key, block and root (its group).
+def confirmed_links(sets: DataFrame, names: tuple[str, str], members: DataFrame, *, least: float) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs of a group; members has a, label, n and root (its group).
 
-    blocks has the texts; names are those of its columns of block and key.
+    sets has the repeated shingles of the nodes; names are those of its columns of node and shingles.
     """
-    block, key = names
     parts = members.groupBy(F.col("root").alias("of")).agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
-    members = members.join(parts, F.col("root") == F.col("of")).select("block", "key", "a", "label", "root", "parts")
-
-    def sets(rows: pa.Table, members: pa.Table) -> pa.Table:
-        place = {k: i for i, k in enumerate(members.column("key").to_pylist())}
-        wanted: dict[int, int] = {}
-        for row, k in enumerate(rows.column(key).to_pylist()):
-            if k in place:
-                wanted[row] = place.pop(k)  # of equal rows one
-        rows_of = list(wanted)
-        found = [(wanted[rows_of[i]], h.tobytes()) for i, h, _ in shingle_sets(rows.column("text").take(pa.array(rows_of, pa.int64())), width)] if rows_of else []
-        return members.select(["root", "parts", "a", "label"]).take(pa.array([f[0] for f in found], pa.int64())).append_column("hashes", pa.array([f[1] for f in found], pa.binary()))
-
-    held = blocks.groupBy(block).cogroup(members.groupBy("block")).applyInArrow(sets, "root long, parts int, a long, label long, hashes binary")
+    members = members.join(parts, F.col("root") == F.col("of")).select("a", "label", "n", "root", "parts")
+    held = members.join(sets.select(F.col(names[0]).alias("of"), F.col(names[1]).alias("shingles")), F.col("a") == F.col("of")).drop("of")
     own = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
     meets = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(others, lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))))
-    held = held.withColumn("own", own).select("root", "a", "label", "hashes", F.explode(meets).alias("pair")).select("root", "pair.i", "pair.j", "a", "label", "hashes")
+    held = held.withColumn("own", own).select("root", "a", "label", "n", "shingles", F.explode(meets).alias("pair")).select("root", "pair.i", "pair.j", "a", "label", "n", "shingles")
     return held.groupBy("root", "i", "j").applyInArrow(lambda rows: group_links(rows, least), "a long, b long")
 
 
+def rare_first(sets: DataFrame, least: float) -> DataFrame:
+    """a and prefix of nodes (a, n, shingles): the first shingles of each in order of how many nodes have them, without those that one has."""
+    spread = sets.select("a", "n", F.explode("shingles").alias("shingle"))
+    counts = spread.groupBy(F.col("shingle").alias("of")).agg(F.count("*").alias("held")).where("held > 1")
+    ranked = spread.join(counts, F.col("shingle") == F.col("of")).groupBy("a").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("ranked"))
+    length = (F.size("ranked") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    return ranked.withColumn("length", length).where("length > 0").select("a", F.slice("ranked", F.lit(1), F.col("length"))["shingle"].alias("prefix"))
+
+
 def keep_dissimilar(docs: DataFrame, *, width: int = SHINGLE, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """One row of each component of documents whose shingles have a similarity of ``least``; of equal rows one."""
     size = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -197,45 +198,46 @@ def keep_dissimilar(docs: DataFrame, *, width: int = SHINGLE, least: float = LEA
     key, block = unused(docs, "key"), unused(docs, "block")
     blocks = dealt(docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))), F.col(key), shape, block)
 
-    def prefixes(of: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
+    def summaries(of: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         again = may_repeat(window_hashes(rows.column("text"), width, True), marks, shape)
         nodes: list[str | None] = [None] * rows.num_rows
-        heads: list[np.ndarray | None] = [None] * rows.num_rows
+        sets: list[np.ndarray | None] = [None] * rows.num_rows  # of documents that may have a link
         sizes = [0] * rows.num_rows
         prints: list[int | None] = [None] * rows.num_rows
         for row, h, place in shingle_sets(rows.column("text"), width):
             nodes[row], sizes[row] = xxhash.xxh3_128_hexdigest(h.tobytes()), len(h)
             prints[row] = set_fingerprint(h)
             own = again[place]
-            heads[row] = h[own][: max(0, prefix_size(len(h), least) - int((~own).sum()))].view(np.int64)
+            if int((~own).sum()) < prefix_size(len(h), least):
+                sets[row] = h[own].view(np.int64)
         texts = rows.column("text").to_pylist()
         nodes = [_short_digest(t) if n is None else n for n, t in zip(nodes, texts, strict=True)]
         release()
-        return pa.table({"doc_id": rows.column("doc_id"), "key": rows.column(key), "block": rows.column(block), "node": pa.array(nodes, pa.string()), "n": pa.array(sizes, pa.int64()), "fp": pa.array(prints, pa.uint64()).view(pa.int64()), "prefix": pa.array(heads, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": rows.column("doc_id"), "key": rows.column(key), "block": rows.column(block), "node": pa.array(nodes, pa.string()), "n": pa.array(sizes, pa.int64()), "fp": pa.array(prints, pa.uint64()).view(pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     marks = repeat_marks(blocks, block, shape, lambda rows: window_hashes(rows.column("text"), width, True))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(prefixes, f"doc_id {id_type}, key string, block int, node string, n long, fp long, prefix array<long>")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "block")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix")])
+    rows = blocks.groupBy(block).cogroup(marks.groupBy("block")).applyInArrow(summaries, f"doc_id {id_type}, key string, block int, node string, n long, fp long, shingles array<long>")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "block")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "shingles")])
     # 64 bits name a candidate
-    nodes = checkpointed(nodes.select(F.xxhash64("node").alias("a"), "first", "n", "fp", "prefix"))
-    place = nodes.select("a", "n", F.col("first.key").alias("key"), F.col("first.block").alias("block"))
+    nodes = checkpointed(nodes.select(F.xxhash64("node").alias("a"), "first", "n", "fp", "shingles"))
+    sets = nodes.where("size(shingles) > 0").select("a", "n", "fp", "shingles")
 
-    near = fingerprint_groups(nodes, radius).withColumnRenamed("a", "of")
-    members = checkpointed(place.join(near, F.col("a") == F.col("of")).select("*", F.col("a").alias("label")).drop("of"))
-    classes = components(confirmed_links(blocks, (block, key), members, width=width, least=least))
+    near = fingerprint_groups(sets, radius).withColumnRenamed("a", "of")
+    members = checkpointed(sets.join(near, F.col("a") == F.col("of")).select("a", F.col("a").alias("label"), "n", "root"))
+    classes = components(confirmed_links(sets, ("a", "shingles"), members, least=least))
 
     # what fingerprints miss, between classes
-    labelled = nodes.where("size(prefix) > 0").join(classes, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("label"), "prefix")
+    labelled = rare_first(sets, least).join(classes, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("label"), "prefix")
     sent = checkpointed(labelled.select("a", "label", F.explode("prefix").alias("shingle")))
     lowest = sent.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("most")).where("low <> most").select(F.col("shingle").alias("of"), "low")
-    met = checkpointed(sent.join(lowest, F.col("shingle") == F.col("of")).select("a", "label", "low"))
+    met = checkpointed(sent.join(lowest, F.col("shingle") == F.col("of")).select("a", "label", "low").distinct())
     groups = components(met.select(F.col("label").alias("a"), F.col("low").alias("b")))
     # a group's root is no node of the table of components
     groups = groups.select(F.col("root").alias("node"), "root").distinct().union(groups)
     rest = met.select(F.col("a").alias("of"), "label").distinct().join(groups, F.col("label") == F.col("node")).drop("node")
-    members = checkpointed(place.join(rest, F.col("a") == F.col("of")).drop("of"))
-    missed = confirmed_links(blocks, (block, key), members, width=width, least=least)
+    members = checkpointed(sets.select("a", "n").join(rest, F.col("a") == F.col("of")).drop("of"))
+    missed = confirmed_links(sets, ("a", "shingles"), members, least=least)
     linked_nodes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
     placed = nodes.join(linked_nodes, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("root"), "first")
     staying = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.block").alias("block"), F.col("first.key").alias("key"))

@@ -137,3 +137,44 @@ def test_the_small_documents(spark, small):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()]
     assert sorted(kept) == sorted(brute(rows))
+
+
+def test_a_common_passage_brings_no_groups_together(spark, monkeypatch):
+    """Rare shingles come first: texts that share a passage, but not most of it, are not compared."""
+    sizes, confirm = [], near_dedup.confirmed_links
+
+    def confirmed(blocks, names, members, **limits):
+        sizes.append([r["count"] for r in members.groupBy("root").count().collect()])
+        return confirm(blocks, names, members, **limits)
+
+    monkeypatch.setattr(near_dedup, "confirmed_links", confirmed)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for pair in range(12):
+        own = [f"p{pair}w{i}" for i in range(60)]
+        rows += [(len(rows), " ".join(common + own)), (len(rows) + 1, " ".join(common + own[:-1] + ["end"]))]
+    assert stage(spark, rows) == sorted(brute(rows)) == list(range(0, 24, 2))
+    assert all(n <= 2 for group in sizes for n in group)
+
+
+def test_sets_without_their_own_shingles():
+    """Shingles that one set alone has count by their number."""
+    import numpy as np
+
+    sets = [np.arange(80), np.arange(80), np.arange(1000, 1080), np.arange(1000, 1080)]
+    assert near_dedup.linked(sets, 0.8, None, np.array([90, 90, 91, 90])) == [0, 0, 2, 3]
+
+
+def test_steps_leave_no_shuffles(spark):
+    """What a step shuffled is removed once its rows are written, not when the driver collects its garbage."""
+    import time
+
+    from folioflow.llm.common import checkpointed
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+    before = held()
+    rows = checkpointed(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    deadline = time.time() + 20
+    while held() > before and time.time() < deadline:
+        time.sleep(0.1)
+    assert held() <= before and rows.count() == 7
