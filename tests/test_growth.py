@@ -67,3 +67,16 @@ def test_words_are_turned_once():
     bidi.logical.cache_clear()
     assert [bidi.logical("مالس") for _ in range(3)] == ["سلام"] * 3
     assert bidi.logical.cache_info().hits == 2 and bidi.logical.cache_info().maxsize
+
+
+def test_written_rows_leave_no_shuffles(spark):
+    """A round's shuffles are removed once its rows are written, so that a closure never holds those of all rounds."""
+    import time
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+    before = held()
+    rows = lineage.written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    deadline = time.time() + 20
+    while held() > before and time.time() < deadline:
+        time.sleep(0.1)
+    assert held() <= before and rows.count() == 7
