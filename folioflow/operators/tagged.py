@@ -9,7 +9,7 @@ from folioflow.functions.bidi import normalized_all
 from folioflow.functions.text import is_arabic, letter_count
 
 from .document import by_level
-from .layout import LINE_COLUMNS, PAGE, once, with_baselines
+from .layout import LINE_COLUMNS, PAGE, baseline_rows, once
 from .search import PAGE_CAP, arabic_query, match_offsets, pattern_of, search_items, search_normalized
 
 
@@ -55,25 +55,6 @@ def _balanced(text: Column) -> Column:
     return F.aggregate(steps, zero, lambda s, d: F.struct((s["depth"] + d).alias("depth"), F.least(s["least"], s["depth"] + d).alias("least")), lambda s: (s["depth"] == 0) & (s["least"] == 0))
 
 
-def repair_brackets(words: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """The words (pos, rtl) with brackets as they are read in the column.
-
-    Some producers write a right-to-left bracket as the sign that it looks like. A line whose brackets, in logical
-    order, do not balance, and do once its right-to-left words of brackets alone are mirrored, gets these mirrored;
-    every other line stays as it is.
-    """
-    mirrored = F.translate(F.col(col), _OPEN + _CLOSE, _CLOSE + _OPEN)
-    turned = F.when(F.col("rtl") & F.col(col).rlike(r"^[\s()\[\]{}]+$"), mirrored).otherwise(F.col(col))
-    line = Window.partitionBy(*keys)
-    held = words.withColumn("__turned", turned)
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.col(col).alias("a"), F.col("__turned").alias("b"))).over(line))
-    whole = lambda name: F.array_join(F.transform("__parts", lambda r: r[name]), "")
-    # lines with nothing to mirror are most: their words are not gathered
-    held = held.withColumn("__any", F.max(F.col("__turned") != F.col(col)).over(line)).withColumn("__parts", F.when(F.col("__any"), parts))
-    mirror = F.coalesce(F.col("__any") & ~_balanced(whole("a")) & _balanced(whole("b")), F.lit(False))
-    return held.withColumn(col, F.when(mirror, F.col("__turned")).otherwise(F.col(col))).drop("__turned", "__any", "__parts")
-
-
 def order_line(words: DataFrame, keys: list[str], *, base: Column | None = None) -> DataFrame:
     """Adds rtl, pos (the logical place) and read (the text as it is read) to a line's words (x, seq, str).
 
@@ -82,7 +63,8 @@ def order_line(words: DataFrame, keys: list[str], *, base: Column | None = None)
     also stands in beyond the line's ends. The base, if none is given, is right to left when right-to-left words
     have more letters than others; where no word has any, when most are of Arabic script. Runs of one direction
     are read in the base's order, right-to-left runs from the right. Right-to-left words are normalised, and
-    brackets repaired (:func:`repair_brackets`).
+    brackets repaired: some producers write a right-to-left bracket as the sign that it looks like, so a line whose
+    brackets, in logical order, do not balance, and do once its right-to-left words of brackets alone are mirrored, gets these mirrored.
     """
     w, line = Window.partitionBy(*keys).orderBy("x", "seq"), Window.partitionBy(*keys)
     letters, script = letter_count(F.col("str")), is_arabic(F.col("str"))
@@ -119,6 +101,67 @@ def _gathered(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *[c for c in words.columns if c != "pos" and c not in keys]))).alias("words"))
 
 
+def _turned_words(words: Column) -> Column:
+    """The words of a right-to-left row (by x), in logical order: runs from the right, each right-to-left one from its right, as <v, turned>: its text with brackets alone mirrored (see :func:`order_line`)."""
+    rtl = lambda v: ~v["str"].rlike("[A-Za-z]")
+    zero = F.array().cast("array<int>")
+    last = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0))
+    marked = F.transform(words, lambda v, i: F.struct(v.alias("v"), rtl(v).alias("rtl"), (rtl(v) != rtl(F.get(words, i - 1))).alias("new")))
+    runs = F.aggregate(marked, zero, lambda s, m: F.concat(s, F.array(last(s) + F.when(m["new"], 1).otherwise(0))))
+    sign = lambda m: F.when(m["rtl"], -m["v"]["x"]).otherwise(m["v"]["x"])
+    order = F.sort_array(F.transform(F.arrays_zip(marked.alias("m"), runs.alias("run")), lambda z: F.struct((-z["run"]).alias("run"), sign(z["m"]).alias("at"), z["m"]["v"]["seq"].alias("seq"), z["m"].alias("m"))))
+    mirrored = lambda t: F.translate(t, _OPEN + _CLOSE, _CLOSE + _OPEN)
+    read = lambda m: F.when(m["rtl"] & m["v"]["str"].rlike(r"^[\s()\[\]{}]+$"), mirrored(m["v"]["str"])).otherwise(m["v"]["str"])
+    return F.transform(order, lambda o: F.struct(o["m"]["v"].alias("v"), read(o["m"]).alias("turned")))
+
+
+def _line_rows(items: DataFrame) -> DataFrame:
+    """doc_id, page, line, rtl, words (seq, y, x, w, size, str) in logical order, reads, pieces, stops and text: a row for each line; see :func:`logical_lines`.
+
+    A page's words are gathered once, and a line's cut out of them whole: it is ordered and spaced inside of its row.
+    """
+    height = "height" if "height" in items.columns else "size"
+    shown = items.where(F.char_length("str") > 0)
+
+    def middle(rows: Column, c: str) -> Column:
+        """The upper median of what is positive."""
+        held = F.sort_array(F.filter(F.transform(rows, lambda r: r[c]), lambda v: v > 0))
+        return F.get(held, F.floor(F.size(held) / 2).cast("int"))
+
+    high = lambda rows: F.coalesce(middle(rows, height).cast("double"), F.lit(10.0))
+    rows = baseline_rows(shown, list(dict.fromkeys([*LINE_COLUMNS, height])), tol=lambda rows: F.greatest(F.lit(3.0), 0.6 * high(rows)))
+    rows = once(rows, __high=high(F.col("rows")), __wide=middle(F.col("rows"), "w"))
+    rows = rows.withColumn("__blank", F.least(0.4 * F.coalesce("__wide", 0.5 * F.col("__high")), 0.15 * F.col("__high")))
+    number = lambda i: F.get("rows", i)["line"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: (i == 0) | (number(i) != number(i - 1)))
+    word = lambda r: F.struct(*[r[c].alias(c) for c in ("x", "seq", "y", "w", "size", "str")])
+    own = lambda a, k: F.slice("rows", a + 1, F.coalesce(F.get("starts", k + 1), F.size("rows")) - a)
+    cut = F.transform("starts", lambda a, k: F.struct(number(a).alias("line"), F.sort_array(F.transform(own(a, k), word)).alias("words")))
+    lines = once(rows, starts=starts).select(*PAGE, "__blank", F.inline(cut))
+    arabic = F.filter("words", lambda v: is_arabic(v["str"]))
+    lettered = F.filter("words", lambda v: is_arabic(v["str"]) | v["str"].rlike(r"\p{L}"))
+    lines = lines.withColumn("rtl", F.exists("words", lambda v: is_arabic(v["str"])) & (2 * F.size(arabic) > F.size(lettered)))
+    # lines that are read as they stand are most
+    lines = once(lines, turned=F.when(F.col("rtl"), _turned_words(F.col("words"))))
+    whole = lambda f: F.array_join(F.transform("turned", f), "")
+    mirror = F.coalesce(F.exists("turned", lambda t: t["turned"] != t["v"]["str"]) & ~_balanced(whole(lambda t: t["v"]["str"])) & _balanced(whole(lambda t: t["turned"])), F.lit(False))
+    lines = once(lines, mirror=F.when(F.col("rtl"), mirror))
+    repaired = F.transform("turned", lambda t: t["v"].withField("str", F.when(F.col("mirror"), t["turned"]).otherwise(t["v"]["str"])))
+    lines = once(lines, ordered=F.when(F.col("rtl"), repaired).otherwise(F.col("words"))).select(*PAGE, "line", "rtl", "__blank", F.col("ordered").alias("words"))
+    # gathered before Python, whose rows have lost their dealing
+    lines = lines.withColumn("plain", F.transform("words", lambda v: v["str"]))
+    lines = lines.withColumn("reads", normalized_all(F.col("plain")))
+
+    def gap(v: Column, up: Column) -> Column:
+        return F.greatest(v["x"], up["x"]) - F.when(up["x"] <= v["x"], up["x"] + up["w"]).otherwise(v["x"] + v["w"])
+
+    piece = lambda v, i: F.concat(F.when(gap(v, F.get("words", i - 1)) > F.col("__blank"), " ").otherwise(""), F.get("reads", i))
+    lines = once(lines, pieces=F.transform("words", piece))
+    zero = F.array().cast("array<int>")
+    stops = F.aggregate("pieces", zero, lambda s, p: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.char_length(p))))
+    return once(lines, stops=stops, text=F.array_join("pieces", ""))
+
+
 def logical_lines(items: DataFrame) -> DataFrame:
     """Items (str, x, y, w, height or size) with line, rtl (of the line), pos, start (offset in the line's text), read and the line's text.
 
@@ -127,48 +170,22 @@ def logical_lines(items: DataFrame) -> DataFrame:
     heights, whichever is less. A row is right to left if most of its items with a letter are of Arabic script;
     it is then read from the right, runs with a Latin letter forward, and brackets are repaired.
     """
-    height = F.col("height") if "height" in items.columns else F.col("size")
-    shown = items.where(F.char_length("str") > 0)
-    # the upper median of what is positive
-    middle = lambda c: F.get(F.array_sort(F.collect_list(F.when(c > 0, c))), F.floor(F.count(F.when(c > 0, c)) / 2).cast("int"))
-    sizes = shown.groupBy(*PAGE).agg(F.coalesce(middle(height), F.lit(10.0)).alias("__high"), middle(F.col("w")).alias("__wide"))
-    sizes = sizes.withColumn("__tol", F.greatest(F.lit(3.0), 0.6 * F.col("__high"))).withColumn("__blank", F.least(0.4 * F.coalesce("__wide", 0.5 * F.col("__high")), 0.15 * F.col("__high"))).drop("__high", "__wide")
-    rows = with_baselines(shown, LINE_COLUMNS, tol=sizes.select(*PAGE, F.col("__tol").alias("tol"))).join(sizes.select(*PAGE, "__blank"), PAGE)
-    line = [*PAGE, "line"]
-    w, whole = Window.partitionBy(*line).orderBy("x", "seq"), Window.partitionBy(*line)
-    script = is_arabic(F.col("str"))
-    turned = 2 * F.count_if(script).over(whole) > F.count_if(script | (letter_count(F.col("str")) > 0)).over(whole)
-    held = rows.withColumn("__row", turned).withColumn("rtl", F.col("__row") & ~F.col("str").rlike("[A-Za-z]"))
-    new = F.when(F.col("rtl") == F.lag("rtl").over(w), 0).otherwise(1)
-    held = held.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sign = lambda flag, c: F.when(flag, -F.col(c)).otherwise(F.col(c))
-    held = held.withColumn("pos", F.row_number().over(Window.partitionBy(*line).orderBy(sign(F.col("__row"), "__run"), sign(F.col("rtl"), "x"), "seq")).cast("int")).drop("__new", "__run")
-    held = repair_brackets(held, line, "str")
-    by_pos = Window.partitionBy(*line).orderBy("pos")
-    up = lambda c: F.lag(c).over(by_pos)
-    gap = F.greatest("x", up("x")) - F.when(up("x") <= F.col("x"), up("x") + up("w")).otherwise(F.col("x") + F.col("w"))
-    held = held.withColumn("__lead", F.when(gap > F.col("__blank"), " ").otherwise("")).drop("rtl", "__blank").withColumnRenamed("__row", "rtl")
-    # gathered before Python, whose rows have lost their dealing
-    names = [c for c in held.columns if c not in (*line, "__lead")]
-    lines = _gathered(held, line).withColumn("plain", F.transform("words", lambda v: v["str"]))
-    lines = lines.withColumn("reads", normalized_all(F.col("plain")))
-    lines = once(lines, pieces=F.transform("words", lambda v, i: F.concat(v["__lead"], F.get("reads", i))))
-    zero = F.array().cast("array<int>")
-    stops = F.aggregate("pieces", zero, lambda s, p: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.char_length(p))))
-    lines = once(lines, stops=stops, text=F.array_join("pieces", ""))
-    word = lambda v, i: F.struct(*[v[c].alias(c) for c in names], F.get("reads", i).alias("read"), (F.get("stops", i) - F.char_length(F.get("reads", i))).alias("start"))
-    return lines.select(*line, "text", F.inline(F.transform("words", word)))
+    read = lambda i: F.get("reads", i)
+    word = lambda v, i: F.struct(*[v[c].alias(c) for c in ("seq", "y", *LINE_COLUMNS)], F.col("rtl").alias("rtl"), (i + 1).alias("pos"), read(i).alias("read"), (F.get("stops", i) - F.char_length(read(i))).alias("start"))
+    return _line_rows(items).select(*PAGE, "line", "text", F.inline(F.transform("words", word)))
 
 
 def search_lines(items: DataFrame, query: str, *, case: bool = False, rtl: bool = False) -> DataFrame:
     """doc_id, page, line, start, found and the box of the words that a match touches; matches may span items. With ``rtl`` in right-to-left lines only."""
-    held = logical_lines(items).where("rtl") if rtl else logical_lines(items)
     p = pattern_of(query, case=case)
-    texts = held.where("pos = 1").select(*PAGE, "line", "text").where(F.col("text").rlike(p))
-    hits = texts.select(*PAGE, "line", F.explode(match_offsets(F.col("text"), p)).alias("m")).select(*PAGE, "line", F.col("m.start").alias("m_start"), F.col("m.found").alias("found"))
-    words = held.select(*PAGE, "line", "start", "x", "y", "w", "size", F.char_length("read").alias("n"))
-    j = hits.join(words, [*PAGE, "line"]).where((F.col("start") < F.col("m_start") + F.char_length("found")) & (F.col("m_start") < F.col("start") + F.col("n")))
-    return j.groupBy(*PAGE, "line", F.col("m_start").alias("start"), "found").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("size")).alias("y1"))
+    # words are looked up in the row of the line that has the match: lines are made once, and nothing is joined
+    lines = _line_rows(items).where("rtl") if rtl else _line_rows(items)
+    hits = lines.where(F.col("text").rlike(p)).select(*PAGE, "line", "words", "reads", "stops", F.explode(match_offsets(F.col("text"), p)).alias("m"))
+    size = lambda i: F.char_length(F.get("reads", i))
+    touched = F.filter("words", lambda v, i: (F.get("stops", i) - size(i) < F.col("m.start") + F.char_length("m.found")) & (F.col("m.start") < F.get("stops", i)))
+    box = once(hits, touched=touched).where(F.size("touched") > 0)
+    side = lambda f: F.transform("touched", f)
+    return box.select(*PAGE, "line", F.col("m.start").alias("start"), F.col("m.found").alias("found"), F.array_min(side(lambda v: v["x"])).alias("x0"), F.array_max(side(lambda v: v["x"] + v["w"])).alias("x1"), F.array_min(side(lambda v: v["y"])).alias("y0"), F.array_max(side(lambda v: v["y"] + v["size"])).alias("y1"))
 
 
 def search_pages(items: DataFrame, query: str, *, case: bool = False, cap: int = PAGE_CAP) -> DataFrame:

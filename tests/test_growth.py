@@ -80,3 +80,21 @@ def test_written_rows_leave_no_shuffles(spark):
     while held() > before and time.time() < deadline:
         time.sleep(0.1)
     assert held() <= before and rows.count() == 7
+
+
+@pytest.mark.parametrize("name", ["x3_search_lines", "w17_logical_lines"])
+def test_lines_are_made_once_inside_of_their_rows(spark, small, name):
+    """Words are made from the texts once, gathered once, and neither joined again nor put in windows."""
+    plan = plan_of(registry.QUERIES[name](spark, small))
+    assert plan.count("Generate posexplode") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_search_finds_words_in_the_row_of_their_line(spark):
+    """A match over two words of a line that is read from the right, one of a bracket, and none on an empty line."""
+    words = [(1, 0, 0, "سلام", 100.0, 700.0, 20.0, 10.0), (1, 0, 1, "لام", 60.0, 700.0, 20.0, 10.0), (1, 0, 2, "ab", 10.0, 650.0, 20.0, 10.0), (1, 0, 3, "cd", 40.0, 650.0, 20.0, 12.0), (1, 0, 4, "", 70.0, 650.0, 20.0, 12.0)]
+    items = spark.createDataFrame(words, "doc_id long, page int, seq long, str string, x double, y double, w double, size double")
+    from folioflow.operators import tagged
+
+    found = lambda q, **kw: [tuple(r)[2:] for r in tagged.search_lines(items, q, **kw).collect()]
+    assert found("م ل") == found("م ل", rtl=True) == [(0, 3, "م ل", 60.0, 120.0, 700.0, 710.0)]
+    assert found("B C") == [(1, 1, "b c", 10.0, 60.0, 650.0, 662.0)] and found("B C", rtl=True) == []
